@@ -31,7 +31,7 @@ def digest(b: pa.RecordBatch, column: str) -> int:
     """A number that tells whether two readings gave the same texts in the same order."""
     data, off = buffers(b.column(column))
     full = data[: len(data) // 8 * 8].view(U64) if len(data) else np.zeros(0, U64)
-    x = mix(full * U64(3) + np.arange(len(full), dtype=U64)).sum(dtype=U64) + mix(off.astype(U64)).sum(dtype=U64)
+    x = np.concatenate([mix(full * U64(3) + np.arange(len(full), dtype=U64)), mix(off.astype(U64))]).sum(dtype=U64)
     return int(np.asarray(x, U64).view(np.int64))
 
 

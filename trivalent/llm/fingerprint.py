@@ -7,8 +7,9 @@ added or taken away by adding or subtracting its vector (``plus``, ``minus``).
 
 * 4 dense lanes modulo 2**32, for equality;
 * LEVELS x LANES sparse lanes modulo 2**16: level k holds the paragraphs whose hash ends in k zero
-  bits, each in one lane.  The likeness of two fingerprints is the share of equal lanes, among those
-  in use, of the first level that is not crowded; it follows the share of common paragraphs.
+  bits, each in one lane.  From the lanes in use and the lanes that differ, in the first level that
+  is not crowded, follow the numbers of paragraphs in either text and in only one of them, as in linear
+  counting; the likeness of two fingerprints is one less their ratio.
 
 Everything is DataFrame expressions.  The next document in order of ids is found with one exchange of
 the texts: ids are cut into buckets by bounded quantiles, each bucket gets a copy of the document that
@@ -30,10 +31,15 @@ DENSE = 4
 QUANTILES, BUCKET_BYTES = 256, 8 << 20
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def vector(text: Column) -> Column:
     """array<bigint> of DENSE + LEVELS * LANES lanes."""
     units = F.filter(F.split(F.coalesce(text, F.lit("")), r"\n|(?<=[.!?]) +"), lambda u: u != F.lit(""))
-    return vector_of_hashes(F.transform(units, lambda u: F.xxhash64(u)))
+    return let(F.transform(units, lambda u: F.xxhash64(u)), vector_of_hashes)
 
 
 def vector_of_hashes(h: Column) -> Column:
@@ -41,13 +47,14 @@ def vector_of_hashes(h: Column) -> Column:
         return F.aggregate(values, F.lit(0).cast("bigint"), lambda a, x: (a + value(x)).bitwiseAND(F.lit(2**bits - 1)))
 
     dense = F.transform(F.sequence(F.lit(1), F.lit(DENSE)), lambda k: total(h, lambda x: F.xxhash64(x, k).bitwiseAND(F.lit(2**32 - 1)), 32))
+    masks = F.array(*(F.lit(2**k - 1).cast("bigint") for k in range(LEVELS)))
 
-    def lane(j: Column) -> Column:
-        ours = F.filter(h, lambda x: x.bitwiseAND(F.lit(LANES - 1)) == j)
-        level = lambda k: F.filter(ours, lambda x: F.shiftright(x, 32).bitwiseAND(F.shiftleft(F.lit(1).cast("bigint"), k) - 1) == 0)
-        return F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda k: total(level(k), lambda x: F.shiftright(x, 8).bitwiseAND(F.lit(2**16 - 1)), 16))
+    def lane(ours: Column) -> Column:
+        level = lambda mask: F.filter(ours, lambda x: F.shiftright(x, 32).bitwiseAND(mask) == 0)
+        return F.transform(masks, lambda mask: total(level(mask), lambda x: F.shiftright(x, 8).bitwiseAND(F.lit(2**16 - 1)), 16))
 
-    by_lane = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LANES - 1)).cast("array<bigint>"), lane))
+    lanes = F.sequence(F.lit(0), F.lit(LANES - 1)).cast("array<bigint>")
+    by_lane = F.flatten(F.transform(F.transform(lanes, lambda j: F.filter(h, lambda x: x.bitwiseAND(F.lit(LANES - 1)) == j)), lane))
     return F.concat(dense, by_lane)
 
 
@@ -70,13 +77,19 @@ def as_hex(v: Column) -> Column:
 def likeness(a: Column, b: Column) -> Column:
     """0 to 1: 1 for equal vectors; near 0 for texts without common paragraphs."""
     zipped = F.zip_with(a, b, lambda x, y: F.when((x == 0) & (y == 0), F.lit(0)).when(x == y, F.lit(1)).otherwise(F.lit(2)))
-    # lane j of level k is at DENSE + j * LEVELS + k
-    level = lambda k: F.transform(F.sequence(F.lit(0), F.lit(LANES - 1)), lambda j: F.get(zipped, DENSE + j * LEVELS + k))
-    share = lambda k: F.struct((F.size(F.filter(level(k), lambda s: s > 0))).alias("used"), (F.size(F.filter(level(k), lambda s: s == 1))).alias("same"))
-    shares = F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), share)
-    calm = F.filter(shares, lambda s: (s["used"] > 0) & (s["used"] <= CROWDED))
-    best = F.coalesce(F.get(calm, F.lit(0)), F.get(F.filter(shares, lambda s: s["used"] > 0), F.lit(0)))
-    return F.when(a == b, F.lit(1.0)).otherwise(F.coalesce(best["same"] / best["used"], F.lit(0.0)))
+
+    def of(z: Column) -> Column:
+        # lane j of level k is at DENSE + j * LEVELS + k
+        level = lambda k: F.transform(F.sequence(F.lit(0), F.lit(LANES - 1)), lambda j: F.get(z, DENSE + j * LEVELS + k))
+        share = lambda v: F.struct(F.size(F.filter(v, lambda s: s > 0)).alias("used"), F.size(F.filter(v, lambda s: s == 1)).alias("same"))
+        return let(F.filter(F.transform(F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), level), share), lambda s: s["used"] > 0), best)
+
+    def best(shares: Column) -> Column:
+        calm = F.get(F.filter(shares, lambda s: s["used"] <= CROWDED), F.lit(0))
+        full = lambda lanes: F.log(1 - F.least(lanes, F.lit(LANES - 0.5)) / LANES)  # noqa: E731  expected paragraphs in so many lanes, but for a factor
+        return let(F.coalesce(calm, F.get(shares, F.lit(0))), lambda s: F.greatest(F.lit(0.0), 1 - full(s["used"] - s["same"]) / full(s["used"])))
+
+    return F.when(a == b, F.lit(1.0)).otherwise(F.coalesce(let(zipped, of), F.lit(0.0)))
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import neardup, quality
+from . import chat, fingerprint, neardup, packing, pii, quality, substring, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,12 +19,47 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
 
 
+def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.remove_repeats(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.judge(_table(spark, sf_dir, "documents"))
+
+
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_table(spark, sf_dir, "pages"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(_table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents"))
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
+    return chat.digests(chat.conversations(rows.unionByName(own)))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
+def tokenizer(name: str) -> str:
+    """A public tokenizer's file, which is at this place on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_minhash": op1_minhash, "op6_quality": op6_quality}
+    return {f.__name__: f for f in (op1_minhash, op2_substring, op3_fingerprint, op4_urls, op5_pii, op6_quality, op7_chat, op8_packing)}
 
 
 SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -34,7 +69,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 OP1_SQL = rf"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWER}, '{WORD}') AS ws FROM documents),
 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
-        ELSE list_transform(range(1, len(ws) - 3), i -> array_to_string(ws[i:i+4], ' ')) END) AS g FROM w),
+        ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' ')) END) AS g FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 rare AS (SELECT g FROM s GROUP BY g HAVING count(*) > 1),
 t AS (SELECT s.doc_id, s.g FROM s JOIN rare USING (g)),
@@ -46,5 +81,42 @@ FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS c FROM r GROUP BY a)
 """
 
 
+WINDOW = 50
+OP2_SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents),
+w AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + {WINDOW - 1}], ' ')) AS h FROM d, unnest(range(1, len(ws) - {WINDOW - 2})) AS t(i)),
+least AS (SELECT h, min(doc_id) AS m FROM w GROUP BY h HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT DISTINCT w.doc_id, j FROM w JOIN least USING (h), unnest(range(i, i + {WINDOW})) AS t(j) WHERE m < w.doc_id),
+kept AS (SELECT doc_id, string_agg(ws[i], ' ' ORDER BY i) AS text, count(*) AS n
+         FROM (SELECT doc_id, ws, i FROM d, unnest(range(1, len(ws) + 1)) AS t(i)) p
+         WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = p.doc_id AND g.j = p.i) GROUP BY doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+OP4_SQL = r"""
+WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+rules(h, s, a) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+fit AS (SELECT page_id, max_by(h || s, length(h || s)) AS rule, max_by(a, length(h || s)) AS verdict
+        FROM p JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, s) GROUP BY page_id)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN fit USING (page_id)
+"""
+
+OP7_SQL = r"""
+WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, n, role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) AS t(n, role)),
+e AS (SELECT *, regexp_replace(role, '([<\[])(\\*)(/?s>|/?INST\]|/?ROLE\]|</?SYS>>)', '\1\\\2\3', 'g') AS r2,
+                regexp_replace(text, '([<\[])(\\*)(/?s>|/?INST\]|/?ROLE\]|</?SYS>>)', '\1\\\2\3', 'g') AS t2 FROM r),
+f AS (SELECT *, CASE role WHEN 'assistant' THEN '<s>' || t2 || '</s>' WHEN 'user' THEN '<s>[INST] ' || t2 || ' [/INST]</s>'
+        WHEN 'system' THEN '<s><<SYS>>' || chr(10) || t2 || chr(10) || '<</SYS>></s>' ELSE '<s>[ROLE]' || r2 || '[/ROLE]' || t2 || '</s>' END AS out FROM e),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS said,
+             coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '') AS loss,
+             sum(length(out)) AS n FROM f GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, n::BIGINT AS formatted_chars FROM g
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash": OP1_SQL}
+    return {"op1_minhash": OP1_SQL, "op2_substring": OP2_SQL, "op4_urls": OP4_SQL, "op7_chat": OP7_SQL}
