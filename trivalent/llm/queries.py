@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprint, neardup, packing, pii, quality, substring, urls
+from . import bpe, chat, fingerprint, lm, neardup, packing, pii, quality, substring, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,17 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_table(spark, sf_dir, "documents"))
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = tokenizer("byte_bpe_multi_50k.tiktoken")
+    return bpe.digests(bpe.encode(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
+
+
 def tokenizer(name: str) -> str:
     """A public tokenizer's file, which is at this place on every machine."""
     import public_tokenizers
@@ -59,7 +70,7 @@ def tokenizer(name: str) -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op2_substring, op3_fingerprint, op4_urls, op5_pii, op6_quality, op7_chat, op8_packing)}
+    return {f.__name__: f for f in (op1_minhash, op2_substring, op3_fingerprint, op4_urls, op5_pii, op6_quality, op7_chat, op8_packing, op9_lm, op10_bpe)}
 
 
 SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"

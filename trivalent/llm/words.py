@@ -67,6 +67,13 @@ def span_hash(pre: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int)
     return mix((pre[ends] - pre[starts]) * inv[starts] + (ends - starts).astype(U64) * U64(0xA24BAED4963EE407))
 
 
+def bytes_hash(pieces: list[bytes]) -> np.ndarray:
+    """One hash for each string of bytes."""
+    n = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    end = np.cumsum(n)
+    return span_hash(prefix(_BYTE[np.frombuffer(b"".join(pieces), np.uint8)], _BASE), end - n, end, _BASE)
+
+
 class Words:
     """Words of the texts of one slice.
 
