@@ -13,6 +13,7 @@ from datetime import UTC, datetime
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
 from .text import clean_text
 
 MINUTE, HOUR, DAY = 60_000, 3_600_000, 86_400_000
@@ -22,10 +23,6 @@ UNITS = {"minutes": MINUTE, "hours": HOUR, "days": DAY, "weeks": WEEK}
 OPERATORS = ("on", "after", "before", "between", "within")
 
 
-def millis(ts: Column) -> Column:
-    return F.unix_millis(ts)
-
-
 def shift_months(ms: Column, months: Column) -> Column:
     """The same time of day so many months on, on the last day of the month at most."""
     return F.unix_millis(F.timestamp_millis(ms) + F.make_ym_interval(F.lit(0), months.cast("int")))
@@ -64,31 +61,35 @@ def parse_instant(c: Column) -> Column:
 
 def relative_parts(c: Column) -> Column:
     """struct<amount, unit, special> of "3 hours ago" and its like; null for other texts."""
-    text = F.lower(clean_text(c))
     unit = "(minute|hour|day|week|month|year)"
     part = lambda amount, u, special=None: F.struct(amount.cast("long").alias("amount"), u.alias("unit"), F.lit(special).cast("string").alias("special"))
     counted = rf"\A(\d+) {unit}s? ago\z"
-    amount = F.regexp_extract(text, counted, 1).try_cast("long")
-    return (
-        F.when(text == "just now", part(F.lit(0), F.lit("minute"), "just-now"))
-        .when(text.rlike(r"\Aless than (an?|1) hour ago\z"), part(F.lit(0), F.lit("hour"), "under-hour"))
-        .when(text.rlike(rf"\A(an?|one) {unit} ago\z"), part(F.lit(1), F.regexp_extract(text, rf"\A(?:an?|one) {unit} ago\z", 1)))
-        .when(text.rlike(counted) & (amount <= 2**53 - 1), part(amount, F.regexp_extract(text, counted, 2)))
-    )
+
+    def of(text: Column) -> Column:
+        amount = F.regexp_extract(text, counted, 1).try_cast("long")
+        return (
+            F.when(text == "just now", part(F.lit(0), F.lit("minute"), "just-now"))
+            .when(text.rlike(r"\Aless than (an?|1) hour ago\z"), part(F.lit(0), F.lit("hour"), "under-hour"))
+            .when(text.rlike(rf"\A(an?|one) {unit} ago\z"), part(F.lit(1), F.regexp_extract(text, rf"\A(?:an?|one) {unit} ago\z", 1)))
+            .when(amount <= 2**53 - 1, part(amount, F.regexp_extract(text, counted, 2)))
+        )
+
+    return let(F.lower(clean_text(c)), of)
 
 
 def relative_range(c: Column, observed: Column) -> Column:
     """struct<earliest, latest, amount, unit>: an age of n units lies between n and n + 1 of them."""
-    p = relative_parts(c)
-    amount, unit = p["amount"], p["unit"]
-    scale = F.when(unit == "minute", MINUTE).when(unit == "hour", HOUR).when(unit == "day", DAY).when(unit == "week", WEEK).cast("long")
-    per = F.when(unit == "year", 12).otherwise(1)
-    far = amount > 100_000_000  # beyond the calendar
-    # an age of nothing and a unit's own limit are one unit wide as well
-    earliest = F.when(scale.isNotNull(), observed - (amount + 1) * scale).when(~far, shift_months(observed, -(F.least(amount, F.lit(100_000)) + 1) * per))
-    latest = F.when(scale.isNotNull(), observed - amount * scale).when(~far, shift_months(observed, -F.least(amount, F.lit(100_000)) * per))
-    out = F.struct(earliest.alias("earliest"), latest.alias("latest"), amount.alias("amount"), unit.alias("unit"))
-    return F.when(p.isNotNull() & observed.isNotNull() & earliest.isNotNull() & latest.isNotNull(), out)
+
+    def of(x: Column) -> Column:
+        amount, unit, at = x["p"]["amount"], x["p"]["unit"], x["at"]
+        scale = F.when(unit == "minute", MINUTE).when(unit == "hour", HOUR).when(unit == "day", DAY).when(unit == "week", WEEK).cast("long")
+        months = F.least(amount, F.lit(100_000)) * F.when(unit == "year", 12).otherwise(1)
+        more = F.when(unit == "year", 12).otherwise(1)
+        edge = lambda n, m: F.when(scale.isNotNull(), at - n * scale).when(amount <= 100_000, shift_months(at, -m))
+        out = F.struct(edge(amount + 1, months + more).alias("earliest"), edge(amount, months).alias("latest"), amount.alias("amount"), unit.alias("unit"))
+        return F.when(x["p"].isNotNull() & at.isNotNull(), let(out, lambda r: F.when(r["earliest"].isNotNull() & r["latest"].isNotNull(), r)))
+
+    return let(F.struct(relative_parts(c).alias("p"), observed.cast("long").alias("at")), of)
 
 
 def _range(source: str, precision: str, earliest: Column, latest: Column, sort: Column) -> Column:
@@ -97,39 +98,44 @@ def _range(source: str, precision: str, earliest: Column, latest: Column, sort:
 
 def exact_range(status: Column, date: Column) -> Column:
     """Of a complete detail's date: the whole day, with noon to sort by, or the instant."""
-    day, instant = parse_date(date), parse_instant(date)
-    of_day = _range("detail-exact", "date", day, day + (DAY - 1), day + DAY // 2)
-    of_instant = _range("detail-exact", "timestamp", instant, instant, instant)
-    return F.when(status == "complete", F.when(day.isNotNull(), of_day).when(instant.isNotNull(), of_instant))
+    of_day = let(parse_date(date), lambda day: F.when(day.isNotNull(), _range("detail-exact", "date", day, day + (DAY - 1), day + DAY // 2)))
+    of_instant = let(parse_instant(date), lambda at: F.when(at.isNotNull(), _range("detail-exact", "timestamp", at, at, at)))
+    return F.when(status == "complete", F.coalesce(of_day, of_instant))
 
 
 def listing_range(video) -> Column:
     """struct<earliest, latest> as stored, or else from the relative text; video: a column of a name."""
     earliest, latest = video("listing_upload_earliest_at"), video("listing_upload_latest_at")
     observed = F.coalesce(video("relative_upload_observed_at"), video("listing_updated_at"), video("last_seen_at"), video("first_seen_at"))
-    again = relative_range(video("relative_upload_text"), observed)
-    stored = F.struct(earliest.alias("earliest"), latest.alias("latest"))
-    return F.when(earliest <= latest, stored).when(again.isNotNull(), F.struct(again["earliest"].alias("earliest"), again["latest"].alias("latest")))
+    both = lambda a, b: F.struct(a.alias("earliest"), b.alias("latest"))
+    again = let(relative_range(video("relative_upload_text"), observed), lambda r: F.when(r.isNotNull(), both(r["earliest"], r["latest"])))
+    return F.when(earliest <= latest, both(earliest, latest)).otherwise(again)
 
 
-def _middle(r: Column) -> Column:
-    return r["earliest"] + (r["latest"] - r["earliest"]) / 2
+def _middle(earliest: Column, latest: Column) -> Column:
+    return earliest + (latest - earliest) / 2
+
+
+def _estimate(listing: Column) -> Column:
+    return F.when(listing.isNotNull(), _range("listing-estimate", "range", listing["earliest"], listing["latest"], _middle(listing["earliest"], listing["latest"])))
 
 
 def resolve(status: Column, date: Column, listing: Column) -> Column:
     """The range to filter by: the exact one, else the listing's estimate."""
-    estimate = F.when(listing.isNotNull(), _range("listing-estimate", "range", listing["earliest"], listing["latest"], _middle(listing)))
-    return F.coalesce(exact_range(status, date), estimate)
+    return F.coalesce(exact_range(status, date), let(listing, _estimate))
 
 
 def display_resolve(status: Column, date: Column, listing: Column) -> Column:
     """The range to show and sort by: an exact day is cut to the listing's range where they meet."""
-    exact = exact_range(status, date)
-    earliest, latest = F.greatest(exact["earliest"], listing["earliest"]), F.least(exact["latest"], listing["latest"])
-    both = F.struct(earliest.alias("earliest"), latest.alias("latest"))
-    cut = _range("detail-date+listing-estimate", "range", earliest, latest, _middle(both))
-    meets = (exact["precision"] == "date") & listing.isNotNull() & (earliest <= latest)
-    return F.when(meets, cut).otherwise(resolve(status, date, listing))
+
+    def of(x: Column) -> Column:
+        exact, listed = x["exact"], x["listing"]
+        earliest, latest = F.greatest(exact["earliest"], listed["earliest"]), F.least(exact["latest"], listed["latest"])
+        meets = (exact["precision"] == "date") & listed.isNotNull() & (earliest <= latest)
+        cut = _range("detail-date+listing-estimate", "range", earliest, latest, _middle(earliest, latest))
+        return F.when(meets, cut).otherwise(F.coalesce(exact, _estimate(listed)))
+
+    return let(F.struct(exact_range(status, date).alias("exact"), listing.alias("listing")), of)
 
 
 def within_cutoff(now: float, amount: object, unit: str) -> float | None:
@@ -148,8 +154,12 @@ def _inside(r: Column, start: float, end: float) -> Column:
     return F.when((r["earliest"] >= start) & (r["latest"] <= end), True).when((r["latest"] < start) | (r["earliest"] > end), False)
 
 
-def date_match(r: Column, operator: str, value: object, value_to: object = None, unit: str = "days", now: float = 0) -> Column:
+def date_match(resolved: Column, operator: str, value: object, value_to: object = None, unit: str = "days", now: float = 0) -> Column:
     """TRUE, FALSE or null of a range; null for a null range."""
+    return let(resolved, lambda r: _match(r, operator, value, value_to, unit, now))
+
+
+def _match(r: Column, operator: str, value: object, value_to: object, unit: str, now: float) -> Column:
     wrong = F.when(r.isNotNull(), False)
     if operator == "within":
         cutoff = within_cutoff(now, value, unit)

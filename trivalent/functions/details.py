@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
 from .text import unique_ci
 
 #: Schema version from which entities can be trusted, and the one below which details are outdated.
@@ -50,7 +51,7 @@ def qualities(detail: Column) -> Column:
     texts = F.flatten(F.transform(detail["formats"], lambda f: F.array(f["resolution"], f["quality"], f["name"])))
     heights = F.transform(texts, lambda t: F.regexp_extract(F.lower(t), r"(?:^|\b)(\d{3,5})p(?:\b|$)", 1).try_cast("int"))
     known = F.array_distinct(F.filter(heights, lambda h: h > 0))
-    return F.when(is_complete(detail) & (F.size(known) > 0), F.sort_array(known, asc=False))
+    return F.when(is_complete(detail), let(known, lambda k: F.when(F.size(k) > 0, F.sort_array(k, asc=False))))
 
 
 def quality_fingerprint(detail: Column) -> Column:

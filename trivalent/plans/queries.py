@@ -244,7 +244,7 @@ def _duplicates_sql(checks: str, band: int | None) -> str:
     list_transform(artists, lambda t: lower(t)) AS artists, shown, length(trim(title)) AS tl, {_WORDS} AS words FROM r),
 k AS (SELECT *, row_number() OVER (ORDER BY shown ASC NULLS LAST, tl, id) AS rk FROM d),
 e AS (SELECT video_id, dur, unnest(artists) AS tok FROM k),
-pairs AS (SELECT DISTINCT a.video_id AS x, b.video_id AS y FROM e a JOIN e b ON a.tok = b.tok AND a.video_id <> b.video_id {near} WHERE a.{known}),
+pairs AS (SELECT DISTINCT a.video_id AS x, b.video_id AS y FROM e a JOIN e b ON a.tok = b.tok AND a.video_id <> b.video_id {near} WHERE {known.replace('dur', 'a.dur')}),
 m AS (SELECT pairs.x, y.rk < x.rk AS better, CASE {checks} ELSE true END AS ok FROM pairs JOIN k x ON x.video_id = pairs.x JOIN k y ON y.video_id = pairs.y),
 g AS (SELECT x, bool_or(ok AND better) AS hit, bool_or(ok IS NULL) AS unk FROM m GROUP BY x)
 SELECT k.video_id, CASE WHEN artists IS NULL OR len(artists) = 0 OR NOT ({known}) THEN CAST(NULL AS BOOLEAN) WHEN g.hit THEN true WHEN g.unk THEN NULL ELSE false END AS verdict FROM k LEFT JOIN g ON g.x = k.video_id"""
@@ -548,7 +548,7 @@ def parsed_numbers(spark, sf_dir):
 
 @query(f"""{ORACLE} SELECT video_id, CASE WHEN duration_sec >= 3600 THEN (duration_sec // 3600) || ':' || lpad(CAST(duration_sec // 60 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(duration_sec % 60 AS VARCHAR), 2, '0')
 WHEN duration_sec IS NOT NULL THEN (duration_sec // 60) || ':' || lpad(CAST(duration_sec % 60 AS VARCHAR), 2, '0') END AS duration,
-CASE WHEN views >= 1000 THEN regexp_replace(printf('%.1f', views / 1000), '\\.0$', '') || 'K' WHEN views IS NOT NULL THEN CAST(views AS VARCHAR) END AS views FROM c""")
+CASE WHEN views >= 1000 THEN regexp_replace(printf('%.1f', (views + 50) // 100 / 10), '\\.0$', '') || 'K' WHEN views IS NOT NULL THEN CAST(views AS VARCHAR) END AS views FROM c""")
 def formatted_numbers(spark, sf_dir):
     return flat(spark, sf_dir).select("video_id", numbers.format_duration(F.col("duration_sec")).alias("duration"), numbers.format_compact(F.col("views")).alias("views"))
 
@@ -568,7 +568,7 @@ def resolved_dates(spark, sf_dir):
 
 @query("SELECT o_orderkey AS k, epoch_ms(o_orderdate - INTERVAL (o_orderkey % 30) MONTH) AS shifted FROM orders")
 def shifted_months(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), dates.shift_months(F.unix_millis("o_orderdate"), -(F.col("o_orderkey") % 30)).alias("shifted"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), dates.shift_months(F.unix_millis(F.col("o_orderdate").cast("timestamp")), -(F.col("o_orderkey") % 30)).alias("shifted"))
 
 
 @query(f"{ORACLE} SELECT video_id, list_sort(list_transform(artists, lambda x: 'name:' || lower(x))) AS tokens, CAST(quality AS VARCHAR) AS quality FROM c")
