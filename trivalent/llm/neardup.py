@@ -11,8 +11,9 @@ Equal sets become one class first, so that groups of copies cost a row each.  Cl
 band of ROWS coordinates are candidates (a pair at 0.75 shares none of 32 bands with probability
 5e-6).  First each class is checked against at most two of the least classes of its buckets, which
 ties most groups together in linear work; then only pairs of *different* components in a bucket are
-compared by sketch, in blocks of ``BLOCK`` rows and without emitting them, and pairs whose estimate
-is over the threshold less five deviations are checked.  Every link is confirmed on the full sets.
+compared by sketch, in blocks of ``BLOCK`` rows, and those whose estimate is over the threshold less
+five deviations are checked in the same blocks.  Pairs are never emitted: a block emits the rows that need
+their texts, and then a link fewer than it has rows at most.  Every link is confirmed on the full sets.
 
 Defined results: null and empty texts and texts without a word have an empty set, link with nothing
 and form their own component.  Rows with equal doc_id are one document to the graph: they share a
@@ -96,13 +97,14 @@ def _sketch_rows(batches):
                 pa.array(keys[1]),
                 pa.array([x if f else None for x, f in zip(bands.view(np.int64), full, strict=True)], pa.list_(pa.int64())),
                 pa.array([x.tobytes() if f else None for x, f in zip((spread & U64(255)).astype(np.uint8), full, strict=True)], pa.binary()),
+                pa.array([x.tobytes() if f else None for x, f in zip(bands, full, strict=True)], pa.binary()),
             ],
-            ["id", "n", "k1", "k2", "bands", "sketch"],
+            ["id", "n", "k1", "k2", "bands", "sketch", "packed"],
         )
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_sketch_rows, "id long, n long, k1 long, k2 long, bands array<long>, sketch binary")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_sketch_rows, "id long, n long, k1 long, k2 long, bands array<long>, sketch binary, packed binary")
 
 
 def _verify_rows(batches):
@@ -142,23 +144,61 @@ def _groups(batches, key: list[str]):
         yield held
 
 
+def _alike(t: pa.Table):
+    """(row, rows of other components whose sketches are alike enough) of one block of a bucket.
+
+    A pair is taken in the first band that it shares, so in one bucket only.
+    """
+    ids, comp, part = (t.column(c).to_numpy() for c in ("id", "comp", "part"))
+    i, j, band = (t.column(c)[0].as_py() for c in ("i", "j", "band"))
+    s = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(ids), T)
+    keys = np.frombuffer(b"".join(t.column("keys").to_pylist()), np.int64).reshape(len(ids), BANDS)
+    right = np.flatnonzero(part == j)
+    for x in np.flatnonzero(part == i):
+        others = right[(comp[right] != comp[x]) & ((ids[right] > ids[x]) if i == j else True)]
+        if len(others):
+            others = others[(s[others] == s[x]).mean(axis=1) >= PERCENT / 100 - MARGIN]
+            others = others[~(keys[others, :band] == keys[x, :band]).any(axis=1)]
+            if len(others):
+                yield x, others
+
+
+_BLOCK_KEY = ["band", "key", "i", "j"]
+
+
 def _cross_rows(batches):
-    """Pairs of different components whose sketches are alike enough, in each group of sorted rows."""
-    least = PERCENT / 100 - MARGIN
-    for t in _groups(batches, ["band", "key", "i", "j"]):
-        ids, comp, part = (t.column(c).to_numpy() for c in ("id", "comp", "part"))
-        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        s = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(ids), T)
-        left, right = (np.flatnonzero(part == i), np.flatnonzero(part == j))
+    """The rows of each block of sorted rows that have another to be checked with."""
+    for t in _groups(batches, _BLOCK_KEY):
+        keep = np.zeros(t.num_rows, bool)
+        for x, others in _alike(t):
+            keep[x] = True
+            keep[others] = True
+        yield from t.filter(pa.array(keep)).to_batches()
+
+
+def _settle_rows(batches):
+    """Links of each block of sorted rows with texts, checked on full sets; rows that are tied already are passed over."""
+    for t in _groups(batches, _BLOCK_KEY):
+        ids = t.column("id").to_numpy()
+        sets, off = shingle_sets(t.column("text"))
+        _, sets = np.unique(sets, return_inverse=True)
+        mark, n = np.zeros(int(sets.max(initial=0)) + 1, bool), np.diff(off)
+        _, comp = np.unique(t.column("comp").to_numpy(), return_inverse=True)
         a_out, b_out = [], []
-        for x in left:
-            others = right[(comp[right] != comp[x]) & ((ids[right] > ids[x]) if i == j else True)]
-            if len(others):
-                alike = others[(s[others] == s[x]).mean(axis=1) >= least]
-                a_out.append(np.minimum(ids[x], ids[alike]))
-                b_out.append(np.maximum(ids[x], ids[alike]))
-        if a_out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a_out)), pa.array(np.concatenate(b_out))], ["a", "b"])
+        for x, others in _alike(t):
+            others = others[comp[others] != comp[x]]
+            if not len(others):
+                continue
+            mark[sets[off[x] : off[x + 1]]] = True
+            at = np.concatenate([np.arange(off[o], off[o + 1]) for o in others])
+            common = np.add.reduceat(mark[sets[at]], np.cumsum(n[others]) - n[others], dtype=np.int64)
+            mark[sets[off[x] : off[x + 1]]] = False
+            for o in others[100 * common >= PERCENT * (n[x] + n[others] - common)]:
+                if comp[o] != comp[x]:
+                    comp[comp == comp[o]] = comp[x]
+                    a_out.append(ids[x])
+                    b_out.append(ids[o])
+        yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
 
 
 def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -189,10 +229,10 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = rows.withColumn("part", F.when(F.col("is_main"), F.pmod(dealt, "mp")).otherwise(F.col("mp") + F.pmod(dealt, "op")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.when(F.col("is_main"), F.col("mp")).otherwise(F.lit(0)), F.col("mp") + F.col("op") - 1)))
     rows = rows.select("band", "key", "id", "comp", "part", F.greatest("part", "other").alias("i"), F.least("part", "other").alias("j"))
-    rows = rows.join(unique.select("id", "sketch").dropDuplicates(["id"]), "id")
-    crossed = rows.repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j").mapInArrow(_cross_rows, "a long, b long").distinct()
-    tested = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = verify(crossed.join(tested, ["a", "b"], "left_anti"), texts)
+    rows = rows.join(unique.select("id", "sketch", F.col("packed").alias("keys")).dropDuplicates(["id"]), "id").select(*_BLOCK_KEY, "id", "comp", "part", "sketch", "keys")
+    blocks = lambda df: df.repartition(*_BLOCK_KEY).sortWithinPartitions(*_BLOCK_KEY, "id")
+    crossed = blocks(rows).mapInArrow(_cross_rows, rows.schema)
+    more = blocks(crossed.join(texts, "id")).mapInArrow(_settle_rows, "a long, b long")
     whole = components(found.select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(more).unionByName(same_id))
     return table.select("id", F.col("n").alias("n_shingles")).join(whole, "id", "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
 
