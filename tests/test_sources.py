@@ -158,3 +158,32 @@ def test_id_sets(spark):
     assert {r[0] for r in merging.change_ids(ids("1", "3", "x", "5"), changes).collect()} == {"4", "5"}
     assert merging.same_ids(ids("1", "2"), ids("2", "1", "1")) and not merging.same_ids(ids("1"), ids("2"))
     assert merging.next_stamp(5, 9, None) == 10
+
+
+def test_stored_details_and_diagnostics(spark):
+    full = lambda df, like: df.select(*((F.col(c) if c in df.columns else F.lit(None)).cast(like.schema[c].dataType).alias(c) for c in like.columns))
+    e = empty(spark)
+    raw = spark.sql("select '1' as video_id, array(' A  b', 'a B', '') as artists, 'u' as uploader, array(named_struct('key', 'K', 'name', 'n', 'url', 'https://example.com/models/k/'), named_struct('key', 'k ', 'name', 'm', 'url', 'https://example.com/models/k/'), named_struct('key', 'x', 'name', 'm', 'url', 'bad')) as artist_refs, -3 as comments_count")
+    r = backup.complete_details(full(raw, e["details"]), NOW).first()
+    assert (r["artists"], r["uploaders"], r["artist"], r["comments_count"], r["fetched_at"], r["status"]) == (["A b"], ["u"], "A b", 0, NOW, "complete")
+    assert [x["name"] for x in r["artist_refs"]] == ["n"]
+    videos = full(spark.sql("select '1' as video_id, 'https://example.com/video/12/slug' as url union all select '2', null"), e["videos"])
+    details = full(spark.sql("select '1' as video_id, 'failed' as status, named_struct('code', 'HTTP', 'message', 'm', 'http_status', 404) as last_error union all select '9', 'failed', null"), e["details"])
+    got = {(x["section"], x["key"]): x["n"] for x in backup.diagnostics(videos, details).collect()}
+    assert got["status", "failed"] == got["code", "HTTP"] == got["http", "404"] == got["shape", "example.com/video/#/*"] == 1
+    assert sum(k[0] == "sample" for k in got) == 1
+
+
+def test_settings(spark):
+    from trivalent.plans import settings
+
+    s = settings.normalize({"concurrentDetailRequests": 9, "recentUpdatePageLimit": "x", "videosPerPage": "48", "advanced": {"minimumRequestSpacingMs": 125}})
+    assert (s["concurrentDetailRequests"], s["recentUpdatePageLimit"], s["videosPerPage"], s["requestPace"]) == (3, 3, 48, "faster")
+    assert settings.with_pace(s, "conservative")["advanced"]["minimumRequestSpacingMs"] == 500
+    assert settings.view_state({"localPage": "-4", "mode": "x"}) == {"mode": "native", "localPage": 1, "sort": {"field": "uploadDate", "direction": "desc"}}
+    c = settings.Cache(1)
+    a = c.get("a", lambda: spark.range(3))
+    assert c.get("a", lambda: None) is a and c.get("b", lambda: spark.range(1)).count() == 1 and not a.is_cached
+    c.clear()
+    assert settings.membership_fresh(NOW, NOW + 1, "x", "x", 1, 1) and not settings.membership_fresh(NOW, NOW + settings.FRESH, "x", "x", 1, 1)
+    assert settings.cache_key(1, {}, (), 59_999, True) == settings.cache_key(1, {}, (), 0, True) != settings.cache_key(2, {}, (), 0, True)

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import dates, details, numbers, text
+from ..functions import dates, details, numbers, text, urls
 from ..operators import duplicates, facets, merging, ordering, worksets
+from ..sources import backup, html
 from . import rules
 from .compile import Context, evaluate
 from .fixture import NOW, ORACLE, catalogue, event_ids, flat, members, table
@@ -586,3 +587,44 @@ def document_search(spark, sf_dir):
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
     found = text.text_match(F.col("text"), "contains", "the, les", {"separateByCommas": True, "wholeWord": True})
     return d.select("doc_id", F.when(F.col("quality").isNotNull(), found & (F.col("quality") == 1)).alias("verdict"))
+
+
+@query(r"SELECT page_id, lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) AS host, nullif(regexp_extract(url, '^https?://[^/]+/[a-z]+/([0-9]+)([/?#.]|$)', 1), '') AS id FROM pages")
+def url_identity(spark, sf_dir):
+    found = F.nullif(F.regexp_extract("url", r"\Ahttps?://[^/]+/[a-z]+/([0-9]+)([/?#.]|\z)", 1), F.lit(""))
+    return table(spark, sf_dir, "pages").select("page_id", urls.host(F.col("url")).alias("host"), found.alias("id"))
+
+
+@query()
+def page_links(spark, sf_dir):
+    """Titles, links and paragraphs of HTML pages, by the tag reader."""
+    return html.links(table(spark, sf_dir, "pages")).select("page_id", "page_title", "n_links", "paragraphs")
+
+
+@query("SELECT count(DISTINCT p_partkey) AS videos, count(*) FILTER (WHERE p_partkey % 5 > 1) AS complete FROM part")
+def backup_summary(spark, sf_dir):
+    v, d = _videos_details(spark, sf_dir)
+    return backup.summary({"videos": v, "details": d}).select("videos", "complete")
+
+
+@query("SELECT 'status' AS section, CASE WHEN p_partkey % 5 = 0 THEN 'missing' WHEN p_partkey % 5 = 1 THEN 'failed' ELSE 'complete' END AS key, count(*) AS n FROM part GROUP BY 2")
+def diagnostics(spark, sf_dir):
+    v, d = _videos_details(spark, sf_dir)
+    return backup.diagnostics(v.withColumn("url", F.lit(None).cast("string")), d).where("section = 'status'")
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS video_id, CASE WHEN p_partkey % 5 > 1 AND p_partkey % 7 = 0 THEN 'failed once' WHEN p_partkey % 7 = 0 THEN 'failed' WHEN p_partkey % 5 = 0 THEN 'missing' WHEN p_partkey % 5 = 1 THEN 'failed' ELSE 'complete' END AS state, p_partkey % 4 + CASE WHEN p_partkey % 7 = 0 THEN 1 ELSE 0 END AS failures FROM part")
+def record_failures(spark, sf_dir):
+    d = _videos_details(spark, sf_dir)[1].withColumn("last_attempt_error", F.lit(None).cast("struct<code:string,message:string,http_status:int>"))
+    error = F.struct(F.lit("HTTP").alias("code"), F.lit(None).cast("string").alias("message"), F.lit(500).alias("http_status"))
+    out = merging.record_failure(d, d.where("cast(video_id as long) % 7 = 0").select("video_id", error.alias("error")), NOW)
+    state = F.when((F.col("status") == "complete") & F.col("last_attempt_error").isNotNull(), "failed once").otherwise(F.col("status"))
+    return out.select("video_id", state.alias("state"), F.col("failure_count").alias("failures"))
+
+
+@query("SELECT (n - 1) // 24 + 1 AS page_number, list(id ORDER BY n) AS video_ids FROM (SELECT CAST(p_partkey AS VARCHAR) AS id, row_number() OVER (ORDER BY p_partkey) AS n FROM part WHERE p_partkey < 120 AND p_partkey % 5 <> 0) GROUP BY 1")
+def reconcile_pages(spark, sf_dir):
+    v, _ = _videos_details(spark, sf_dir)
+    v = v.withColumn("native_page", F.lit(None).cast("int")).withColumn("native_order", F.lit(None).cast("int"))
+    ids = ordering.numbered(v.where("ord < 120 and ord % 5 <> 0").select(F.col("ord").alias("key"), F.col("video_id").alias("id")), "key").select(F.col("ord").alias("pos"), "id")
+    return merging.reconcile(ids, v, v.where("ord % 2 = 0"), 24, NOW)["pages"].select("page_number", "video_ids")

@@ -132,3 +132,31 @@ def portable(settings: dict) -> dict:
 def imported(settings: dict, own: dict) -> dict:
     """Imported settings with this device's own keys."""
     return {**portable(settings), **{k: own[k] for k in LOCAL_KEYS if k in own}}
+
+
+def complete_details(rows: DataFrame, now: int) -> DataFrame:
+    """Fetched details in their stored form: texts collapsed, lists without repeats, references of distinct keys, numbers not negative."""
+    collapse = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    listed = lambda c: unique_ci(F.transform(F.coalesce(c, F.array().cast("array<string>")), collapse))
+    either = lambda many, one: F.when(F.coalesce(F.size(many), F.lit(0)) > 0, listed(F.col(many))).otherwise(listed(F.array(one)))
+    refs = F.filter(F.transform("artist_refs", lambda r: F.struct(F.lower(collapse(r["key"])).alias("key"), collapse(r["name"]).alias("name"), collapse(r["url"]).alias("url"))), lambda r: (r["key"] != "") & (r["name"] != "") & r["url"].rlike(r"(?i)\Ahttps?://[^/]+/[^/]+/[^/]+/\z"))
+    first = F.aggregate(F.coalesce(refs, F.array().cast("array<struct<key:string,name:string,url:string>>")), F.array().cast("array<struct<key:string,name:string,url:string>>"), lambda a, r: F.when(F.exists(a, lambda o: o["key"] == r["key"]), a).otherwise(F.concat(a, F.array(r))))
+    out = rows.withColumns({"artists": either("artists", "artist"), "uploaders": either("uploaders", "uploader"), "tags": listed(F.col("tags")), "categories": listed(F.col("categories")), "artist_refs": first})
+    return out.withColumns({
+        "artist": F.get("artists", F.lit(0)), "uploader": F.get("uploaders", F.lit(0)), "description": F.trim(F.coalesce("description", F.lit(""))), "status": F.lit("complete"),
+        "comments_count": F.greatest("comments_count", F.lit(0).cast("long")), "fetched_at": F.coalesce("fetched_at", F.lit(now).cast("long")), "last_attempt_at": F.coalesce("last_attempt_at", F.lit(now).cast("long")),
+        "schema_version": F.coalesce("schema_version", F.lit(1)), "failure_count": F.greatest(F.coalesce("failure_count", F.lit(0)), F.lit(0)), "last_error": F.lit(None).cast(schema.ERROR), "last_attempt_error": F.lit(None).cast(schema.ERROR),
+    })
+
+
+def diagnostics(videos: DataFrame, details: DataFrame, samples: int = 10) -> DataFrame:
+    """section, key, n: counts, histograms of failures and of kinds of URLs, and a few bounded samples of failures."""
+    from ..functions.urls import shape
+
+    current = prune(details, videos)
+    failed = current.where("status <> 'complete'").withColumn("error", F.coalesce("last_error", "last_attempt_error"))
+    part = lambda df, section, key: df.groupBy(key.alias("key")).agg(F.count("*").alias("n")).select(F.lit(section).alias("section"), F.col("key").cast("string").alias("key"), "n")
+    out = part(current, "status", F.col("status")).unionByName(part(failed, "code", F.coalesce("error.code", F.lit("unknown"))))
+    out = out.unionByName(part(failed.where("error.http_status is not null"), "http", F.col("error.http_status"))).unionByName(part(videos, "shape", shape(F.col("url"))))
+    told = F.to_json(F.struct("video_id", F.substring("error.code", 1, 80).alias("code"), F.substring("error.message", 1, 240).alias("message"), F.col("error.http_status").alias("http_status")))
+    return out.unionByName(failed.orderBy("video_id").limit(samples).select(F.lit("sample").alias("section"), told.alias("key"), F.lit(1).cast("long").alias("n")))
