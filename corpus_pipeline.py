@@ -12,7 +12,6 @@ the stages work on the columns of ``documents`` and drop others.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from trivalent.llm import neardup, packing, pii, quality, substring
 from trivalent.llm.queries import tokenizer
@@ -32,8 +31,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that a smaller document has go; documents of which nothing is left go with them."""
-    return substring.without_repeats(docs.select(COLUMNS), length_col="n_chars").where(F.col("text") != F.lit(""))
+    """Passages that a smaller document has go; a document of which nothing is left stays, empty."""
+    return substring.without_repeats(docs.select(COLUMNS), length_col="n_chars")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
