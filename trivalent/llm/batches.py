@@ -17,10 +17,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import SLICE_BYTES, U64, buffers, mix, slices
+from .words import U64, buffers, mix, slices
 
+#: Bytes of text in a batch.
+BATCH_BYTES = 2 << 20
 
-def numbered(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[tuple[int, pa.RecordBatch]]:
+
+def numbered(batches: Iterator[pa.RecordBatch], column: str, most: int = BATCH_BYTES) -> Iterator[tuple[int, pa.RecordBatch]]:
     """Slices with their batch numbers."""
     at = TaskContext.get().partitionId() << 32
     for k, b in enumerate(slices(batches, column, most)):

@@ -176,11 +176,18 @@ def _cross_rows(batches):
         yield from t.filter(pa.array(keep)).to_batches()
 
 
+def _sets(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """shingle_sets of a table, a slice of its texts at a time."""
+    parts = [shingle_sets(b.column("text")) for b in slices(t.to_batches(), "text")]
+    before = np.cumsum([0, *(len(s) for s, _ in parts)])
+    return np.concatenate([s for s, _ in parts]), np.concatenate([[0], *(off[1:] + n for (_, off), n in zip(parts, before, strict=False))])
+
+
 def _settle_rows(batches):
     """Links of each block of sorted rows with texts, checked on full sets; rows that are tied already are passed over."""
     for t in _groups(batches, _BLOCK_KEY):
         ids = t.column("id").to_numpy()
-        sets, off = shingle_sets(t.column("text"))
+        sets, off = _sets(t)
         _, sets = np.unique(sets, return_inverse=True)
         mark, n = np.zeros(int(sets.max(initial=0)) + 1, bool), np.diff(off)
         _, comp = np.unique(t.column("comp").to_numpy(), return_inverse=True)

@@ -34,7 +34,7 @@ END_ID = 1
 #: Pieces whose ranks one task counts, of a length.
 BLOCK = 1 << 13
 #: Words that a Python worker remembers, and bytes of text that are worked on at once.
-REMEMBERED, SLICE = 1 << 21, 8 << 20
+REMEMBERED, SLICE = 1 << 21, 2 << 20
 
 
 class WordIds:
@@ -59,9 +59,8 @@ class WordIds:
         at = len(self.n) + np.arange(len(ids))
         self.ids = np.concatenate([self.ids, np.fromiter((x for y in ids for x in y), np.uint32, int(n.sum()))])
         self.n, self.start = np.concatenate([self.n, n]), np.concatenate([self.start, start])
-        all_keys, all_at = np.concatenate([self.keys, keys]), np.concatenate([self.at, at])
-        order = np.argsort(all_keys, kind="stable")
-        self.keys, self.at = all_keys[order], all_at[order]
+        place = np.searchsorted(self.keys, keys)  # new keys ascend as well
+        self.keys, self.at = np.insert(self.keys, place, keys), np.insert(self.at, place, at)
 
     def encode(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and the texts' offsets in them."""

@@ -15,7 +15,9 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Bytes of text that are worked on at once; a longer text is a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+#: Powers of a base that are kept for the next slice.
+KEPT_POWERS = 4 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -51,7 +53,7 @@ def _pow(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
             p[0] = 1
             both.append(np.multiply.accumulate(p))
         have = (both[0], both[1])
-        if size <= 2 * SLICE_BYTES:
+        if size <= KEPT_POWERS:
             _powers[base] = have
     return have[0][:n], have[1][:n]
 
