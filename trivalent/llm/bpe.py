@@ -15,15 +15,17 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections.abc import Callable
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .batches import parts_for
-from .lexicon import answered, by_partition, record, records, rows_in, rows_out, spell, spread, squeeze
+from .lexicon import WIDE_SCHEMA, by_partition, exchanged, record, records, rows_in, rows_out, spread, squeeze
 from .words import bytes_hash
 
 
@@ -67,8 +69,12 @@ def decode_ids(ids: np.ndarray, path: str) -> bytes:
     return data[ragged(start[ids], n[ids])].tobytes()
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_tokens, ids (little-endian unsigned 32-bit): a row for each row of docs."""
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", then: tuple[Callable[[pa.Table], pa.Table], str] | None = None) -> DataFrame:
+    """id, n_tokens, ids (little-endian unsigned 32-bit): a row for each row of docs.
+
+    ``then`` is a function of a batch of these rows and its schema after the id; it runs in the tasks that put the ids
+    together, so that ids which are only needed there don't leave them.
+    """
     parts = parts_for(docs, text_col)
 
     def cut(b: pa.RecordBatch, batch: int) -> list[tuple]:
@@ -80,18 +86,22 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         words, at = [w.encode() for w in known], np.array(at, np.uint32)
         rank = np.empty(len(words), np.uint32)
         rank[np.argsort(-np.bincount(at, minlength=len(words)), kind="stable")] = np.arange(len(words), dtype=np.uint32)
+        # words go out by partition, in order of their bytes; the batch keeps the ranks in that order
+        groups = [(p, sorted(g.tolist(), key=words.__getitem__)) for p, g in by_partition(bytes_hash(words), parts)] if words else []
+        sent = np.array([i for _, g in groups for i in g], np.int64)
         info = pa.RecordBatch.from_arrays([b.column("id"), pa.array(counts, pa.int64())], ["id", "n"])
-        out = [record(-1, batch, rows_out(info), squeeze(rank[at]), len(words).to_bytes(8, "little"))]
-        for p, g in by_partition(bytes_hash(words), parts) if words else []:
+        out, first = [record(-1, batch, rows_out(info), squeeze(rank[at]), squeeze(rank[sent]))], 0
+        for p, g in groups:
             n = np.array([len(words[i]) for i in g], np.uint32)
-            out.append(record(p, batch, squeeze(np.frombuffer(b"".join(words[i] for i in g), np.uint8)), squeeze(n), squeeze(rank[g])))
+            out.append(record(p, batch, squeeze(np.frombuffer(b"".join(words[i] for i in g), np.uint8)), squeeze(n), first.to_bytes(8, "little")))
+            first += len(g)
         return out
 
-    table = spell(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), cut)
+    table = exchanged(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), cut)
 
     def settle(t: pa.Table) -> pa.Table:
         one, ids_of, out = _encoding(path, pattern).encode_ordinary, {}, []
-        for row in t.to_pylist():
+        for row in t.to_pylist() if t.num_rows and t.column("p")[0].as_py() >= 0 else []:
             data, n = spread(row["a"], np.uint8).tobytes(), spread(row["b"], np.uint32).astype(np.int64)
             ends, found = np.cumsum(n).tolist(), []
             for e, k in zip(ends, n.tolist(), strict=True):
@@ -101,26 +111,38 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                     ids = ids_of[w] = np.array(one(w.decode()), np.uint32).tobytes()
                 found.append(ids)
             size = np.array([len(x) // 4 for x in found], np.uint32)
-            out.append(record(row["p"], row["batch"], squeeze(np.frombuffer(b"".join(found), np.uint32)), squeeze(size), row["c"]))
-        return pa.Table.from_batches([records(out)])
-
-    schema = "p int, batch long, a binary, b binary, c binary"
-    answers = table.where("p >= 0").groupBy("p").applyInArrow(settle, schema)
-
-    def finish(own: tuple, back: list[tuple]) -> pa.Table:
-        info, at, words = rows_in(own[2]), spread(own[3], np.uint32), int.from_bytes(own[4], "little")
-        ids = np.concatenate([np.zeros(0, np.uint32), *(spread(r[2], np.uint32) for r in back)])
-        size, place = (np.concatenate([np.zeros(0, np.uint32), *(spread(r[k], np.uint32) for r in back)]).astype(np.int64) for k in (3, 4))
-        if len(place) != words:
-            raise RuntimeError(f"{len(place)} of {words} words came back")
-        n, start = np.zeros(words, np.int64), np.zeros(words, np.int64)
-        n[place], start[place] = size, np.cumsum(size) - size
+            out.append(record(-1 - row["batch"], row["batch"], squeeze(np.frombuffer(b"".join(found), np.uint32)), squeeze(size), row["c"]))
+        return pa.Table.from_batches([records(out, pa.int64())])
+
+    answers = table.groupBy("p").applyInArrow(settle, WIDE_SCHEMA)
+
+    def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
+        own, back = left.to_pylist(), sorted(right.to_pylist(), key=lambda r: int.from_bytes(r["c"], "little"))
+        if not own or own[0]["p"] >= 0:  # words, which have been answered
+            info, at, sent, back = pa.RecordBatch.from_arrays([pa.array([], id_type), pa.array([], pa.int64())], ["id", "n"]), np.zeros(0, np.uint32), np.zeros(0, np.uint32), []
+        elif len(own) > 1:
+            raise RuntimeError(f"{len(own)} rows of one batch")
+        else:
+            info, at, sent = rows_in(own[0]["a"]), spread(own[0]["b"], np.uint32), spread(own[0]["c"], np.uint32)
+        ids = np.concatenate([np.zeros(0, np.uint32), *(spread(r["a"], np.uint32) for r in back)])
+        size = np.concatenate([np.zeros(0, np.uint32), *(spread(r["b"], np.uint32) for r in back)]).astype(np.int64)
+        if len(size) != len(sent):
+            raise RuntimeError(f"{len(size)} of {len(sent)} words came back")
+        n, start = np.zeros(len(sent), np.int64), np.zeros(len(sent), np.int64)
+        n[sent], start[sent] = size, np.cumsum(size) - size
         flat = ids[ragged(start[at], n[at])]
         off = np.concatenate([[0], np.cumsum(n[at])])[np.concatenate([[0], np.cumsum(info.column("n").to_numpy())])]
-        return pa.table({id_col: info.column("id"), "n_tokens": pa.array(np.diff(off)), "ids": pa.array([flat[a:b].astype("<u4").tobytes() for a, b in zip(off[:-1], off[1:], strict=True)], pa.binary())})
+        out = pa.table({id_col: info.column("id"), "n_tokens": pa.array(np.diff(off), pa.int64()), "ids": pa.array([flat[a:b].astype("<u4").tobytes() for a, b in zip(off[:-1], off[1:], strict=True)], pa.binary())})
+        return then[0](out) if then else out
+
+    kind = docs.schema[id_col].dataType
+    id_type = to_arrow_type(kind)
+    schema = f"`{id_col}` {kind.simpleString()}, {then[1] if then else 'n_tokens long, ids binary'}"
+    return table.groupBy("p").cogroup(answers.groupBy("p")).applyInArrow(assemble, schema)
+
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return answered(table.where("p = -1"), answers, finish, f"`{id_col}` {kind}, n_tokens long, ids binary")
+def decoded(t: pa.Table, path: str) -> list[bytes]:
+    return [decode_ids(np.frombuffer(x or b"", "<u4").astype(np.int64), path) for x in t.column("ids").to_pylist()]
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -128,21 +150,18 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            out = [decode_ids(np.frombuffer(x or b"", "<u4").astype(np.int64), path) for x in b.column("ids").to_pylist()]
-            yield b.append_column("decoded", pa.array(out, pa.binary()))
+            yield b.append_column("decoded", pa.array(decoded(b, path), pa.binary()))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
     return encoded.mapInArrow(run, f"{fields}, decoded binary")
 
 
-def digests(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
-    """id, n_tokens, ids_sha256 and decoded_sha256 of encoded texts."""
+def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_tokens, ids_sha256 and decoded_sha256 (of the bytes that the ids decode to) of every text."""
+    sha = lambda values: pa.array([hashlib.sha256(v).hexdigest() for v in values], pa.string())
 
-    def run(batches):
-        for b in batches:
-            out = [hashlib.sha256(",".join(map(str, np.frombuffer(x, "<u4").tolist())).encode()).hexdigest() for x in b.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(id_col), b.column("n_tokens"), pa.array(out, pa.string()), b.column("decoded")], [id_col, "n_tokens", "ids_sha256", "decoded"])
+    def shape(t: pa.Table) -> pa.Table:
+        decimal = (",".join(map(str, np.frombuffer(x, "<u4").tolist())).encode() for x in t.column("ids").to_pylist())
+        return t.drop_columns(["ids"]).append_column("ids_sha256", sha(decimal)).append_column("decoded_sha256", sha(decoded(t, path)))
 
-    kind = encoded.schema[id_col].dataType.simpleString()
-    rows = decode(encoded, path).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded binary")
-    return rows.select(id_col, "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return encode(docs, path, pattern, id_col, text_col, (shape, "n_tokens long, ids_sha256 string, decoded_sha256 string"))

@@ -20,9 +20,10 @@ from .batches import numbered
 from .scratch import written
 from .words import U64
 
-#: Bytes of text in a batch.
-SLICE = 8 << 20
+#: Bytes of text in a batch: of a written table, and of an exchange of words as text.
+SLICE, EXCHANGED = 8 << 20, 4 << 20
 SCHEMA = "p int, batch long, a binary, b binary, c binary"
+WIDE_SCHEMA = SCHEMA.replace("p int", "p long")
 
 
 def squeeze(values: np.ndarray) -> bytes:
@@ -54,9 +55,9 @@ def record(p: int, batch: int, a: bytes, b: bytes, c: bytes) -> tuple:
     return p, batch, a, b, c
 
 
-def records(rows: list[tuple]) -> pa.RecordBatch:
+def records(rows: list[tuple], key: pa.DataType = pa.int32()) -> pa.RecordBatch:
     cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-    kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    kinds = (key, pa.int64(), pa.binary(), pa.binary(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["p", "batch", "a", "b", "c"])
 
 
@@ -78,6 +79,19 @@ def spell(docs: DataFrame, cut: Callable[[pa.RecordBatch, int], list[tuple]], co
     return written(docs.mapInArrow(run, SCHEMA), "lexicon")
 
 
+def exchanged(docs: DataFrame, cut: Callable[[pa.RecordBatch, int], list[tuple]], column: str = "text") -> DataFrame:
+    """The same rows in one exchange by ``p`` instead of a table; for a batch row, p is -1 less its number.
+
+    Both who asks for the words and who waits for the answers group by ``p`` without a filter, so Spark reuses the exchange.
+    """
+
+    def run(batches):
+        for k, b in numbered(batches, column, EXCHANGED):
+            yield records([(-1 - k if p < 0 else p, *rest) for p, *rest in cut(b, k)], pa.int64())
+
+    return docs.mapInArrow(run, WIDE_SCHEMA).repartition("p")
+
+
 def answered(batch_rows: DataFrame, answers: DataFrame, finish: Callable[[tuple, list[tuple]], pa.Table], schema: str) -> DataFrame:
     """``finish`` of every batch row and the answers to its words; both sides have SCHEMA."""
 
