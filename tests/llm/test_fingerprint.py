@@ -40,5 +40,15 @@ def test_likeness_follows_common_paragraphs(spark):
     assert near > 0.5 > far
 
 
+def test_likeness_of_long_texts(spark):
+    text = lambda a, n: "\n".join(f"sentence {i} of a long text" for i in range(a, a + n))
+    for n in (1_000, 5_000, 20_000):
+        # a third replaced: half of all sentences of the two texts are in both
+        pairs = [(text(k * 10**6, n), text(k * 10**6 + n // 3, n)) for k in range(12)]
+        rows = spark.createDataFrame(pairs, "a string, b string").select(fp.likeness(fp.vector(F.col("a")), fp.vector(F.col("b"))).alias("half"), fp.likeness(fp.vector(F.col("a")), fp.vector(F.reverse("b"))).alias("none")).collect()
+        assert abs(sum(r["half"] for r in rows) / len(rows) - 0.5) < 0.2, n
+        assert sum(r["none"] for r in rows) / len(rows) < 0.2, n
+
+
 def test_empty_table(spark):
     assert fp.judge(spark.createDataFrame([], SCHEMA)).count() == 0

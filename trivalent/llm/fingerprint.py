@@ -8,8 +8,9 @@ added or taken away by adding or subtracting its vector (``plus``, ``minus``).
 * 4 dense lanes modulo 2**32, for equality;
 * LEVELS x LANES sparse lanes modulo 2**16: level k holds the paragraphs whose hash ends in k zero
   bits, each in one lane.  From the lanes in use and the lanes that differ, in the first level that
-  is not crowded, follow the numbers of paragraphs in either text and in only one of them, as in linear
-  counting; the likeness of two fingerprints is one less their ratio.
+  is not crowded (the last in use, if all are; LEVELS are enough for 10**8 paragraphs), follow the
+  numbers of paragraphs in either text and in only one of them, as in linear counting; the likeness
+  of two fingerprints is one less their ratio.
 
 Everything is DataFrame expressions.  The next document in order of ids is found with one exchange of
 the texts: ids are cut into buckets by bounded quantiles, each bucket gets a copy of the document that
@@ -24,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LEVELS, LANES = 6, 16
+LEVELS, LANES = 24, 16
 CROWDED = 12
 DENSE = 4
 #: Quantiles of the ids, and bytes of text in a bucket.
@@ -87,14 +88,14 @@ def likeness(a: Column, b: Column) -> Column:
     def best(shares: Column) -> Column:
         calm = F.get(F.filter(shares, lambda s: s["used"] <= CROWDED), F.lit(0))
         full = lambda lanes: F.log(1 - F.least(lanes, F.lit(LANES - 0.5)) / LANES)  # noqa: E731  expected paragraphs in so many lanes, but for a factor
-        return let(F.coalesce(calm, F.get(shares, F.lit(0))), lambda s: F.greatest(F.lit(0.0), 1 - full(s["used"] - s["same"]) / full(s["used"])))
+        return let(F.coalesce(calm, F.get(shares, F.size(shares) - 1)), lambda s: F.greatest(F.lit(0.0), 1 - full(s["used"] - s["same"]) / full(s["used"])))
 
     return F.when(a == b, F.lit(1.0)).otherwise(F.coalesce(let(zipped, of), F.lit(0.0)))
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, text and next_text (of the next smaller id; after the smallest, of the largest), id's bucket and order kept in
-    ``bucket``, ``wraps`` for a further window; rows that are only copies have ``copy`` set."""
+    """id, text and next_text (of the next smaller id; after the smallest, of the largest), ``bucket`` and
+    ``wraps`` as the window has them; rows that are only copies have ``copy`` set."""
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     stats = docs.agg(F.sum(F.octet_length(text_col)).alias("bytes"), F.min(F.col(id_col).cast("long")).alias("lo"), F.max(F.col(id_col).cast("long")).alias("hi"), F.percentile_approx(F.col(id_col).cast("long"), [(i + 1) / QUANTILES for i in range(QUANTILES - 1)], 10_000).alias("q")).first()
@@ -128,9 +129,8 @@ def order() -> Window:
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    rows = with_next(docs, id_col, text_col)
+    rows = with_next(docs, id_col, text_col).where("not copy")
     cut = F.floor(F.length("text") / 3).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substr("text", F.lit(1), F.length("text") - cut), F.substr(F.coalesce("next_text", F.lit("")), F.lit(1), cut)))
-    rows = rows.select("id", "bucket", "wraps", "copy", "text", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), vector(F.col("text")).alias("v"), vector(F.col("edited")).alias("e"))
-    rows = rows.withColumn("next_v", F.lead("v").over(order())).where("not copy")
-    return rows.select(F.col("id").alias(id_col), "n_chars", "edited_sha256", as_hex(F.col("v")).alias("fingerprint"), as_hex(F.col("e")).alias("edited_fingerprint"), likeness(F.col("v"), F.col("e")).alias("near_edited"), likeness(F.col("v"), F.coalesce("next_v", "v")).alias("near_next"))
+    rows = rows.select("id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), vector(F.col("text")).alias("v"), vector(F.col("edited")).alias("e"), vector(F.coalesce("next_text", "text")).alias("next_v"))
+    return rows.select(F.col("id").alias(id_col), "n_chars", "edited_sha256", as_hex(F.col("v")).alias("fingerprint"), as_hex(F.col("e")).alias("edited_fingerprint"), likeness(F.col("v"), F.col("e")).alias("near_edited"), likeness(F.col("v"), F.col("next_v")).alias("near_next"))
