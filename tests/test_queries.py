@@ -23,3 +23,8 @@ def test_entry(spark):
 
     assert e.entry(spark).columns == ["video_id", "title", "views"]
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.mark.parametrize("name", ("whole_smart_order", "whole_anchor_order", "whole_recent_order"))
+def test_sequences_have_every_row(spark, name):
+    assert QUERIES[name](spark, SF).count() == spark.read.parquet(f"{SF}/part.parquet").count()

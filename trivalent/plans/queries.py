@@ -338,6 +338,54 @@ def recent_order(spark, sf_dir):
     return order
 
 
+# the same over the whole table: the old sequence is all rows, rotated by a third of their number
+
+_ROTATED = "n AS (SELECT count(*) AS n FROM part), s AS (SELECT p_partkey AS k, p_partkey AS pos FROM part), o AS (SELECT p_partkey AS k, (p_partkey - n // 3 + n) % n AS pos FROM part, n)"
+
+
+def _merged_sql(scanned: str, old: str) -> str:
+    return f"WITH {_ROTATED}, b AS (SELECT k, min((src, pos)) AS first_at FROM (SELECT 0 AS src, s.* FROM s, n WHERE {scanned} UNION ALL SELECT 1, o.* FROM o WHERE {old}) GROUP BY k) SELECT CAST(k AS VARCHAR) AS id, row_number() OVER (ORDER BY first_at) - 1 AS pos FROM b"
+
+
+def _rotated(spark, sf_dir) -> tuple[DataFrame, DataFrame, int]:
+    """All rows in order, all rows rotated, and their number."""
+    n = table(spark, sf_dir, "part").count()
+    rows = _sequence(spark, sf_dir, "true")
+    return rows, rows.select(F.pmod(F.col("pos") - n // 3, F.lit(max(n, 1))).alias("pos"), "id"), n
+
+
+@query(f"""WITH {_ROTATED}, m AS (SELECT s.pos AS i, o.pos AS j, s.pos - row_number() OVER (PARTITION BY s.pos - o.pos ORDER BY s.pos) AS island FROM s JOIN o USING (k))
+SELECT min(i)::INTEGER AS scan_index, min(j)::INTEGER AS old_index, count(*)::INTEGER AS run FROM m GROUP BY i - j, island ORDER BY run DESC, scan_index, old_index LIMIT 1""")
+def whole_overlap(spark, sf_dir):
+    scanned, old, _ = _rotated(spark, sf_dir)
+    return ordering.ordered_overlap(scanned, old, 6).select(*(F.col(c).cast("int").alias(c) for c in ("scan_index", "old_index", "run")))
+
+
+@query(_merged_sql("k % 3 = 0", "k % 2 = 0"))
+def whole_prefix_merge(spark, sf_dir):
+    scanned, old, _ = _rotated(spark, sf_dir)
+    return ordering.merge_prefix(scanned.where("cast(id as long) % 3 = 0"), old.where("cast(id as long) % 2 = 0"))
+
+
+@query(_merged_sql("k < n // 3", "true"))
+def whole_smart_order(spark, sf_dir):
+    order, _ = ordering.smart_order(*(r := _rotated(spark, sf_dir))[:2], 6, r[2], False)
+    return order
+
+
+@query(_merged_sql("k < n // 3", "true"))
+def whole_anchor_order(spark, sf_dir):
+    order, _ = ordering.anchor_order(*_rotated(spark, sf_dir))
+    return order
+
+
+@query(_merged_sql("true", "false"))
+def whole_recent_order(spark, sf_dir):
+    scanned, old, n = _rotated(spark, sf_dir)
+    order, _ = ordering.recent_order(scanned, old, -(-n // 24), -(-n // 24), n)
+    return order
+
+
 @query(f"{ORACLE} SELECT video_id, title FROM c JOIN (SELECT DISTINCT CAST(user_id AS VARCHAR) AS video_id FROM events WHERE event_type = 'purchase') USING (video_id)")
 def lookup_many(spark, sf_dir):
     return merging.prune(catalogue(spark, sf_dir), event_ids(spark, sf_dir, "purchase")).select("video_id", "title")
