@@ -28,3 +28,11 @@ def test_entry(spark):
 @pytest.mark.parametrize("name", ("whole_smart_order", "whole_anchor_order", "whole_recent_order"))
 def test_sequences_have_every_row(spark, name):
     assert QUERIES[name](spark, SF).count() == spark.read.parquet(f"{SF}/part.parquet").count()
+
+
+def test_manifests_have_every_row(spark):
+    from pyspark.sql import functions as F
+
+    from trivalent.plans.queries import _all_pages
+
+    assert _all_pages(spark, SF).agg(F.sum(F.size("video_ids"))).first()[0] == spark.read.parquet(f"{SF}/part.parquet").count() + 1

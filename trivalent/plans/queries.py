@@ -676,3 +676,60 @@ def reconcile_pages(spark, sf_dir):
     v = v.withColumn("native_page", F.lit(None).cast("int")).withColumn("native_order", F.lit(None).cast("int"))
     ids = ordering.numbered(v.where("ord < 120 and ord % 5 <> 0").select(F.col("ord").alias("key"), F.col("video_id").alias("id")), "key").select(F.col("ord").alias("pos"), "id")
     return merging.reconcile(ids, v, v.where("ord % 2 = 0"), 24, NOW)["pages"].select("page_number", "video_ids")
+
+
+# manifests of all rows, all events and all failures ---------------------------------------------------------------
+
+_ALL_PAGES = "p AS (SELECT count(*) AS n, (count(*) + 23) // 24 AS pages, (count(*) + 23) // 24 // 2 + 1 AS bad FROM part)"
+
+
+def _all_pages(spark, sf_dir) -> DataFrame:
+    """Manifests of 24 ids of all rows; the page in the middle failed, the second after it has the first id of the page before it as well."""
+    bad = -(-table(spark, sf_dir, "part").count() // 24) // 2 + 1
+    at = flat(spark, sf_dir).select("video_id", "ord", (F.floor(F.col("ord") / 24) + 1).cast("int").alias("page_number"))
+    ids = at.groupBy("page_number").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "video_id"))), lambda x: x["video_id"]).alias("video_ids"))
+    ids = ids.withColumn("video_ids", F.when(F.col("page_number") == bad + 2, F.array_append("video_ids", F.lit(str(bad * 24)))).otherwise(F.col("video_ids")))
+    return ids.withColumn("status", F.when(F.col("page_number") == bad, "failed").otherwise("complete")).withColumn("session_id", F.lit("s"))
+
+
+@query(f"""WITH {_ALL_PAGES}, l AS (SELECT p_partkey AS k, CAST(p_partkey AS VARCHAR) AS video_id, p_partkey // 24 + 1 <> bad AS listed FROM part, p)
+SELECT video_id, row_number() OVER (ORDER BY NOT listed, CASE WHEN listed THEN k END, CASE WHEN k % 3 = 0 THEN NULL ELSE k % 10 END NULLS LAST, video_id) - 1 AS ord FROM l""")
+def whole_native_order(spark, sf_dir):
+    videos = flat(spark, sf_dir).select("video_id", F.when(F.col("ord") % 3 == 0, None).otherwise(F.col("ord") % 10).cast("int").alias("native_page"), F.lit(1).alias("native_order"))
+    return ordering.native_order(_all_pages(spark, sf_dir), videos)
+
+
+@query(f"WITH {_ALL_PAGES} SELECT (bad - 1)::INTEGER AS n FROM p")
+def whole_contiguous_pages(spark, sf_dir):
+    return ordering.contiguous_prefix(_all_pages(spark, sf_dir)).select(F.col("n").cast("int").alias("n"))
+
+
+@query(f"WITH {_ALL_PAGES} SELECT (pages - 1)::BIGINT AS done, bad::BIGINT AS next_page FROM p")
+def whole_resume_plan(spark, sf_dir):
+    return ordering.resume_plan(_all_pages(spark, sf_dir), "s")
+
+
+@query(f"WITH {_ALL_PAGES} SELECT n AS videos, pages::BIGINT AS pages, (pages - 1)::BIGINT AS complete_pages, 0::BIGINT AS lost, 'partial' AS state FROM p")
+def whole_catalogue_state(spark, sf_dir):
+    return worksets.catalogue_state(flat(spark, sf_dir), _all_pages(spark, sf_dir))
+
+
+@query("SELECT (n - 1) // 24 + 1 AS page_number, list(id ORDER BY n) AS video_ids FROM (SELECT CAST(p_partkey AS VARCHAR) AS id, row_number() OVER (ORDER BY p_partkey) AS n FROM part WHERE p_partkey % 5 <> 0) GROUP BY 1")
+def whole_reconcile_pages(spark, sf_dir):
+    v, _ = _videos_details(spark, sf_dir)
+    v = v.withColumn("native_page", F.lit(None).cast("int")).withColumn("native_order", F.lit(None).cast("int"))
+    ids = ordering.numbered(v.where("ord % 5 <> 0").select(F.col("ord").alias("key"), F.col("video_id").alias("id")), "key").select(F.col("ord").alias("pos"), "id")
+    return merging.reconcile(ids, v, v.where("ord % 2 = 0"), 24, NOW)["pages"].select("page_number", "video_ids")
+
+
+@query("WITH ids AS (SELECT row_number() OVER (ORDER BY event_id) AS pos, CAST(user_id AS VARCHAR) AS video_id FROM events) SELECT pos, video_id, p_name AS name FROM ids JOIN part ON CAST(p_partkey AS VARCHAR) = video_id")
+def whole_lookup_ordered(spark, sf_dir):
+    ids = table(spark, sf_dir, "events").select(F.col("event_id").alias("at"), F.col("user_id").cast("string").alias("video_id"))
+    placed = ordering.numbered(ids, "at").select((F.col("ord") + 1).alias("pos"), "video_id")
+    return placed.join(table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("video_id"), F.col("p_name").alias("name")), "video_id").select("pos", "video_id", "name")
+
+
+@query("SELECT count(*)::INTEGER AS n, count(*) BETWEEN 1 AND 2 AND bool_and(p_partkey % 2 = 0) AS isolated FROM part WHERE p_partkey % 19 = 0")
+def whole_gone_only(spark, sf_dir):
+    d = _videos_details(spark, sf_dir)[1].where("last_attempt_error is not null").select("last_attempt_error.http_status")
+    return worksets.gone_only(d, d.count()).select(F.col("n").cast("int").alias("n"), "isolated")
