@@ -8,14 +8,12 @@ from trivalent.plans.queries import QUERIES, SQL
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_same_rows_as_sql(spark, name):
-    if name in ("catalogue_state", "resume_plan"):  # these need the 480 rows of the larger table
-        pytest.skip("needs more rows than the smallest tables have")
     agree(QUERIES[name](spark, SF), SQL[name])
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_gives_rows(spark, name):
-    assert QUERIES[name](spark, SF).count() >= 0
+    assert QUERIES[name](spark, SF).count() > 0
 
 
 def test_entry(spark):

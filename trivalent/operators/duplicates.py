@@ -1,14 +1,16 @@
 """Duplicates: which rows are redundant beside a better row of the same artist.
 
-Candidates share an artist token and, if durations must match, lie within the allowed difference or have no
-duration.  A candidate passes the enabled criteria in a fixed order, and the first that is not known or not met
-decides, so it is one CASE chain and no AND.  A row is TRUE if a candidate of better rank passes, else null if
-some candidate could not be judged, else FALSE.
-
-The self join is an equi-join on (token, duration band), with neighbouring bands on one side, so a prolific
-artist is spread over its bands; rank is compared inside the pair, without a global window.  Rows without a
-duration are candidates of all rows of their artist, but only whether there are any is needed of them: that
-comes from a count by token.
+Candidates share an artist token and pass the enabled criteria in a fixed order, and the first that is not known or not
+met decides.  A row is TRUE if a candidate of better rank passes, else null if some candidate could not be judged, else
+FALSE.
+
+Rows are not paired.  A candidate passes if it agrees in a *key*: the artist, and of each criterion that is on the
+quality, a category, a set of as many tags and a set of as many title words as must be shared.  So whether a better one
+passes follows from the least ranks of each key, which are an aggregate with partial sums before the shuffle; with
+durations, these are taken by second first, and seconds are joined with those in reach.  Whether one could not be judged
+follows from counts by the keys of the criteria before the one that is not known.  An artist of a third of all rows costs
+rows, not pairs.  A row has a key for each set of its words, so counts over two are checked on candidates that share two
+of the rarer words instead.
 """
 
 from __future__ import annotations
@@ -64,33 +66,133 @@ def compare(x, y, options: dict) -> Column:
     return out
 
 
+def _sets(c: str, n: int) -> Column:
+    """The keys of a list: its values, or its pairs of values if two or more must be shared."""
+    own = F.sort_array(F.array_distinct(c))
+    return own if n < 2 else F.flatten(F.transform(own, lambda x, i: F.transform(F.slice(own, i + 2, F.greatest(F.size(own), F.lit(1))), lambda y: F.concat(x, F.lit("\n"), y))))
+
+
+def _criteria(options: dict) -> list[tuple[str, Column | None, Column]]:
+    """(name, whether it is not known, its keys) of the criteria that are on and compare keys, in order."""
+    out = []
+    if options["matchingQuality"]:
+        out.append(("quality", F.col("quality").isNull(), F.array("quality")))
+    if options["matchingCategory"]:
+        out.append(("category", F.col("categories").isNull(), F.array_distinct("categories")))
+    if options["matchingTag"]:
+        out.append(("tag", F.col("tags").isNull(), _sets("tags", options["matchingTagCount"])))
+    if options["matchingTitleWords"]:
+        out.append(("words", None, _sets("words", options["matchingTitleWordCount"])))
+    return out
+
+
+def _keyed(rows: DataFrame, criteria: list, *more: str) -> DataFrame:
+    """A row for each artist and key of the criteria."""
+    out = rows.select("*", F.explode("artists").alias("token"))
+    for name, _, keys in criteria:
+        out = out.withColumn(f"k_{name}", F.explode(keys))
+    return out.select("token", *(f"k_{name}" for name, _, _ in criteria), *more)
+
+
+def _near(at_seconds: DataFrame, keys: list[str], by: int, aggregates: list[Column]) -> DataFrame:
+    """The aggregates of all seconds within reach of each second that a key has; at_seconds has a row for each."""
+    band = by + 1
+    own = at_seconds.select(*keys, "duration", F.explode(F.array(*(F.floor(F.col("duration") / band) + k for k in (-1, 0, 1)))).alias("band"))
+    other = at_seconds.withColumn("band", F.floor(F.col("duration") / band)).withColumnRenamed("duration", "theirs")
+    return own.join(other, [*keys, "band"]).where(F.abs(F.col("duration") - F.col("theirs")) <= by).groupBy(*keys, "duration").agg(*aggregates)
+
+
+def _first(rank: Column, numbered: bool | None) -> Column:
+    """The least rank as a struct, of ids that are numbers, that are none, or of all in order of their ids."""
+    triple = F.struct(rank["undated"].alias("undated"), rank["at"].alias("at"), rank["length"].alias("length"))
+    tail = F.struct(rank["number"].alias("number"), rank["id"].alias("id")) if numbered else F.struct(rank["id"].alias("id"))
+    return F.min(F.struct(triple.alias("triple"), tail.alias("tail")) if numbered is None else F.when(rank["number"].isNotNull() if numbered else rank["number"].isNull(), F.struct(triple.alias("triple"), tail.alias("tail"))))
+
+
+_KINDS = (("by_number", True), ("by_text", False), ("by_id", None))
+
+
+def _beaten(rank: Column) -> Column:
+    """Whether the best ranks of a key hold one that comes before a rank: ``_before`` for the whole key."""
+    triple = F.struct(rank["undated"].alias("undated"), rank["at"].alias("at"), rank["length"].alias("length"))
+    tied = lambda c: F.coalesce(F.col(c)["triple"] == triple, F.lit(False))
+    n, t, i = (F.col(c)["tail"] for c, _ in _KINDS)
+    number = rank["number"]
+    of_number = (tied("by_number") & ((n["number"] < number) | ((n["number"] == number) & (n["id"] < rank["id"])))) | (tied("by_text") & (t["id"] < rank["id"]))
+    of_text = tied("by_id") & (i["id"] < rank["id"])
+    return (F.col("by_id")["triple"] < triple) | F.when(number.isNotNull(), of_number).otherwise(of_text)
+
+
+def _hits(d: DataFrame, options: dict) -> DataFrame:
+    """video_id of rows that a better one passes."""
+    criteria = _criteria(options)
+    keys = ["token", *(f"k_{name}" for name, _, _ in criteria)]
+    if options["matchingDuration"]:
+        d = d.where("duration is not null")
+    rows = _keyed(d, criteria, "video_id", "rank", "duration")
+    best = [_first(F.col("rank"), kind).alias(c) for c, kind in _KINDS]
+    if options["matchingDuration"]:
+        of_key = _near(rows.groupBy(*keys, "duration").agg(*best), keys, options["matchingDurationSecDifference"], [F.min(c).alias(c) for c, _ in _KINDS])
+        return rows.join(of_key, [*keys, "duration"]).where(_beaten(F.col("rank"))).select("video_id").distinct()
+    return rows.join(rows.groupBy(*keys).agg(*best), keys).where(_beaten(F.col("rank"))).select("video_id").distinct()
+
+
+def _hits_of_pairs(d: DataFrame, options: dict) -> DataFrame:
+    """The same where more than two values must be shared: candidates share a key of pairs, and are compared."""
+    criteria = _criteria(options)
+    keys = ["token", *(f"k_{name}" for name, _, _ in criteria)]
+    if options["matchingDuration"]:
+        d = d.where("duration is not null")
+        by = options["matchingDurationSecDifference"]
+        band = F.floor(F.col("duration") / (by + 1))
+        a, b = _keyed(d.withColumn("band", F.explode(F.array(band - 1, band, band + 1))), criteria, "band", "video_id", "duration"), _keyed(d.withColumn("band", band), criteria, "band", "video_id", "duration")
+        keys = [*keys, "band"]
+    else:
+        a, b = _keyed(d, criteria, "video_id", "duration"), _keyed(d, criteria, "video_id", "duration")
+    pairs = a.select(*keys, F.col("video_id").alias("x")).join(b.select(*keys, F.col("video_id").alias("y")), keys).where("x <> y").select("x", "y").distinct()
+    x, y = d.select(F.col("video_id").alias("x"), F.struct(*d.columns).alias("a")), d.select(F.col("video_id").alias("y"), F.struct(*d.columns).alias("b"))
+    both = pairs.join(x, "x").join(y, "y")
+    passed = compare(lambda c: F.col(f"a.{c}"), lambda c: F.col(f"b.{c}"), options)
+    return both.where(passed & _before(F.col("b.rank"), F.col("a.rank"))).select(F.col("x").alias("video_id")).distinct()
+
+
+def _unknown(d: DataFrame, options: dict) -> DataFrame:
+    """video_id of rows with a candidate that could not be judged."""
+    out = d.sparkSession.createDataFrame([], "video_id string")
+    timed, by = options["matchingDuration"], options["matchingDurationSecDifference"]
+    if timed:
+        blank = _keyed(d.where("duration is null"), [], "video_id").select("token").distinct()
+        out = out.unionByName(_keyed(d, [], "video_id").join(blank, "token", "left_semi").select("video_id"))
+        d = d.where("duration is not null")
+    criteria = _criteria(options)
+    for k, (_, missing, _) in enumerate(criteria):
+        if missing is None:
+            continue
+        before = criteria[:k]
+        keys = ["token", *(f"k_{name}" for name, _, _ in before)]
+        rows = _keyed(d.withColumn("missing", missing), before, "video_id", "duration", "missing")
+        # a row that is not known itself needs another candidate; ids that a key has twice are one
+        counts = [F.count("*").alias("n"), F.count_if("missing").alias("m")]
+        if timed:
+            keys_at = [*keys, "duration"]
+            n = _near(rows.distinct().groupBy(*keys_at).agg(*counts), keys, by, [F.sum("n").alias("n"), F.sum("m").alias("m")])
+        else:
+            keys_at = keys
+            n = rows.distinct().groupBy(*keys).agg(*counts)
+        out = out.unionByName(rows.join(n, keys_at).where(F.when(F.col("missing"), F.col("n") > 1).otherwise(F.col("m") > 0)).select("video_id"))
+    return out.distinct()
+
+
 def verdicts(catalogue: DataFrame, options: dict) -> DataFrame:
     """video_id and verdict, a row for each row of the catalogue."""
     d = descriptors(catalogue)
-    band = options["matchingDurationSecDifference"] + 1
+    wide = max(options["matchingTagCount"] * options["matchingTag"], options["matchingTitleWordCount"] * options["matchingTitleWords"]) > 2
     known = (F.size("artists") > 0) & (F.col("duration").isNotNull() if options["matchingDuration"] else F.lit(True))
-    own = d.where(known).withColumn("token", F.explode("artists"))
-    other = d.where(F.size("artists") > 0).withColumn("token", F.explode("artists"))
-    if options["matchingDuration"]:
-        at = F.floor(F.col("duration") / band)
-        own = own.withColumn("band", F.explode(F.array(at - 1, at, at + 1)))
-        undated = other.where("duration is null").groupBy("token").agg(F.lit(True).alias("has_unknown"))
-        other = other.where("duration is not null").withColumn("band", at)
-        keys = ["token", "band"]
-    else:
-        keys, undated = ["token"], None
-    a, b = own.alias("a"), other.alias("b")
-    pairs = a.join(b, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]).where("a.video_id <> b.video_id")
-    if options["matchingDuration"]:
-        pairs = pairs.where(F.abs(F.col("a.duration") - F.col("b.duration")) <= options["matchingDurationSecDifference"])
-    passed = compare(lambda c: F.col(f"a.{c}"), lambda c: F.col(f"b.{c}"), options)
-    found = pairs.select(F.col("a.video_id").alias("video_id"), passed.alias("passed"), (_before(F.col("b.rank"), F.col("a.rank"))).alias("better"))
-    found = found.groupBy("video_id").agg(F.coalesce(F.bool_or(F.col("passed") & F.col("better")), F.lit(False)).alias("hit"), F.bool_or(F.col("passed").isNull()).alias("unknown"))
-    if undated is not None:
-        more = own.select("video_id", "token").distinct().join(undated, "token").select("video_id", F.lit(False).alias("hit"), F.lit(True).alias("unknown"))
-        found = found.unionByName(more).groupBy("video_id").agg(F.bool_or("hit").alias("hit"), F.bool_or("unknown").alias("unknown"))
-    verdict = F.when(~F.coalesce(known, F.lit(False)), None).when(F.coalesce("hit", F.lit(False)), True).when(F.coalesce("unknown", F.lit(False)), None).otherwise(False)
-    return d.select("video_id", "artists", "duration").join(found, "video_id", "left").select("video_id", verdict.cast("boolean").alias("verdict"))
+    with_artist = d.where(F.size("artists") > 0)
+    hits = (_hits_of_pairs if wide else _hits)(with_artist, options).select("video_id", F.lit(True).alias("hit"))
+    unknown = _unknown(with_artist, options).select("video_id", F.lit(True).alias("unknown"))
+    verdict = F.when(~F.coalesce(known, F.lit(False)), None).when(F.col("hit"), True).when(F.col("unknown"), None).otherwise(False)
+    return d.select("video_id", "artists", "duration").join(hits, "video_id", "left").join(unknown, "video_id", "left").select("video_id", verdict.cast("boolean").alias("verdict"))
 
 
 def _before(x: Column, y: Column) -> Column:

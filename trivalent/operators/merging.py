@@ -120,6 +120,11 @@ def record_failure(details: DataFrame, failures: DataFrame, now: int) -> DataFra
     return both.select(*cols)
 
 
+def lookup(rows: DataFrame, value: str, key: str = "video_id") -> DataFrame:
+    """The row of one key: a filter that reaches the scan."""
+    return rows.where(F.col(key) == value)
+
+
 def prune(rows: DataFrame, keep: DataFrame, key: str = "video_id") -> DataFrame:
     return rows.join(keep.select(key).distinct(), key, "left_semi")
 
@@ -138,12 +143,18 @@ def union_ids(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def change_ids(ids: DataFrame, changes: DataFrame) -> DataFrame:
-    """changes: video_id, action ("add", "remove" or "toggle"), seq; the last change of an id that adds or removes starts from there."""
-    have = normalize_ids(ids).withColumn("have", F.lit(True))
-    steps = changes.groupBy("video_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "action"))), lambda x: x["action"]).alias("steps"))
-    both = have.join(steps, "video_id", "full_outer")
-    end = F.aggregate(F.coalesce("steps", F.array().cast("array<string>")), F.coalesce("have", F.lit(False)), lambda h, a: F.when(a == "add", True).when(a == "remove", False).otherwise(~h))
-    return both.where(end).select("video_id")
+    """changes: video_id, action ("add", "remove" or "toggle"), seq; the last change of an id that adds or removes starts from there.
+
+    Aggregates only: the last add or remove of an id, and the parity of the toggles that come after it.
+    """
+    have = normalize_ids(ids).select("video_id", F.lit(True).alias("have"))
+    at = F.struct("seq", "action")
+    last = changes.where("action <> 'toggle'").groupBy("video_id").agg(F.max(at).alias("last"))
+    toggles = changes.where("action = 'toggle'").join(last, "video_id", "left").where("last is null or seq >= last.seq")
+    odd = toggles.groupBy("video_id").agg((F.count("*") % 2 == 1).alias("odd"))
+    both = have.join(last, "video_id", "full_outer").join(odd, "video_id", "full_outer")
+    start = F.when(F.col("last").isNotNull(), F.col("last.action") == "add").otherwise(F.coalesce("have", F.lit(False)))
+    return both.where(start != F.coalesce("odd", F.lit(False))).select("video_id")
 
 
 def next_stamp(now: int, *stamps: int | None) -> int:

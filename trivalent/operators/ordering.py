@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates
+from ..sources.scratch import written
 
 FIELDS = ("uploadDate", "views", "rating", "ratingVotes", "duration", "title")
 PAGE_SIZES = (24, 48, 72)
@@ -85,7 +86,7 @@ def parse_jump(text: str, pages: int) -> int | None:
 def native_order(pages: DataFrame, videos: DataFrame) -> DataFrame:
     """video_id, ord from 0: ids of complete pages where they come first, then the other rows of videos.
 
-    Numbers are given in two steps, rows counted in ranges of positions and the counts summed, so no task sorts it all.
+    No task sorts it all: see ``numbered``.
     """
     listed = pages.where("status = 'complete'").select("page_number", F.posexplode("video_ids").alias("pos", "video_id")).groupBy("video_id").agg(F.min(F.struct("page_number", "pos")).alias("at"))
     big = F.lit(2**31 - 1)
@@ -94,12 +95,25 @@ def native_order(pages: DataFrame, videos: DataFrame) -> DataFrame:
     return numbered(rows, "key").select("video_id", "ord")
 
 
-def numbered(rows: DataFrame, key: str, chunks: int = 64) -> DataFrame:
-    """rows with ``ord``, their place from 0 in order of a key, which must be unique: a range exchange, a window in each range, and the sums of the ranges' sizes (as many rows as ranges)."""
-    ranged = rows.repartitionByRange(chunks, F.col(key)).withColumn("_chunk", F.spark_partition_id()).withColumn("_own", F.row_number().over(Window.partitionBy("_chunk").orderBy(key)) - 1)
-    sizes = ranged.groupBy("_chunk").agg(F.count("*").alias("_n"), F.min(key).alias("_least"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_least").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_chunk", "_before")
-    return ranged.join(F.broadcast(before), "_chunk").withColumn("ord", F.col("_own") + F.col("_before")).drop("_chunk", "_own", "_before")
+def numbered(rows: DataFrame, key: str) -> DataFrame:
+    """rows with ``ord``, their place from 0 in order of a key, which must be unique.
+
+    One range exchange, written once: the ranges' sizes and the rows are read from the same files, so both see the same
+    ranges.  A row's number is its place in its range and the sizes of the ranges before (as many as shuffle partitions).
+    """
+    ranged = rows.repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumn("_at", F.monotonically_increasing_id())
+    table = written(ranged, "ranges").withColumn("_range", F.shiftright("_at", 33))
+    sizes = table.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = sizes.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    place = F.col("_at").bitwiseAND(F.lit(2**33 - 1)) + F.col("_before")
+    return table.join(F.broadcast(before), "_range").withColumn("ord", place).drop("_at", "_range", "_before")
+
+
+def native_page(rows: DataFrame, number: int, size: int) -> DataFrame:
+    """One page of rows in native order: a filter on ``ord``, no sort of the table."""
+    size = page_size(size)
+    first = (max(1, number) - 1) * size
+    return rows.where((F.col("ord") >= first) & (F.col("ord") < first + size))
 
 
 def positions(ids: DataFrame) -> DataFrame:
@@ -110,11 +124,12 @@ def positions(ids: DataFrame) -> DataFrame:
 def ordered_overlap(scanned: DataFrame, old: DataFrame, minimum: int) -> DataFrame:
     """scan_index, old_index, run: the longest run of ids that both have in the same order without a gap; the earliest of equal ones.
 
-    Both: pos, id.  Matching positions on one diagonal that follow each other are one island.
+    Both: pos, id.  Matches are numbered by diagonal and place; a run's matches have the same distance from their numbers,
+    so it is a group of an aggregate, and an unchanged tail, which is one diagonal, is no single task's work.
     """
-    m = scanned.select(F.col("pos").alias("i"), "id").join(old.select(F.col("pos").alias("j"), "id"), "id").withColumn("diagonal", F.col("i") - F.col("j"))
-    islands = m.withColumn("island", F.col("i") - F.row_number().over(Window.partitionBy("diagonal").orderBy("i")))
-    runs = islands.groupBy("diagonal", "island").agg(F.min("i").alias("scan_index"), F.min("j").alias("old_index"), F.count("*").alias("run"))
+    m = scanned.select(F.col("pos").cast("long").alias("i"), "id").join(old.select(F.col("pos").cast("long").alias("j"), "id"), "id")
+    placed = numbered(m.select(F.struct((F.col("i") - F.col("j")).alias("diagonal"), "i").alias("at"), "j"), "at")
+    runs = placed.groupBy("at.diagonal", (F.col("at.i") - F.col("ord")).alias("island")).agg(F.min("at.i").alias("scan_index"), F.min("j").alias("old_index"), F.count("*").alias("run"))
     return runs.where(F.col("run") >= minimum).orderBy(F.desc("run"), "scan_index", "old_index").limit(1).select("scan_index", "old_index", "run")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.catalogue import joined
+
 #: 2001-12-01 UTC: the time that queries take for now.
 NOW = 1_007_164_800_000
 ARTISTS = 97
@@ -27,6 +29,7 @@ SELECT CAST(p.p_partkey AS STRING) AS video_id,
        p.p_partkey % 10 <> 2 AS trust_tags,
        s1.s_name AS artist_1,
        CASE WHEN p.p_partkey % 3 = 0 THEN s2.s_name END AS artist_2,
+       CASE WHEN p.p_partkey % 4 = 1 THEN CAST(s1.s_suppkey + 1 AS STRING) END AS artist_ref,
        'user ' || CAST(p.p_partkey % 50 AS STRING) AS uploader,
        p.p_type AS category,
        p.p_brand AS tag_1,
@@ -45,6 +48,7 @@ WITH base AS ({CATALOGUE.replace("AS STRING", "AS VARCHAR")}),
 c AS (SELECT *, status = 'complete' AS done, status = 'complete' AND schema_version >= 5 AND trust_artist AS ta, status = 'complete' AND schema_version >= 5 AND trust_tags AS tt,
       CASE WHEN status = 'complete' AND schema_version >= 5 AND trust_artist THEN list_distinct(list_filter([artist_1, artist_2], lambda x: x IS NOT NULL)) END AS artists,
       CASE WHEN status = 'complete' AND schema_version >= 5 AND trust_tags THEN list_distinct(list_filter([tag_1, tag_2], lambda x: x IS NOT NULL)) END AS tags,
+      CASE WHEN status = 'complete' AND schema_version >= 5 AND trust_artist THEN CASE WHEN artist_ref IS NOT NULL THEN ['ref:' || artist_ref] ELSE list_distinct(list_transform(list_filter([artist_1, artist_2], lambda x: x IS NOT NULL), lambda x: 'name:' || lower(x))) END END AS tokens,
       CASE WHEN status = 'complete' THEN max_height END AS quality
       FROM base)
 """
@@ -62,24 +66,34 @@ def flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(sql, **{n: table(spark, sf_dir, n) for n in names})
 
 
-def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Videos with ord and ``detail``."""
-    b = flat(spark, sf_dir)
+def videos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listing's table, with ord."""
+    empty = [F.lit(None).cast("long").alias(c) for c in ("listing_upload_earliest_at", "listing_upload_latest_at", "listing_updated_at", "last_seen_at", "first_seen_at")]
+    return flat(spark, sf_dir).select("video_id", "ord", "title", "duration_sec", "views", "rating_percent", "rating_votes", "hd_available", "relative_upload_text", "relative_upload_observed_at", *empty)
+
+
+def details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The details' table: of every second row that is missing there is none."""
+    b = flat(spark, sf_dir).where("ord % 10 <> 0")
     listed = lambda *cols: F.filter(F.array(*cols), lambda x: x.isNotNull())
     height = F.concat(F.col("max_height").cast("string"), F.lit("p"))
     formats = F.when(F.col("max_height").isNull(), F.array().cast("array<struct<name:string,format:string,quality:string,resolution:string>>")).otherwise(
         F.array(F.struct(F.concat(F.lit("mp4 "), height).alias("name"), F.lit("mp4").alias("format"), F.lit(None).cast("string").alias("quality"), height.alias("resolution")))
     )
-    detail = F.struct(
-        "status", "schema_version",
+    ref = F.struct(F.col("artist_ref").alias("key"), F.col("artist_1").alias("name"), F.concat(F.lit("https://example.com/models/"), "artist_ref", F.lit("/")).alias("url"))
+    return b.select(
+        "video_id", "status", "schema_version",
         F.struct(F.col("trust_artist").alias("artist"), F.col("trust_artist").alias("uploader"), F.col("trust_tags").alias("tags"), F.col("trust_tags").alias("categories")).alias("entity_trust"),
         F.col("artist_1").alias("artist"), "uploader", listed("artist_1", "artist_2").alias("artists"), F.array("uploader").alias("uploaders"),
         listed("tag_1", "tag_2").alias("tags"), F.array("category").alias("categories"),
-        F.array().cast("array<struct<key:string,name:string,url:string>>").alias("artist_refs"),
+        F.filter(F.array(ref), lambda r: r["key"].isNotNull()).alias("artist_refs"),
         "description", "exact_upload_date", formats.alias("formats"),
     )
-    empty = [F.lit(None).cast("long").alias(c) for c in ("listing_upload_earliest_at", "listing_upload_latest_at", "listing_updated_at", "last_seen_at", "first_seen_at")]
-    return b.select("video_id", "ord", "title", "duration_sec", "views", "rating_percent", "rating_votes", "hd_available", "relative_upload_text", "relative_upload_observed_at", *empty, detail.alias("detail"))
+
+
+def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Videos with ord and ``detail``."""
+    return joined(videos(spark, sf_dir), details(spark, sf_dir))
 
 
 def event_ids(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:

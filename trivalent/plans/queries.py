@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, details, numbers, text, urls
 from ..operators import duplicates, facets, merging, ordering, worksets
-from ..sources import backup, html
+from ..sources import backup, catalogue as stored, html
 from . import rules
 from .compile import Context, evaluate
+from . import fixture
 from .fixture import NOW, ORACLE, catalogue, event_ids, flat, members, table
 from .query import matching, verdict_counts
 
@@ -148,10 +149,11 @@ verdict("seen_exclude", advanced(rule("seenVideos", polarity="exclude")), f"NOT
 verdict("seen_unavailable", advanced(rule("seenVideos")), "CAST(NULL AS BOOLEAN)", missing=True)
 verdict("hide_seen", quick(hideSeenVideos=True), f"NOT {_SEEN}")
 verdict("hide_seen_unavailable", quick(hideSeenVideos=True), "true", missing=True)
-_MEMBER = "list_has_any(list_transform(artists, lambda x: lower(x)), (SELECT list(lower(s_name)) FROM supplier WHERE s_suppkey % 2 = 0))"
-verdict("membership", advanced(rule("subscriptionsOnly")), f"CASE WHEN ta THEN CASE WHEN len(artists) = 0 THEN false ELSE {_MEMBER} END END")
-verdict("membership_with_unknown", detailed(subscriptionsOnly={"value": {"options": {"includeWithoutDetails": True}}}), f"CASE WHEN NOT coalesce(ta, false) THEN true WHEN len(artists) = 0 THEN false ELSE {_MEMBER} END")
-verdict("membership_unavailable", advanced(rule("subscriptionsOnly")), "CASE WHEN ta AND len(artists) = 0 THEN false END", missing=True)
+_MEMBER = "list_has_any(list_append(list_transform(artists, lambda x: lower(x)), 'k:' || coalesce(artist_ref, '')), (SELECT list(x) FROM (SELECT lower(s_name) AS x FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT 'k:' || s_suppkey FROM supplier WHERE s_suppkey % 2 = 0)))"
+_NO_ARTIST = "len(artists) = 0 AND artist_ref IS NULL"
+verdict("membership", advanced(rule("subscriptionsOnly")), f"CASE WHEN ta THEN CASE WHEN {_NO_ARTIST} THEN false ELSE {_MEMBER} END END")
+verdict("membership_with_unknown", detailed(subscriptionsOnly={"value": {"options": {"includeWithoutDetails": True}}}), f"CASE WHEN NOT coalesce(ta, false) THEN true WHEN {_NO_ARTIST} THEN false ELSE {_MEMBER} END")
+verdict("membership_unavailable", advanced(rule("subscriptionsOnly")), f"CASE WHEN ta AND {_NO_ARTIST} THEN false END", missing=True)
 
 # expressions ----------------------------------------------------------------------------------------------
 
@@ -242,7 +244,7 @@ def _duplicates_sql(checks: str, band: int | None) -> str:
     near = f"AND (b.dur IS NULL OR abs(a.dur - b.dur) <= {band})" if band is not None else ""
     known = "dur IS NOT NULL" if band is not None else "true"
     return f"""{DATED}, d AS (SELECT video_id, CAST(video_id AS BIGINT) AS id, coalesce(duration_sec, 0) AS dur, quality, list_transform(tags, lambda t: lower(t)) AS tags, CASE WHEN tt THEN [lower(category)] END AS cats,
-    list_transform(artists, lambda t: lower(t)) AS artists, shown, length(trim(title)) AS tl, {_WORDS} AS words FROM r),
+    tokens AS artists, shown, length(trim(title)) AS tl, {_WORDS} AS words FROM r),
 k AS (SELECT *, row_number() OVER (ORDER BY shown ASC NULLS LAST, tl, id) AS rk FROM d),
 e AS (SELECT video_id, dur, unnest(artists) AS tok FROM k),
 pairs AS (SELECT DISTINCT a.video_id AS x, b.video_id AS y FROM e a JOIN e b ON a.tok = b.tok AND a.video_id <> b.video_id {near} WHERE {known.replace('dur', 'a.dur')}),
@@ -273,68 +275,99 @@ def representatives(spark, sf_dir):
 # scans, orders, sequences -------------------------------------------------------------------------------------
 
 
-def _pages(spark, sf_dir, offset: int = 0, every: int = 1) -> DataFrame:
-    """Page manifests of 24 ids; page 5 failed, page 7 has the first id of page 6 as well."""
-    p = flat(spark, sf_dir).select("video_id", "ord").where(F.col("ord") % every == 0).where(F.col("ord") < 480 + offset)
-    at = p.withColumn("page_number", (F.floor(F.col("ord") / 24) + 1).cast("int"))
+def _manifest(size: int, part: int) -> str:
+    """SQL of the numbers that follow from all rows: n, pages of so many, and the failed page, the first after 1/part of them."""
+    return f"p AS (SELECT count(*) AS n, (count(*) + {size - 1}) // {size} AS pages, (count(*) + {size - 1}) // {size} // {part} + 1 AS bad FROM part)"
+
+
+def _pages(spark, sf_dir, size: int = 48, part: int = 3) -> DataFrame:
+    """Manifests of all rows; one page failed, the second after it has the first id of the page before it as well."""
+    bad = -(-table(spark, sf_dir, "part").count() // size) // part + 1
+    at = flat(spark, sf_dir).select("video_id", "ord", (F.floor(F.col("ord") / size) + 1).cast("int").alias("page_number"))
     ids = at.groupBy("page_number").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "video_id"))), lambda x: x["video_id"]).alias("video_ids"))
-    ids = ids.withColumn("video_ids", F.when(F.col("page_number") == 7, F.array_append("video_ids", F.lit("120"))).otherwise(F.col("video_ids")))
-    return ids.withColumn("status", F.when(F.col("page_number") == 5, "failed").otherwise("complete")).withColumn("session_id", F.lit("s"))
+    ids = ids.withColumn("video_ids", F.when(F.col("page_number") == bad + 2, F.array_append("video_ids", F.lit(str(bad * size)))).otherwise(F.col("video_ids")))
+    return ids.withColumn("status", F.when(F.col("page_number") == bad, "failed").otherwise("complete")).withColumn("session_id", F.lit("s"))
 
 
-@query("""WITH v AS (SELECT p_partkey AS k, CAST(p_partkey AS VARCHAR) AS video_id FROM part), l AS (SELECT k, video_id, k < 480 AND k // 24 + 1 <> 5 AS listed FROM v)
+@query(f"""WITH {_manifest(48, 3)}, l AS (SELECT p_partkey AS k, CAST(p_partkey AS VARCHAR) AS video_id, p_partkey // 48 + 1 <> bad AS listed FROM part, p)
 SELECT video_id, row_number() OVER (ORDER BY NOT listed, CASE WHEN listed THEN k END, CASE WHEN k % 3 = 0 THEN NULL ELSE k % 10 END NULLS LAST, video_id) - 1 AS ord FROM l""")
 def native_order(spark, sf_dir):
-    videos = flat(spark, sf_dir).select("video_id", F.when(F.col("ord") % 3 == 0, None).otherwise(F.col("ord") % 10).cast("int").alias("native_page"), F.lit(1).alias("native_order"))
-    return ordering.native_order(_pages(spark, sf_dir), videos)
+    return ordering.native_order(_pages(spark, sf_dir), _placed_videos(spark, sf_dir))
+
+
+def _placed_videos(spark, sf_dir) -> DataFrame:
+    return flat(spark, sf_dir).select("video_id", F.when(F.col("ord") % 3 == 0, None).otherwise(F.col("ord") % 10).cast("int").alias("native_page"), F.lit(1).alias("native_order"))
 
 
-def _sequence(spark, sf_dir, where: str, shift: int = 0) -> DataFrame:
-    return flat(spark, sf_dir).where(where).select((F.col("ord") + shift).alias("pos"), F.col("video_id").alias("id"))
+@query(f"""WITH {_manifest(48, 3)}, l AS (SELECT p_partkey AS k, CAST(p_partkey AS VARCHAR) AS video_id, p_partkey // 48 + 1 <> bad AS listed FROM part, p)
+SELECT video_id, row_number() OVER (ORDER BY NOT listed, CASE WHEN listed THEN k END, CASE WHEN k % 3 = 0 THEN NULL ELSE k % 10 END NULLS LAST, video_id) - 1 AS ord FROM l ORDER BY ord LIMIT 24 OFFSET 48""")
+def native_page_scan(spark, sf_dir):
+    return ordering.native_page(ordering.native_order(_pages(spark, sf_dir), _placed_videos(spark, sf_dir)), 3, 24)
 
 
-@query("SELECT 40 AS scan_index, 0 AS old_index, 60 AS run")
+def _sequence(spark, sf_dir, where: str = "true", at: str = "ord") -> DataFrame:
+    """pos, id of rows of the table; where and at may name n, the number of all rows."""
+    rows = flat(spark, sf_dir).withColumn("n", F.lit(table(spark, sf_dir, "part").count()))
+    return rows.where(where).select(F.expr(at).cast("long").alias("pos"), F.col("video_id").alias("id"))
+
+
+# a listing of which the last three eighths were not scanned, and an old order without its first quarter
+_SCANNED, _OLD, _OLD_AT = "ord < n div 8 * 5", "ord >= n div 4", "ord - n div 4"
+_PART = "n AS (SELECT count(*) AS n FROM part), k AS (SELECT p_partkey AS k, CAST(p_partkey AS VARCHAR) AS id, n FROM part, n)"
+_RUNS = """, m AS (SELECT s.pos AS i, o.pos AS j, s.pos - row_number() OVER (PARTITION BY s.pos - o.pos ORDER BY s.pos) AS island FROM s JOIN o USING (id))
+SELECT min(i)::INTEGER AS scan_index, min(j)::INTEGER AS old_index, count(*)::INTEGER AS run FROM m GROUP BY i - j, island ORDER BY run DESC, scan_index, old_index LIMIT 1"""
+
+
+@query(f"WITH {_PART}, s AS (SELECT k AS pos, id FROM k WHERE k < n // 8 * 5), o AS (SELECT k - n // 4 AS pos, id FROM k WHERE k >= n // 4){_RUNS}")
 def ordered_overlap(spark, sf_dir):
-    scanned, old = _sequence(spark, sf_dir, "ord < 100"), _sequence(spark, sf_dir, "ord >= 40 and ord < 160", -40)
+    scanned, old = _sequence(spark, sf_dir, _SCANNED), _sequence(spark, sf_dir, _OLD, _OLD_AT)
     return ordering.ordered_overlap(scanned, old, 6).select(*(F.col(c).cast("int").alias(c) for c in ("scan_index", "old_index", "run")))
 
 
-@query("""WITH s AS (SELECT p_partkey AS pos, CAST(p_partkey AS VARCHAR) AS id FROM part WHERE p_partkey < 60), o AS (SELECT p_partkey AS pos, CAST(p_partkey AS VARCHAR) AS id FROM part WHERE p_partkey % 2 = 0),
-b AS (SELECT id, min((src, pos)) AS k FROM (SELECT 0 AS src, * FROM s UNION ALL SELECT 1, * FROM o) GROUP BY id) SELECT row_number() OVER (ORDER BY k) - 1 AS pos, id FROM b""")
+@query(f"WITH {_PART}, s AS (SELECT k AS pos, id FROM k WHERE k % 50 <> 7), o AS (SELECT k - k // 50 AS pos, id FROM k WHERE k % 50 <> 0){_RUNS}")
+def overlap_of_many_runs(spark, sf_dir):
+    """A listing and an old order that differ at many places: runs of one length, of which the first counts."""
+    scanned, old = _sequence(spark, sf_dir, "ord % 50 <> 7"), _sequence(spark, sf_dir, "ord % 50 <> 0", "ord - ord div 50")
+    return ordering.ordered_overlap(scanned, old, 6).select(*(F.col(c).cast("int").alias(c) for c in ("scan_index", "old_index", "run")))
+
+
+@query(f"WITH {_PART}, b AS (SELECT id, min((src, pos)) AS first_at FROM (SELECT 0 AS src, n - k AS pos, id FROM k WHERE 2 * k >= n UNION ALL SELECT 1, k, id FROM k WHERE k % 2 = 0) GROUP BY id) SELECT row_number() OVER (ORDER BY first_at) - 1 AS pos, id FROM b")
 def prefix_merge(spark, sf_dir):
-    return ordering.merge_prefix(_sequence(spark, sf_dir, "ord < 60"), _sequence(spark, sf_dir, "ord % 2 = 0"))
+    return ordering.merge_prefix(_sequence(spark, sf_dir, "2 * ord >= n", "n - ord"), _sequence(spark, sf_dir, "ord % 2 = 0"))
 
 
 @query("SELECT CAST(p_partkey AS VARCHAR) AS id, p_partkey // 48 + 1 AS page, p_partkey % 48 + 1 AS place FROM part")
 def repaginate(spark, sf_dir):
-    return ordering.repaginate(_sequence(spark, sf_dir, "true"), 48)
+    return ordering.repaginate(_sequence(spark, sf_dir), 48)
 
 
-@query("SELECT 4 AS n")
+@query(f"WITH {_manifest(48, 3)} SELECT (bad - 1)::INTEGER AS n FROM p")
 def contiguous_pages(spark, sf_dir):
     return ordering.contiguous_prefix(_pages(spark, sf_dir)).select(F.col("n").cast("int").alias("n"))
 
 
-@query("SELECT (least(20, (SELECT ceil(count(*) / 24.0) FROM part)) - 1)::BIGINT AS done, 5::BIGINT AS next_page")
+@query(f"WITH {_manifest(48, 3)} SELECT (pages - 1)::BIGINT AS done, bad::BIGINT AS next_page FROM p")
 def resume_plan(spark, sf_dir):
     return ordering.resume_plan(_pages(spark, sf_dir), "s")
 
 
-@query("""SELECT CAST(p_partkey AS VARCHAR) AS id, row_number() OVER (ORDER BY p_partkey) - 1 AS pos FROM part WHERE p_partkey < 160""")
+@query(f"WITH {_PART} SELECT id, row_number() OVER (ORDER BY k) - 1 AS pos FROM k")
 def smart_order(spark, sf_dir):
-    order, _ = ordering.smart_order(_sequence(spark, sf_dir, "ord < 100"), _sequence(spark, sf_dir, "ord >= 40 and ord < 160", -40), 6, 160, False)
+    order, _ = ordering.smart_order(_sequence(spark, sf_dir, _SCANNED), _sequence(spark, sf_dir, _OLD, _OLD_AT), 6, table(spark, sf_dir, "part").count(), False)
     return order
 
 
-@query("""SELECT CAST(p_partkey AS VARCHAR) AS id, row_number() OVER (ORDER BY p_partkey) - 1 AS pos FROM part WHERE p_partkey < 160""")
+@query(f"WITH {_PART} SELECT id, row_number() OVER (ORDER BY k) - 1 AS pos FROM k")
 def anchor_order(spark, sf_dir):
-    order, _ = ordering.anchor_order(_sequence(spark, sf_dir, "ord < 100"), _sequence(spark, sf_dir, "ord >= 40 and ord < 160", -40), 160)
+    order, _ = ordering.anchor_order(_sequence(spark, sf_dir, _SCANNED), _sequence(spark, sf_dir, _OLD, _OLD_AT), table(spark, sf_dir, "part").count())
     return order
 
 
-@query("""SELECT CAST(p_partkey AS VARCHAR) AS id, p_partkey AS pos FROM part WHERE p_partkey < 100""")
+@query(f"WITH {_PART} SELECT id, row_number() OVER (ORDER BY k) - 1 AS pos FROM k WHERE k < n // 8 * 5")
 def recent_order(spark, sf_dir):
-    order, _ = ordering.recent_order(_sequence(spark, sf_dir, "ord < 100"), _sequence(spark, sf_dir, "ord >= 40"), 5, 5, 100)
+    """A scan of the whole live depth: what it doesn't have is gone."""
+    scanned = _sequence(spark, sf_dir, _SCANNED)
+    order, _ = ordering.recent_order(scanned, _sequence(spark, sf_dir, _OLD), 5, 5, scanned.count())
     return order
 
 
@@ -391,13 +424,30 @@ def lookup_many(spark, sf_dir):
     return merging.prune(catalogue(spark, sf_dir), event_ids(spark, sf_dir, "purchase")).select("video_id", "title")
 
 
-@query("WITH ids AS (SELECT row_number() OVER (ORDER BY event_id) AS pos, CAST(user_id AS VARCHAR) AS video_id FROM events WHERE event_id < 200) SELECT pos, video_id, p_name AS name FROM ids JOIN part ON CAST(p_partkey AS VARCHAR) = video_id")
-def lookup_ordered(spark, sf_dir):
-    ids = table(spark, sf_dir, "events").where("event_id < 200").select(F.col("event_id").alias("at"), F.col("user_id").cast("string").alias("video_id"))
+def _looked_up(spark, sf_dir, key: str) -> DataFrame:
+    ids = table(spark, sf_dir, "events").select(F.expr(key).alias("at"), F.col("user_id").cast("string").alias("video_id"))
     placed = ordering.numbered(ids, "at").select((F.col("ord") + 1).alias("pos"), "video_id")
     return placed.join(table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("video_id"), F.col("p_name").alias("name")), "video_id").select("pos", "video_id", "name")
 
 
+@query("WITH ids AS (SELECT row_number() OVER (ORDER BY event_id DESC) AS pos, CAST(user_id AS VARCHAR) AS video_id FROM events) SELECT pos, video_id, p_name AS name FROM ids JOIN part ON CAST(p_partkey AS VARCHAR) = video_id")
+def lookup_ordered(spark, sf_dir):
+    """Rows of all events' ids, latest first."""
+    return _looked_up(spark, sf_dir, "-event_id")
+
+
+@query(f"{ORACLE} SELECT video_id, title, CASE WHEN ord % 10 <> 0 THEN status END AS status FROM c WHERE ord = (SELECT count(*) // 2 FROM part)")
+def lookup_one(spark, sf_dir):
+    key = str(table(spark, sf_dir, "part").count() // 2)
+    return stored.one(fixture.videos(spark, sf_dir), fixture.details(spark, sf_dir), key).select("video_id", "title", F.col("detail.status").alias("status"))
+
+
+@query(f"{ORACLE} SELECT video_id, CASE WHEN ord % 10 <> 0 THEN status END AS status, CASE WHEN ord % 10 <> 0 THEN schema_version END AS schema_version FROM c")
+def catalogue_rows(spark, sf_dir):
+    """Listing rows with their details, or none."""
+    return catalogue(spark, sf_dir).select("video_id", "detail.status", "detail.schema_version")
+
+
 # worksets and states ---------------------------------------------------------------------------------------------
 
 
@@ -456,10 +506,10 @@ def systemic_preflight(spark, sf_dir):
     return worksets.systemic_preflight(table(spark, sf_dir, "part"), F.col("p_size") > 45)
 
 
-@query("SELECT 2 AS n, true AS isolated")
+@query("SELECT count(*)::INTEGER AS n, count(*) BETWEEN 1 AND 2 AS isolated FROM part WHERE p_partkey % 38 = 0")
 def gone_only(spark, sf_dir):
-    d = _videos_details(spark, sf_dir)[1].where("video_id in ('0', '38')").select("last_attempt_error.http_status")
-    return worksets.gone_only(d, 2).select(F.col("n").cast("int").alias("n"), "isolated")
+    d = _videos_details(spark, sf_dir)[1].where("last_attempt_error.http_status = 404").select("last_attempt_error.http_status")
+    return worksets.gone_only(d, d.count()).select(F.col("n").cast("int").alias("n"), "isolated")
 
 
 @query("SELECT CAST(user_id AS VARCHAR) AS video_id, count(*) AS n FROM events GROUP BY 1 HAVING count(*) > 1")
@@ -467,7 +517,7 @@ def repeated_ids(spark, sf_dir):
     return worksets.repeated_ids(table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("video_id")))
 
 
-@query("SELECT count(*) AS videos, 20::BIGINT AS pages, 19::BIGINT AS complete_pages, 0::BIGINT AS lost, 'partial' AS state FROM part HAVING count(*) >= 480")
+@query(f"WITH {_manifest(48, 3)} SELECT n AS videos, pages::BIGINT AS pages, (pages - 1)::BIGINT AS complete_pages, 0::BIGINT AS lost, 'partial' AS state FROM p")
 def catalogue_state(spark, sf_dir):
     return worksets.catalogue_state(flat(spark, sf_dir), _pages(spark, sf_dir))
 
@@ -620,7 +670,7 @@ def shifted_months(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), dates.shift_months(F.unix_millis(F.col("o_orderdate").cast("timestamp")), -(F.col("o_orderkey") % 30)).alias("shifted"))
 
 
-@query(f"{ORACLE} SELECT video_id, list_sort(list_transform(artists, lambda x: 'name:' || lower(x))) AS tokens, CAST(quality AS VARCHAR) AS quality FROM c")
+@query(f"{ORACLE} SELECT video_id, list_sort(tokens) AS tokens, CAST(quality AS VARCHAR) AS quality FROM c")
 def detail_tokens(spark, sf_dir):
     d = F.col("detail")
     return catalogue(spark, sf_dir).select("video_id", F.sort_array(details.artist_tokens(d)).alias("tokens"), details.quality_fingerprint(d).alias("quality"))
@@ -637,10 +687,10 @@ def document_search(spark, sf_dir):
     return d.select("doc_id", F.when(F.col("quality").isNotNull(), found & (F.col("quality") == 1)).alias("verdict"))
 
 
-@query(r"SELECT page_id, lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) AS host, nullif(regexp_extract(url, '^https?://[^/]+/[a-z]+/([0-9]+)([/?#.]|$)', 1), '') AS id FROM pages")
+@query(r"SELECT page_id, lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) AS host, nullif(regexp_extract(url, '^https?://[^/?#]+/pages?/([0-9]+)([/?#]|$)', 1), '') AS id, CASE WHEN NOT regexp_matches(coalesce(url, ''), '^https?://', 'i') THEN 'not-http' WHEN lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) NOT IN ('example.com', 'www.example.com') THEN 'other-host' WHEN nullif(regexp_extract(url, '^https?://[^/?#]+/pages?/([0-9]+)([/?#]|$)', 1), '') IS NULL THEN 'no-id' END AS reason FROM pages")
 def url_identity(spark, sf_dir):
-    found = F.nullif(F.regexp_extract("url", r"\Ahttps?://[^/]+/[a-z]+/([0-9]+)([/?#.]|\z)", 1), F.lit(""))
-    return table(spark, sf_dir, "pages").select("page_id", urls.host(F.col("url")).alias("host"), found.alias("id"))
+    found = urls.identity(F.col("url"), F.lit(None).cast("string"), ("example.com", "www.example.com"), "page")
+    return table(spark, sf_dir, "pages").select("page_id", urls.host(F.col("url")).alias("host"), found["id"].alias("id"), found["reason"].alias("reason"))
 
 
 @query()
@@ -649,16 +699,23 @@ def page_links(spark, sf_dir):
     return html.links(table(spark, sf_dir, "pages")).select("page_id", "page_title", "n_links", "paragraphs")
 
 
-@query("SELECT count(DISTINCT p_partkey) AS videos, count(*) FILTER (WHERE p_partkey % 5 > 1) AS complete FROM part")
+_JSON = '''length('{"video_id":"' || video_id || '","views":' || coalesce(CAST(views AS VARCHAR), 'null') || '}') + length('{"video_id":"' || video_id || '","status":"' || status || '"}')'''
+
+
+@query(f"{ORACLE} SELECT count(*) AS videos, count(*) FILTER (WHERE done) AS complete, count(*) FILTER (WHERE done) / count(*) AS coverage, sum({_JSON})::BIGINT AS bytes FROM c")
 def backup_summary(spark, sf_dir):
-    v, d = _videos_details(spark, sf_dir)
-    return backup.summary({"videos": v, "details": d}).select("videos", "complete")
+    c = flat(spark, sf_dir)
+    return backup.summary({"videos": c.select("video_id", "views"), "details": c.select("video_id", "status")})
 
 
-@query("SELECT 'status' AS section, CASE WHEN p_partkey % 5 = 0 THEN 'missing' WHEN p_partkey % 5 = 1 THEN 'failed' ELSE 'complete' END AS key, count(*) AS n FROM part GROUP BY 2")
+@query(f"""{ORACLE}, f AS (SELECT *, ord % 19 = 0 AS err, CASE WHEN ord % 2 = 0 THEN 404 ELSE 500 END AS http FROM c WHERE NOT done)
+SELECT 'status' AS section, status AS key, count(*) AS n FROM c GROUP BY status UNION ALL SELECT 'code', CASE WHEN err THEN 'HTTP' ELSE 'unknown' END, count(*) FROM f GROUP BY 2
+UNION ALL SELECT 'http', CAST(http AS VARCHAR), count(*) FROM f WHERE err GROUP BY 2 UNION ALL SELECT 'shape', CASE WHEN ord % 2 = 0 THEN 'example.com/video/#/*/' ELSE 'example.com/video/#' END, count(*) FROM c GROUP BY 2
+UNION ALL SELECT 'sample', '{{"video_id":"' || video_id || '"' || CASE WHEN err THEN ',"code":"HTTP","message":"gone","http_status":' || http ELSE '' END || '}}', 1 FROM (SELECT * FROM f ORDER BY video_id LIMIT 10)""")
 def diagnostics(spark, sf_dir):
     v, d = _videos_details(spark, sf_dir)
-    return backup.diagnostics(v.withColumn("url", F.lit(None).cast("string")), d).where("section = 'status'")
+    url = F.concat(F.lit("https://Example.com/video/"), "video_id", F.when(F.col("ord") % 2 == 0, "/some-title/?from=3").otherwise("#top"))
+    return backup.diagnostics(v.withColumn("url", url), d)
 
 
 @query("SELECT CAST(p_partkey AS VARCHAR) AS video_id, CASE WHEN p_partkey % 5 > 1 AND p_partkey % 7 = 0 THEN 'failed once' WHEN p_partkey % 7 = 0 THEN 'failed' WHEN p_partkey % 5 = 0 THEN 'missing' WHEN p_partkey % 5 = 1 THEN 'failed' ELSE 'complete' END AS state, p_partkey % 4 + CASE WHEN p_partkey % 7 = 0 THEN 1 ELSE 0 END AS failures FROM part")
@@ -670,33 +727,37 @@ def record_failures(spark, sf_dir):
     return out.select("video_id", state.alias("state"), F.col("failure_count").alias("failures"))
 
 
-@query("SELECT (n - 1) // 24 + 1 AS page_number, list(id ORDER BY n) AS video_ids FROM (SELECT CAST(p_partkey AS VARCHAR) AS id, row_number() OVER (ORDER BY p_partkey) AS n FROM part WHERE p_partkey < 120 AND p_partkey % 5 <> 0) GROUP BY 1")
-def reconcile_pages(spark, sf_dir):
+def _reconciled(spark, sf_dir, where: str, at: str, size: int) -> dict[str, DataFrame]:
     v, _ = _videos_details(spark, sf_dir)
     v = v.withColumn("native_page", F.lit(None).cast("int")).withColumn("native_order", F.lit(None).cast("int"))
-    ids = ordering.numbered(v.where("ord < 120 and ord % 5 <> 0").select(F.col("ord").alias("key"), F.col("video_id").alias("id")), "key").select(F.col("ord").alias("pos"), "id")
-    return merging.reconcile(ids, v, v.where("ord % 2 = 0"), 24, NOW)["pages"].select("page_number", "video_ids")
+    ids = ordering.numbered(v.where(where).select(F.expr(at).alias("key"), F.col("video_id").alias("id")), "key").select(F.col("ord").alias("pos"), "id")
+    return merging.reconcile(ids, v, v.where("ord % 2 = 0"), size, NOW)
+
+
+@query("SELECT (n - 1) // 48 + 1 AS page_number, list(id ORDER BY n) AS video_ids FROM (SELECT CAST(p_partkey AS VARCHAR) AS id, row_number() OVER (ORDER BY p_partkey DESC) AS n FROM part WHERE p_partkey % 7 <> 0) GROUP BY 1")
+def reconcile_pages(spark, sf_dir):
+    return _reconciled(spark, sf_dir, "ord % 7 <> 0", "-ord", 48)["pages"].select("page_number", "video_ids")
+
+
+@query(f"SELECT id AS video_id, ((n - 1) // 48 + 1)::INTEGER AS native_page, ((n - 1) % 48 + 1)::INTEGER AS native_order, CASE WHEN k % 2 = 0 THEN {NOW} ELSE k END AS last_seen_at FROM (SELECT p_partkey AS k, CAST(p_partkey AS VARCHAR) AS id, row_number() OVER (ORDER BY p_partkey DESC) AS n FROM part WHERE p_partkey % 7 <> 0)")
+def reconcile_rows(spark, sf_dir):
+    """The rows after an ordered update: placed anew, rows that were staged with their new times, others as they were."""
+    return _reconciled(spark, sf_dir, "ord % 7 <> 0", "-ord", 48)["videos"].select("video_id", "native_page", "native_order", "last_seen_at")
 
 
 # manifests of all rows, all events and all failures ---------------------------------------------------------------
 
-_ALL_PAGES = "p AS (SELECT count(*) AS n, (count(*) + 23) // 24 AS pages, (count(*) + 23) // 24 // 2 + 1 AS bad FROM part)"
+_ALL_PAGES = _manifest(24, 2)
 
 
 def _all_pages(spark, sf_dir) -> DataFrame:
-    """Manifests of 24 ids of all rows; the page in the middle failed, the second after it has the first id of the page before it as well."""
-    bad = -(-table(spark, sf_dir, "part").count() // 24) // 2 + 1
-    at = flat(spark, sf_dir).select("video_id", "ord", (F.floor(F.col("ord") / 24) + 1).cast("int").alias("page_number"))
-    ids = at.groupBy("page_number").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "video_id"))), lambda x: x["video_id"]).alias("video_ids"))
-    ids = ids.withColumn("video_ids", F.when(F.col("page_number") == bad + 2, F.array_append("video_ids", F.lit(str(bad * 24)))).otherwise(F.col("video_ids")))
-    return ids.withColumn("status", F.when(F.col("page_number") == bad, "failed").otherwise("complete")).withColumn("session_id", F.lit("s"))
+    return _pages(spark, sf_dir, 24, 2)
 
 
 @query(f"""WITH {_ALL_PAGES}, l AS (SELECT p_partkey AS k, CAST(p_partkey AS VARCHAR) AS video_id, p_partkey // 24 + 1 <> bad AS listed FROM part, p)
 SELECT video_id, row_number() OVER (ORDER BY NOT listed, CASE WHEN listed THEN k END, CASE WHEN k % 3 = 0 THEN NULL ELSE k % 10 END NULLS LAST, video_id) - 1 AS ord FROM l""")
 def whole_native_order(spark, sf_dir):
-    videos = flat(spark, sf_dir).select("video_id", F.when(F.col("ord") % 3 == 0, None).otherwise(F.col("ord") % 10).cast("int").alias("native_page"), F.lit(1).alias("native_order"))
-    return ordering.native_order(_all_pages(spark, sf_dir), videos)
+    return ordering.native_order(_all_pages(spark, sf_dir), _placed_videos(spark, sf_dir))
 
 
 @query(f"WITH {_ALL_PAGES} SELECT (bad - 1)::INTEGER AS n FROM p")
@@ -716,17 +777,12 @@ def whole_catalogue_state(spark, sf_dir):
 
 @query("SELECT (n - 1) // 24 + 1 AS page_number, list(id ORDER BY n) AS video_ids FROM (SELECT CAST(p_partkey AS VARCHAR) AS id, row_number() OVER (ORDER BY p_partkey) AS n FROM part WHERE p_partkey % 5 <> 0) GROUP BY 1")
 def whole_reconcile_pages(spark, sf_dir):
-    v, _ = _videos_details(spark, sf_dir)
-    v = v.withColumn("native_page", F.lit(None).cast("int")).withColumn("native_order", F.lit(None).cast("int"))
-    ids = ordering.numbered(v.where("ord % 5 <> 0").select(F.col("ord").alias("key"), F.col("video_id").alias("id")), "key").select(F.col("ord").alias("pos"), "id")
-    return merging.reconcile(ids, v, v.where("ord % 2 = 0"), 24, NOW)["pages"].select("page_number", "video_ids")
+    return _reconciled(spark, sf_dir, "ord % 5 <> 0", "ord", 24)["pages"].select("page_number", "video_ids")
 
 
 @query("WITH ids AS (SELECT row_number() OVER (ORDER BY event_id) AS pos, CAST(user_id AS VARCHAR) AS video_id FROM events) SELECT pos, video_id, p_name AS name FROM ids JOIN part ON CAST(p_partkey AS VARCHAR) = video_id")
 def whole_lookup_ordered(spark, sf_dir):
-    ids = table(spark, sf_dir, "events").select(F.col("event_id").alias("at"), F.col("user_id").cast("string").alias("video_id"))
-    placed = ordering.numbered(ids, "at").select((F.col("ord") + 1).alias("pos"), "video_id")
-    return placed.join(table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("video_id"), F.col("p_name").alias("name")), "video_id").select("pos", "video_id", "name")
+    return _looked_up(spark, sf_dir, "event_id")
 
 
 @query("SELECT count(*)::INTEGER AS n, count(*) BETWEEN 1 AND 2 AND bool_and(p_partkey % 2 = 0) AS isolated FROM part WHERE p_partkey % 19 = 0")
