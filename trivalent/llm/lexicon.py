@@ -69,11 +69,11 @@ def by_partition(keys: np.ndarray, parts: int) -> list[tuple[int, np.ndarray]]:
     return [(int(p[g[0]]), g) for g in np.split(order, cut) if len(g)]
 
 
-def spell(docs: DataFrame, cut: Callable[[pa.RecordBatch, int], list[tuple]], column: str = "text") -> DataFrame:
+def spell(docs: DataFrame, cut: Callable[[pa.RecordBatch, int], list[tuple]], column: str = "text", size: int = SLICE) -> DataFrame:
     """The written table; ``cut`` makes the records of one batch."""
 
     def run(batches):
-        for k, b in numbered(batches, column, SLICE):
+        for k, b in numbered(batches, column, size):
             yield records(cut(b, k))
 
     return written(docs.mapInArrow(run, SCHEMA), "lexicon")

@@ -2,30 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import SparkSession
 
-from pyspark.sql import DataFrame, SparkSession
+from ..sources.scratch import folder, written
 
-
-def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset and Spark runs on this machine alone, a temporary folder."""
-    sc = spark.sparkContext
-    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if not at:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """df, written once as Parquet in the shared folder and read again: later reads survive lost executors."""
-    spark = df.sparkSession
-    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["folder", "partitions", "written"]
 
 
 def partitions(spark: SparkSession) -> int:
