@@ -31,6 +31,53 @@ def test_base_counts(spark):
     assert all(not (r["base_failed"] and r["kept"]) for r in got)
 
 
+def closed(line):
+    return words(line)[-1][-1] in quality.CLOSING
+
+
+def brute_kept(text):
+    """The line rules from their definition."""
+    lines, seen, n, lost = (text or "").split("\n"), set(), len(words(text)), 0
+    for x in lines:
+        own = words(x)
+        if not own:
+            continue
+        bad = x in seen or sum(c in "#*$%&|<>" for c in x) >= max(1, quality.SYMBOLS * len(own)) or x.count("!") >= max(2, quality.SHOUT * len(own)) or (len(own) < quality.SHORT_LINE and not closed(x))
+        low = x.translate({i: i + 32 for i in range(65, 91)})
+        bad |= any(p in low for p in quality.BOILERPLATE)
+        seen.add(x)
+        lost += len(own) * bad
+    return not brute(text)[-1] and n - lost >= quality.KEEP_SHARE * n
+
+
+def test_kept_by_brute_force(spark):
+    good = " ".join(f"word{i}" for i in range(60))
+    short = ["меню кот", "menu dû", "меню дома", "menu du", "menú…", "un « mot »", "ende.", "终。", "tools’", "x;", "мент", "Ц", "û", "æ"]
+    rows = [(1000 + k, f"{good}\n" + "\n".join([f"{s} {j}" if j else s for j in range(1)]) + "\n" + "\n".join(f"{a} {s}" for a in "abcdefghijklmnopqrstuvwxyz"[:20] for _ in range(1) if a)) for k, s in enumerate(short)]
+    rows += [(1100, f"{good}\nTous droits réservés par la société du site\n{good} autres"), (1101, f"{good}!\nWow! Wow! Wow!\n# $ %")]
+    docs = documents(spark).unionByName(spark.createDataFrame(rows, "doc_id long, text string"), allowMissingColumns=True)
+    got = quality.judge(docs).collect()
+    assert sorted((str(r["doc_id"]), r["kept"]) for r in got) == sorted((str(d), brute_kept(t)) for d, t in texts() + rows)
+    assert len({brute_kept(t) for _, t in rows}) == 2
+
+
+def test_marks_are_code_points(spark):
+    import numpy as np
+
+    data = "т л û æ Ц Н … ” ’ » 。 . ) a".split()
+    raw = np.frombuffer("".join(data).encode(), np.uint8)
+    ends = np.cumsum([len(x.encode()) for x in data])
+    assert quality._closed(raw, ends).tolist() == [x in quality.CLOSING for x in data]
+
+
+def test_sql(spark):
+    from compare import SF, agree
+
+    from trivalent.llm.queries import OP6_SQL, op6_quality
+
+    agree(op6_quality(spark, SF), OP6_SQL)
+
+
 def test_lines(spark):
     good = " ".join(f"word{i}" for i in range(80)) + "."
     rows = [(1, good), (2, f"{good}\nClick here to subscribe to our letter today now.\nHome | Menu | Login"), (3, "\n".join(["a | b | c | d | e | f"] * 30)), (4, f"{good}\n{good}"), (5, None)]

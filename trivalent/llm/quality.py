@@ -12,7 +12,9 @@ words, or when over half of its words lie in three-word windows that the text ha
 
 Null and empty texts have zero counts and are rejected.  Repeated rows are judged each for itself;
 rows keep their other columns in ``clean_documents``.  Lines are cut at ``\\n``, compared by 64-bit
-hash and length.
+hash and length.  A mark counts as a whole code point, not by its last byte.
+
+An empty table gives an empty table; ``judge`` leaves other columns out, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,16 +35,30 @@ BOILERPLATE = (
     "all rights reserved", "cookie policy", "privacy policy", "terms of service", "terms of use", "use cookies",
     "javascript is disabled", "enable javascript", "licensed under", "license agreement", "lorem ipsum",
     "subscribe to our", "click here", "skip to content", "sign in to",
+    "tous droits réservés", "politique de confidentialité", "mentions légales", "conditions d'utilisation", "cliquez ici", "abonnez-vous",
+    "alle rechte vorbehalten", "datenschutzerklärung", "allgemeine geschäftsbedingungen", "nutzungsbedingungen", "hier klicken", "zum inhalt springen",
+    "todos los derechos reservados", "política de privacidad", "aviso legal", "condiciones de uso", "haga clic aquí", "suscríbete",
 )
+#: Marks that close a line.
+CLOSING = ".!?:;\"')]…”’»。"
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
-_CLOSING = np.zeros(256, bool)
-_CLOSING[list(b".!?:;\"')]")] = True
-_CLOSING[[0xA6, 0x9D, 0x99, 0xBB, 0x82]] = True  # last bytes of the closing marks … ” ’ » 。
+# the last byte of a mark, and the marks of several bytes that end in it
+_LAST = np.zeros(256, bool)
+_LAST[[c.encode()[-1] for c in CLOSING if ord(c) < 128]] = True
+_LONG = [tuple(reversed(c.encode())) for c in CLOSING if ord(c) > 127]
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
+def _closed(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether the code point before each end is a closing mark."""
+    out = _LAST[data[ends - 1]] if len(ends) else np.zeros(0, bool)
+    for mark in _LONG:
+        out |= np.logical_and.reduce([(ends > k) & (data[np.maximum(ends - 1 - k, 0)] == byte) for k, byte in enumerate(mark)])
+    return out
+
+
 def _judge(w: Words) -> tuple[dict[str, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]:
     data, n_words = w.data, w.counts()
     hashes = w.hashes()
@@ -77,9 +93,8 @@ def _judge(w: Words) -> tuple[dict[str, np.ndarray], tuple[np.ndarray, np.ndarra
     bad = dup.copy()
     bad |= symbol[ends] - symbol[starts] >= np.maximum(1, SYMBOLS * words)
     bad |= shout[ends] - shout[starts] >= np.maximum(2, SHOUT * words)
-    last = np.zeros(len(starts), np.uint8)
-    last[full] = data[w.ends[hi[full] - 1] - 1]
-    bad |= ~_CLOSING[last] & (words < SHORT_LINE)
+    short = np.flatnonzero(full & (words < SHORT_LINE))
+    bad[short] |= ~_closed(data, w.ends[hi[short] - 1])
     low = bytes(data).lower()
     for phrase in BOILERPLATE:
         p, at = phrase.encode(), -1

@@ -129,5 +129,23 @@ SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss)::BIGINT AS l
 """
 
 
+_PHRASES = ", ".join("'" + x.replace("'", "''") + "'" for x in quality.BOILERPLATE)
+_CLOSING = ", ".join("'" + x.replace("'", "''") + "'" for x in quality.CLOSING)
+_SYMBOLS = "length(regexp_replace({0}, '[^#*$%&|<>]', '', 'g'))"
+OP6_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, ws[i], ws[i + 1], ws[i + 2]) AS n FROM d, unnest(range(1, len(ws) - 1)) AS t(i)),
+r AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM g, range(3) AS t(k) WHERE n > 1 GROUP BY doc_id),
+l AS (SELECT doc_id, k, ls[k] AS line, regexp_extract_all(ls[k], '{WORD}') AS ws FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM d) x, unnest(range(1, len(ls) + 1)) AS t(k)),
+f AS (SELECT doc_id, line, len(ws) AS n, row_number() OVER (PARTITION BY doc_id, line ORDER BY k) > 1 AS dup, right(ws[-1], 1) AS last FROM l WHERE len(ws) > 0),
+b AS (SELECT doc_id, n, dup, dup OR {_SYMBOLS.format('line')} >= greatest(1, {quality.SYMBOLS} * n) OR length(regexp_replace(line, '[^!]', '', 'g')) >= greatest(2, {quality.SHOUT} * n)
+      OR (n < {quality.SHORT_LINE} AND last NOT IN ({_CLOSING})) OR len(list_filter([{_PHRASES}], lambda p: contains(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), p))) > 0 AS bad FROM f),
+s AS (SELECT doc_id, count(*) FILTER (WHERE dup) AS n_dup_lines, coalesce(sum(n) FILTER (WHERE bad), 0) AS lost FROM b GROUP BY doc_id),
+o AS (SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars, {_SYMBOLS.format('text')}::BIGINT AS n_symbols,
+      coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(lost, 0) AS lost FROM d LEFT JOIN r USING (doc_id) LEFT JOIN s USING (doc_id))
+SELECT o.* EXCLUDE (lost), n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - lost >= {quality.KEEP_SHARE} * n_words AS kept FROM o
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash": OP1_SQL, "op2_substring": OP2_SQL, "op4_urls": OP4_SQL, "op7_chat": OP7_SQL}
+    return {"op1_minhash": OP1_SQL, "op2_substring": OP2_SQL, "op4_urls": OP4_SQL, "op6_quality": OP6_SQL, "op7_chat": OP7_SQL}
