@@ -7,21 +7,24 @@ T more rounds into bin 0, 1, ... in turn; a set stops after the round that fille
 every coordinate is filled after 2T rounds at most, most sets need one, and the share of equal
 coordinates estimates the Jaccard likeness as well as T independent hash functions do.
 
-Equal sets become one class first, so that groups of copies cost a row each.  Classes that share a
-band of ROWS coordinates are candidates (a pair at 0.75 shares none of 32 bands with probability
+Equal sets, known by the SHA-256 of all their elements, become one class first, so that groups of copies
+cost a row each.  Classes that share a band of ROWS coordinates are candidates (a pair at 0.75 shares none of 32 bands with probability
 5e-6).  First each class is checked against at most two of the least classes of its buckets, which
 ties most groups together in linear work; then only pairs of *different* components in a bucket are
-compared by sketch, in blocks of ``BLOCK`` rows, and those whose estimate is over the threshold less
+compared by sketch, in blocks of some ``BLOCK`` rows and ``BLOCK_WORDS`` elements, and those whose estimate is over the threshold less
 five deviations are checked in the same blocks.  Pairs are never emitted: a block emits the rows that need
 their texts, and then a link fewer than it has rows at most.  Every link is confirmed on the full sets.
 
 Defined results: null and empty texts and texts without a word have an empty set, link with nothing
 and form their own component.  Rows with equal doc_id are one document to the graph: they share a
-component.  A null doc_id stays alone, with a null component.  Other columns are ignored.
+component.  A null doc_id stays alone, with a null component.  Other columns are ignored, whatever their
+names.  An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,7 +37,7 @@ from .words import U64, Words, mix, slices
 WORDS, PERCENT = 5, 75
 ROWS, BANDS = 4, 32
 T = ROWS * BANDS
-BLOCK = 1024
+BLOCK, BLOCK_WORDS = 1024, 1 << 20
 #: Five standard deviations of the estimate at the threshold.
 MARGIN = 5 * (0.75 * 0.25 / T) ** 0.5
 _FULL = U64(2**64 - 1)
@@ -80,10 +83,7 @@ def _sketch_rows(batches):
         sets, off = shingle_sets(b.column("text"))
         n = np.diff(off)
         s = sketch(sets, off)
-        keys = []
-        for c in (0x51ED270B0A2C5F71, 0x2545F4914F6CDD1D):
-            total = np.concatenate([[U64(0)], np.cumsum(mix(sets ^ U64(c)), dtype=U64)])
-            keys.append((total[off[1:]] - total[off[:-1]]).view(np.int64))
+        raw, at = memoryview(sets).cast("B"), (8 * off).tolist()
         spread = mix(s)
         bands = np.zeros((len(n), BANDS), U64)
         for r in range(ROWS):
@@ -93,18 +93,17 @@ def _sketch_rows(batches):
             [
                 b.column("id"),
                 pa.array(n),
-                pa.array(keys[0]),
-                pa.array(keys[1]),
+                pa.array([hashlib.sha256(raw[lo:hi]).digest() for lo, hi in zip(at[:-1], at[1:], strict=True)], pa.binary()),
                 pa.array([x if f else None for x, f in zip(bands.view(np.int64), full, strict=True)], pa.list_(pa.int64())),
                 pa.array([x.tobytes() if f else None for x, f in zip((spread & U64(255)).astype(np.uint8), full, strict=True)], pa.binary()),
                 pa.array([x.tobytes() if f else None for x, f in zip(bands, full, strict=True)], pa.binary()),
             ],
-            ["id", "n", "k1", "k2", "bands", "sketch", "packed"],
+            ["id", "n", "set", "bands", "sketch", "packed"],
         )
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_sketch_rows, "id long, n long, k1 long, k2 long, bands array<long>, sketch binary, packed binary")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_sketch_rows, "id long, n long, set binary, bands array<long>, sketch binary, packed binary")
 
 
 def _verify_rows(batches):
@@ -214,10 +213,10 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     table = written(sketches(docs, "id"), "sketches")
     full = table.where("n > 0 and id is not null")
     # equal sets: one class, known by its least id
-    reps = written(full.groupBy("k1", "k2").agg(F.min("id").alias("rep")), "classes")
-    same_id = full.join(reps, ["k1", "k2"]).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    reps = written(full.groupBy("set").agg(F.min("id").alias("rep")), "classes")
+    same_id = full.join(reps, "set").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     unique = full.join(reps.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
-    banded = unique.select("id", F.posexplode("bands").alias("band", "key"))
+    banded = unique.select("id", "n", F.posexplode("bands").alias("band", "key"))
     buckets = banded.groupBy("band", "key").agg(F.count("*").alias("m"), F.min("id").alias("hub")).where("m > 1")
     members = written(banded.join(buckets, ["band", "key"]), "buckets")
     texts = written(docs.join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "texts")
@@ -227,10 +226,11 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = written(verify(pairs, texts), "verified")
     found = components(links)
     # what the hubs did not tie: in a bucket of several components, those outside its largest against all
-    labelled = members.join(found, "id", "left").select("band", "key", "id", F.coalesce("component", "id").alias("comp"))
-    sizes = labelled.groupBy("band", "key", "comp").agg(F.count("*").alias("c")).groupBy("band", "key")
-    mixed = sizes.agg(F.count("*").alias("k"), F.sum("c").alias("m"), F.max("c").alias("top"), F.max_by("comp", "c").alias("main")).where("k > 1")
-    mixed = mixed.select("band", "key", "main", F.ceil(F.col("top") / BLOCK).cast("int").alias("mp"), F.ceil((F.col("m") - F.col("top")) / BLOCK).cast("int").alias("op"))
+    labelled = members.join(found, "id", "left").select("band", "key", "id", "n", F.coalesce("component", "id").alias("comp"))
+    sizes = labelled.groupBy("band", "key", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("w")).groupBy("band", "key")
+    mixed = sizes.agg(F.count("*").alias("k"), F.sum("c").alias("m"), F.sum("w").alias("w"), F.max(F.struct("c", "w", "comp")).alias("top")).where("k > 1")
+    blocks_of = lambda rows, elements: F.ceil(F.greatest(rows / BLOCK, elements / BLOCK_WORDS)).cast("int")
+    mixed = mixed.select("band", "key", F.col("top.comp").alias("main"), blocks_of(F.col("top.c"), F.col("top.w")).alias("mp"), blocks_of(F.col("m") - F.col("top.c"), F.col("w") - F.col("top.w")).alias("op"))
     rows = labelled.join(mixed, ["band", "key"]).withColumn("is_main", F.col("comp") == F.col("main"))
     dealt = F.xxhash64("id", "comp")
     rows = rows.withColumn("part", F.when(F.col("is_main"), F.pmod(dealt, "mp")).otherwise(F.col("mp") + F.pmod(dealt, "op")).cast("int"))
