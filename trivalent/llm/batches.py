@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from .words import U64, buffers, mix, slices
 
-#: Bytes of text in a batch.
-BATCH_BYTES = 2 << 20
+#: Bytes of text in a batch, and of all texts for each partition of a hash space.  A batch has a row for each partition, so
+#: S bytes of text make S / BATCH_BYTES * S / PART_BYTES rows; of a terabyte these are 4 * 10**9 of some 40 keys.
+BATCH_BYTES, PART_BYTES = 4 << 20, 64 << 20
 
 
 def numbered(batches: Iterator[pa.RecordBatch], column: str, most: int = BATCH_BYTES) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -81,7 +82,7 @@ def restored(left: pa.Table, right: pa.Table) -> pa.RecordBatch:
     return t.to_batches()[0]
 
 
-def parts_for(df: DataFrame, column: str, bytes_each: int = 16 << 20) -> int:
+def parts_for(df: DataFrame, column: str, bytes_each: int = PART_BYTES) -> int:
     """Partitions of the hash space: by the size of the texts, and twice Spark's own number at least."""
     spark = df.sparkSession
     total = df.agg(F.sum(F.octet_length(column))).first()[0] or 0

@@ -5,14 +5,15 @@ index.  Any window of ``WINDOW`` >= 2 * BLOCK - 1 words holds a whole block of e
 it occurs, so a window that two documents share has, in either document, a rolling run of BLOCK words
 that equals an indexed block of the other.  All rolling runs probe the index, as 32-bit values in a
 partition of the hash space (values that agree by chance only cost work).  Around the hits, windows
-are extended to whole WINDOW-word runs, known by 64-bit hashes; for each the least doc_id is found,
-and overlapping removed windows join up to the maximal exact repeats.
+are extended to whole WINDOW-word runs, known by two independent 64-bit hashes; for each the least
+doc_id is found, and overlapping removed windows join up to the maximal exact repeats.
 
 Groups are never expanded: a run sends one entry for each batch of documents, and only the least
 doc_id of a window comes back.  Text is shuffled twice, compressed, by batch.
 
 Defined results: null and empty texts and texts of fewer than WINDOW words lose nothing.  Rows that
-share a doc_id don't remove from each other.  A null doc_id counts as larger than all others.
+share a doc_id don't remove from each other.  A null doc_id counts as larger than all others.  An empty
+table gives an empty table.  Other columns stay as they are; one that has the name of a result gives way to it.
 """
 
 from __future__ import annotations
@@ -50,18 +51,38 @@ def _shared(left: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return keys[np.minimum(np.searchsorted(keys, left), len(keys) - 1)] == left
 
 
-def _least(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, ascending, and the least id of each."""
-    order = np.lexsort((ids, keys))
-    k = keys[order]
-    first = np.ones(len(k), bool)
-    first[1:] = k[1:] != k[:-1]
-    return k[first], ids[order][first]
+class Windows:
+    """Distinct pairs of hashes, ascending, and the least id of each."""
 
+    def __init__(self, first: np.ndarray, second: np.ndarray, ids: np.ndarray):
+        order = np.lexsort((ids, second, first))
+        a, b = first[order], second[order]
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        self.first, self.second, self.least = a[new], b[new], ids[order][new]
+        #: of each given pair, its place among the distinct ones
+        self.at = np.empty(len(a), np.int64)
+        self.at[order] = np.cumsum(new) - 1
 
-def shared_windows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """batch, digest, keys, least: windows of a batch that occur in a smaller document of another batch."""
+    def find(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Places of pairs that are there."""
+        at = np.searchsorted(self.first, first)
+        while len(wrong := np.flatnonzero(self.second[at] != second)):  # first hashes that agree by chance
+            at[wrong] += 1
+        return at
+
+
+def _first(window: np.ndarray, bits: int) -> np.ndarray:
+    return window >> U64(64 - bits) << U64(64 - bits)
+
+
+def shared_windows(docs: DataFrame, id_col: str, text_col: str, bits: int = 64) -> DataFrame:
+    """batch, digest, keys, second, least: windows of a batch that occur in a smaller document of another batch.
+
+    ``bits`` of windows' first hashes are kept: less than 64 only to test what chance does.
+    """
     parts = parts_for(docs, text_col)
+
     def probe(batches):
         for k, b in numbered(batches, text_col):
             _, keys, fixed, _ = _probes(Words(b.column(text_col)), parts)
@@ -110,36 +131,47 @@ def shared_windows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         total = np.cumsum(total)
         start, window = w.windows(h, WINDOW)
         near = total[start + WINDOW - BLOCK + 1] > total[start]
-        keys, least = _least(window[near], ids[doc[start[near]]])
-        bounds = np.searchsorted(keys >> U64(32), (np.arange(parts + 1, dtype=U64) << U64(32)) // U64(parts))
-        bounds[-1] = len(keys)
+        own = Windows(_first(window[near], bits), w.second_windows(start[near], WINDOW), ids[doc[start[near]]])
+        bounds = np.searchsorted(own.first >> U64(32), (np.arange(parts + 1, dtype=U64) << U64(32)) // U64(parts))
+        bounds[-1] = len(own.first)
         full = np.flatnonzero(np.diff(bounds))
         n, name = len(full), left.column("batch")[0].as_py()
+        cut = [slice(bounds[p], bounds[p + 1]) for p in full]
         return pa.table({
             "p": pa.array(full, pa.int32()), "batch": pa.array(np.full(n, name)), "digest": pa.array(np.full(n, left.column("digest")[0].as_py())),
-            "keys": pa.array([pack(keys[bounds[p] : bounds[p + 1]]) for p in full], pa.binary()),
-            "least": pa.array([least[bounds[p] : bounds[p + 1]].tobytes() for p in full], pa.binary()),
+            "keys": pa.array([pack(own.first[c]) for c in cut], pa.binary()), "second": pa.array([own.second[c].tobytes() for c in cut], pa.binary()), "least": pa.array([own.least[c].tobytes() for c in cut], pa.binary()),
         })
 
-    windows = stored(docs, text_col).groupBy("batch").cogroup(hits.groupBy("batch")).applyInArrow(extend, "p int, batch long, digest long, keys binary, least binary")
+    windows = stored(docs, text_col).groupBy("batch").cogroup(hits.groupBy("batch")).applyInArrow(extend, "p int, batch long, digest long, keys binary, second binary, least binary")
 
     def settle(t: pa.Table) -> pa.Table:
-        keys = [unpack(x, U64) for x in t.column("keys").to_pylist()]
-        own = [np.frombuffer(x, np.int64) for x in t.column("least").to_pylist()]
-        all_, least = _least(np.concatenate(keys), np.concatenate(own))
-        back = [(k[less], m[less]) for k, o in zip(keys, own, strict=True) for m in [least[np.searchsorted(all_, k)]] for less in [m < o]]
-        out = pa.table({"batch": t.column("batch"), "digest": t.column("digest"), "keys": pa.array([pack(k) for k, _ in back], pa.binary()), "least": pa.array([m.tobytes() for _, m in back], pa.binary())})
-        return out.filter(pa.array([len(k) > 0 for k, _ in back]))
+        first, second, least = _unpacked(t)
+        n = [len(x) for x in first]
+        all_ = Windows(np.concatenate(first), np.concatenate(second), np.concatenate(least))
+        best = np.split(all_.least[all_.at], np.cumsum(n)[:-1])
+        less = [b < o for b, o in zip(best, least, strict=True)]
+        out = pa.table({
+            "batch": t.column("batch"), "digest": t.column("digest"), "keys": pa.array([pack(x[m]) for x, m in zip(first, less, strict=True)], pa.binary()),
+            "second": pa.array([x[m].tobytes() for x, m in zip(second, less, strict=True)], pa.binary()), "least": pa.array([x[m].tobytes() for x, m in zip(best, less, strict=True)], pa.binary()),
+        })
+        return out.filter(pa.array([bool(m.any()) for m in less]))
 
-    return windows.groupBy("p").applyInArrow(settle, "batch long, digest long, keys binary, least binary")
+    return windows.groupBy("p").applyInArrow(settle, "batch long, digest long, keys binary, second binary, least binary")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of docs with n_words, n_removed and kept_text (the words that stay, joined by single spaces).
+def _unpacked(t: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    rows = lambda c, kind: [np.frombuffer(x, kind) for x in t.column(c).to_pylist()]
+    return [unpack(x, U64) for x in t.column("keys").to_pylist()], rows("second", U64), rows("least", np.int64)
 
-    The three columns must not be in docs.
-    """
-    back = written(shared_windows(docs, id_col, text_col), "windows")
+
+#: Columns that are added.
+RESULTS = ("n_words", "n_removed", "kept_text")
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 64) -> DataFrame:
+    """Rows of docs with n_words, n_removed and kept_text (the words that stay, joined by single spaces), which replace columns of these names."""
+    docs = docs.drop(*RESULTS)
+    back = written(shared_windows(docs, id_col, text_col, bits), "windows")
     schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -147,11 +179,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         w, ids = Words(b.column(text_col)), _ids(b, id_col)
         start, window = w.windows(w.hashes(), WINDOW)
         own = ids[w.doc()[start]]
-        keys, least = _least(window, own)
-        for k, m in zip(right.column("keys").to_pylist(), right.column("least").to_pylist(), strict=True):
-            at = np.searchsorted(keys, unpack(k, U64))
-            least[at] = np.minimum(least[at], np.frombuffer(m, np.int64))
-        gone = start[least[np.searchsorted(keys, window)] < own]
+        all_ = Windows(_first(window, bits), w.second_windows(start, WINDOW), own)
+        for k, second, m in zip(*_unpacked(right), strict=True):
+            at = all_.find(k, second)
+            all_.least[at] = np.minimum(all_.least[at], m)
+        gone = start[all_.least[all_.at] < own]
         cover = np.zeros(len(w.starts) + 1, np.int32)
         np.add.at(cover, gone, 1)
         np.add.at(cover, gone + WINDOW, -1)
@@ -174,7 +206,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
     """docs with the repeated words cut from its texts; a text that loses nothing stays byte for byte."""
-    out = remove_repeats(docs, id_col, text_col).withColumn(text_col, F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col(text_col)))
+    names = {c: f"{c}_" * 9 for c in docs.columns if c in RESULTS}  # kept under other names meanwhile
+    out = remove_repeats(docs.withColumnsRenamed(names), id_col, text_col).withColumn(text_col, F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col(text_col))).drop(*RESULTS)
     if length_col:
         out = out.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType))
-    return out.select(docs.columns)
+    return out.withColumnsRenamed({v: k for k, v in names.items()}).select(docs.columns)

@@ -29,6 +29,9 @@ CODE_POINT[0x80:0xC0] = False
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 _BASE, _WORD_BASE = 0x9E3779B97F4A7C15 | 5, 0xD6E8FEB86659FD93 | 5
+#: The same for a second hash that doesn't follow from the first.
+_BYTE_2 = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
+_BASE_2, _WORD_BASE_2 = 0xC2B2AE3D27D4EB4F | 5, 0x165667B19E3779F9 | 5
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -112,6 +115,10 @@ class Words:
         """One hash for each word."""
         return self.byte_hash(self.starts, self.ends)
 
+    def second_hashes(self) -> np.ndarray:
+        """Another hash for each word, from other byte values and another base."""
+        return span_hash(prefix(_BYTE_2[self.data], _BASE_2), self.starts, self.ends, _BASE_2)
+
     def counts(self) -> np.ndarray:
         return np.diff(self.off)
 
@@ -125,6 +132,10 @@ class Words:
         at = np.flatnonzero(left >= k)
         return at, span_hash(prefix(hashes, _WORD_BASE), at, at + k, _WORD_BASE)
 
+    def second_windows(self, at: np.ndarray, k: int) -> np.ndarray:
+        """Second hashes of the runs of k words that begin at the words ``at``."""
+        return span_hash(prefix(self.second_hashes(), _WORD_BASE_2), at, at + k, _WORD_BASE_2)
+
     def whole(self, hashes: np.ndarray) -> np.ndarray:
         """Hash of each text's whole word sequence."""
         return span_hash(prefix(hashes, _WORD_BASE), self.off[:-1], self.off[1:], _WORD_BASE)
