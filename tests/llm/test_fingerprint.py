@@ -1,27 +1,76 @@
 """Operator 3: edited texts by brute force, and the algebra of fingerprints."""
 
 import hashlib
+import math
+import re
 
+import xxhash
 from fixtures import SCHEMA, documents, texts
 from pyspark.sql import functions as F
 
 from trivalent.llm import fingerprint as fp
 
 
-def test_edited_texts(spark):
-    rows = sorted(((i, t or "") for i, t in texts()), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
-    got = fp.judge(documents(spark)).collect()
-    expected = []
+def ordered(rows):
+    """Descending ids, null ids last, rows of one id by the unsigned hash of their texts."""
+    return sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), xxhash.xxh64(r[1].encode(), seed=42).intdigest(), r[1]))
+
+
+def vector(text):
+    """Lanes from their definition."""
+    units = [u for u in re.split(r"\n|(?<=[.!?]) +", text) if u]
+    seed = lambda k: xxhash.xxh64(k.to_bytes(4, "little"), seed=42).intdigest()
+    a, b = ([xxhash.xxh64(u.encode(), seed=seed(k)).intdigest() for u in units] for k in (1, 2))
+    dense = [sum(x & (2**32 - 1) for x in a), sum(x >> 32 for x in a), sum(x & (2**32 - 1) for x in b), sum(x >> 32 for x in b)]
+    sparse = [sum((x >> 8) & 0xFFFF for x in a if x & 15 == j and (x >> 32) & (2**k - 1) == 0) % 2**16 for j in range(fp.LANES) for k in range(fp.LEVELS)]
+    return [x % 2**32 for x in dense] + sparse
+
+
+def likeness(v, w):
+    if v == w:
+        return 1.0
+    shares = []
+    for k in range(fp.LEVELS):
+        lanes = [(v[fp.DENSE + j * fp.LEVELS + k], w[fp.DENSE + j * fp.LEVELS + k]) for j in range(fp.LANES)]
+        used = [x for x in lanes if x != (0, 0)]
+        if used:
+            shares.append((len(used), sum(x == y for x, y in used)))
+    if not shares:
+        return 0.0
+    used, same = next((s for s in shares if s[0] <= fp.CROWDED), shares[-1])
+    full = lambda n: math.log(1 - min(n, fp.LANES - 0.5) / fp.LANES)
+    return max(0.0, 1 - full(used - same) / full(used))
+
+
+def expected(rows):
+    rows = ordered(rows)
+    out = []
     for (doc, t), (_, after) in zip(rows, rows[1:] + rows[:1], strict=True):
         cut = len(t) // 3
-        expected.append((str(doc), len(t), hashlib.sha256((t[: len(t) - cut] + after[:cut]).encode()).hexdigest()))
-    assert sorted((str(r["doc_id"]), r["n_chars"], r["edited_sha256"]) for r in got) == sorted(expected)
-    assert all(0 <= r[c] <= 1 for r in got for c in ("near_edited", "near_next"))
-    prints, unique = {}, dict(rows)
-    for r in got:
-        if r["doc_id"] not in (75, None):
-            prints.setdefault(unique[r["doc_id"]], set()).add(r["fingerprint"])
-    assert all(len(x) == 1 for x in prints.values())
+        edited = t[: len(t) - cut] + after[:cut]
+        v, e, n = vector(t), vector(edited), vector(after)
+        out.append((str(doc), len(t), hashlib.sha256(edited.encode()).hexdigest(), "".join(f"{x:0{8 if i < fp.DENSE else 4}x}" for i, x in enumerate(v)), round(likeness(v, e), 9), round(likeness(v, n), 9)))
+    return sorted(out)
+
+
+def found(df):
+    return sorted((str(r["doc_id"]), r["n_chars"], r["edited_sha256"], r["fingerprint"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in df.collect())
+
+
+def test_whole_result_by_brute_force(spark):
+    assert found(fp.judge(documents(spark))) == expected(texts())
+
+
+def test_shared_ids_are_cut_as_well(spark, monkeypatch):
+    """A third of all rows with one id, a third with none: small buckets, more of them than one quantile has, and both ways to the copies."""
+    monkeypatch.setattr(fp, "BUCKET_BYTES", 16)
+    rows = [(7, f"text {k} of one id. And more") for k in range(300)] + [(None, f"text {k} of none") for k in range(300)] + [(k * 3, f"text {k}") for k in range(-100, 200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert found(fp.judge(df)) == expected(rows)
+    parts = fp.with_next(df, "doc_id", "text").where("not copy").groupBy("bucket").count()
+    assert parts.where("count > 120").count() == 0 and parts.count() > 40
+    monkeypatch.setattr(fp, "MOST_COPIES", 0)
+    assert found(fp.judge(df)) == expected(rows)
 
 
 def test_algebra(spark):

@@ -5,19 +5,22 @@ hashed to a wide vector, and a document's fingerprint is the sum of its paragrap
 modulo a power of two.  So fingerprints don't depend on the order of paragraphs, and a paragraph is
 added or taken away by adding or subtracting its vector (``plus``, ``minus``).  Lanes:
 
-* 4 dense lanes modulo 2**32, for equality;
+* 4 dense lanes modulo 2**32, of two hashes with seeds of their own, for equality;
 * LEVELS x LANES sparse lanes modulo 2**16: level k holds the paragraphs whose hash ends in k zero
   bits, each in one lane.  From the lanes in use and the lanes that differ, in the first level that
   is not crowded (the last in use, if all are; LEVELS are enough for 10**8 paragraphs), follow the
   numbers of paragraphs in either text and in only one of them, as in linear counting; the likeness
   of two fingerprints is one less their ratio.
 
-Everything is DataFrame expressions.  The next document in order of ids is found with one exchange of
-the texts: ids are cut into buckets by bounded quantiles, each bucket gets a copy of the document that
-comes next after its last, and a window runs in each bucket.
+Everything is DataFrame expressions.  The order is by id, descending, null ids last; rows of one id in order of a hash of
+their texts, then of the texts.  The next document is found with one exchange of the texts: ids are cut into buckets by bounded
+quantiles, ids that many rows share by the hash; a window runs in each bucket, and each bucket gets a copy of the
+document that comes next after its last.  Which these are comes from the buckets' first ids and hashes, an
+aggregate without texts, in which a window runs over the buckets of each quantile and one over the quantiles.  The copies
+(a row a bucket of 8 MB of text) are found by a broadcast up to ``MOST_COPIES`` of them, and beyond by a join of both sides.
 
-Defined results: a null text is empty; empty texts have the zero vector.  Documents with a null id come
-last in descending order, rows with equal ids in order of their texts.
+Defined results: a null text is empty; empty texts have the zero vector; an empty table gives an empty table; other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ CROWDED = 12
 DENSE = 4
 #: Quantiles of the ids, and bytes of text in a bucket.
 QUANTILES, BUCKET_BYTES = 256, 8 << 20
+#: Copies that are broadcast (32 bytes each), bytes of text in a partition, and ids that are cut by their texts' hashes.
+MOST_COPIES, PART_BYTES, HOT_IDS = 1 << 20, 64 << 20, 1024
 
 
 def let(value: Column, body) -> Column:
@@ -40,14 +45,18 @@ def let(value: Column, body) -> Column:
 def vector(text: Column) -> Column:
     """array<bigint> of DENSE + LEVELS * LANES lanes."""
     units = F.filter(F.split(F.coalesce(text, F.lit("")), r"\n|(?<=[.!?]) +"), lambda u: u != F.lit(""))
-    return let(F.transform(units, lambda u: F.xxhash64(u)), vector_of_hashes)
+    return let(F.transform(units, lambda u: F.struct(F.xxhash64(F.lit(1), u).alias("a"), F.xxhash64(F.lit(2), u).alias("b"))), vector_of_hashes)
 
 
-def vector_of_hashes(h: Column) -> Column:
+def vector_of_hashes(hashes: Column) -> Column:
+    """Of structs of a paragraph's two hashes."""
+
     def total(values: Column, value, bits: int) -> Column:
         return F.aggregate(values, F.lit(0).cast("bigint"), lambda a, x: (a + value(x)).bitwiseAND(F.lit(2**bits - 1)))
 
-    dense = F.transform(F.sequence(F.lit(1), F.lit(DENSE)), lambda k: total(h, lambda x: F.xxhash64(x, k).bitwiseAND(F.lit(2**32 - 1)), 32))
+    low, high = (lambda c: lambda x: x[c].bitwiseAND(F.lit(2**32 - 1))), (lambda c: lambda x: F.shiftrightunsigned(x[c], 32))
+    dense = F.array(*(total(hashes, part(c), 32) for c in ("a", "b") for part in (low, high)))
+    h = F.transform(hashes, lambda x: x["a"])
     masks = F.array(*(F.lit(2**k - 1).cast("bigint") for k in range(LEVELS)))
 
     def lane(ours: Column) -> Column:
@@ -94,37 +103,46 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, text and next_text (of the next smaller id; after the smallest, of the largest), ``bucket`` and
-    ``wraps`` as the window has them; rows that are only copies have ``copy`` set."""
+    """id, text and next_text (of the next smaller id; after the smallest, of the largest); rows that are only copies have ``copy`` set."""
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    stats = docs.agg(F.sum(F.octet_length(text_col)).alias("bytes"), F.min(F.col(id_col).cast("long")).alias("lo"), F.max(F.col(id_col).cast("long")).alias("hi"), F.percentile_approx(F.col(id_col).cast("long"), [(i + 1) / QUANTILES for i in range(QUANTILES - 1)], 10_000).alias("q")).first()
-    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), (stats["bytes"] or 0) // BUCKET_BYTES)
-    inner = -(-buckets // QUANTILES)
-    if stats["lo"] is None:
-        bounds = [0, 1]
-    else:
-        bounds = sorted({stats["lo"], *(stats["q"] or []), stats["hi"] + 1})
+    quantiles = F.percentile_approx("id", [(i + 1) / QUANTILES for i in range(QUANTILES - 1)], 10_000)
+    stats = slim.agg(F.count("*").alias("rows"), F.sum(F.octet_length("text")).alias("bytes"), F.min("id").alias("lo"), F.max("id").alias("hi"), quantiles.alias("q")).first()
+    size, wide = stats["bytes"] or 0, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # ids of a thousandth of all rows: HOT_IDS of them at most
+    hot = [r["id"] for r in slim.groupBy("id").count().where(F.col("count") > max(1, stats["rows"] // HOT_IDS)).select("id").collect()]
+    inner = -(-max(4 * wide, size // BUCKET_BYTES) // QUANTILES)
+    own = [i for i in hot if i is not None]
+    bounds = [0, 1] if stats["lo"] is None else sorted({stats["lo"], *(stats["q"] or []), *own, *(i + 1 for i in own), stats["hi"] + 1})
     known = F.array(*(F.lit(b).cast("bigint") for b in bounds))
-    at = F.size(F.filter(known, lambda q: q <= F.col("id")))
-    low, high = F.get(known, F.col("at") - 1), F.get(known, F.col("at"))
-    place = lambda df: df.withColumn("at", at).withColumn("bucket", F.when(F.col("id").isNull(), F.lit(inner).cast("bigint")).otherwise(F.col("at").cast("bigint") * inner + F.least(F.floor((F.col("id") - low) / (high - low) * inner), F.lit(inner - 1)))).drop("at")
-    # null ids are in the lowest bucket, as that of the least id is number ``inner``
-    # the largest id of each bucket comes next after the bucket above it: as many rows as buckets
-    tops = sorted((r["bucket"], r["top"]) for r in place(slim.select("id")).groupBy("bucket").agg(F.max("id").alias("top")).collect())
-    full = [(b, t) for b, t in tops if t is not None]
-    first = min((b for b, _ in tops), default=0)
-    copies = [(t, up) for (_, t), (up, _) in zip(full, full[1:], strict=False)]
-    wrap = [(full[-1][1], first)] if full else []
-    extra = spark.createDataFrame([(t, b, False) for t, b in copies] + [(t, b, True) for t, b in wrap], "id long, target long, wraps boolean")
-    own = place(slim).select("id", "text", "bucket", F.lit(False).alias("wraps"), F.lit(False).alias("copy"))
-    ghosts = slim.join(F.broadcast(extra), "id").select("id", "text", F.col("target").alias("bucket"), "wraps", F.lit(True).alias("copy"))
-    rows = own.unionByName(ghosts)
-    return rows.withColumn("next_text", F.lead("text").over(order()))
-
-
-def order() -> Window:
-    return Window.partitionBy("bucket").orderBy(F.col("wraps"), F.col("id").desc_nulls_last(), F.col("text"))
+    hashed = F.xxhash64("text")
+    tie = F.when(F.col("id").isNull() | F.col("id").isin(own), hashed).otherwise(F.lit(0)) if hot else F.lit(0).cast("long")
+    # places from the end of the order: quantile 0 has the null ids; in an id's own quantile hashes count from the end as well
+    share_of_hash = F.shiftrightunsigned(F.col("tie"), 11) / F.lit(float(1 << 53))
+    low, high = F.get(known, F.col("quantile") - 1), F.get(known, F.col("quantile"))
+    share = F.when(F.col("id").isNull() | F.col("id").isin(own), 1 - share_of_hash).otherwise((F.col("id") - low) / (high - low)) if hot else F.when(F.col("id").isNull(), 0.0).otherwise((F.col("id") - low) / (high - low))
+    cut = F.least(F.greatest(F.floor(share * inner), F.lit(0)), F.lit(inner - 1))
+    at = F.when(F.col("id").isNull(), F.lit(0)).otherwise(F.size(F.filter(known, lambda q: q <= F.col("id"))))
+    place = lambda df: df.withColumn("quantile", at).withColumn("cut", cut).withColumn("bucket", F.col("quantile").cast("bigint") * inner + F.col("cut")).drop("cut")
+    # the unsigned order of hashes is that of their halves
+    halves = lambda c: (F.shiftrightunsigned(c, 32).alias("high"), F.shiftrightunsigned(F.shiftleft(c, 32), 32).alias("low"))
+    first = F.struct(F.col("id").isNull().alias("none"), (-F.col("id")).alias("back"), *halves(F.col("tie")), F.col("tie").alias("tie"))
+    keyed = place(slim.withColumn("tie", tie))
+    tops = keyed.groupBy("quantile", "bucket").agg(F.min(first).alias("first"))
+    # of each bucket, the next above it that is not empty: in its quantile, or the least of the next quantile
+    ends = tops.groupBy("quantile").agg(F.min("bucket").alias("least"), F.max("bucket").alias("most"))
+    ends = ends.withColumn("above", F.lead("least").over(Window.orderBy("quantile"))).withColumn("lowest", F.min("least").over(Window.partitionBy()))
+    up = tops.withColumn("up", F.lead("bucket").over(Window.partitionBy("quantile").orderBy("bucket"))).join(F.broadcast(ends), "quantile")
+    # the first of the order comes after the last: its bucket is the highest, its copy goes to the lowest
+    up = up.withColumn("wraps", F.col("up").isNull() & F.col("above").isNull())
+    extra = up.select((-F.col("first.back")).alias("id"), F.col("first.tie").alias("tie"), F.coalesce("up", "above", "lowest").alias("target"), "wraps")
+    few = (len(bounds) + 1) * inner <= MOST_COPIES
+    same = (F.col("k.id").eqNullSafe(F.col("x.id"))) & (F.col("k.tie") == F.col("x.tie"))
+    ghosts = keyed.alias("k").join((F.broadcast(extra) if few else extra).alias("x"), same).select("k.id", "k.text", "k.tie", F.col("x.target").alias("bucket"), "x.wraps", F.lit(True).alias("copy"))
+    rows = keyed.select("id", "text", "tie", "bucket", F.lit(False).alias("wraps"), F.lit(False).alias("copy")).unionByName(ghosts)
+    dealt = rows.repartition(max(wide, -(-size // PART_BYTES)), "bucket")
+    order = Window.partitionBy("bucket").orderBy("wraps", F.col("id").desc_nulls_last(), *halves(F.col("tie")), "text")
+    return dealt.withColumn("next_text", F.lead("text").over(order))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
