@@ -1,13 +1,14 @@
 """URL filters (operator 4): a cascade of Bloom filters with exact answers.
 
 A rule is (host, path prefix, action); it fits its host and all subdomains.  The keys of a url are all
-pairs of a host suffix (cut at dots) and a path prefix of one of the lengths that rules have, so the
-keys of all urls of a table are the complete universe in which rules are looked up.  A cascade for a
+pairs of a host suffix (cut at dots, of as many labels as rules have at most) and a path prefix of one of the
+lengths that rules have, so the distinct keys of all urls are the complete universe in which rules are looked up;
+it is written once, with two 64-bit hashes for each key.  A cascade for a
 set of listed keys is built over that universe: level 1 encodes the listed keys, level 2 the other
 keys of the universe that level 1 passes by mistake, level 3 the listed keys that level 2 passes, and
 so on until no mistakes are left.  Membership of any key of the universe is then exact, without a
 join: it is decided by the parity of the level that first says no.  There is one cascade for each
-action.
+action.  Which keys are others is told by their texts, not by hashes.
 
 Size: level 1 has at least log2(universe / listed) * 1.44 bits a listed key, so the keys that it
 passes by mistake are about as many as the listed ones, and each further level halves.  Thus a cascade
@@ -17,7 +18,7 @@ checked against ``MAX_BYTES`` before it is sent to executors.
 Defined results: a null url or one without ``://`` has an empty host and path, no rule and the
 method's verdict (allow).  Rows are judged each for itself; repeated rows repeat.  Of the rules that
 fit, the longest host and then the longest path wins by total length of ``host + path``; equal rules
-may not be given with both actions.
+may not be given with both actions.  An empty table gives an empty table; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import written
 from .words import U64, mix
 
 #: (host, path, action)
@@ -72,8 +74,10 @@ class Cascade:
 
     @staticmethod
     def _places(keys: np.ndarray, level: int, bits: int, k: int):
-        a = mix(keys ^ U64((0x9E3779B97F4A7C15 * (level + 1)) % 2**64))
-        b = mix(a) | U64(1)
+        """k places for each key, a row of two hashes."""
+        salt = U64((0x9E3779B97F4A7C15 * (level + 1)) % 2**64)
+        a = mix(keys[:, 0] ^ salt)
+        b = mix(mix(keys[:, 1] + salt) ^ keys[:, 0]) | U64(1)
         for i in range(k):
             yield ((a + U64(i) * b) % U64(bits)).astype(np.int64)
 
@@ -98,50 +102,63 @@ class Cascade:
         return inside
 
 
-def _keys(hosts: pd.Series, paths: pd.Series, lengths: list[int]) -> tuple[np.ndarray, list[str], np.ndarray]:
-    """For each url: its keys, as rows of (url, key text), longest first."""
-    row, text = [], []
-    for i, (host, path) in enumerate(zip(hosts, paths, strict=True)):
-        parts = host.split(".") if host else []
-        found = {".".join(parts[j:]) + path[:n] for j in range(len(parts)) for n in lengths if n <= len(path)}
-        row += [i] * len(found)
-        text += sorted(found, key=lambda x: (-len(x), x))
-    return np.array(row, np.int64), text, hash_keys(text)
+#: Levels after which a cascade is given up: two keys have the same two hashes.
+MOST_LEVELS = 64
+SEEDS = (11, 12)
 
 
-def hash_keys(text: list[str]) -> np.ndarray:
-    return pd.util.hash_array(np.array(text, object), categorize=False).astype(U64) if text else np.zeros(0, U64)
+def hashes_of(key: Column) -> Column:
+    """Two hashes with seeds of their own."""
+    return F.array(*(F.xxhash64(F.lit(seed), key) for seed in SEEDS))
 
 
-def build(urls: DataFrame, listed: list[str], lengths: list[int]) -> Cascade:
-    """A cascade for the listed keys over the keys of all urls (host, path)."""
-    ours = hash_keys(sorted(set(listed)))
-    universe_keys = _universe(urls, lengths)
+def _matrix(hashes) -> np.ndarray:
+    return np.array([list(h) for h in hashes], np.int64).reshape(-1, len(SEEDS)).view(U64)
 
-    def others(cascade: Cascade, top: int) -> np.ndarray:
-        """Keys of the universe, not listed, that pass levels 0, 2, ... top (and 1, 3, ...), in order."""
+
+def keys_of(host: Column, path: Column, lengths: list[int], labels: int) -> Column:
+    """The distinct keys of a url, the longest first."""
+    suffixes = F.array(*(F.substring_index(host, ".", -(k + 1)) for k in range(labels)))
+    fitting = F.filter(F.array(*(F.lit(n) for n in lengths)).cast("array<int>"), lambda n: n <= F.length(path))
+    keys = F.flatten(F.transform(suffixes, lambda x: F.transform(fitting, lambda n: F.concat(x, F.substr(path, F.lit(1), n)))))
+    ranked = F.sort_array(F.transform(F.array_distinct(keys), lambda k: F.struct((-F.length(k)).alias("n"), k.alias("key"))))
+    return F.when(host != "", F.transform(ranked, lambda r: r["key"])).otherwise(F.array().cast("array<string>"))
+
+
+def universe(urls: DataFrame) -> DataFrame:
+    """key, a, b (its hashes): the distinct keys of all urls (keys: array<string>), written once."""
+    distinct = urls.select(F.explode("keys").alias("key")).distinct()
+    return written(distinct.select("key", *(F.xxhash64(F.lit(seed), "key").alias(c) for seed, c in zip(SEEDS, "ab", strict=True))), "universe")
+
+
+def build(keys: DataFrame, listed: list[str]) -> Cascade:
+    """A cascade for the listed keys over a universe."""
+    spark = keys.sparkSession
+    ours = spark.createDataFrame([(k,) for k in sorted(set(listed))], "key string")
+    inside = _matrix(r["h"] for r in ours.select(hashes_of(F.col("key")).alias("h")).collect())
+    others, size = keys.join(ours, "key", "left_anti"), max(1, keys.count())
+    cascade = Cascade(min(0.5, max(1e-9, len(inside) / size)))
+
+    def passed(top: int) -> np.ndarray:
+        """Other keys that pass levels 0, ... top: about as many as listed ones at the first level, and half as many at each that follows."""
 
         def run(batches):
             for pdf in batches:
-                h = pdf["key"].to_numpy().view(U64)
-                ok = ~np.isin(h, ours)
+                h = pdf[["a", "b"]].to_numpy(np.int64).view(U64)
+                ok = np.ones(len(h), bool)
                 for level in range(top + 1):
                     ok[ok] = cascade.passes(h[ok], level)
-                yield pd.DataFrame({"key": h[ok].view(np.int64)})
-
-        rows = universe_keys.mapInPandas(run, "key long").distinct()
-        bound = MAX_BYTES // 8
-        got = rows.limit(bound + 1).toPandas()["key"].to_numpy(np.int64).view(U64)
-        if len(got) > bound:
-            raise ValueError(f"over {bound} keys pass by mistake")
-        return got
-
-    size = max(1, universe_keys.select(F.approx_count_distinct("key")).first()[0])
-    cascade = Cascade(min(0.5, max(1e-9, len(ours) / size)))
-    cascade.add(ours)
-    inside = ours
-    while True:
-        outside = others(cascade, len(cascade.levels) - 1)
+                yield pdf[ok]
+
+        bound = MAX_BYTES // 16
+        rows = others.select("a", "b").mapInPandas(run, "a long, b long").limit(bound + 1).collect()
+        if len(rows) > bound:
+            raise ValueError(f"over {bound} keys pass by mistake; the rule list is too long for {MAX_BYTES} bytes")
+        return _matrix(rows)
+
+    cascade.add(inside)
+    while len(cascade.levels) < MOST_LEVELS:
+        outside = passed(len(cascade.levels) - 1)
         if not len(outside):
             return cascade
         cascade.add(outside)
@@ -149,40 +166,34 @@ def build(urls: DataFrame, listed: list[str], lengths: list[int]) -> Cascade:
         if not len(inside):
             return cascade
         cascade.add(inside)
-
-
-def _universe(urls: DataFrame, lengths: list[int]) -> DataFrame:
-    def run(batches):
-        for pdf in batches:
-            _, _, h = _keys(pdf["host"], pdf["prefix"], lengths)
-            yield pd.DataFrame({"key": np.unique(h).view(np.int64)})
-
-    longest = max(lengths, default=0)
-    return urls.select("host", F.substring("path", 1, longest).alias("prefix")).distinct().mapInPandas(run, "key long").distinct()
+    raise ValueError("two keys of the universe have the same hashes")
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, otherwise: str = OTHERWISE) -> DataFrame:
     """id, host, path, rule and verdict, a row for each row of pages."""
     slim = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"))
     urls = slim.select("id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    lengths = sorted({len(p) for _, p, _ in rules})
     keyed = {h + p: a for h, p, a in rules}
     if len(keyed) < len(set(rules)):
         raise ValueError("two rules have the same host and path")
-    cascades = {a: build(urls, [k for k, x in keyed.items() if x == a], lengths) for a in sorted(set(keyed.values()))}
+    lengths, labels = sorted({len(p) for _, p, _ in rules}), max((h.count(".") + 1 for h, _, _ in rules), default=1)
+    urls = urls.withColumn("keys", keys_of(F.col("host"), F.col("path"), lengths, labels))
+    every = universe(urls)
+    cascades = {a: build(every, [k for k, x in keyed.items() if x == a]) for a in sorted(set(keyed.values()))}
+    actions = list(cascades)
 
     def run(batches):
         for pdf in batches:
-            row, text, h = _keys(pdf["host"], pdf["path"].str[: max(lengths, default=0)], lengths)
-            rule, verdict = np.full(len(pdf), None, object), np.full(len(pdf), otherwise, object)
+            n = pdf["hashes"].map(len).to_numpy(np.int64)
+            h = _matrix(x for row in pdf["hashes"] for x in row)
+            start, row = np.cumsum(n) - n, np.repeat(np.arange(len(pdf)), n)
+            place, action = np.zeros(len(pdf), np.int32), np.full(len(pdf), -1)
             # keys come longest first: the last assignment of the reversed order is the longest
-            for action, cascade in cascades.items():
-                hit = np.flatnonzero(cascade.has(h))[::-1]
-                for k in hit:
-                    i = row[k]
-                    if rule[i] is None or len(text[k]) >= len(rule[i]):
-                        rule[i], verdict[i] = text[k], action
-            yield pdf.assign(rule=rule, verdict=verdict)
+            inside = np.stack([cascades[a].has(h) for a in actions]) if len(h) else np.zeros((len(actions), 0), bool)
+            hit = np.flatnonzero(inside.any(axis=0))[::-1]
+            place[row[hit]], action[row[hit]] = hit - start[row[hit]] + 1, inside[:, hit].argmax(axis=0)
+            yield pdf.drop(columns="hashes").assign(place=place, verdict=[actions[a] if a >= 0 else otherwise for a in action])
 
     kind = pages.schema[id_col].dataType.simpleString()
-    return urls.mapInPandas(run, f"id {kind}, host string, path string, rule string, verdict string").withColumnRenamed("id", id_col)
+    judged = urls.select("*", F.transform("keys", hashes_of).alias("hashes")).mapInPandas(run, f"id {kind}, host string, path string, keys array<string>, place int, verdict string")
+    return judged.select(F.col("id").alias(id_col), "host", "path", F.when(F.col("place") > 0, F.try_element_at("keys", F.col("place"))).alias("rule"), "verdict")
