@@ -24,6 +24,7 @@ def test_sql(spark):
         ('{"instruction":"i","input":"q","output":"o"}', "instruction", [("user", "i\n\nq"), ("assistant", "o")]),
         ('{"system":"","instruction":"i","input":"","output":"o"}', "system and instruction", [("user", "i"), ("assistant", "o")]),
         ('{"prompt":"p","response":3}', "prompt and response", [("user", "p"), ("assistant", "3")]),
+        ('{"name":"n","source":"s","messages":[{"role":"bot","content":"a","name":"m"}]}', "messages", [("assistant", "a")]), ('{"id":1,"lang":"en","prompt":"p","response":"r"}', "prompt and response", [("user", "p"), ("assistant", "r")]),
         ('{"question":"p","answer":"x"}', "question and answer", [("user", "p"), ("assistant", "x")]), ('{"messages":[]}', "messages", []), ('{"other":1}', None, None), ('{"messages":[[1]]}', None, None), ("null", None, None),
     ],
 )
@@ -52,3 +53,18 @@ def test_odd_rows(spark):
     got = {r["conv_id"]: r for r in chat.digests(chat.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, segments int"))).collect()}
     assert got[1]["n_turns"] == 3 and got[None]["loss_chars"] == 1 and got[2]["loss_chars"] == 0
     assert chat.digests(chat.conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
+
+
+def test_unknown_layouts_stay_with_a_reason(spark):
+    rows = ['{"conv_id":1,"turn":2,"role":"user","text":"second"}', '{"conv_id":1,"turn":1,"role":"user","text":"first"}', '{"conv_id":1,"turn":3,"other":"x"}', '{"id":2,"messages":[{"role":"user","content":"a"},{"role":"assistant","content":"b"}]}', '{"id":3,"else":[{"a":1}]}', '{"id":4,"messages":[]}']
+    got = {r["conv_id"]: r for r in chat.formatted_records(spark.createDataFrame([(x,) for x in rows], "j string").select(F.parse_json("j").alias("record"))).collect()}
+    assert got[1]["formatted"].index("first") < got[1]["formatted"].index("second") and "other" in got[1]["reason"]
+    assert got[2]["reason"] is None and [tuple(x) for x in got[2]["loss"]] == [(len(got[2]["formatted"]) - 4, 1)]
+    assert got[3]["formatted"] == "" and got[3]["reason"].startswith("unknown layout") and got[4]["reason"] is None and got[4]["formatted"] == ""
+
+
+def test_mappings_share_no_layout(spark):
+    known = chat.fingerprints(spark, chat.MAPPINGS)
+    assert len({x for v in known.values() for x in v}) == sum(map(len, known.values())) > 300
+    with pytest.raises(ValueError):
+        chat.fingerprints(spark, (*chat.MAPPINGS, chat.Mapping("again", ("{role,text}",), single=("$.role", "$.text"))))

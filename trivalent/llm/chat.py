@@ -1,29 +1,32 @@
 r"""Chat formatting (operator 7): schema fingerprints choose declarative mappings to canonical turns.
 
-Every record is a VARIANT.  Its nested field paths (names and nesting, without the types of leaves) are
-hashed to a fingerprint, and the fingerprint selects one of ``MAPPINGS``, which says where the turns of
-such a layout are: in rows of one turn, in arrays of messages, or in prompt and answer fields.  A record
-whose fingerprint is not known has null ``layout`` and null ``turns``; nothing is guessed.
+Every record is a VARIANT, made of a row's columns as they come.  Its nested field paths (names and nesting, without the
+types of leaves) are hashed to a fingerprint, and the fingerprint selects one of ``MAPPINGS``, which says where the
+conversation's id and the turn's number are and where the turns: in rows of one turn, in arrays of messages, or in prompt and
+answer fields.  A mapping names the fields that it needs and those that may be there besides; each choice of these has a
+fingerprint.  A record whose fingerprint is not known has null ``layout`` and null ``turns``; nothing is guessed, and its
+conversation stays, with ``reason``.
 
 Turns are written by a template of control strings.  Inside texts and other roles, a control string gets a
 backslash after its first character, and one that already has backslashes there gets one more; so no
 control string is left in them and the change is undone exactly by taking one backslash away.  The
-result is a list of segments with a loss flag: their texts, concatenated, are the formatted text, and
-the flagged ones are the assistant texts and nothing else.
+result is the formatted text and its loss mask, as spans of code points: the assistant texts and nothing else.
 
 All of it is DataFrame expressions.  One shuffle brings the turns of a conversation together.
 
 Defined results: null texts and null roles are empty; turns with equal numbers are ordered by role and
 text; null turn numbers come first; rows with a null conversation id form one conversation, as in
-GROUP BY; an empty table gives an empty table; other columns are ignored.
+GROUP BY; an empty table gives an empty table; other columns that no layout knows make a layout that is not known, so
+``conversations`` takes the four columns it is given.  A conversation is one row, so its turns come together in one task.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TURN_TYPE = "array<struct<role:string,text:string>>"
@@ -33,22 +36,39 @@ TURN_TYPE = "array<struct<role:string,text:string>>"
 class Mapping:
     """A layout: field paths with their nesting, and where its turns are.
 
-    ``array``: path, role field and text field of an array of messages; ``single``: role path and text
-    path of a record that is one turn; ``fields``: (role, paths whose texts are joined by a blank line).
+    ``layouts``: the fields that must be there; ``besides``: those that may.  ``array``: path, role field and text field of an
+    array of messages; ``single``: role path and text path of a record that is one turn; ``fields``: (role, paths whose texts
+    are joined by a blank line).
     """
 
     name: str
     layouts: tuple[str, ...]
+    besides: tuple[str, ...] = ("conv_id", "id", "lang", "name", "source", "turn")
     array: tuple[str, str, str] | None = None
     single: tuple[str, str] | None = None
     fields: tuple[tuple[str, tuple[str, ...]], ...] = ()
 
+    def all_layouts(self) -> list[str]:
+        """Every choice of fields, each in order of name."""
+        out = []
+        for layout_ in self.layouts:
+            need = _fields(layout_)
+            for n in range(len(self.besides) + 1):
+                for more in itertools.combinations([b for b in self.besides if b not in {f.split(":")[0] for f in need}], n):
+                    out.append("{" + ",".join(sorted([*need, *more], key=lambda f: f.split(":")[0])) + "}")
+        return sorted(set(out))
+
+
+def _fields(short: str) -> list[str]:
+    """The outer fields of ``{a,b:[{c,d}]}``."""
+    return re.findall(r"[^,{}\[\]]+(?:\[[^\]]*\])?", short[1:-1])
+
 
 MAPPINGS = (
-    Mapping("turn rows", ("{conv_id,role,text,turn}", "{role,text}", "{role,text,turn}"), single=("$.role", "$.text")),
+    Mapping("turn rows", ("{role,text}",), single=("$.role", "$.text")),
     Mapping("role and content", ("{content,role}",), single=("$.role", "$.content")),
-    Mapping("messages", ("{messages:[{content,role}]}", "{id,messages:[{content,role}]}", "{messages:[]}"), array=("$.messages", "role", "content")),
-    Mapping("from and value", ("{conversations:[{from,value}]}", "{conversations:[{from,value}],id}"), array=("$.conversations", "from", "value")),
+    Mapping("messages", ("{messages:[{content,role}]}", "{messages:[{content,name,role}]}", "{messages:[]}"), array=("$.messages", "role", "content")),
+    Mapping("from and value", ("{conversations:[{from,value}]}",), array=("$.conversations", "from", "value")),
     Mapping("instruction", ("{input,instruction,output}", "{instruction,output}"), fields=(("user", ("$.instruction", "$.input")), ("assistant", ("$.output",)))),
     Mapping("system and instruction", ("{input,instruction,output,system}",), fields=(("system", ("$.system",)), ("user", ("$.instruction", "$.input")), ("assistant", ("$.output",)))),
     Mapping("prompt and response", ("{prompt,response}",), fields=(("user", ("$.prompt",)), ("assistant", ("$.response",)))),
@@ -76,6 +96,17 @@ def fingerprint(record: Column) -> Column:
     return F.xxhash64(layout(record))
 
 
+def fingerprints(spark: SparkSession, mappings: tuple[Mapping, ...]) -> dict[str, list[int]]:
+    """Each mapping's fingerprints; a layout of two mappings raises."""
+    rows = ", ".join(f"('{m.name}', '{written_out(x)}')" for m in mappings for x in m.all_layouts())
+    out: dict[str, list[int]] = {}
+    for r in spark.sql(f"SELECT name, xxhash64(layout) AS fp FROM VALUES {rows} AS t(name, layout)").collect():
+        if any(r["fp"] in v for v in out.values()):
+            raise ValueError(f"a layout of {r['name']!r} is of another mapping as well")
+        out.setdefault(r["name"], []).append(r["fp"])
+    return out
+
+
 def _of(m: Mapping, record: Column) -> Column:
     text = lambda path: F.coalesce(F.try_variant_get(record, path, "string"), F.lit(""))
     alias = F.create_map(*(F.lit(x) for pair in ROLES.items() for x in pair))
@@ -93,9 +124,10 @@ def _of(m: Mapping, record: Column) -> Column:
 
 def to_turns(records: DataFrame, record_col: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """records with ``layout`` (a mapping's name) and ``turns`` for its VARIANT column."""
+    known = fingerprints(records.sparkSession, mappings)
     named, turns = F.lit(None).cast("string"), F.lit(None).cast(TURN_TYPE)
     for m in reversed(mappings):
-        fits = F.col("_fp").isin(*(F.xxhash64(F.lit(written_out(x))) for x in m.layouts))
+        fits = F.col("_fp").isin(*known[m.name])
         named, turns = F.when(fits, F.lit(m.name)).otherwise(named), F.when(fits, _of(m, F.col(record_col)).cast(TURN_TYPE)).otherwise(turns)
     return records.withColumn("_fp", fingerprint(F.col(record_col))).withColumn("layout", named).withColumn("turns", turns).drop("_fp")
 
@@ -145,15 +177,34 @@ def parse(formatted: Column) -> Column:
     return F.transform(bodies, of)
 
 
+def records(rows: DataFrame, *columns: str) -> DataFrame:
+    """One VARIANT a row, ``record``, of its columns as they come (nulls are fields as well)."""
+    return rows.select(F.to_variant_object(F.struct(*(columns or rows.columns))).alias("record"))
+
+
 def conversations(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """id, segments, formatted: one row a conversation, from rows of one turn each."""
-    record = F.to_variant_object(F.struct(F.col(id_col).alias("conv_id"), F.coalesce(role_col, F.lit("")).alias("role"), F.coalesce(text_col, F.lit("")).alias("text"), F.col(turn_col).alias("turn")))
-    turns = to_turns(rows.select(F.col(id_col).alias("id"), F.col(turn_col).alias("n"), record.alias("record")))
-    parts = turns.select("id", "n", F.explode(segments_per_turn(F.col("turns"))).alias("part"))
-    whole = parts.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "part"))).alias("parts"))
+    """``formatted_records`` of rows of one turn each."""
+    named = rows.select(F.col(id_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(role_col, F.lit("")).alias("role"), F.coalesce(text_col, F.lit("")).alias("text"))
+    return formatted_records(records(named), rows.schema[id_col].dataType.simpleString()).withColumnRenamed("conv_id", id_col)
+
+
+def formatted_records(rows: DataFrame, id_type: str = "long") -> DataFrame:
+    """conv_id, formatted, loss (array<struct<start, length>>, in code points from 1) and reason, one row a conversation.
+
+    rows: ``record``, of any layouts; a record's conversation is its field ``conv_id``, else ``id``, and its place the field
+    ``turn``.  reason names the layouts of a conversation's records that no mapping knows; it is null if all were read.
+    """
+    field = lambda path, kind: F.try_variant_get("record", path, kind)
+    placed = to_turns(rows.select(F.coalesce(field("$.conv_id", id_type), field("$.id", id_type)).alias("id"), field("$.turn", "long").alias("n"), "record"))
+    unread = F.when(F.col("layout").isNull(), F.concat(F.lit("unknown layout: "), F.coalesce(layout(F.col("record")), F.lit("null"))))
+    turns = placed.select("id", "n", unread.alias("unread"), F.posexplode_outer(segments_per_turn(F.col("turns"))).alias("k", "part"))
+    part = F.when(F.col("part").isNotNull(), F.struct("n", "k", "part"))
+    whole = turns.groupBy("id").agg(F.sort_array(F.collect_list(part)).alias("parts"), F.min("unread").alias("reason"))
     seg = F.flatten(F.transform("parts", lambda p: p["part"]["segments"]))
-    out = whole.select(F.col("id").alias(id_col), seg.alias("segments"))
-    return out.withColumn("formatted", F.array_join(F.transform("segments", lambda s: s["text"]), ""))
+    out = whole.select(F.col("id").alias("conv_id"), seg.alias("segments"), "reason")
+    begin = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
+    step = lambda a, s: F.struct((a["at"] + F.length(s["text"])).alias("at"), F.when(s["loss"], F.concat(a["spans"], F.array(F.struct(a["at"].alias("start"), F.length(s["text"]).alias("length"))))).otherwise(a["spans"]).alias("spans"))
+    return out.select("conv_id", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), F.aggregate("segments", begin, step)["spans"].alias("loss"), "reason")
 
 
 def segments_per_turn(turns: Column) -> Column:
@@ -161,10 +212,15 @@ def segments_per_turn(turns: Column) -> Column:
     return F.transform(turns, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"), segments(F.array(t)).alias("segments")))
 
 
+def under_loss(formatted: Column, loss: Column) -> Column:
+    """The texts under the loss mask, read from the formatted text, unescaped, with nothing between."""
+    return F.array_join(F.transform(loss, lambda x: unescape(F.substring(formatted, x["start"], x["length"]))), "")
+
+
 def digests(formatted: DataFrame, id_col: str = "conv_id") -> DataFrame:
     """What can be read back from the formatted conversations."""
     read = formatted.withColumn("turns", parse(F.col("formatted")))
-    under = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
+    under = under_loss(F.col("formatted"), F.col("loss"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
         id_col,
@@ -173,4 +229,5 @@ def digests(formatted: DataFrame, id_col: str = "conv_id") -> DataFrame:
         F.length(under).cast("long").alias("loss_chars"),
         F.sha2(under, 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        "reason",
     )

@@ -41,10 +41,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    """Rows of the table as they come, and conversation -7 as a record of messages: two layouts, found by their fingerprints."""
     said = "</s>[INST] ok [/INST]"
-    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
-    return chat.digests(chat.conversations(rows.unionByName(own)))
+    own = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.array(*(F.struct(F.lit(r).alias("role"), F.lit(said).alias("content")) for r in ("user", "assistant"))).alias("messages"))
+    rows = chat.records(_table(spark, sf_dir, "conversations")).unionByName(chat.records(own))
+    return chat.digests(chat.formatted_records(rows))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,7 +126,7 @@ f AS (SELECT *, CASE role WHEN 'assistant' THEN '<s>' || t2 || '</s>' WHEN 'user
 g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS said,
              coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '') AS loss,
              sum(length(out)) AS n FROM f GROUP BY conv_id)
-SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, n::BIGINT AS formatted_chars FROM g
+SELECT conv_id, CAST(NULL AS VARCHAR) AS reason, n_turns, sha256(said) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, n::BIGINT AS formatted_chars FROM g
 """
 
 
