@@ -8,7 +8,7 @@ the token-byte table, which is as large as the vocabulary whatever the input is.
 The vocabulary is a public file of ranks whose path is a parameter; special tokens don't exist.
 
 Defined results: null and empty texts have no ids and decode to no bytes; rows with equal or null ids are
-encoded each for itself; an empty table gives an empty table; other columns are ignored.
+encoded each for itself; an empty table gives an empty table; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .batches import parts_for
+from .batches import digest, parts_for
 from .lexicon import WIDE_SCHEMA, by_partition, exchanged, record, records, rows_in, rows_out, spread, squeeze
 from .words import bytes_hash
 
@@ -90,10 +90,11 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         groups = [(p, sorted(g.tolist(), key=words.__getitem__)) for p, g in by_partition(bytes_hash(words), parts)] if words else []
         sent = np.array([i for _, g in groups for i in g], np.int64)
         info = pa.RecordBatch.from_arrays([b.column("id"), pa.array(counts, pa.int64())], ["id", "n"])
-        out, first = [record(-1, batch, rows_out(info), squeeze(rank[at]), squeeze(rank[sent]))], 0
+        mark = digest(b, "text").to_bytes(8, "little", signed=True)  # of the batch as it was read; answers carry it back
+        out, first = [record(-1, batch, rows_out(info), squeeze(rank[at]), mark + squeeze(rank[sent]))], 0
         for p, g in groups:
             n = np.array([len(words[i]) for i in g], np.uint32)
-            out.append(record(p, batch, squeeze(np.frombuffer(b"".join(words[i] for i in g), np.uint8)), squeeze(n), first.to_bytes(8, "little")))
+            out.append(record(p, batch, squeeze(np.frombuffer(b"".join(words[i] for i in g), np.uint8)), squeeze(n), first.to_bytes(8, "little") + mark))
             first += len(g)
         return out
 
@@ -117,13 +118,15 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     answers = table.groupBy("p").applyInArrow(settle, WIDE_SCHEMA)
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
-        own, back = left.to_pylist(), sorted(right.to_pylist(), key=lambda r: int.from_bytes(r["c"], "little"))
+        own, back = left.to_pylist(), sorted(right.to_pylist(), key=lambda r: int.from_bytes(r["c"][:8], "little"))
         if not own or own[0]["p"] >= 0:  # words, which have been answered
             info, at, sent, back = pa.RecordBatch.from_arrays([pa.array([], id_type), pa.array([], pa.int64())], ["id", "n"]), np.zeros(0, np.uint32), np.zeros(0, np.uint32), []
         elif len(own) > 1:
             raise RuntimeError(f"{len(own)} rows of one batch")
+        elif any(r["c"][8:] != own[0]["c"][:8] for r in back):
+            raise RuntimeError("the input gave other batches when it was read again; write it as a table first")
         else:
-            info, at, sent = rows_in(own[0]["a"]), spread(own[0]["b"], np.uint32), spread(own[0]["c"], np.uint32)
+            info, at, sent = rows_in(own[0]["a"]), spread(own[0]["b"], np.uint32), spread(own[0]["c"][8:], np.uint32)
         ids = np.concatenate([np.zeros(0, np.uint32), *(spread(r["a"], np.uint32) for r in back)])
         size = np.concatenate([np.zeros(0, np.uint32), *(spread(r["b"], np.uint32) for r in back)]).astype(np.int64)
         if len(size) != len(sent):
