@@ -33,9 +33,9 @@ def test_normalising():
 @pytest.mark.parametrize(
     ("rule", "wrong"),
     [
-        ({"field": "rating", "operator": "gt", "value": 101}, "Rating"), ({"field": "uploadDate", "operator": "on", "value": "2023-02-30"}, "valid date"), ({"field": "uploadDate", "operator": "within", "value": "0", "unit": "days"}, "positive"),
-        ({"field": "artist", "operator": "amountOf", "value": "2", "countComparator": "is"}, "amount"), ({"field": "title", "operator": "regex", "value": "("}, "regular"), ({"field": "tags", "value": " "}, "local tags"), ({"field": "title", "operator": "gt", "value": "x"}, "condition"),
-        ({"field": "title", "operator": "contains", "value": "x"}, ""), ({"field": "uploadDate", "operator": "between", "value": "2023-01-02", "valueTo": "2023-01-01"}, "must not follow"),
+        ({"field": "rating", "operator": "gt", "value": 101}, "percentage"), ({"field": "uploadDate", "operator": "on", "value": "2023-02-30"}, "no date"), ({"field": "uploadDate", "operator": "within", "value": "0", "unit": "days"}, "over zero"),
+        ({"field": "artist", "operator": "amountOf", "value": "2", "countComparator": "is"}, "whole number"), ({"field": "title", "operator": "regex", "value": "("}, "pattern"), ({"field": "tags", "value": " "}, "tags: a value"), ({"field": "title", "operator": "gt", "value": "x"}, "operator"),
+        ({"field": "title", "operator": "contains", "value": "x"}, ""), ({"field": "uploadDate", "operator": "between", "value": "2023-01-02", "valueTo": "2023-01-01"}, "before it begins"),
     ],
 )
 def test_validating(rule, wrong):
@@ -47,14 +47,14 @@ def test_editing_and_explaining():
     items = rules.normalize_items([{"field": "title", "value": "a"}, {"field": "hdAvailable", "connector": "or", "polarity": "exclude"}])
     a, b = (i["id"] for i in items)
     grouped = rules.edit(items, b, "group")
-    assert rules.explain(grouped) == 'Title contains "a" OR (NOT HD available)'
+    assert rules.explain(grouped) == 'title contains "a" OR (NOT hd available)'
     moved = rules.edit(grouped, a, "move", group=grouped[1]["id"])
     assert len(moved) == 1 and [i["connector"] for i in moved[0]["items"]] == [None, "and"]
-    assert rules.explain(rules.edit(items, a, "delete")) == "NOT HD available"
+    assert rules.explain(rules.edit(items, a, "delete")) == "NOT hd available"
     assert len(rules.edit(items, a, "duplicate")) == 3
     assert rules.edit(items, b, "reorder", by=-1)[0]["id"] == b
     assert rules.counts(rules.edit(grouped, b, "toggle")) == {"rules": 2, "enabled": 1, "groups": 1, "detailed": 0}
-    assert rules.validate([{"id": "x", "enabled": True, "field": "title", "value": ""}]) == [("x", "Choose a valid condition.")]
+    assert rules.validate([{"id": "x", "enabled": True, "field": "title", "value": ""}]) == [("x", "title: the field has no such operator")]
     assert rules.without_facet({"detailed": {"tags": {"enabled": True, "value": ["a"]}}}, "tags")["detailed"]["tags"]["enabled"] is False
 
 

@@ -149,7 +149,14 @@ def test_backup(spark, tmp_path):
     with pytest.raises(ValueError, match="videos.rating"):
         backup.import_backup(s, f"{tmp_path}/bad")
     assert s.version() == before
-    assert backup.imported({"a": 1, "deviceId": "x"}, {"deviceId": "own"}) == {"a": 1, "deviceId": "own"}
+    assert backup.imported({"a": 1, "videosPerPage": 24}, {"videosPerPage": 72}) == {"a": 1, "videosPerPage": 72}
+    deep = "[" * 33 + "]" * 33
+    lines = spark.createDataFrame([('{"a":1}',), ("{",), (f'{{"a":{deep}}}',), ('{"x":{"constructor":1}}',), ('{"t":"[[[{ \\" NaN"}',), ('{"a":' + "[" * 31 + "]" * 31 + "}",)], "c string")
+    assert [r[0] for r in lines.select(backup.line_problems(F.col("c"))).collect()] == [[], ["no-json", "depth"], ["depth"], ["key"], [], []]
+    state = backup.imported_state({"scan_status": "running", "current_page": 4, "details_state": {"status": "running"}})
+    assert (state["scan_status"], state["current_page"], state["details_state"]["status"], state["last_error"]["code"]) == ("paused", None, "paused", "interrupted")
+    with pytest.raises(ValueError):
+        backup.imported_state({"scan_status": "flying"})
 
 
 def test_id_sets(spark):
@@ -181,9 +188,5 @@ def test_settings(spark):
     assert (s["concurrentDetailRequests"], s["recentUpdatePageLimit"], s["videosPerPage"], s["requestPace"]) == (3, 3, 48, "faster")
     assert settings.with_pace(s, "conservative")["advanced"]["minimumRequestSpacingMs"] == 500
     assert settings.view_state({"localPage": "-4", "mode": "x"}) == {"mode": "native", "localPage": 1, "sort": {"field": "uploadDate", "direction": "desc"}}
-    c = settings.Cache(1)
-    a = c.get("a", lambda: spark.range(3))
-    assert c.get("a", lambda: None) is a and c.get("b", lambda: spark.range(1)).count() == 1 and not a.is_cached
-    c.clear()
     assert settings.membership_fresh(NOW, NOW + 1, "x", "x", 1, 1) and not settings.membership_fresh(NOW, NOW + settings.FRESH, "x", "x", 1, 1)
     assert settings.cache_key(1, {}, (), 59_999, True) == settings.cache_key(1, {}, (), 0, True) != settings.cache_key(2, {}, (), 0, True)

@@ -18,7 +18,7 @@ SPACE = "[\\s\\u00A0\\uFEFF\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u
 ANY = "[^\\n\\r\\u2028\\u2029]"
 WORD = r"[\p{L}\p{N}\p{M}_]"
 #: Brackets whose contents are no title words.
-BRACKETS = ("[]", "()", "{}", "【】", "〔〕", "［］", "（）", "｛｝", "〈〉", "《》", "「」", "『』", "〖〗", "〘〙", "〚〛", "⟦⟧", "⟨⟩", "<>")
+BRACKETS = ("[]", "()", "{}", "【】", "〔〕", "［］", "（）", "｛｝", "\u2329\u232a", "〈〉", "《》", "「」", "『』", "〖〗", "〘〙", "〚〛", "⟦⟧", "⟨⟩", "<>")
 OPTIONS = {"contains": ("caseSensitive", "wholeWord", "matchAnyWord", "separateByCommas")}
 OPERATORS = ("contains", "equals", "startsWith", "endsWith", "wildcard", "regex")
 

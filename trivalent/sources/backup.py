@@ -19,8 +19,10 @@ SCHEMAS = {"videos": schema.VIDEOS, "details": schema.DETAILS, "pages": schema.P
 STATUSES = ("missing", "queued", "complete", "failed", "stale")
 #: Limits of one record.
 MOST_TEXT, MOST_LIST, MOST_FORMATS = 1_000_000, 10_000, 128
-#: Keys of settings that belong to one device.
-LOCAL_KEYS = ("syncToken", "deviceId", "windowState", "lastSync", "credentials")
+#: Keys of settings that belong to one device.
+LOCAL_KEYS = ("videosPerPage", "videoColumns", "thumbnailAspectRatio", "artistThumbnailLabels", "artistThumbnailLabelSize")
+#: Statuses of a running operation that a state may have.
+STATES = ("not-scanned", "idle", "running", "paused", "failed", "complete")
 
 
 def export(state: dict[str, DataFrame], path: str, meta: dict, compressed: bool = True) -> None:
@@ -118,6 +120,8 @@ def import_backup(store, path: str, mode: str = "merge", current_ready: bool = F
     from ..operators.merging import plan_merge, replacement
 
     tables, _ = load(store.spark, path)
+    if broken := broken_lines(store.spark, path, list(tables)).collect():
+        raise ValueError(f"the backup has lines that can't be taken: {[tuple(r) for r in broken]}")
     if wrong := violations(tables):
         raise ValueError(f"the backup has records that can't be taken: {wrong}")
     before, clean = store.version(), normalize(tables)
@@ -134,6 +138,43 @@ def imported(settings: dict, own: dict) -> dict:
     return {**portable(settings), **{k: own[k] for k in LOCAL_KEYS if k in own}}
 
 
+def imported_state(state: dict) -> dict:
+    """A one-row state of a backup: what was running is paused, with the reason; a status that is none raises."""
+    out = dict(state)
+    for key in ("scan_status", "smart_status", "status"):
+        if key in out and out[key] not in STATES:
+            raise ValueError(f"{key} can't be {out[key]!r}")
+        if out.get(key) == "running":
+            out |= {key: "paused", "current_page": None, "run_started_at": None, "last_error": {"code": "interrupted", "message": "this was running when the backup was made"}}
+    if isinstance(out.get("details_state"), dict):
+        out["details_state"] = imported_state(out["details_state"])
+    return out
+
+
+#: Limits of one line of JSON: nesting, and keys that no document may have.
+MOST_DEPTH, BARRED_KEYS = 32, ("__proto__", "prototype", "constructor")
+
+
+def line_problems(c: Column) -> Column:
+    """array<string> of what is wrong with a line of JSON: no JSON, too deep, a barred key, a number that is none, a text too long."""
+    bare = F.regexp_replace(c, r'"(?:\\.|[^"\\])*+"', '""')
+    flat = F.aggregate(F.sequence(F.lit(1), F.lit(MOST_DEPTH)), bare, lambda t, _: F.regexp_replace(t, r"[\[{][^\[\]{}]*[\]}]", "0"))
+    tests = {
+        "no-json": F.try_parse_json(c).isNull(), "depth": flat.rlike(r"[\[{]"), "key": c.rlike(rf'"(?:{"|".join(BARRED_KEYS)})"\s*:'), "number": bare.rlike(r"\b(?:NaN|Infinity)\b"),
+        "text": F.exists(F.regexp_extract_all(c, F.lit(r'"((?:\\.|[^"\\])*+)"'), F.lit(1)), lambda t: F.length(t) > MOST_TEXT),
+    }
+    return F.filter(F.array(*(F.when(test, F.lit(name)) for name, test in tests.items())), lambda x: x.isNotNull())
+
+
+def broken_lines(spark: SparkSession, path: str, tables: list[str]) -> DataFrame:
+    """table, problem, n: lines of a backup that no table may have."""
+    out = None
+    for name in tables:
+        rows = spark.read.text(f"{path}/{name}").select(F.lit(name).alias("table"), F.explode(line_problems(F.col("value"))).alias("problem"))
+        out = rows if out is None else out.unionByName(rows)
+    return out.groupBy("table", "problem").agg(F.count("*").alias("n"))
+
+
 def complete_details(rows: DataFrame, now: int) -> DataFrame:
     """Fetched details in their stored form: texts collapsed, lists without repeats, references of distinct keys, numbers not negative."""
     collapse = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
