@@ -104,6 +104,65 @@ def test_ingest(spark, tmp_path):
     assert s.read("videos").count() == 0
 
 
+def test_interleaved_commits_are_refused(spark, tmp_path):
+    """A commit between reading and writing must not be overwritten."""
+    s = Store(spark, f"file://{tmp_path}/s")
+    s.commit(empty(spark))
+    rows = lambda *c: html.listing(pages(spark, listing(*c)), LAYOUT, NOW)
+    commit = s.commit
+
+    def overtaken(*args, **more):
+        s.commit = commit
+        ingest.commit_pages(s, rows(card(7)), "other", NOW)
+        return commit(*args, **more)
+
+    for late in (lambda: ingest.commit_pages(s, rows(card(1)), "s1", NOW), lambda: ingest.recent_update(s, rows(card(1)), None, None, 2, NOW), lambda: ingest.stage(s, rows(card(1)), "s"), lambda: ingest.clear_all(s)):
+        s.commit = overtaken
+        with pytest.raises(RuntimeError, match="since"):
+            late()
+        assert [r["video_id"] for r in s.read("videos").collect()] == ["7"]
+
+
+def test_smart_update(spark, tmp_path):
+    s = Store(spark, f"file://{tmp_path}/s")
+    s.commit(empty(spark))
+    feed = lambda *ids: html.listing(pages(spark, *(listing(*(card(i) for i in ids[k : k + 2])) for k in range(0, len(ids), 2))), LAYOUT, NOW)
+    ingest.commit_pages(s, feed(*range(1, 9)), "s1", NOW)
+    before = s.version()
+    assert ingest.smart_update(s, feed(20, 21, 1, 2), 10, 2, NOW + 1, 1) == (None, "no-overlap") and s.version() == before
+    assert ingest.smart_update(s, feed(20, 21, 1, 2, 3, 4), 11, 2, NOW + 1, 1) == (None, "total-mismatch")
+    version, reason = ingest.smart_update(s, feed(20, 21, 1, 2, 3, 4), 10, 2, NOW + 1, 1)
+    assert reason == "overlap" and version == s.version()
+    order = [r["video_id"] for r in ordering.native_order(s.read("pages"), s.read("videos")).orderBy("ord").collect()]
+    assert order == ["20", "21", *map(str, range(1, 9))]
+
+
+def test_pictures(spark):
+    """The second picture is taken from data-original, then src, then the list."""
+    image = lambda **a: f'<div class="item"><a href="/video/1/x"><img {" ".join(f"{k.replace(chr(95), chr(45))}={chr(34)}{v}{chr(34)}" for k, v in a.items())}></a></div>'
+    cases = [
+        (dict(data_webp="/w", data_src="/d", src="/s"), ("/w", "/s")), (dict(data_src="/d", data_original="/o", src="/s"), ("/d", "/o")), (dict(src="/s"), (None, "/s")),
+        (dict(srcset="/a 1x, /b 2x", data_thumb="/t"), ("/t", "/a")), (dict(data_src="/d", src="/d"), ("/d", None)),
+    ]
+    got = html.listing(pages(spark, listing(*(image(**a) for a, _ in cases))), LAYOUT, NOW).orderBy("native_order").collect()
+    at = lambda x: x and f"https://example.com{x}"
+    assert [(r["thumbnail_preferred_url"], r["thumbnail_fallback_url"]) for r in got] == [(at(a), at(b)) for _, (a, b) in cases]
+
+
+def test_parts_of_detail_pages(spark):
+    box = '<div data-video-id="7"><b class="label">Tags</b><span data-item-type="tag" data-video-id="7"><a href="/tags/x/">x</a></span></div>'
+    up = lambda who, owner="": f'<div {owner}><span class="label">Uploaded by</span><a href="{who}">{who.split("/")[-2]}</a></div>'
+    ld = '{"@type":"VideoObject","keywords":["a, b",{"name":"c"},"A"],"author":{"name":" Jo  Doe "},"interactionStatistic":[{"interactionType":{"@type":"LikeAction"},"userInteractionCount":5},{"interactionType":"https://x/CommentAction","userInteractionCount":7}]}'
+    pages_ = [
+        ("7", f'<body><section class="info">{box}{up("/members/12/")}{up("https://evil.com/members/13/")}{up("/members/14/", "data-video-id=8")}</section>{up("/members/15/")}<i class="remove-favourite" style="display: none"></i><i class="add-favourite"></i><a href="#tab_comments">Comments (1,204)</a></body>'),
+        ("7", f'<body>{box}<script type="application/ld+json">{ld}</script><div hidden><i class="add-favourite"></i></div></body>'),
+    ]
+    a, b = html.details(spark.createDataFrame(pages_[:1], "video_id string, html string"), LAYOUT, NOW).first(), html.details(spark.createDataFrame(pages_[1:], "video_id string, html string"), LAYOUT, NOW).first()
+    assert (a["uploaders"], a["favorite"], a["comments_count"], a["tags"]) == (["12"], False, 1204, ["x"])
+    assert (b["favorite"], b["comments_count"], b["keywords"], b["author"]) == (None, 7, ["a", "b", "c"], "Jo Doe")
+    assert [tuple(r) for r in html.favorite_changes(spark.createDataFrame([("1", True), ("2", False), ("3", None)], "video_id string, favorite boolean"), 4).collect()] == [("1", "add", 4), ("2", "remove", 4)]
+
+
 def test_stream(spark, tmp_path):
     s = Store(spark, f"file://{tmp_path}/s")
     s.commit(empty(spark))

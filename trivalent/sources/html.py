@@ -17,11 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, numbers, urls
-from ..functions.text import clean_text, plain_text, readable_text
+from ..functions.text import clean_text, plain_text, readable_text, unique_ci
 
 _EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Lazy-loading attributes of an image, best first.
+#: Lazy-loading attributes of an image, best first, and those that its second picture is taken from first.
 IMAGE_ATTRIBUTES = ("data-webp", "data-src", "data-original", "data-lazy-src", "data-source", "data-thumb", "data-srcset", "srcset")
+SECOND_ATTRIBUTES = ("data-original", "src")
 MOST_FORMATS = 20
 
 
@@ -176,9 +177,12 @@ def listing(pages: DataFrame, layout: Layout, observed_at: int) -> DataFrame:
     """Video rows of listing pages, with ``reason`` where a card or page could not be read."""
     raw = raw_cards(pages, layout)
     url = lambda c: urls.resolve(c, layout.origin)
-    sources = F.filter(F.transform("images", lambda u, i: url(F.when((i == 6) | (i == 7), urls.first_of_srcset(u)).otherwise(u))), lambda u: u.isNotNull())
+    lists = [i for i, a in enumerate(IMAGE_ATTRIBUTES) if "srcset" in a]
+    resolved = F.transform("images", lambda u, i: url(F.when(i.isin(lists), urls.first_of_srcset(u)).otherwise(u)))
     n = len(IMAGE_ATTRIBUTES)
-    preferred = F.get(F.filter(F.transform(F.slice("images", 1, n), lambda u, i: url(F.when(i >= 6, urls.first_of_srcset(u)).otherwise(u))), lambda u: u.isNotNull()), F.lit(0))
+    preferred = F.get(F.filter(F.slice(resolved, 1, n), lambda u: u.isNotNull()), F.lit(0))
+    second = [F.get(resolved, F.lit([*IMAGE_ATTRIBUTES, "src"].index(a))) for a in SECOND_ATTRIBUTES]
+    sources = F.filter(F.concat(F.array(*second), F.slice(resolved, 1, n)), lambda u: u.isNotNull())
     range_ = dates.relative_range(F.col("added"), F.lit(observed_at))
     video_id = F.coalesce(urls.item_id(F.col("raw_id"), layout.kind), urls.item_id(F.col("href"), layout.kind))
     rated = r"(?i)(\d{1,3}(?:\.\d+)?\s*%)\s*(?:\(\s*([\d,.kmb]+)\s*\))?"
@@ -252,7 +256,59 @@ def _entities(root: Node, layout: Layout, item: str, name: str) -> tuple[bool, l
     return bool(boxes) and not bad, list(dict(links).items())
 
 
-_DETAIL = "video_id string, reason string, json_ld array<string>, description string, uploaders array<string>, formats array<string>, labels map<string,array<string>>, favorite boolean, trust array<boolean>, links array<array<struct<url:string,name:string>>>"
+def _inside(n: Node, box: Node) -> bool:
+    at: Node | None = n
+    while at is not None and at is not box:
+        at = at.parent
+    return at is box
+
+
+def region(root: Node, layout: Layout, item: str) -> Node:
+    """The smallest part of a page that has all entity boxes of the item and a column of uploaders or downloads; else the
+    smallest that has the boxes; the whole page without boxes."""
+    words = {w for labels in layout.labels.values() for w in labels}
+    boxes = [n for n in root.walk() if n.attrs.get("data-video-id") == item and _label(n) in words]
+    found = None
+    at = boxes[0].parent if boxes else None
+    while at is not None and at.tag not in ("body", "html", "#"):
+        if all(_inside(b, at) for b in boxes):
+            found = found or at
+            if at.first(lambda n: _label(n) in ("uploaded by", "download")):
+                return at
+        at = at.parent
+    return found or root
+
+
+def _uploaders(part: Node, layout: Layout, item: str) -> list[str]:
+    """Texts of links to members on the site's hosts, in columns that are of this item or of none."""
+    out = []
+    for column in part.all(lambda n: _label(n) == "uploaded by"):
+        owner: Node | None = column
+        while owner is not None and "data-video-id" not in owner.attrs:
+            owner = owner.parent
+        if owner is not None and owner.attrs["data-video-id"] != item:
+            continue
+        hosts = "|".join(map(re.escape, layout.hosts))
+        out += [a.text for a in column.all(lambda n: n.tag == "a") if re.fullmatch(rf"(?:https?://(?:{hosts}))?/(?:members|users)/\d+/?(?:[?#].*)?", a.attrs.get("href", ""), re.I)]
+    return list(dict.fromkeys(x for x in out if x))
+
+
+def _visible(n: Node) -> bool:
+    at: Node | None = n
+    while at is not None:
+        if "hidden" in at.attrs or at.has("hidden") or re.search(r"display\s*:\s*none", at.attrs.get("style", "")):
+            return False
+        at = at.parent
+    return True
+
+
+def _favorite(root: Node) -> bool | None:
+    """Whether a visible control takes the item away from the favourites, or adds it; null without one."""
+    shown = {name for name in ("remove-favourite", "add-favourite") if any(_visible(n) for n in root.all(by_class(name)))}
+    return True if "remove-favourite" in shown else False if shown else None
+
+
+_DETAIL = "video_id string, reason string, json_ld array<string>, description string, uploaders array<string>, formats array<string>, labels map<string,array<string>>, favorite boolean, comments string, trust array<boolean>, links array<array<struct<url:string,name:string>>>"
 
 
 def raw_details(pages: DataFrame, layout: Layout) -> DataFrame:
@@ -265,7 +321,7 @@ def raw_details(pages: DataFrame, layout: Layout) -> DataFrame:
             for item, html in zip(pdf["video_id"], pdf["html"], strict=True):
                 root = read(html)
                 if challenged(root, layout):
-                    rows.append((item, "sign-in", [], None, [], [], {}, None, [], []))
+                    rows.append((item, "sign-in", [], None, [], [], {}, None, None, [], []))
                     continue
                 scripts = ["".join(c for c in n.children if isinstance(c, str)) for n in root.all(lambda n: n.tag == "script" and n.attrs.get("type") == "application/ld+json")]
                 found = [_entities(root, layout, item, n) for n in names]
@@ -273,13 +329,13 @@ def raw_details(pages: DataFrame, layout: Layout) -> DataFrame:
                 for n in root.walk():
                     if (k := _label(n)) and len(k) <= 40:
                         labels.setdefault(k, []).extend(c.text for c in n.children if isinstance(c, Node) and not (c.has("label") or c.tag in ("strong", "dt")) and c.text)
-                columns = [n for n in root.walk() if _label(n) == "uploaded by"]
-                uploaders = [a.text for c in columns for a in c.all(lambda n: n.tag == "a" and re.search(r"/(?:members|users)/\d+/?$", n.attrs.get("href", "")) is not None)]
-                formats = [a.text for a in root.all(by_class("tag_item_download"))]
+                part = region(root, layout, item)
+                uploaders = _uploaders(part, layout, item)
+                formats = [a.text for a in part.all(by_class("tag_item_download"))]
                 body = root.first(by_class("description"))
-                favorite = True if root.first(by_class("remove-favourite")) is not None else False if root.first(by_class("add-favourite")) is not None else None
-                rows.append((item, None, scripts, _text(body), uploaders, formats, labels, favorite, [t for t, _ in found], [[{"url": u, "name": n} for u, n in links] for _, links in found]))
-            yield pd.DataFrame(rows, columns=["video_id", "reason", "json_ld", "description", "uploaders", "formats", "labels", "favorite", "trust", "links"])
+                tab = root.first(lambda n: n.tag == "a" and n.attrs.get("href", "").endswith("#tab_comments"))
+                rows.append((item, None, scripts, _text(body), uploaders, formats, labels, _favorite(root), _text(tab), [t for t, _ in found], [[{"url": u, "name": n} for u, n in links] for _, links in found]))
+            yield pd.DataFrame(rows, columns=["video_id", "reason", "json_ld", "description", "uploaders", "formats", "labels", "favorite", "comments", "trust", "links"])
 
     return pages.select("video_id", "html").mapInPandas(run, _DETAIL)
 
@@ -292,13 +348,39 @@ def json_ld(rows: DataFrame) -> DataFrame:
     return top.unionByName(inner)
 
 
+def json_text(v: Column) -> Column:
+    """A text of JSON-LD: a string, or the name of an object."""
+    return clean_text(F.coalesce(F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")), F.try_variant_get(v, "$.name", "string")))
+
+
+def json_values(v: Column) -> Column:
+    """A list of JSON-LD: strings are parted at commas, objects give their names; null values are left out."""
+    items = F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array(v))
+    parted = lambda x: F.when(F.schema_of_variant(x) == "STRING", F.split(F.try_variant_get(x, "$", "string"), ",")).otherwise(F.array(json_text(x)))
+    return unique_ci(F.filter(F.transform(F.flatten(F.transform(items, parted)), clean_text), lambda t: t.isNotNull()))
+
+
+def json_comments(v: Column) -> Column:
+    """Comments of an object: its commentCount, else the count of an interaction statistic of that kind."""
+    one = F.try_variant_get(v, "$.interactionStatistic", "variant")
+    stats = F.coalesce(F.try_variant_get(one, "$", "array<variant>"), F.array(one))
+    kind = lambda x: F.coalesce(F.try_variant_get(x, "$.interactionType['@type']", "string"), F.try_variant_get(x, "$.interactionType", "string"))
+    counts = F.transform(F.filter(stats, lambda x: kind(x).rlike("(?i)comment")), lambda x: F.try_variant_get(x, "$.userInteractionCount", "long"))
+    return F.coalesce(F.try_variant_get(v, "$.commentCount", "long"), F.get(F.filter(counts, lambda n: n >= 0), F.lit(0)))
+
+
+def comments_of_tab(c: Column) -> Column:
+    """The number in parentheses of a tab's text."""
+    return F.replace(F.regexp_extract(c, r"\(\s*([0-9,]+)\s*\)", 1), F.lit(","), F.lit("")).try_cast("long")
+
+
 def details(pages: DataFrame, layout: Layout, now: int) -> DataFrame:
     """Detail rows; ``reason`` says why a page gives none: no entity structure that can be trusted is a failure."""
     raw = raw_details(pages, layout)
     got = lambda path: F.try_variant_get("object", path, "string")
     item = json_ld(raw).where(got("$['@type']") == "VideoObject").groupBy("video_id").agg(
         F.min(dates.normalize_exact_date(got("$.uploadDate"))).alias("exact_upload_date"), F.max(got("$.description")).alias("ld_description"),
-        F.max(F.try_variant_get("object", "$.commentCount", "long")).alias("comments_count"),
+        F.max(json_comments(F.col("object"))).alias("ld_comments"), F.max(json_values(F.try_variant_get("object", "$.keywords", "variant"))).alias("keywords"), F.max(json_text(F.try_variant_get("object", "$.author", "variant"))).alias("author"),
     )
     links = lambda k: F.coalesce(F.get("links", F.lit(k)), F.array().cast("array<struct<url:string,name:string>>"))
     named = lambda k: F.array_distinct(F.filter(F.transform(links(k), lambda x: clean_text(x["name"])), lambda v: v.isNotNull()))
@@ -313,10 +395,15 @@ def details(pages: DataFrame, layout: Layout, now: int) -> DataFrame:
         F.struct(trusted(0).alias("artist"), (F.size("uploaders") > 0).alias("uploader"), trusted(1).alias("tags"), trusted(2).alias("categories")).alias("entity_trust"),
         F.get(named(0), F.lit(0)).alias("artist"), F.get("uploaders", F.lit(0)).alias("uploader"), named(0).alias("artists"), F.array_distinct("uploaders").alias("uploaders"),
         named(1).alias("tags"), named(2).alias("categories"), refs.alias("artist_refs"), F.coalesce(readable_text(F.col("description")), readable_text(plain_text(F.col("ld_description")))).alias("description"),
-        "exact_upload_date", "comments_count", F.slice(F.array_distinct(F.transform("formats", format_)), 1, MOST_FORMATS).alias("formats"), F.lit(now).cast("long").alias("fetched_at"), "favorite", reason.alias("reason"),
+        "exact_upload_date", F.coalesce("ld_comments", comments_of_tab(F.col("comments"))).alias("comments_count"), F.slice(F.array_distinct(F.transform("formats", format_)), 1, MOST_FORMATS).alias("formats"), F.lit(now).cast("long").alias("fetched_at"), "favorite", "keywords", "author", reason.alias("reason"),
     )
 
 
+def favorite_changes(details_: DataFrame, seq: int) -> DataFrame:
+    """Changes of an id set (see ``merging.change_ids``) from what pages showed; a page that showed nothing changes nothing."""
+    return details_.where("favorite is not null").select("video_id", F.when(F.col("favorite"), "add").otherwise("remove").alias("action"), F.lit(seq).cast("long").alias("seq"))
+
+
 def membership(pages: DataFrame, layout: Layout) -> DataFrame:
     """page_number, total, key, name, url: a member a row; a page without the block is one row with a null key."""
 
