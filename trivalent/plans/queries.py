@@ -789,3 +789,6 @@ def whole_lookup_ordered(spark, sf_dir):
 def whole_gone_only(spark, sf_dir):
     d = _videos_details(spark, sf_dir)[1].where("last_attempt_error is not null").select("last_attempt_error.http_status")
     return worksets.gone_only(d, d.count()).select(F.col("n").cast("int").alias("n"), "isolated")
+
+
+from . import ingest_queries  # noqa: E402, F401  registers its queries as well
