@@ -486,13 +486,13 @@ def ages(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.when(ms < 28 * 86_400_000, dates.format_age(ms)).alias("age"))
 
 
-@query(f"{ORACLE} SELECT video_id, artists FROM c WHERE ta ORDER BY ord LIMIT 24")
+@query(f"{ORACLE} SELECT video_id, list_sort(artists) AS artists FROM c WHERE ta ORDER BY ord LIMIT 24")
 def artist_labels(spark, sf_dir):
     """Trusted artists of a page's rows."""
     c = catalogue(spark, sf_dir)
     d = F.col("detail")
     page = ordering.native_page(ordering.numbered(c.where(detail_functions.is_trusted(d, "artist")).select(F.col("ord").alias("at"), "video_id", "detail"), "at"), 1, SIZE)
-    return page.select("video_id", detail_functions.entity_values(d, "artist").alias("artists"))
+    return page.select("video_id", F.sort_array(detail_functions.entity_values(d, "artist")).alias("artists"))
 
 
 @query("""SELECT p_partkey::VARCHAR AS video_id, CASE WHEN p_partkey % 2 = 0 THEN ['A ' || p_partkey] ELSE ['b'] END AS artists, CASE WHEN p_partkey % 2 = 0 THEN 'A ' || p_partkey ELSE 'b' END AS artist, greatest(p_partkey % 7 - 3, 0)::BIGINT AS comments, CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END AS refs FROM part""")
