@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from .words import U64, buffers, mix, slices
 
 #: Bytes of text in a batch, and of all texts for each partition of a hash space.  A batch has a row for each partition, so
-#: S bytes of text make S / BATCH_BYTES * S / PART_BYTES rows; of a terabyte these are 4 * 10**9 of some 40 keys.
-BATCH_BYTES, PART_BYTES = 4 << 20, 64 << 20
+#: S bytes of text make S / BATCH_BYTES * S / PART_BYTES rows.  Both are bounded by a worker's memory: some 30 bytes for each
+#: byte of a batch, and 7 for each byte of a partition.
+BATCH_BYTES, PART_BYTES = 2 << 20, 32 << 20
 
 
 def numbered(batches: Iterator[pa.RecordBatch], column: str, most: int = BATCH_BYTES) -> Iterator[tuple[int, pa.RecordBatch]]:
