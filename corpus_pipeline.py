@@ -5,8 +5,7 @@ stage's rows as Parquet in the shared folder and gives them to the next one.  Al
 columns of ``documents``; n_chars follows the text.
 
 Nulls, empty texts, repeated rows and extra columns are treated as each operator says; an empty table goes
-through all stages.  The columns that substring dedup adds must not be in docs under the same names, so
-the stages work on the columns of ``documents`` and drop others.
+through all stages.  The stages work on the columns of ``documents`` and drop others.
 """
 
 from __future__ import annotations
