@@ -8,8 +8,9 @@ partition of the hash space (values that agree by chance only cost work).  Aroun
 are extended to whole WINDOW-word runs, known by two independent 64-bit hashes; for each the least
 doc_id is found, and overlapping removed windows join up to the maximal exact repeats.
 
-Groups are never expanded: a run sends one entry for each batch of documents, and only the least
-doc_id of a window comes back.  Text is shuffled twice, compressed, by batch.
+Groups are never expanded: a run sends one entry for each batch of documents.  A window comes back to a
+batch only if another has it in a smaller document than all of this batch's: then it goes from all of
+them, so no id comes back.  Text is shuffled twice, compressed, by batch.
 
 Defined results: null and empty texts and texts of fewer than WINDOW words lose nothing.  Rows that
 share a doc_id don't remove from each other.  A null doc_id counts as larger than all others.  An empty
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .batches import by_part, digest, numbered, pack, parts_for, place, restored, stored, unpack
+from .lexicon import spread, squeeze
 from .scratch import written
 from .words import U64, Words
 
@@ -77,8 +79,9 @@ def _first(window: np.ndarray, bits: int) -> np.ndarray:
 
 
 def shared_windows(docs: DataFrame, id_col: str, text_col: str, bits: int = 64) -> DataFrame:
-    """batch, digest, keys, second, least: windows of a batch that occur in a smaller document of another batch.
+    """batch, digest, keys, second: windows of a batch that occur in another batch, in a smaller document than any of its own.
 
+    A window that two batches share has a hit wherever it occurs, so the least id that a batch sends for it is that of all its documents.
     ``bits`` of windows' first hashes are kept: less than 64 only to test what chance does.
     """
     parts = parts_for(docs, text_col)
@@ -139,29 +142,29 @@ def shared_windows(docs: DataFrame, id_col: str, text_col: str, bits: int = 64)
         cut = [slice(bounds[p], bounds[p + 1]) for p in full]
         return pa.table({
             "p": pa.array(full, pa.int32()), "batch": pa.array(np.full(n, name)), "digest": pa.array(np.full(n, left.column("digest")[0].as_py())),
-            "keys": pa.array([pack(own.first[c]) for c in cut], pa.binary()), "second": pa.array([own.second[c].tobytes() for c in cut], pa.binary()), "least": pa.array([own.least[c].tobytes() for c in cut], pa.binary()),
+            "keys": pa.array([pack(own.first[c]) for c in cut], pa.binary()), "second": pa.array([own.second[c].tobytes() for c in cut], pa.binary()), "least": pa.array([squeeze(own.least[c]) for c in cut], pa.binary()),
         })
 
     windows = stored(docs, text_col).groupBy("batch").cogroup(hits.groupBy("batch")).applyInArrow(extend, "p int, batch long, digest long, keys binary, second binary, least binary")
 
     def settle(t: pa.Table) -> pa.Table:
-        first, second, least = _unpacked(t)
+        first, second = _unpacked(t)
+        least = [spread(x, np.int64) for x in t.column("least").to_pylist()]
         n = [len(x) for x in first]
         all_ = Windows(np.concatenate(first), np.concatenate(second), np.concatenate(least))
         best = np.split(all_.least[all_.at], np.cumsum(n)[:-1])
         less = [b < o for b, o in zip(best, least, strict=True)]
         out = pa.table({
-            "batch": t.column("batch"), "digest": t.column("digest"), "keys": pa.array([pack(x[m]) for x, m in zip(first, less, strict=True)], pa.binary()),
-            "second": pa.array([x[m].tobytes() for x, m in zip(second, less, strict=True)], pa.binary()), "least": pa.array([x[m].tobytes() for x, m in zip(best, less, strict=True)], pa.binary()),
+            "batch": t.column("batch"), "digest": t.column("digest"),
+            "keys": pa.array([pack(x[m]) for x, m in zip(first, less, strict=True)], pa.binary()), "second": pa.array([x[m].tobytes() for x, m in zip(second, less, strict=True)], pa.binary()),
         })
         return out.filter(pa.array([bool(m.any()) for m in less]))
 
-    return windows.groupBy("p").applyInArrow(settle, "batch long, digest long, keys binary, second binary, least binary")
+    return windows.groupBy("p").applyInArrow(settle, "batch long, digest long, keys binary, second binary")
 
 
-def _unpacked(t: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
-    rows = lambda c, kind: [np.frombuffer(x, kind) for x in t.column(c).to_pylist()]
-    return [unpack(x, U64) for x in t.column("keys").to_pylist()], rows("second", U64), rows("least", np.int64)
+def _unpacked(t: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    return [unpack(x, U64) for x in t.column("keys").to_pylist()], [np.frombuffer(x, U64) for x in t.column("second").to_pylist()]
 
 
 #: Columns that are added.
@@ -180,10 +183,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         start, window = w.windows(w.hashes(), WINDOW)
         own = ids[w.doc()[start]]
         all_ = Windows(_first(window, bits), w.second_windows(start, WINDOW), own)
-        for k, second, m in zip(*_unpacked(right), strict=True):
-            at = all_.find(k, second)
-            all_.least[at] = np.minimum(all_.least[at], m)
-        gone = start[all_.least[all_.at] < own]
+        lost = np.zeros(len(all_.first), bool)
+        for k, second in zip(*_unpacked(right), strict=True):
+            lost[all_.find(k, second)] = True
+        gone = start[lost[all_.at] | (all_.least[all_.at] < own)]
         cover = np.zeros(len(w.starts) + 1, np.int32)
         np.add.at(cover, gone, 1)
         np.add.at(cover, gone + WINDOW, -1)
