@@ -10,7 +10,7 @@ doc_id is found, and overlapping removed windows join up to the maximal exact re
 
 Groups are never expanded: a run sends one entry for each batch of documents.  A window comes back to a
 batch only if another has it in a smaller document than all of this batch's: then it goes from all of
-them, so no id comes back.  Text is shuffled twice, compressed, by batch.
+them, so no id comes back.  Text is shuffled once, compressed, by batch.
 
 Defined results: null and empty texts and texts of fewer than WINDOW words lose nothing.  Rows that
 share a doc_id don't remove from each other.  A null doc_id counts as larger than all others.  An empty
@@ -27,7 +27,6 @@ from pyspark.sql import types as T
 
 from .batches import by_part, digest, numbered, pack, parts_for, place, restored, stored, unpack
 from .lexicon import spread, squeeze
-from .scratch import written
 from .words import U64, Words
 
 BLOCK, WINDOW = 25, 50
@@ -78,16 +77,16 @@ def _first(window: np.ndarray, bits: int) -> np.ndarray:
     return window >> U64(64 - bits) << U64(64 - bits)
 
 
-def shared_windows(docs: DataFrame, id_col: str, text_col: str, bits: int = 64) -> DataFrame:
+def shared_windows(docs: DataFrame, batches: DataFrame, id_col: str, text_col: str, bits: int = 64) -> DataFrame:
     """batch, digest, keys, second: windows of a batch that occur in another batch, in a smaller document than any of its own.
 
-    A window that two batches share has a hit wherever it occurs, so the least id that a batch sends for it is that of all its documents.
+    ``batches``: what ``stored`` makes of docs, dealt by batch.  A window that two batches share has a hit wherever it occurs, so the least id that a batch sends for it is that of all its documents.
     ``bits`` of windows' first hashes are kept: less than 64 only to test what chance does.
     """
     parts = parts_for(docs, text_col)
 
-    def probe(batches):
-        for k, b in numbered(batches, text_col):
+    def probe(rows):
+        for k, b in numbered(rows, text_col):
             _, keys, fixed, _ = _probes(Words(b.column(text_col)), parts)
             index, all_ = np.unique(keys[fixed]), np.unique(keys)
             ib, pb = by_part(index, parts), by_part(all_, parts)
@@ -145,7 +144,7 @@ def shared_windows(docs: DataFrame, id_col: str, text_col: str, bits: int = 64)
             "keys": pa.array([pack(own.first[c]) for c in cut], pa.binary()), "second": pa.array([own.second[c].tobytes() for c in cut], pa.binary()), "least": pa.array([squeeze(own.least[c]) for c in cut], pa.binary()),
         })
 
-    windows = stored(docs, text_col).groupBy("batch").cogroup(hits.groupBy("batch")).applyInArrow(extend, "p int, batch long, digest long, keys binary, second binary, least binary")
+    windows = batches.groupBy("batch").cogroup(hits.groupBy("batch")).applyInArrow(extend, "p int, batch long, digest long, keys binary, second binary, least binary")
 
     def settle(t: pa.Table) -> pa.Table:
         first, second = _unpacked(t)
@@ -174,7 +173,9 @@ RESULTS = ("n_words", "n_removed", "kept_text")
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 64) -> DataFrame:
     """Rows of docs with n_words, n_removed and kept_text (the words that stay, joined by single spaces), which replace columns of these names."""
     docs = docs.drop(*RESULTS)
-    back = written(shared_windows(docs, id_col, text_col, bits), "windows")
+    # both cogroups read this one exchange: the same plan below the grouping, so Spark reuses it
+    batches = stored(docs, text_col).repartition("batch")
+    back = shared_windows(docs, batches, id_col, text_col, bits)
     schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -204,7 +205,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             out = out.append_column(name, values)
         return out
 
-    return stored(docs, text_col).groupBy("batch").cogroup(back.groupBy("batch")).applyInArrow(finish, schema)
+    return batches.groupBy("batch").cogroup(back.groupBy("batch")).applyInArrow(finish, schema)
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
