@@ -22,3 +22,11 @@ def test_round_trip(spark):
     out = bpe.decode(bpe.encode(documents(spark), PATH, PATTERN), PATH).collect()
     assert sorted((str(r["doc_id"]), bytes(r["decoded"]).decode()) for r in out) == sorted((str(d), t or "") for d, t in texts())
     assert bpe.encode(spark.createDataFrame([], SCHEMA), PATH, PATTERN).count() == 0
+
+
+def test_few_partitions_and_little_memory(spark, monkeypatch):
+    rows = lambda: sorted(map(str, bpe.digests(documents(spark), PATH, PATTERN).collect()))
+    expected = rows()
+    monkeypatch.setattr(bpe, "MOST_PARTS", 3)
+    monkeypatch.setattr(bpe, "REMEMBERED", 5)
+    assert rows() == expected

@@ -83,8 +83,12 @@ def restored(left: pa.Table, right: pa.Table) -> pa.RecordBatch:
     return t.to_batches()[0]
 
 
-def parts_for(df: DataFrame, column: str, bytes_each: int = PART_BYTES) -> int:
-    """Partitions of the hash space: by the size of the texts, and twice Spark's own number at least."""
+def parts_for(df: DataFrame, column: str, bytes_each: int = PART_BYTES, most: int | None = None) -> int:
+    """Partitions of the hash space: by the size of the texts, and twice Spark's own number at least.
+
+    ``most`` is for work that reads a partition as a stream and so needs no bound on its size.
+    """
     spark = df.sparkSession
     total = df.agg(F.sum(F.octet_length(column))).first()[0] or 0
-    return max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // bytes_each))
+    parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // bytes_each))
+    return parts if most is None else min(parts, most)

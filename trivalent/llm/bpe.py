@@ -5,6 +5,10 @@ is encoded once, in the task of its hash partition; its ids are joined back to t
 asked for it, and the texts' ids are put together by position (see ``lexicon``).  Decoding looks every id up in
 the token-byte table, which is as large as the vocabulary whatever the input is.
 
+A partition's words are read as a stream, so its size needs no bound and there are ``MOST_PARTS`` partitions at
+most: a batch sends so many rows at most, and all rows grow with the input only.  A task remembers the ids of up to
+``REMEMBERED`` words; a word beyond them is encoded each time that it comes, with the same ids.
+
 The vocabulary is a public file of ranks whose path is a parameter; special tokens don't exist.
 
 Defined results: null and empty texts have no ids and decode to no bytes; rows with equal or null ids are
@@ -15,19 +19,20 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from .batches import digest, parts_for
 from .lexicon import WIDE_SCHEMA, by_partition, exchanged, record, records, rows_in, rows_out, spread, squeeze
 from .words import bytes_hash
 
+MOST_PARTS, REMEMBERED = 1 << 12, 1 << 20
+
 
 @cache
 def _pattern(text: str):
@@ -75,7 +80,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     ``then`` is a function of a batch of these rows and its schema after the id; it runs in the tasks that put the ids
     together, so that ids which are only needed there don't leave them.
     """
-    parts = parts_for(docs, text_col)
+    parts = parts_for(docs, text_col, most=MOST_PARTS)
 
     def cut(b: pa.RecordBatch, batch: int) -> list[tuple]:
         find, known, counts, at = _pattern(pattern).findall, {}, [], []
@@ -100,33 +105,34 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
     table = exchanged(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), cut)
 
-    def settle(t: pa.Table) -> pa.Table:
-        one, ids_of, out = _encoding(path, pattern).encode_ordinary, {}, []
-        for row in t.to_pylist() if t.num_rows and t.column("p")[0].as_py() >= 0 else []:
-            data, n = spread(row["a"], np.uint8).tobytes(), spread(row["b"], np.uint32).astype(np.int64)
-            ends, found = np.cumsum(n).tolist(), []
-            for e, k in zip(ends, n.tolist(), strict=True):
-                w = data[e - k : e]
-                ids = ids_of.get(w)
-                if ids is None:
-                    ids = ids_of[w] = np.array(one(w.decode()), np.uint32).tobytes()
-                found.append(ids)
-            size = np.array([len(x) // 4 for x in found], np.uint32)
-            out.append(record(-1 - row["batch"], row["batch"], squeeze(np.frombuffer(b"".join(found), np.uint32)), squeeze(size), row["c"]))
-        return pa.Table.from_batches([records(out, pa.int64())])
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one, ids_of = _encoding(path, pattern).encode_ordinary, {}
+        for b in batches:
+            out = []
+            for row in b.to_pylist() if b.num_rows and b.column("p")[0].as_py() >= 0 else []:
+                data, n = spread(row["a"], np.uint8).tobytes(), spread(row["b"], np.uint32).astype(np.int64)
+                ends, found = np.cumsum(n).tolist(), []
+                for e, k in zip(ends, n.tolist(), strict=True):
+                    w = data[e - k : e]
+                    ids = ids_of.get(w)
+                    if ids is None:
+                        ids = np.array(one(w.decode()), np.uint32).tobytes()
+                        if len(ids_of) < REMEMBERED:
+                            ids_of[w] = ids
+                    found.append(ids)
+                size = np.array([len(x) // 4 for x in found], np.uint32)
+                out.append(record(-1 - row["batch"], row["batch"], squeeze(np.frombuffer(b"".join(found), np.uint32)), squeeze(size), row["c"]))
+            yield records(out, pa.int64())
 
     answers = table.groupBy("p").applyInArrow(settle, WIDE_SCHEMA)
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
         own, back = left.to_pylist(), sorted(right.to_pylist(), key=lambda r: int.from_bytes(r["c"][:8], "little"))
-        if not own or own[0]["p"] >= 0:  # words, which have been answered
-            info, at, sent, back = pa.RecordBatch.from_arrays([pa.array([], id_type), pa.array([], pa.int64())], ["id", "n"]), np.zeros(0, np.uint32), np.zeros(0, np.uint32), []
-        elif len(own) > 1:
+        if len(own) != 1:
             raise RuntimeError(f"{len(own)} rows of one batch")
-        elif any(r["c"][8:] != own[0]["c"][:8] for r in back):
+        if any(r["c"][8:] != own[0]["c"][:8] for r in back):
             raise RuntimeError("the input gave other batches when it was read again; write it as a table first")
-        else:
-            info, at, sent = rows_in(own[0]["a"]), spread(own[0]["b"], np.uint32), spread(own[0]["c"][8:], np.uint32)
+        info, at, sent = rows_in(own[0]["a"]), spread(own[0]["b"], np.uint32), spread(own[0]["c"][8:], np.uint32)
         ids = np.concatenate([np.zeros(0, np.uint32), *(spread(r["a"], np.uint32) for r in back)])
         size = np.concatenate([np.zeros(0, np.uint32), *(spread(r["b"], np.uint32) for r in back)]).astype(np.int64)
         if len(size) != len(sent):
@@ -139,9 +145,11 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         return then[0](out) if then else out
 
     kind = docs.schema[id_col].dataType
-    id_type = to_arrow_type(kind)
     schema = f"`{id_col}` {kind.simpleString()}, {then[1] if then else 'n_tokens long, ids binary'}"
-    return table.groupBy("p").cogroup(answers.groupBy("p")).applyInArrow(assemble, schema)
+    # p of batch rows is -1 at most; compared with a random number in (-1, 0], and without a null to infer, the filter stays
+    # above the exchange, which is reused
+    own_rows = table.where(F.coalesce("p", F.lit(0)) < -F.rand(0))
+    return own_rows.groupBy("p").cogroup(answers.groupBy("p")).applyInArrow(assemble, schema)
 
 
 def decoded(t: pa.Table, path: str) -> list[bytes]:

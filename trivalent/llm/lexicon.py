@@ -82,7 +82,8 @@ def spell(docs: DataFrame, cut: Callable[[pa.RecordBatch, int], list[tuple]], co
 def exchanged(docs: DataFrame, cut: Callable[[pa.RecordBatch, int], list[tuple]], column: str = "text") -> DataFrame:
     """The same rows in one exchange by ``p`` instead of a table; for a batch row, p is -1 less its number.
 
-    Both who asks for the words and who waits for the answers group by ``p`` without a filter, so Spark reuses the exchange.
+    Who answers the words and who waits for the answers both group by ``p``, without a filter that could be pushed down, so Spark
+    reuses the exchange.
     """
 
     def run(batches):
