@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprint, lm, neardup, packing, pii, quality, substring, urls
+from . import bpe, chat, fingerprint, jaccard, lm, neardup, packing, pii, quality, search, substring, trie, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op11_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_components(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.nodes(_table(spark, sf_dir, "conversations"))
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(search.index(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "benchmark"))
+
+
 def tokenizer(name: str) -> str:
     """A public tokenizer's file, which is at this place on every machine."""
     import public_tokenizers
@@ -71,7 +83,7 @@ def tokenizer(name: str) -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op2_substring, op3_fingerprint, op4_urls, op5_pii, op6_quality, op7_chat, op8_packing, op9_lm, op10_bpe)}
+    return {f.__name__: f for f in (op1_minhash, op2_substring, op3_fingerprint, op4_urls, op5_pii, op6_quality, op7_chat, op8_packing, op9_lm, op10_bpe, op11_jaccard, op12_trie, op13_search)}
 
 
 SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -148,5 +160,48 @@ SELECT o.* EXCLUDE (lost), n_words < 50 OR 100 * n_repeat_words > 50 * n_words A
 """
 
 
+OP11_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWER}, '{WORD}') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {jaccard.WORDS} THEN [array_to_string(ws, ' ')]
+        ELSE list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i+2], ' ')) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+rare AS (SELECT g FROM s GROUP BY g HAVING count(*) > 1),
+t AS (SELECT s.doc_id, s.g FROM s JOIN rare USING (g)),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM t a JOIN t b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= {jaccard.PERCENT} * (x.n + y.n - i)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.c AS component_id
+FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS c FROM r GROUP BY a) m ON m.a = w.doc_id
+"""
+
+# crc32 by its definition: every byte is folded in, then eight steps of the polynomial
+_CRC = "list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)), lambda c, x: list_reduce(list_prepend(xor(c, x), [0::BIGINT for i in range(8)]), lambda v, z: xor(v >> 1, 3988292384 * (v & 1))))"
+OP12_SQL = rf"""
+WITH o AS (SELECT conv_id, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS ts FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT conv_id, ts, (xor({_CRC}, 4294967295) % 9)::BIGINT AS h FROM o),
+b AS (SELECT h.conv_id, list_concat(coalesce(f.ts[1:h.h], []), h.ts[h.h + 1:]) AS s FROM h LEFT JOIN o f ON f.conv_id = h.conv_id - h.conv_id % 5),
+p AS (SELECT conv_id, len(s) AS l, d::BIGINT AS depth, sha256(s[1:d]::VARCHAR) AS k, CASE WHEN d > 0 THEN sha256(s[1:d - 1]::VARCHAR) END AS up, CASE WHEN d > 0 THEN strlen(s[d].t) ELSE 0 END AS size FROM b, unnest(range(len(s) + 1)) AS x(d)),
+n AS (SELECT k, depth, any_value(up) AS up, any_value(size) AS size, count(*) AS n, min(conv_id) AS c, coalesce(string_agg(CASE WHEN depth = l THEN conv_id END::VARCHAR, ',' ORDER BY conv_id), '') AS ends FROM p GROUP BY k, depth),
+kids AS (SELECT up, count(*) AS kids FROM n WHERE up IS NOT NULL GROUP BY up),
+below AS (SELECT DISTINCT x.k AS top, y.k AS k FROM p y JOIN p x ON x.conv_id = y.conv_id AND x.depth <= y.depth),
+sums AS (SELECT top, count(*) FILTER (WHERE kids IS NULL) AS leaves, sum((n.n - 1) * n.size) AS saved FROM below JOIN n USING (k) LEFT JOIN kids ON kids.up = n.k GROUP BY top)
+SELECT n.c AS conv_id, n.depth, u.c AS parent_conv_id, n.n AS n_convs, coalesce(kids, 0) AS n_children, leaves AS n_leaves, saved::BIGINT AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM n LEFT JOIN n u ON u.k = n.up LEFT JOIN kids ON kids.up = n.k JOIN sums ON sums.top = n.k
+"""
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+OP13_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, ts, len(ts)::BIGINT AS n FROM (SELECT doc_id, {_TERMS} AS ts FROM documents) x WHERE len(ts) > 0),
+a AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM d),
+q AS (SELECT item_id, term, count(*)::BIGINT AS q FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) x GROUP BY ALL),
+p AS (SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(ts) AS term FROM d) x SEMI JOIN q USING (term) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, a GROUP BY term, docs),
+i AS (SELECT r, term, (1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * docs) // terms)) AS impact FROM p JOIN d USING (r), a),
+s AS (SELECT item_id, r, sum(q * w * impact)::BIGINT AS score FROM q JOIN w USING (term) JOIN i USING (term) GROUP BY ALL),
+k AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s JOIN d USING (r) WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM k WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash": OP1_SQL, "op2_substring": OP2_SQL, "op4_urls": OP4_SQL, "op6_quality": OP6_SQL, "op7_chat": OP7_SQL}
+    return {"op1_minhash": OP1_SQL, "op2_substring": OP2_SQL, "op4_urls": OP4_SQL, "op6_quality": OP6_SQL, "op7_chat": OP7_SQL, "op11_jaccard": OP11_SQL, "op12_trie": OP12_SQL, "op13_search": OP13_SQL}
