@@ -82,19 +82,21 @@ def test_prefixes_share_as_many_elements_as_the_smaller_length():
     off = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
     elements = np.concatenate(sets)
     level = (elements % np.uint64(97)).astype(np.uint8)
-    l_of, size, kept = jaccard.prefixes(elements, off, level)
+    level = np.maximum(level, 8)
+    l_of, posted, size, kept = jaccard.prefixes(elements, off, level)
     assert (l_of > 1).any() and (l_of == 1).any()
-    lists = [set(x.tolist()) for x in np.split(kept, np.cumsum(size)[:-1])]
+    parts = np.split(kept, np.cumsum(size)[:-1])
+    lists, sent = [set(x.tolist()) for x in parts], [set(x[:k].tolist()) for x, k in zip(parts, posted, strict=True)]
     linked = 0
     for i, x in enumerate(sets):
         for j in range(i):
             if jaccard.alike(x, sets[j]):
                 linked += 1
-                assert len(lists[i] & lists[j]) >= min(l_of[i], l_of[j])
+                assert len(lists[i] & lists[j]) >= min(l_of[i], l_of[j]) and sent[i] & sent[j]
     assert linked > 100
 
 
-def test_levels_count_the_whole_table(spark):
-    rows = [(k, "one two three") for k in range(64)] + [(100, "four five six")]
-    level = jaccard.levels(spark.createDataFrame(rows, "id long, text string").repartition(5))
-    assert sorted(level[level > 0].tolist()) == [48] and len(level) == jaccard.BINS
+def test_elements_of_one_set_alone_are_not_posted(spark):
+    rows = [(k, "one two three four") for k in range(8)] + [(100, "four five six"), (101, None)]
+    got_ = jaccard.table(spark.createDataFrame(rows, "id long, text string").repartition(5)).collect()
+    assert {r["id"]: (r["n"], r["posted"], len(r["prefix"])) for r in got_} == {**{k: (2, 1, 1) for k in range(8)}, 100: (1, 0, 0), 101: (0, 0, 0)}

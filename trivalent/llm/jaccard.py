@@ -3,12 +3,14 @@
 A document's set holds the 64-bit hashes of its distinct runs of three words (A-Z lower-cased); with fewer words, of its whole
 sequence.  Two sets of likeness 0.9 or more share at least t = ceil(0.9 n) elements, n being the size of either.  So if all sets are
 put in one order, rarest first, the first n - t + l elements of both hold at least l common ones, for every l: the longer the prefix,
-the more elements must agree before a pair is worth checking.  Each set takes the l whose estimated cost is least: the other sets
-that its prefix meets, and the candidates among them, at most one for every l meetings, times what a check costs.  Two sets are
-candidates if their prefixes share as many elements as the smaller l of both.
+the more elements must agree before a pair is worth checking.  Each set takes the l whose estimated cost is least: the elements that it
+carries, and the candidates that its prefix may have, at most one for every l sets that it meets, times the size of the sets to be
+compared.  Two sets are candidates if their prefixes share as many elements as the smaller l of both.  To meet at all it is enough to
+post the first n - t + 1 elements, and of these only the ones that another set has.
 
-How rare an element is, is estimated by a histogram of ``BINS`` hashed bins over the whole table, kept as eighth-bit logarithms: 4 MB,
-whatever the table.  Any order that all sets agree on gives the same links; the estimate only decides how much work it takes.
+In how many sets an element is, is counted over the whole table: each batch of texts sends its distinct elements once to the
+partitions of the hash space, by 32 bits in each, and gets their counts back as eighth-bit logarithms.  A count may be too large by
+elements that share those bits, never too small; any order that all sets agree on gives the same links.
 
 Equal sets, known by 128 bits of the SHA-256 of all their elements, are one class and cost a row each from then on.  First every class
 is checked with at most two of the least classes of its prefix elements, which ties most groups together in linear work.  Then classes
@@ -33,61 +35,54 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import pack, parts_for, unpack
 from .components import components
-from .lexicon import spread, squeeze
+from .lexicon import SCHEMA, answered, by_partition, record, records, rows_in, rows_out, spell, spread, squeeze
 from .neardup import _groups, shingle_sets
 from .scratch import written
-from .words import U64, slices
+from .words import U64, slices, sums
 
 WORDS, PERCENT = 3, 90
-#: Bins of the histogram of elements, and the bins that travel in one row.
-BINS, STRIPE = 1 << 22, 1 << 14
-#: The largest l; what checking a candidate costs for each element, where meeting one costs 1.
-LONGEST, CHECK = 8, 0.05
+#: The values of l that a set chooses among.
+LENGTHS = (1, 2, 4, 8, 16, 32, 64, 128)
 BLOCK, BLOCK_ELEMENTS = 1024, 1 << 20
 
 
-def _bin(elements: np.ndarray) -> np.ndarray:
-    return (elements >> U64(64 - BINS.bit_length() + 1)).astype(np.int64)
+def _levels(counts: np.ndarray) -> np.ndarray:
+    """Eighth-bit binary logarithms; 0 is an element of one set alone."""
+    return np.minimum(np.rint(8 * np.log2(np.maximum(counts, 1))), 255).astype(np.uint8)
 
 
-def _histogram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(BINS, np.uint32)
-    for b in slices(batches, "text"):
-        np.add.at(counts, _bin(shingle_sets(b.column("text"), WORDS)[0]), np.uint32(1))
-    for k in range(0, BINS, STRIPE):
-        part = counts[k : k + STRIPE]
-        if part.any():
-            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([squeeze(part)], pa.binary())], ["stripe", "counts"])
+class _Batch:
+    """The sets of a batch of texts and, for every partition of the hash space, its distinct elements there by their lower halves."""
 
+    def __init__(self, b: pa.RecordBatch, parts: int):
+        self.sets, self.off = (np.concatenate(x) for x in self._joined(b))
+        self.distinct, self.inverse, self.counts = np.unique(self.sets, return_inverse=True, return_counts=True)
+        low = self.distinct.astype(np.uint32)
+        self.parts = {p: at[np.argsort(low[at], kind="stable")] for p, at in by_partition(self.distinct, parts)}
+        self.low = low
 
-def _summed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Levels of each stripe, from its counts in a row; a level is eight times the count's binary logarithm."""
-    stripe, total = None, None
+    @staticmethod
+    def _joined(b: pa.RecordBatch) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        sets, offs, before = [np.zeros(0, U64)], [np.zeros(1, np.int64)], 0
+        for x in slices([b], "text"):
+            s, off = shingle_sets(x.column("text"), WORDS)
+            sets.append(s)
+            offs.append(off[1:] + before)
+            before += len(s)
+        return sets, offs
 
-    def out() -> pa.RecordBatch:
-        level = np.minimum(np.rint(8 * np.log2(np.maximum(total, 1))), 255).astype(np.uint8)
-        return pa.RecordBatch.from_arrays([pa.array([stripe]), pa.array([level.tobytes()], pa.binary())], ["stripe", "levels"])
 
-    for b in batches:
-        for k, data in zip(b.column("stripe").to_pylist(), b.column("counts").to_pylist(), strict=True):
-            if k != stripe:
-                if stripe is not None:
-                    yield out()
-                stripe, total = k, np.zeros(STRIPE, np.int64)
-            total += spread(data, np.uint32)
-    if stripe is not None:
-        yield out()
-
-
-def levels(docs: DataFrame) -> np.ndarray:
-    """How frequent the elements of each bin are; docs: id, text."""
-    parts = docs.select("text").mapInArrow(_histogram_rows, "stripe long, counts binary")
-    rows = parts.repartition("stripe").sortWithinPartitions("stripe").mapInArrow(_summed_rows, "stripe long, levels binary").collect()
-    out = np.zeros(BINS, np.uint8)
-    for k, data in rows:
-        out[k : k + STRIPE] = np.frombuffer(data, np.uint8)
-    return out
+def _counted_rows(t: pa.Table) -> pa.Table:
+    """One partition: in how many sets each batch's elements are, as levels in the order in which the batch sent them."""
+    values = [unpack(x) for x in t.column("a").to_pylist()]
+    sent = [spread(x, np.uint32) for x in t.column("b").to_pylist()]
+    _, at = np.unique(np.concatenate(values), return_inverse=True)
+    level = _levels(np.bincount(at, np.concatenate(sent)))[at]
+    ends = np.cumsum([len(v) for v in values])
+    rows = [record(p, batch, squeeze(x), b"", b"") for p, batch, x in zip(t.column("p").to_pylist(), t.column("batch").to_pylist(), np.split(level, ends[:-1]), strict=True)]
+    return pa.Table.from_batches([records(rows)])
 
 
 def least_shared(n: np.ndarray) -> np.ndarray:
@@ -95,24 +90,28 @@ def least_shared(n: np.ndarray) -> np.ndarray:
     return (PERCENT * n + 99) // 100
 
 
-def prefixes(elements: np.ndarray, off: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each set's l, the sizes of the prefixes and the prefixes, in the common order; level: of each element."""
+def prefixes(elements: np.ndarray, off: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each set's l, how many elements it posts, the sizes of the prefixes and the prefixes in the common order; level: of each element.
+
+    Elements of one set alone are left out: nobody can share them.
+    """
     n = np.diff(off)
     doc = np.repeat(np.arange(len(n)), n)
     order = np.lexsort((elements, level, doc))
     elements, level = elements[order], level[order]
-    others = np.maximum(np.exp2(level / 8) - 1, 0)
-    before = np.concatenate([[0], np.cumsum(others)])
+    before = np.concatenate([[0], np.cumsum(np.exp2(level / 8) - 1)])
     t = least_shared(n)
     best, l_of = np.full(len(n), np.inf), np.ones(len(n), np.int64)
-    for k in range(1, LONGEST + 1):
-        met = before[off[:-1] + np.minimum(n - t + k, n)] - before[off[:-1]]
-        cost = np.where(k <= np.maximum(t, 1), met * (1 + CHECK * n / k), np.inf)
+    for k in LENGTHS:
+        size = np.minimum(n - t + k, n)
+        met = before[off[:-1] + size] - before[off[:-1]]
+        cost = np.where(k <= np.maximum(t, 1), size + met * n / k, np.inf)
         l_of = np.where(cost < best, k, l_of)
         best = np.minimum(best, cost)
-    size = np.where(n > 0, np.minimum(n - t + l_of, n), 0)
-    keep = np.arange(len(elements)) - off[:-1][doc] < size[doc]
-    return l_of, size, elements[keep]
+    place = np.arange(len(elements)) - off[:-1][doc]
+    keep = (place < (n - t + l_of)[doc]) & (level > 0)
+    posted = keep & (place < (n - t + 1)[doc])
+    return l_of, sums(posted, off), sums(keep, off), elements[keep]
 
 
 def _digests(sets: np.ndarray, off: np.ndarray) -> list[bytes | None]:
@@ -120,17 +119,29 @@ def _digests(sets: np.ndarray, off: np.ndarray) -> list[bytes | None]:
     return [hashlib.sha256(raw[lo:hi]).digest()[:16] if hi > lo else None for lo, hi in zip(at[:-1], at[1:], strict=True)]
 
 
-def _table(docs: DataFrame, level: np.ndarray) -> DataFrame:
-    """id, n, set (the class), l, prefix: a row for each row of docs."""
+def table(docs: DataFrame) -> DataFrame:
+    """id, n, set (the class), l, posted, prefix: a row for each row of docs (id, text)."""
+    parts = parts_for(docs, "text")
+
+    def cut(b: pa.RecordBatch, k: int) -> list[tuple]:
+        own = _Batch(b, parts)
+        rows = [record(-1, k, rows_out(b), b"", b"")]
+        return rows + [record(p, k, pack(own.low[at]), squeeze(own.counts[at].astype(np.uint32)), b"") for p, at in own.parts.items()]
 
-    def run(batches):
-        for b in slices(batches, "text"):
-            sets, off = shingle_sets(b.column("text"), WORDS)
-            l_of, size, kept = prefixes(sets, off, level[_bin(sets)])
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(kept.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(np.diff(off)), pa.array(_digests(sets, off), pa.binary()), pa.array(l_of.astype(np.int32)), lists], ["id", "n", "set", "l", "prefix"])
+    def finish(row: tuple, back: list[tuple]) -> pa.Table:
+        b = rows_in(row[2])
+        own = _Batch(b, parts)
+        level = np.zeros(len(own.distinct), np.uint8)
+        for p, _, data, _, _ in back:
+            level[own.parts[p]] = spread(data, np.uint8)
+        l_of, posted, size, kept = prefixes(own.sets, own.off, level[own.inverse])
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(kept.view(np.int64)))
+        cols = [b.column("id"), pa.array(np.diff(own.off)), pa.array(_digests(own.sets, own.off), pa.binary()), pa.array(l_of.astype(np.int32)), pa.array(posted.astype(np.int32)), lists]
+        return pa.Table.from_arrays(cols, ["id", "n", "set", "l", "posted", "prefix"])
 
-    return docs.mapInArrow(run, "id long, n long, set binary, l int, prefix array<long>")
+    rows = spell(docs, cut)
+    counted = rows.where("p >= 0").groupBy("p").applyInArrow(_counted_rows, SCHEMA)
+    return answered(rows.where("p < 0"), counted, finish, "id long, n long, set binary, l int, posted int, prefix array<long>")
 
 
 def _element_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,12 +260,12 @@ def _stars(pairs: DataFrame, elements: DataFrame) -> DataFrame:
 def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id: one row for each row of docs."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    table = written(_table(docs, levels(docs)), "prefixes")
-    full = table.where("n > 0 and id is not null")
-    classes = written(full.groupBy("set").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("l").alias("l"), F.first("prefix").alias("prefix")), "classes")
+    rows_of = written(table(docs), "prefixes")
+    full = rows_of.where("n > 0 and id is not null")
+    classes = written(full.groupBy("set").agg(F.min("id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "l", "posted", "prefix"))), "classes")
     reps = classes.select("set", "rep")
     same = full.select("id", "set").join(reps, "set").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    posted = classes.select("set", "n", F.explode("prefix").alias("token"))
+    posted = classes.select("set", "n", F.explode(F.slice("prefix", F.lit(1), F.col("posted"))).alias("token"))
     buckets = posted.groupBy("token").agg(F.count("*").alias("m"), F.min(F.struct("set", "n")).alias("hub")).where("m > 1").select("token", "hub")
     members = written(posted.join(buckets, "token"), "members")
     needed = members.select("set").distinct().join(reps, "set").select(F.col("rep").alias("id"), F.col("set").alias("known"))
@@ -286,4 +297,4 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     crossed = in_blocks(rows).mapInArrow(_cross_rows, rows.schema)
     more = in_blocks(crossed.join(elements, "set")).mapInArrow(_settle_rows, "a binary, b binary")
     whole = components(found.select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(by_rep(more)).unionByName(same))
-    return table.select("id", F.col("n").alias("n_shingles")).join(whole, "id", "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
+    return rows_of.select("id", F.col("n").alias("n_shingles")).join(whole, "id", "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
