@@ -81,6 +81,7 @@ def _video(rng, i):
 OPTIONS = [
     {}, {"matchingDurationSecDifference": 5}, {"matchingDurationSecDifference": 5, "matchingQuality": True, "matchingCategory": True}, {"matchingDuration": False, "matchingTag": True, "matchingTagCount": 2},
     {"matchingDuration": False, "matchingTag": True, "matchingTagCount": 3, "matchingTitleWords": True, "matchingTitleWordCount": 2}, {"matchingDurationSecDifference": 30, "matchingTitleWords": True, "matchingTitleWordCount": 3}, {"matchingDuration": False},
+    {"matchingDurationSecDifference": 9, "matchingQuality": True, "matchingCategory": True, "matchingTag": True, "matchingTitleWords": True}, {"matchingDurationSecDifference": 0, "matchingTag": True, "matchingTagCount": 4},
 ]
 
 
@@ -121,6 +122,30 @@ def test_hot_artist(spark):
         assert [r["video_id"] for r in out.where("not verdict").collect()] == ["0"] and out.where("verdict").count() == 29_999
 
 
+def _wide(spark, n, artists=1):
+    """Rows of 12 words, 20 tags and 3 categories."""
+    d = F.struct(F.lit("complete").alias("status"), F.lit(6).alias("schema_version"), F.struct(*(F.lit(True).alias(x) for x in ("artist", "uploader", "tags", "categories"))).alias("entity_trust"), F.array(F.concat(F.lit("A"), (F.col("id") % artists).cast("string"))).alias("artists"), F.lit(None).cast("string").alias("artist"), F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: F.concat(F.lit("t"), F.pmod(F.xxhash64("id", i), F.lit(900)).cast("string"))).alias("tags"), F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.concat(F.lit("c"), F.pmod(F.xxhash64("id", i), F.lit(30)).cast("string"))).alias("categories"), F.lit(None).cast("string").alias("exact_upload_date"), F.array().cast("array<struct<name:string,format:string,quality:string,resolution:string>>").alias("formats"), F.array().cast("array<struct<key:string,name:string,url:string>>").alias("artist_refs"))
+    title = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: F.concat(F.lit("w"), F.pmod(F.xxhash64(F.col("id") - F.col("id") % 3, i), F.lit(5000) + i * 0).cast("string"))), " ")
+    return spark.range(n).select(F.col("id").cast("string").alias("video_id"), title.alias("title"), (F.col("id") % 600).alias("duration_sec"), F.lit(None).cast("string").alias("relative_upload_text"), *(F.lit(None).cast("long").alias(x) for x in ("relative_upload_observed_at", "listing_upload_earliest_at", "listing_upload_latest_at")), d.alias("detail"))
+
+
+def test_keys_of_a_row_are_those_of_one_list(spark):
+    d = duplicates.descriptors(_wide(spark, 200))
+    rows = written(d.select("video_id", "artists", "tags", "words", F.lit(0).cast("long").alias("quality"), "duration"), "wide")
+    for column, n in (("words", 4), ("tags", 2)):
+        sizes = duplicates._posted(rows, column, n, 5).groupBy("video_id").count().agg(F.max("count")).first()[0]
+        assert sizes <= 40
+
+
+def test_hot_artist_of_wide_rows(spark):
+    """100,000 rows of one artist that share words, tags and categories; every third row begins a group of equal titles."""
+    from trivalent.plans import rules
+
+    c = written(_wide(spark, 100_000), "wide")
+    out = duplicates.verdicts(c, rules.duplicate_options({"matchingDuration": False, "matchingTitleWords": True, "matchingTitleWordCount": 8}))
+    assert {r["verdict"]: r["count"] for r in out.groupBy("verdict").count().collect()} == {True: 66_666, False: 33_334}
+
+
 def test_catalogue_join_and_state(spark):
     v, d = spark.createDataFrame([("1",), ("2",)], "video_id string"), spark.createDataFrame([("2", "complete"), ("3", "failed"), (None, "x")], "video_id string, status string")
     assert [tuple(r) for r in catalogue.joined(v, d).select("video_id", "detail.status").orderBy("video_id").collect()] == [("1", None), ("2", "complete")]

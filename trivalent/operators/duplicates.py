@@ -4,13 +4,13 @@ Candidates share an artist token and pass the enabled criteria in a fixed order,
 met decides.  A row is TRUE if a candidate of better rank passes, else null if some candidate could not be judged, else
 FALSE.
 
-Rows are not paired.  A candidate passes if it agrees in a *key*: the artist, and of each criterion that is on the
-quality, a category, a set of as many tags and a set of as many title words as must be shared.  So whether a better one
-passes follows from the least ranks of each key, which are an aggregate with partial sums before the shuffle; with
-durations, these are taken by second first, and seconds are joined with those in reach.  Whether one could not be judged
-follows from counts by the keys of the criteria before the one that is not known.  An artist of a third of all rows costs
-rows, not pairs.  A row has a key for each set of its words, so counts over two are checked on candidates that share two
-of the rarer words instead.
+Rows are not paired one by one.  Where at most one list is compared and one shared value is enough, a candidate passes if it agrees
+in a key: the artist, the quality, the value.  Then whether a better one passes follows from the least ranks of each key, which are an
+aggregate with partial sums before the shuffle; with durations, these are taken by second first, and seconds are joined with those in
+reach.  Where more must be shared, rows are posted under the rarest values of one list and compared in blocks (``_hits_of_blocks``):
+a row has as many keys as its artists times that list, never the product of its lists.  Whether one could not be judged follows from
+counts by the keys of the criteria before the one that is not known, which are artists and categories at most.  An artist of a third
+of all rows costs rows, and blocks of those that share a rare value.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from ..functions import dates
 from ..functions.details import artist_tokens, lowered_values, quality_fingerprint
 from ..functions.text import title_words, utf16_length
+from ..sources.scratch import written
+from . import blocks
 
 
 def descriptors(catalogue: DataFrame) -> DataFrame:
@@ -66,23 +68,17 @@ def compare(x, y, options: dict) -> Column:
     return out
 
 
-def _sets(c: str, n: int) -> Column:
-    """The keys of a list: its values, or its pairs of values if two or more must be shared."""
-    own = F.sort_array(F.array_distinct(c))
-    return own if n < 2 else F.flatten(F.transform(own, lambda x, i: F.transform(F.slice(own, i + 2, F.greatest(F.size(own), F.lit(1))), lambda y: F.concat(x, F.lit("\n"), y))))
-
-
 def _criteria(options: dict) -> list[tuple[str, Column | None, Column]]:
-    """(name, whether it is not known, its keys) of the criteria that are on and compare keys, in order."""
+    """(name, whether it is not known, its keys) of the criteria that are on and compare values, in order."""
     out = []
     if options["matchingQuality"]:
         out.append(("quality", F.col("quality").isNull(), F.array("quality")))
     if options["matchingCategory"]:
         out.append(("category", F.col("categories").isNull(), F.array_distinct("categories")))
     if options["matchingTag"]:
-        out.append(("tag", F.col("tags").isNull(), _sets("tags", options["matchingTagCount"])))
+        out.append(("tag", F.col("tags").isNull(), F.array_distinct("tags")))
     if options["matchingTitleWords"]:
-        out.append(("words", None, _sets("words", options["matchingTitleWordCount"])))
+        out.append(("words", None, F.array_distinct("words")))
     return out
 
 
@@ -137,23 +133,87 @@ def _hits(d: DataFrame, options: dict) -> DataFrame:
     return rows.join(rows.groupBy(*keys).agg(*best), keys).where(_beaten(F.col("rank"))).select("video_id").distinct()
 
 
-def _hits_of_pairs(d: DataFrame, options: dict) -> DataFrame:
-    """The same where more than two values must be shared: candidates share a key of pairs, and are compared."""
-    criteria = _criteria(options)
-    keys = ["token", *(f"k_{name}" for name, _, _ in criteria)]
-    if options["matchingDuration"]:
-        d = d.where("duration is not null")
-        by = options["matchingDurationSecDifference"]
-        band = F.floor(F.col("duration") / (by + 1))
-        a, b = _keyed(d.withColumn("band", F.explode(F.array(band - 1, band, band + 1))), criteria, "band", "video_id", "duration"), _keyed(d.withColumn("band", band), criteria, "band", "video_id", "duration")
-        keys = [*keys, "band"]
-    else:
-        a, b = _keyed(d, criteria, "video_id", "duration"), _keyed(d, criteria, "video_id", "duration")
-    pairs = a.select(*keys, F.col("video_id").alias("x")).join(b.select(*keys, F.col("video_id").alias("y")), keys).where("x <> y").select("x", "y").distinct()
-    x, y = d.select(F.col("video_id").alias("x"), F.struct(*d.columns).alias("a")), d.select(F.col("video_id").alias("y"), F.struct(*d.columns).alias("b"))
-    both = pairs.join(x, "x").join(y, "y")
-    passed = compare(lambda c: F.col(f"a.{c}"), lambda c: F.col(f"b.{c}"), options)
-    return both.where(passed & _before(F.col("b.rank"), F.col("a.rank"))).select(F.col("x").alias("video_id")).distinct()
+#: The lists of a row whose shared values are counted: (option, its count's option, column).
+_COUNTED = (("matchingCategory", None, "categories"), ("matchingTag", "matchingTagCount", "tags"), ("matchingTitleWords", "matchingTitleWordCount", "words"))
+
+
+def _least(options: dict) -> dict[str, int]:
+    """How many values of each list must be shared, of the criteria that are on."""
+    return {c: options[count] if count else 1 for on, count, c in _COUNTED if options[on]}
+
+
+def rarest(rows: DataFrame, column: str, n: int) -> DataFrame:
+    """rows with ``prefix``: the values of a list without its n - 1 most frequent ones.
+
+    Two rows that share n values share one of these: values are in one order, rarest first, and whoever shares n has at least one
+    before its last n - 1.  Frequencies are over all rows; equal lists are sorted once.
+    """
+    if n < 2:
+        return rows.withColumn("prefix", F.col(column))
+    lists = rows.select(F.col(column).alias("list")).distinct()
+    values = lists.select("list", F.explode("list").alias("value"))
+    often = rows.select(F.explode(column).alias("value")).groupBy("value").agg(F.count("*").alias("often"))
+    in_order = values.join(often, "value").groupBy("list").agg(F.sort_array(F.collect_list(F.struct("often", "value"))).alias("order"))
+    prefix = in_order.select("list", F.transform(F.slice("order", F.lit(1), F.size("order") - (n - 1)), lambda x: x["value"]).alias("prefix"))
+    return rows.join(prefix, F.col(column) == F.col("list")).drop("list")
+
+
+def _best_of_equals(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Of rows that are equal in all that is compared, those that come first among the numbers, the texts or all: three at most."""
+    best = rows.groupBy(*by).agg(*(_first(F.col("rank"), kind).alias(c) for c, kind in _KINDS))
+    first = [F.when(F.col(c).isNotNull(), F.struct(F.col(c)["triple"].alias("triple"), F.col(c)["tail"]["id"].alias("id"))) for c, _ in _KINDS]
+    kept = best.select(*by, F.explode(F.array_distinct(F.filter(F.array(*first), lambda x: x.isNotNull()))).alias("row"))
+    return kept.select(*by, F.col("row.id").alias("video_id"), F.col("row.id").try_cast("long").alias("number"), "row.triple.*")
+
+
+def _posted(kept: DataFrame, column: str, n: int, reach: int | None) -> DataFrame:
+    """A row for each artist and value of the prefix (and for each of two bands of durations), by ``key``.
+
+    Rows of one band of durations or of two that touch meet in the upper band.
+    """
+    out = rarest(kept, column, n).withColumn("token", F.explode("artists")).withColumn("value", F.explode("prefix")).drop("prefix")
+    band = F.floor(F.col("duration") / ((reach or 0) + 1))
+    out = out.withColumn("band", F.lit(0).cast("long") if reach is None else F.explode(F.array(band, band + 1)))
+    return out.withColumn("key", F.xxhash64("token", "value", "quality", "band")).drop("token", "value", "band")
+
+
+def _hits_of_blocks(d: DataFrame, options: dict) -> DataFrame:
+    """video_id of rows that a better one passes, where several lists, or more than one value of a list, must be shared.
+
+    Rows that are equal in all that is compared pass each other, so all but the best of them are hits at once.  What is left is posted
+    under its artists and the rarest values of *one* list, the one whose buckets make the fewest comparisons, and compared in the
+    buckets, those of many rows in salted blocks.  A bucket's key is a hash: what it mixes up is told apart by the comparison.
+    """
+    least = _least(options)
+    reach = options["matchingDurationSecDifference"] if options["matchingDuration"] else None
+    able = F.lit(True) if reach is None else F.col("duration").isNotNull()
+    if options["matchingQuality"]:
+        able &= F.col("quality").isNotNull()
+    for c, n in least.items():
+        able &= F.coalesce(F.size(F.array_distinct(c)) >= n, F.lit(False))
+    lists = ["artists", *least]
+    rows = d.where(able).select(
+        "video_id",
+        "rank",
+        *(F.sort_array(F.array_distinct(c)).alias(c) for c in lists),
+        (F.xxhash64("quality") if options["matchingQuality"] else F.lit(0).cast("long")).alias("quality"),
+        (F.col("duration") if reach is not None else F.lit(0).cast("long")).alias("duration"),
+    )
+    kept = written(_best_of_equals(rows, [*lists, "quality", "duration"]), "best")
+    column = min(least, key=lambda c: _comparisons(_posted(kept, c, least[c], reach))) if len(least) > 1 else next(iter(least))
+    posted = _posted(kept, column, least[column], reach)
+    buckets = posted.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key", F.ceil(F.col("m") / blocks.ROWS).cast("int").alias("parts"))
+    dealt = posted.join(buckets, "key").withColumn("part", F.pmod(F.xxhash64("video_id"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    hashed = [F.transform(c, lambda v: F.xxhash64(v)).alias(c) for c in lists]
+    dealt = dealt.select("key", F.greatest("part", "other").alias("i"), F.least("part", "other").alias("j"), "part", "video_id", "number", "undated", "at", "length", "quality", "duration", *hashed)
+    counts = {"artists": 1, **least}
+    beaten = dealt.repartition(*blocks.KEY).sortWithinPartitions(*blocks.KEY).mapInArrow(lambda batches: blocks.judge(batches, counts, reach), "video_id string")
+    return rows.select("video_id").join(kept.select("video_id"), "video_id", "left_anti").unionByName(beaten).distinct()
+
+
+def _comparisons(posted: DataFrame) -> int:
+    sizes = posted.groupBy("key").agg(F.count("*").alias("m"))
+    return sizes.agg(F.sum(F.col("m").cast("decimal(20,0)") * F.col("m"))).first()[0] or 0
 
 
 def _unknown(d: DataFrame, options: dict) -> DataFrame:
@@ -184,12 +244,16 @@ def _unknown(d: DataFrame, options: dict) -> DataFrame:
 
 
 def verdicts(catalogue: DataFrame, options: dict) -> DataFrame:
-    """video_id and verdict, a row for each row of the catalogue."""
-    d = descriptors(catalogue)
-    wide = max(options["matchingTagCount"] * options["matchingTag"], options["matchingTitleWordCount"] * options["matchingTitleWords"]) > 2
+    """video_id and verdict, a row for each row of the catalogue.
+
+    What rows are compared by is written once: hits and unknown ones read it several times.
+    """
+    d = written(descriptors(catalogue), "descriptors")
+    least = _least(options)
+    counted = len(least) > 1 or max(least.values(), default=1) > 1
     known = (F.size("artists") > 0) & (F.col("duration").isNotNull() if options["matchingDuration"] else F.lit(True))
     with_artist = d.where(F.size("artists") > 0)
-    hits = (_hits_of_pairs if wide else _hits)(with_artist, options).select("video_id", F.lit(True).alias("hit"))
+    hits = (_hits_of_blocks if counted else _hits)(with_artist, options).select("video_id", F.lit(True).alias("hit"))
     unknown = _unknown(with_artist, options).select("video_id", F.lit(True).alias("unknown"))
     verdict = F.when(~F.coalesce(known, F.lit(False)), None).when(F.col("hit"), True).when(F.col("unknown"), None).otherwise(False)
     return d.select("video_id", "artists", "duration").join(hits, "video_id", "left").join(unknown, "video_id", "left").select("video_id", verdict.cast("boolean").alias("verdict"))

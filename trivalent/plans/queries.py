@@ -267,6 +267,27 @@ for _name, _options, _sql in (
     SQL[_name] = _sql
 
 
+#: Options of rows with ten words more, fifteen tags and three categories: three words, two tags and a category must be shared.
+_MANY = {"matchingDuration": False, "matchingCategory": True, "matchingTag": True, "matchingTagCount": 2, "matchingTitleWords": True, "matchingTitleWordCount": 3}
+_MANY_SQL = _duplicates_sql(
+    "WHEN x.cats IS NULL OR y.cats IS NULL THEN NULL WHEN NOT list_has_any(x.cats, y.cats) THEN false WHEN x.tags IS NULL OR y.tags IS NULL THEN NULL WHEN len(list_intersect(x.tags, y.tags)) < 2 THEN false WHEN len(list_intersect(x.words, y.words)) < 3 THEN false", None
+)
+_MANY_SQL = _MANY_SQL.replace(DATED, f"""{DATED}, many AS (SELECT * REPLACE (title || ' ' || array_to_string(list_transform(range(10), lambda i: 'w' || ((ord // 3 * 31 + i * i * 17) % 1009)), ' ') AS title,
+    CASE WHEN tt THEN list_transform(range(15), lambda i: 't' || ((ord * 7 + i * i * 13) % 499)) END AS tags) FROM r)""").replace("CASE WHEN tt THEN [lower(category)] END AS cats", "CASE WHEN tt THEN list_transform(range(3), lambda i: 'c' || ((ord + i * 11) % 37)) END AS cats").replace("AS words FROM r)", "AS words FROM many)")
+
+
+@query(_MANY_SQL)
+def duplicates_many_values(spark, sf_dir):
+    """Rows of many words, tags and categories, of all of which some must be shared."""
+    rows = catalogue(spark, sf_dir)
+    values = lambda first, last, make: F.transform(F.sequence(F.lit(first), F.lit(last)), lambda i: make(i.cast("long")))
+    words = values(0, 9, lambda i: F.concat(F.lit("w"), ((F.floor(F.col("ord") / 3) * 31 + i * i * 17) % 1009).cast("string")))
+    tags = values(0, 14, lambda i: F.concat(F.lit("t"), ((F.col("ord") * 7 + i * i * 13) % 499).cast("string")))
+    categories = values(0, 2, lambda i: F.concat(F.lit("c"), ((F.col("ord") + i * 11) % 37).cast("string")))
+    rows = rows.withColumn("title", F.concat("title", F.lit(" "), F.array_join(words, " "))).withColumn("detail", F.when(F.col("detail").isNotNull(), F.col("detail").withField("tags", tags).withField("categories", categories)))
+    return duplicates.verdicts(rows, rules.duplicate_options(_MANY)).select("video_id", "verdict")
+
+
 @query(f"{DATED}, t AS (SELECT *, CAST(video_id AS BIGINT) AS id, row_number() OVER (PARTITION BY title ORDER BY shown ASC NULLS LAST, length(trim(title)), CAST(video_id AS BIGINT)) AS n, count(*) OVER (PARTITION BY title) AS members FROM r) SELECT title, video_id AS representative, members FROM t WHERE n = 1")
 def representatives(spark, sf_dir):
     return duplicates.representatives(catalogue(spark, sf_dir), ["title"])
