@@ -1,8 +1,9 @@
 """Ingest of listing pages and details: page by page, from a stream, resumable.
 
-Staged pages are rows of a session; a commit is a new version of the store, so a batch that is tried again after a lost
-driver makes the same rows once more and no others.  Every commit names the version that it was made from, so one that another
-writer overtook is refused and nothing is lost.
+Staged pages are rows of a session, each append a file of its own; a commit is a new version of the store, so a batch that is tried
+again after a lost driver makes the same rows once more and no others.  Pages and details rewrite the buckets of their ids only.  Every
+commit names the version that it was made from; one that another writer overtook is refused, or, if they touched other buckets, made
+onto the newer version, so nothing is lost.
 """
 
 from __future__ import annotations
@@ -24,23 +25,23 @@ def commit_pages(store: Store, rows: DataFrame, session_id: str, now: int, meta:
     state, rows = store.read_all(version), written(rows, "rows")
     bad = rows.where("reason is not null").select("native_page").distinct()
     good = rows.join(bad, "native_page", "left_anti")
-    videos = state["videos"]
-    cols = [F.col(c) if c in good.columns else F.lit(None).cast(videos.schema[c].dataType).alias(c) for c in videos.columns]
-    next_videos = merging.upsert_listing(videos, good.select(*cols), now, "native_page", "native_order")
+    like = state["videos"].schema
+    listed = good.select(*(F.col(f.name) if f.name in good.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in like))
     manifest = good.groupBy(F.col("native_page").alias("page_number")).agg(F.transform(F.sort_array(F.collect_list(F.struct("native_order", "video_id"))), lambda x: x["video_id"]).alias("video_ids")).withColumn("status", F.lit("complete"))
     failed = bad.select(F.col("native_page").alias("page_number"), F.array().cast("array<string>").alias("video_ids"), F.lit("failed").alias("status"))
     fresh = manifest.unionByName(failed).withColumn("scanned_at", F.lit(now).cast("long")).withColumn("session_id", F.lit(session_id))
-    pages = state["pages"]
-    fresh = fresh.select(*((F.col(c) if c in fresh.columns else F.lit(None)).cast(pages.schema[c].dataType).alias(c) for c in pages.columns))
-    return store.commit({"videos": next_videos, "pages": pages.join(fresh.select("page_number"), "page_number", "left_anti").select(pages.columns).unionByName(fresh)}, {"session": session_id, **(meta or {})}, expected=version)
+    fresh = fresh.select(*((F.col(f.name) if f.name in fresh.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in state["pages"].schema))
+    changes = {
+        "videos": (listed.where("video_id is not null"), lambda old: merging.upsert_listing(old, listed, now, "native_page", "native_order")),
+        "pages": (fresh, lambda old: old.join(fresh.select("page_number"), "page_number", "left_anti").select(old.columns).unionByName(fresh)),
+    }
+    return store.commit(meta={"session": session_id, **(meta or {})}, expected=version, changes=changes, rebase=True)
 
 
 def stage(store: Store, rows: DataFrame, session_id: str) -> int:
     """Adds ordered ids of a session to the stage."""
     own = rows.where("reason is null").select(F.lit(session_id).alias("session_id"), F.col("native_page").alias("page_number"), F.col("native_order").alias("position"), "video_id")
-    version = store.version()
-    old = store.read_all(version).get("stage")
-    return store.commit({"stage": own if old is None else old.unionByName(own)}, expected=version)
+    return store.commit(appends={"stage": own}, expected=store.version())
 
 
 def staged(store: Store, session_id: str) -> DataFrame:
@@ -118,10 +119,13 @@ def stream_pages(source: DataFrame, store: Store, layout, session_id: str, obser
 def commit_details(store: Store, fetched: DataFrame, now: int) -> int:
     """Details that were read replace their rows; failures are noted on the others."""
     version, fetched = store.version(), written(fetched, "fetched")
-    old = store.read("details", version)
-    done = merging.record_success(old, fetched.where("reason is null").drop("reason", "favorite"))
     failures = fetched.where("reason is not null").select("video_id", F.struct(F.col("reason").alias("code"), F.lit(None).cast("string").alias("message"), F.lit(None).cast("int").alias("http_status")).alias("error"))
-    return store.commit({"details": merging.record_failure(done, failures, now)}, expected=version)
+
+    def merged(old: DataFrame) -> DataFrame:
+        done = merging.record_success(old, fetched.where("reason is null").drop("reason", "favorite"))
+        return merging.record_failure(done, failures, now)
+
+    return store.commit(expected=version, changes={"details": (fetched.select("video_id"), merged)}, rebase=True)
 
 
 def clear_details(store: Store) -> int:
