@@ -7,6 +7,8 @@ of AND; what is off is left out; nothing on is TRUE.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -111,45 +113,51 @@ def rule_column(rule: dict, context: Context) -> Column:
     return ~out if rule["polarity"] == "exclude" else out
 
 
-def items_column(items: list[dict], context: Context) -> Column:
+def items_column(items: list[dict], leaf: Callable[[dict], Column]) -> Column:
+    """The fold of a list of rules and groups; leaf gives a rule's column."""
     out = None
     for i in items:
         if i["enabled"]:
-            v = items_column(i["items"], context) if i["kind"] == "group" else rule_column(i, context)
+            v = items_column(i["items"], leaf) if i["kind"] == "group" else leaf(i)
             out = v if out is None else out | v if i["connector"] == "or" else out & v
     return F.lit(True) if out is None else out
 
 
-def simple_column(n: dict, context: Context) -> Column:
-    out = [F.lit(True)]
+def simple_columns(n: dict, context: Context) -> dict[str, Column]:
+    """The column of each quick and detailed filter that is on."""
+    out: dict[str, Column] = {}
     for name, e in n["quick"].items():
         if not e["enabled"]:
             continue
         if name == "hideSeenVideos":
-            out.append(F.coalesce(~F.col("_seen"), F.lit(True)))
+            out[name] = F.coalesce(~F.col("_seen"), F.lit(True))
         elif name == "favorited":
-            out.append(F.col("_favorite"))
+            out[name] = F.col("_favorite")
         else:
             config = e["value"] if isinstance(e["value"], dict) else {"value": e["value"]}
-            out.append(text_match(F.coalesce("title", F.lit("")), config.get("operator") or "contains", config.get("value"), config.get("options")) if name == "title" else _numeric(name, config, "gte", context))
+            out[name] = text_match(F.coalesce("title", F.lit("")), config.get("operator") or "contains", config.get("value"), config.get("options")) if name == "title" else _numeric(name, config, "gte", context)
     for name, e in n["detailed"].items():
         if not e["enabled"]:
             continue
         if name == "subscriptionsOnly":
-            out.append(membership(e["value"]["options"]["includeWithoutDetails"]))
+            out[name] = membership(e["value"]["options"]["includeWithoutDetails"])
         elif name == "uploadDate":
-            out.append(dates.date_match(upload_range(), e["value"].get("operator") or "on", e["value"].get("value"), e["value"].get("valueTo"), e["value"].get("unit"), context.now))
+            out[name] = dates.date_match(upload_range(), e["value"].get("operator") or "on", e["value"].get("value"), e["value"].get("valueTo"), e["value"].get("unit"), context.now)
         else:
             have = F.transform(entity_values(F.col("detail"), name) if name in ("artist", "uploader") else raw_values(F.col("detail"), name), lambda v: F.lower(v))
             tests = [F.array_contains(have, F.lit(v.lower())) for v in e["value"]]
-            out.append(reduce((lambda a, b: a & b) if e["matchMode"] == "all" else (lambda a, b: a | b), tests))
-    return reduce(lambda a, b: a & b, out)
+            out[name] = reduce((lambda a, b: a & b) if e["matchMode"] == "all" else (lambda a, b: a | b), tests)
+    return out
+
+
+def all_of(columns: Iterable[Column]) -> Column:
+    return reduce(lambda a, b: a & b, columns, F.lit(True))
 
 
 def filter_column(filters: dict, context: Context) -> Column:
     n = rules.normalize(filters)
-    simple = simple_column(n, context)
-    return simple & items_column(n["advanced"]["items"], context) if n["advanced"]["enabled"] else simple
+    simple = all_of(simple_columns(n, context).values())
+    return simple & items_column(n["advanced"]["items"], lambda rule: rule_column(rule, context)) if n["advanced"]["enabled"] else simple
 
 
 def _duplicates_column(rule: dict) -> str:
@@ -178,11 +186,9 @@ def _members(df: DataFrame, members: DataFrame | None) -> DataFrame:
     return df.join(hit, "video_id", "left").withColumn("_member", F.coalesce("_member", F.lit(False)))
 
 
-def evaluate(catalogue: DataFrame, filters: dict, context: Context | None = None) -> DataFrame:
-    """catalogue with ``verdict``."""
-    context = context or Context()
-    n = rules.normalize(filters)
-    df, own = catalogue, catalogue.columns
+def with_side_tables(catalogue: DataFrame, n: dict, context: Context) -> DataFrame:
+    """catalogue with the columns that a normalised document's rules read of other tables."""
+    df = catalogue
     if rules.uses(n, "favorited"):
         df = _flag(df, context.favorites, "_favorite")
     if rules.uses(n, "seenVideos", "hideSeenVideos"):
@@ -194,4 +200,36 @@ def evaluate(catalogue: DataFrame, filters: dict, context: Context | None = None
         if on and i.get("field") == "duplicates" and (c := _duplicates_column(i)) not in made:
             made.add(c)
             df = df.join(verdicts(catalogue, i["options"]).withColumnRenamed("verdict", c), "video_id", "left")
-    return df.withColumn("verdict", filter_column(n, context)).select(*own, "verdict")
+    return df
+
+
+def evaluate(catalogue: DataFrame, filters: dict, context: Context | None = None) -> DataFrame:
+    """catalogue with ``verdict``."""
+    context = context or Context()
+    n = rules.normalize(filters)
+    return with_side_tables(catalogue, n, context).withColumn("verdict", filter_column(n, context)).select(*catalogue.columns, "verdict")
+
+
+def evaluate_without(catalogue: DataFrame, filters: dict, fields: list[str], context: Context | None = None) -> DataFrame:
+    """catalogue with ``verdicts``, a map of each field to the verdict of the document without what it says of the field.
+
+    Every rule is a column once, of one scan and one join of each side table; a field's verdict is another fold of these columns.
+    """
+    context = context or Context()
+    n = rules.normalize(filters)
+    df = with_side_tables(catalogue, n, context)
+    leaves: dict[str, Column] = {f"_simple_{name}": c for name, c in simple_columns(n, context).items()}
+    name_of = lambda rule: "_rule_" + json.dumps({k: v for k, v in rule.items() if k not in ("id", "connector")}, sort_keys=True, default=str)
+    for i, on in rules.walk(n["advanced"]["items"]) if n["advanced"]["enabled"] else []:
+        if on and i["kind"] == "rule":
+            leaves[name_of(i)] = rule_column(i, context)
+    at = {name: f"_leaf_{k}" for k, name in enumerate(leaves)}
+    judged = df.select(*catalogue.columns, *(c.alias(at[name]) for name, c in leaves.items()))
+
+    def fold(field: str) -> Column:
+        m = rules.normalize(rules.without_facet(n, field))
+        simple = all_of(F.col(at[f"_simple_{name}"]) for name in simple_columns(m, context))
+        return simple & items_column(m["advanced"]["items"], lambda rule: F.col(at[name_of(rule)])) if m["advanced"]["enabled"] else simple
+
+    verdicts_ = F.create_map(*(c for f in fields for c in (F.lit(f), fold(f).cast("boolean"))))
+    return judged.select(*catalogue.columns, verdicts_.alias("verdicts"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..functions import dates, details as detail_functions, numbers, text, urls
 from ..operators import merging, ordering
-from ..sources import backup, html
+from ..sources import backup, changes, html
 from ..sources.scratch import folder
 from ..sources.tables import Store
 from ..streaming import ingest
@@ -223,6 +223,54 @@ def store_versions(spark, sf_dir):
     return now.join(old, F.lit(True)).select(F.lit(store.version()).cast("long").alias("version"), "videos", "before")
 
 
+_EVERY = 7
+
+
+def _two_versions(spark, sf_dir) -> tuple[Store, int, int]:
+    """A store of all rows, and a commit after it that renames every seventh row and brings a row more for each of them."""
+    store = _store(spark, "changes")
+    before = ingest.commit_pages(store, _feed(spark, sf_dir, "true", "p_partkey"), "first", NOW)
+    some = _feed(spark, sf_dir, f"p_partkey % {_EVERY} = 3", "p_partkey")
+    fresh = some.withColumn("video_id", F.concat(F.lit("n"), "video_id"))
+    after = ingest.commit_pages(store, some.withColumn("title", F.concat("title", F.lit(" again"))).unionByName(fresh), "second", NOW + 1)
+    return store, before, after
+
+
+_SOME = f"SELECT p_partkey AS k, p_name AS name, (p_partkey // {SIZE} + 1)::INTEGER AS page FROM part WHERE p_partkey % {_EVERY} = 3"
+
+
+@query(f"WITH s AS ({_SOME}) SELECT k::VARCHAR AS video_id, name AS old_title, name || ' again' AS new_title FROM s UNION ALL SELECT 'n' || k, NULL, name FROM s")
+def change_feed(spark, sf_dir):
+    """What differs between two versions, from the buckets that the second wrote."""
+    store, before, after = _two_versions(spark, sf_dir)
+    return changes.feed(store, "videos", before, after).select(F.col("key").alias("video_id"), F.col("old.title").alias("old_title"), F.col("new.title").alias("new_title"))
+
+
+@query(f"WITH s AS ({_SOME}), r AS (SELECT CASE WHEN p_partkey % {_EVERY} = 3 THEN p_name || ' again' ELSE p_name END AS title FROM part UNION ALL SELECT name FROM s), w AS (SELECT unnest(list_distinct(string_split(title, ' '))) AS value FROM r) SELECT value, count(*) AS count FROM w GROUP BY value")
+def kept_counts(spark, sf_dir):
+    """A vocabulary that was counted over the first version and is kept by the changes."""
+    store, before, after = _two_versions(spark, sf_dir)
+    counts = changes.counted(store.read("videos", before), F.split("title", " "))
+    return changes.recounted(counts, changes.feed(store, "videos", before, after), lambda row: F.split(row["title"], " "))
+
+
+@query(f"SELECT p_partkey::VARCHAR AS video_id, p_name AS title, {NOW} AS last_seen_at FROM part")
+def restored_baseline(spark, sf_dir):
+    """A pinned version outlives later commits and cleaning, and can be brought back."""
+    store, before, _ = _two_versions(spark, sf_dir)
+    store.pin("baseline", before)
+    store.clean(keep=1, grace_ms=0)
+    store.restore(before)
+    return store.read("videos").select("video_id", "title", "last_seen_at")
+
+
+@query(f"WITH s AS ({_SOME}) SELECT p_partkey::VARCHAR AS video_id, CASE WHEN p_partkey % {_EVERY} = 3 THEN p_name || ' again' ELSE p_name END AS title, {NOW} AS first_seen_at, CASE WHEN p_partkey % {_EVERY} = 3 THEN {NOW + 1} ELSE {NOW} END AS last_seen_at FROM part UNION ALL SELECT 'n' || k, name, {NOW + 1}, {NOW + 1} FROM s")
+def rows_after_commits(spark, sf_dir):
+    """All rows after a commit that rewrote the buckets of its own ids."""
+    store, _, _ = _two_versions(spark, sf_dir)
+    return store.read("videos").select("video_id", "title", "first_seen_at", "last_seen_at")
+
+
 # backups ------------------------------------------------------------------------------------------------------
 
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, details, numbers, text, urls
-from ..operators import duplicates, facets, merging, ordering, worksets
+from ..operators import duplicates, facets, merging, order_index, ordering, worksets
 from ..sources import backup, catalogue as stored, html
+from ..sources.scratch import folder
 from . import rules
 from .compile import Context, evaluate
 from . import fixture
@@ -234,6 +236,27 @@ def facet_of_other_field(spark, sf_dir):
     return facets.faceted(catalogue(spark, sf_dir), SELF_FACET, "categories", Context(now=NOW))
 
 
+ALL_FACETS = ("artist", "uploader", "tags", "categories")
+_KEPT = "quality >= 720 AND coalesce(views, 0) >= 100000"
+_RED = "list_contains(tags, 'red')"
+_FIELD_SQL = {"artist": ("artists", _RED), "uploader": ("CASE WHEN ta THEN [uploader] END", _RED), "tags": ("tags", "true"), "categories": ("CASE WHEN tt THEN [category] END", _RED)}
+
+
+@query(f"{ORACLE}, f AS (" + " UNION ALL ".join(f"SELECT '{n}' AS field, unnest(list_distinct({v})) AS value FROM c WHERE {_KEPT} AND {w}" for n, (v, w) in _FIELD_SQL.items()) + ") SELECT field, value, count(*) AS count FROM f GROUP BY field, value")
+def facets_of_all_fields(spark, sf_dir):
+    """Facets of four fields, each without its own rule, in one scan."""
+    filters = advanced(rule("quality", "gte", "720p"), rule("views", "gte", 100_000), rule("tags", None, "red"))
+    return facets.all_faceted(catalogue(spark, sf_dir), filters, list(ALL_FACETS), Context(now=NOW))
+
+
+@query(f"{ORACLE}, s AS (SELECT video_id, title, views, row_number() OVER (ORDER BY views DESC NULLS LAST, ord) AS place FROM c) SELECT video_id, title, views, (place - 1) % 48 AS place FROM s WHERE (place - 1) // 48 = ((SELECT count(*) FROM c) - 1) // 48 - 1")
+def deep_page(spark, sf_dir):
+    """The last page but one of all rows by an order index: only the ranges that hold it are read."""
+    index = order_index.build(catalogue(spark, sf_dir).select("video_id", "title", "views", "ord"), f"{folder(spark)}/order-{uuid.uuid4().hex}", {"field": "views"}, 500)
+    rows = index.page(-(-index.total // 48) - 1, 48)
+    return rows.withColumn("place", F.monotonically_increasing_id()).select("video_id", "title", "views", (F.row_number().over(Window.orderBy("place")) - 1).cast("long").alias("place"))
+
+
 # duplicates ----------------------------------------------------------------------------------------------------
 
 _WORDS = r"list_distinct(regexp_extract_all(lower(regexp_replace(title, '\[[^\]]*\]', ' ', 'g')), '[\pL\pN]+(?:[''’_-][\pL\pN]+)*'))"
