@@ -1,5 +1,6 @@
 """Operator 1 against sets of shingles compared pair by pair."""
 
+import pytest
 from fixtures import SCHEMA, documents, texts, words
 
 from trivalent.llm import neardup
@@ -59,3 +60,12 @@ def test_keeps_one(spark):
     ids = {r["doc_id"] for r in kept.collect()}
     assert 3 in ids and not ids & set(range(40, 60)) and {0, 66, 67, None} <= ids
     assert neardup.link_components(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("flip", (False, True))
+def test_rows_of_one_id_link_by_each_of_their_texts(spark, flip):
+    a, b = [f"a{i}" for i in range(60)], [f"b{i}" for i in range(60)]
+    rows = [(1, " ".join(a)), (5, " ".join([*a, "x"])), (5, " ".join(b)), (9, " ".join([*b, "y"]))]
+    rows = rows[::-1] if flip else rows
+    got = neardup.link_components(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert sorted(((r["id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == brute(rows)

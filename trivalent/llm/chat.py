@@ -1,11 +1,10 @@
 r"""Chat formatting (operator 7): schema fingerprints choose declarative mappings to canonical turns.
 
-Every record is a VARIANT, made of a row's columns as they come.  Its nested field paths (names and nesting, without the
-types of leaves) are hashed to a fingerprint, and the fingerprint selects one of ``MAPPINGS``, which says where the
-conversation's id and the turn's number are and where the turns: in rows of one turn, in arrays of messages, or in prompt and
-answer fields.  A mapping names the fields that it needs and those that may be there besides; each choice of these has a
-fingerprint.  A record whose fingerprint is not known has null ``layout`` and null ``turns``; nothing is guessed, and its
-conversation stays, with ``reason``.
+Every record is a VARIANT, made of a row's columns as they come.  A mapping of ``MAPPINGS`` says which fields it needs, and how they
+are nested, and where the turns are: in rows of one turn, in arrays of messages, or in prompt and answer fields.  A record's fields of
+those names are hashed with their nested paths (names and nesting, without the types of leaves) to a fingerprint, and the first mapping
+whose fingerprint it is reads the record.  Other fields, whatever their names, change nothing.  A record that no mapping knows has null
+``layout`` and null ``turns``; nothing is guessed, and its conversation stays, with ``reason``.
 
 Turns are written by a template of control strings.  Inside texts and other roles, a control string gets a
 backslash after its first character, and one that already has backslashes there gets one more; so no
@@ -16,13 +15,12 @@ All of it is DataFrame expressions.  One shuffle brings the turns of a conversat
 
 Defined results: null texts and null roles are empty; turns with equal numbers are ordered by role and
 text; null turn numbers come first; rows with a null conversation id form one conversation, as in
-GROUP BY; an empty table gives an empty table; other columns that no layout knows make a layout that is not known, so
-``conversations`` takes the four columns it is given.  A conversation is one row, so its turns come together in one task.
+GROUP BY; an empty table gives an empty table; other columns are ignored.  A conversation is one row, so its turns come together in one
+task.
 """
 
 from __future__ import annotations
 
-import itertools
 import re
 from dataclasses import dataclass
 
@@ -36,44 +34,35 @@ TURN_TYPE = "array<struct<role:string,text:string>>"
 class Mapping:
     """A layout: field paths with their nesting, and where its turns are.
 
-    ``layouts``: the fields that must be there; ``besides``: those that may.  ``array``: path, role field and text field of an
+    ``layouts``: the fields that must be there, in one of several forms.  ``array``: path, role field and text field of an
     array of messages; ``single``: role path and text path of a record that is one turn; ``fields``: (role, paths whose texts
     are joined by a blank line).
     """
 
     name: str
     layouts: tuple[str, ...]
-    besides: tuple[str, ...] = ("conv_id", "id", "lang", "name", "source", "turn")
     array: tuple[str, str, str] | None = None
     single: tuple[str, str] | None = None
     fields: tuple[tuple[str, tuple[str, ...]], ...] = ()
 
-    def all_layouts(self) -> list[str]:
-        """Every choice of fields, each in order of name."""
-        out = []
-        for layout_ in self.layouts:
-            need = _fields(layout_)
-            for n in range(len(self.besides) + 1):
-                for more in itertools.combinations([b for b in self.besides if b not in {f.split(":")[0] for f in need}], n):
-                    out.append("{" + ",".join(sorted([*need, *more], key=lambda f: f.split(":")[0])) + "}")
-        return sorted(set(out))
 
-
-def _fields(short: str) -> list[str]:
-    """The outer fields of ``{a,b:[{c,d}]}``."""
-    return re.findall(r"[^,{}\[\]]+(?:\[[^\]]*\])?", short[1:-1])
+def needed(short: str) -> dict[str, str]:
+    """The outer fields of ``{a,b:[{c,d}]}`` and how each is nested."""
+    fields = re.findall(r"([^,{}\[\]:]+)(?::(\[[^\]]*\]))?", short[1:-1])
+    return {name: written_out(nested) for name, nested in sorted(fields)}
 
 
+#: In order: a record of several layouts is read by the first.
 MAPPINGS = (
     Mapping("turn rows", ("{role,text}",), single=("$.role", "$.text")),
     Mapping("role and content", ("{content,role}",), single=("$.role", "$.content")),
     Mapping("messages", ("{messages:[{content,role}]}", "{messages:[{content,name,role}]}", "{messages:[]}"), array=("$.messages", "role", "content")),
     Mapping("from and value", ("{conversations:[{from,value}]}",), array=("$.conversations", "from", "value")),
-    Mapping("instruction", ("{input,instruction,output}", "{instruction,output}"), fields=(("user", ("$.instruction", "$.input")), ("assistant", ("$.output",)))),
     Mapping("system and instruction", ("{input,instruction,output,system}",), fields=(("system", ("$.system",)), ("user", ("$.instruction", "$.input")), ("assistant", ("$.output",)))),
+    Mapping("instruction", ("{input,instruction,output}", "{instruction,output}"), fields=(("user", ("$.instruction", "$.input")), ("assistant", ("$.output",)))),
     Mapping("prompt and response", ("{prompt,response}",), fields=(("user", ("$.prompt",)), ("assistant", ("$.response",)))),
     Mapping("prompt and completion", ("{completion,prompt}",), fields=(("user", ("$.prompt",)), ("assistant", ("$.completion",)))),
-    Mapping("question and answer", ("{answer,question}", "{answer,context,question}"), fields=(("user", ("$.context", "$.question")), ("assistant", ("$.answer",)))),
+    Mapping("question and answer", ("{answer,context,question}", "{answer,question}"), fields=(("user", ("$.context", "$.question")), ("assistant", ("$.answer",)))),
 )
 #: Other names of roles, in layouts that are not rows of turns.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "ai": "assistant"}
@@ -92,19 +81,25 @@ def written_out(short: str) -> str:
     return short
 
 
-def fingerprint(record: Column) -> Column:
-    return F.xxhash64(layout(record))
+def fingerprint(record: Column, names: list[str]) -> Column:
+    """The hash of a record's fields of these names with their layouts; a leaf has none."""
+    parts = []
+    for name in names:
+        value = F.try_variant_get(record, f"$.{name}", "variant")
+        nested = F.when(value.isNull(), F.lit("missing")).otherwise(F.regexp_replace(layout(value), r"\A(?!OBJECT<|ARRAY<).*\z", ""))
+        parts += [F.lit(f"{name}="), nested, F.lit(";")]
+    return F.xxhash64(F.concat(*parts))
 
 
-def fingerprints(spark: SparkSession, mappings: tuple[Mapping, ...]) -> dict[str, list[int]]:
-    """Each mapping's fingerprints; a layout of two mappings raises."""
-    rows = ", ".join(f"('{m.name}', '{written_out(x)}')" for m in mappings for x in m.all_layouts())
-    out: dict[str, list[int]] = {}
-    for r in spark.sql(f"SELECT name, xxhash64(layout) AS fp FROM VALUES {rows} AS t(name, layout)").collect():
-        if any(r["fp"] in v for v in out.values()):
-            raise ValueError(f"a layout of {r['name']!r} is of another mapping as well")
-        out.setdefault(r["name"], []).append(r["fp"])
-    return out
+def fingerprints(spark: SparkSession, mappings: tuple[Mapping, ...]) -> list[tuple[Mapping, list[str], int]]:
+    """(mapping, names of fields, fingerprint) of every layout; one of two mappings raises."""
+    at = [(m, needed(x)) for m in mappings for x in m.layouts]
+    texts = ["".join(f"{k}={v};" for k, v in fields.items()) for _, fields in at]
+    if len(set(texts)) < len(texts):
+        raise ValueError("a layout is of another mapping as well")
+    rows = ", ".join(f"({k}, '{t}')" for k, t in enumerate(texts))
+    hashed = {r["k"]: r["fp"] for r in spark.sql(f"SELECT k, xxhash64(layout) AS fp FROM VALUES {rows} AS t(k, layout)").collect()}
+    return [(m, list(fields), hashed[k]) for k, (m, fields) in enumerate(at)]
 
 
 def _of(m: Mapping, record: Column) -> Column:
@@ -124,12 +119,11 @@ def _of(m: Mapping, record: Column) -> Column:
 
 def to_turns(records: DataFrame, record_col: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """records with ``layout`` (a mapping's name) and ``turns`` for its VARIANT column."""
-    known = fingerprints(records.sparkSession, mappings)
     named, turns = F.lit(None).cast("string"), F.lit(None).cast(TURN_TYPE)
-    for m in reversed(mappings):
-        fits = F.col("_fp").isin(*known[m.name])
+    for m, names, known in reversed(fingerprints(records.sparkSession, mappings)):
+        fits = fingerprint(F.col(record_col), names) == known
         named, turns = F.when(fits, F.lit(m.name)).otherwise(named), F.when(fits, _of(m, F.col(record_col)).cast(TURN_TYPE)).otherwise(turns)
-    return records.withColumn("_fp", fingerprint(F.col(record_col))).withColumn("layout", named).withColumn("turns", turns).drop("_fp")
+    return records.withColumn("layout", named).withColumn("turns", turns)
 
 
 #: The template's control strings.

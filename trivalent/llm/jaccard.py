@@ -268,10 +268,10 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     posted = classes.select("set", "n", F.explode(F.slice("prefix", F.lit(1), F.col("posted"))).alias("token"))
     buckets = posted.groupBy("token").agg(F.count("*").alias("m"), F.min(F.struct("set", "n")).alias("hub")).where("m > 1").select("token", "hub")
     members = written(posted.join(buckets, "token"), "members")
-    needed = members.select("set").distinct().join(reps, "set").select(F.col("rep").alias("id"), F.col("set").alias("known"))
-    # a row's text is its class's only if its set is: rows of one id may have other texts
-    texts = docs.join(needed.select("id").distinct(), "id", "left_semi").mapInArrow(_element_rows, "id long, set binary, elements binary")
-    elements = written(texts.join(needed, (texts["id"] == needed["id"]) & (texts["set"] == needed["known"]), "left_semi").select("set", "elements").dropDuplicates(["set"]), "elements")
+    needed = members.select("set").distinct().join(reps, "set")
+    # a row's text is its class's only if its set is: rows of one id may have other texts; rep is the least id, so id <= rep finds it
+    own = docs.join(needed.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").mapInArrow(_element_rows, "id long, set binary, elements binary")
+    elements = written(own.join(needed, "set").where("id <= rep").select("set", "elements").dropDuplicates(["set"]), "elements")
     # hubs: at most two for each class, of a size that can link
     fits = F.lit(100) * F.least("n", "hub.n") >= F.lit(PERCENT) * F.greatest("n", "hub.n")
     hubs = members.where((F.col("set") != F.col("hub.set")) & fits).groupBy("set", F.col("hub.set").alias("hub")).agg(F.count("*").alias("shared"))

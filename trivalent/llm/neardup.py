@@ -15,8 +15,10 @@ compared by sketch, in blocks of some ``BLOCK`` rows and ``BLOCK_WORDS`` element
 five deviations are checked in the same blocks.  Pairs are never emitted: a block emits the rows that need
 their texts, and then a link fewer than it has rows at most.  Every link is confirmed on the full sets.
 
+Sketches, texts and links are those of classes, so rows of one doc_id with other texts are compared by each of them.
+
 Defined results: null and empty texts and texts without a word have an empty set, link with nothing
-and form their own component.  Rows with equal doc_id are one document to the graph: they share a
+and form their own component.  Rows with equal doc_id are one document to the graph: each of their texts links, and they share a
 component.  A null doc_id stays alone, with a null component.  Other columns are ignored, whatever their
 names.  An empty table gives an empty table.
 """
@@ -78,12 +80,23 @@ def sketch(elements: np.ndarray, off: np.ndarray, t: int = T) -> np.ndarray:
     return out.reshape(n, t)
 
 
+def _classes(sets: np.ndarray, off: np.ndarray) -> list[bytes]:
+    """What each set is known by: half of the SHA-256 of its elements."""
+    raw, at = memoryview(sets).cast("B"), (8 * off).tolist()
+    return [hashlib.sha256(raw[lo:hi]).digest()[:16] for lo, hi in zip(at[:-1], at[1:], strict=True)]
+
+
+def _text_rows(batches):
+    """Texts by the classes of their sets."""
+    for b in slices(batches, "text"):
+        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(_classes(*shingle_sets(b.column("text"))), pa.binary()), b.column("text")], ["id", "set", "text"])
+
+
 def _sketch_rows(batches):
     for b in slices(batches, "text"):
         sets, off = shingle_sets(b.column("text"))
         n = np.diff(off)
         s = sketch(sets, off)
-        raw, at = memoryview(sets).cast("B"), (8 * off).tolist()
         spread = mix(s)
         bands = np.zeros((len(n), BANDS), U64)
         for r in range(ROWS):
@@ -93,7 +106,7 @@ def _sketch_rows(batches):
             [
                 b.column("id"),
                 pa.array(n),
-                pa.array([hashlib.sha256(raw[lo:hi]).digest() for lo, hi in zip(at[:-1], at[1:], strict=True)], pa.binary()),
+                pa.array(_classes(sets, off), pa.binary()),
                 pa.array([x if f else None for x, f in zip(bands.view(np.int64), full, strict=True)], pa.list_(pa.int64())),
                 pa.array([x.tobytes() if f else None for x, f in zip((spread & U64(255)).astype(np.uint8), full, strict=True)], pa.binary()),
                 pa.array([x.tobytes() if f else None for x, f in zip(bands, full, strict=True)], pa.binary()),
@@ -119,10 +132,10 @@ def _verify_rows(batches):
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose full sets are alike; texts: id, text.  The side with hot keys, a, is joined last and can be split."""
-    tb = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    both = tb.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-    return both.select("a", "b", "ta", "tb").mapInArrow(_verify_rows, "a long, b long")
+    """Pairs (a, b) of classes whose full sets are alike; texts: set, text.  The side with hot keys, a, is joined last and can be split."""
+    tb = pairs.join(texts.select(F.col("set").alias("b"), F.col("text").alias("tb")), "b")
+    both = tb.join(texts.select(F.col("set").alias("a"), F.col("text").alias("ta")), "a")
+    return both.select("a", "b", "ta", "tb").mapInArrow(_verify_rows, "a binary, b binary")
 
 
 def _groups(batches, key: list[str]):
@@ -148,13 +161,13 @@ def _alike(t: pa.Table):
 
     A pair is taken in the first band that it shares, so in one bucket only.
     """
-    ids, comp, part = (t.column(c).to_numpy() for c in ("id", "comp", "part"))
+    comp, part = (t.column(c).to_numpy() for c in ("comp", "part"))
     i, j, band = (t.column(c)[0].as_py() for c in ("i", "j", "band"))
-    s = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(ids), T)
-    keys = np.frombuffer(b"".join(t.column("keys").to_pylist()), np.int64).reshape(len(ids), BANDS)
+    s = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(t.num_rows, T)
+    keys = np.frombuffer(b"".join(t.column("keys").to_pylist()), np.int64).reshape(t.num_rows, BANDS)
     right = np.flatnonzero(part == j)
     for x in np.flatnonzero(part == i):
-        others = right[(comp[right] != comp[x]) & ((ids[right] > ids[x]) if i == j else True)]
+        others = right[(comp[right] != comp[x]) & ((right > x) if i == j else True)]
         if len(others):
             others = others[(s[others] == s[x]).mean(axis=1) >= PERCENT / 100 - MARGIN]
             others = others[~(keys[others, :band] == keys[x, :band]).any(axis=1)]
@@ -185,7 +198,7 @@ def _sets(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 def _settle_rows(batches):
     """Links of each block of sorted rows with texts, checked on full sets; rows that are tied already are passed over."""
     for t in _groups(batches, _BLOCK_KEY):
-        ids = t.column("id").to_numpy()
+        names = t.column("set").to_pylist()
         sets, off = _sets(t)
         _, sets = np.unique(sets, return_inverse=True)
         mark, n = np.zeros(int(sets.max(initial=0)) + 1, bool), np.diff(off)
@@ -202,9 +215,9 @@ def _settle_rows(batches):
             for o in others[100 * common >= PERCENT * (n[x] + n[others] - common)]:
                 if comp[o] != comp[x]:
                     comp[comp == comp[o]] = comp[x]
-                    a_out.append(ids[x])
-                    b_out.append(ids[o])
-        yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
+                    a_out.append(names[x])
+                    b_out.append(names[o])
+        yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.binary()), pa.array(b_out, pa.binary())], ["a", "b"])
 
 
 def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -212,35 +225,42 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     table = written(sketches(docs, "id"), "sketches")
     full = table.where("n > 0 and id is not null")
-    # equal sets: one class, known by its least id
+    # equal sets: one class, whose place in the graph is its least id
     reps = written(full.groupBy("set").agg(F.min("id").alias("rep")), "classes")
-    same_id = full.join(reps, "set").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    unique = full.join(reps.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
-    banded = unique.select("id", "n", F.posexplode("bands").alias("band", "key"))
-    buckets = banded.groupBy("band", "key").agg(F.count("*").alias("m"), F.min("id").alias("hub")).where("m > 1")
+    same_id = full.select("id", "set").join(reps, "set").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    # rep is the least id, so id <= rep finds it, and both sides stay dealt by the class
+    unique = full.join(reps, "set").where("id <= rep").dropDuplicates(["set"])
+    banded = unique.select("set", "n", F.posexplode("bands").alias("band", "key"))
+    buckets = banded.groupBy("band", "key").agg(F.count("*").alias("m"), F.min("set").alias("hub")).where("m > 1")
     members = written(banded.join(buckets, ["band", "key"]), "buckets")
-    texts = written(docs.join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "texts")
-    hubs = members.where("id <> hub").groupBy("id", "hub").agg(F.count("*").alias("shared"))
-    best = hubs.groupBy("id").agg(F.array_distinct(F.array(F.max_by("hub", "shared"), F.min("hub"))).alias("hubs"))
-    pairs = written(best.select(F.explode("hubs").alias("a"), F.col("id").alias("b")), "pairs")
-    links = written(verify(pairs, texts), "verified")
+    # a row's text is its class's only if its set is: rows of one id may have other texts
+    needed = members.select("set").distinct().join(reps, "set")
+    own = docs.join(needed.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").mapInArrow(_text_rows, "id long, set binary, text string")
+    texts = written(own.join(needed, "set").where("id <= rep").select("set", "text").dropDuplicates(["set"]), "texts")
+    hubs = members.where("set <> hub").groupBy("set", "hub").agg(F.count("*").alias("shared"))
+    best = hubs.groupBy("set").agg(F.array_distinct(F.array(F.max_by("hub", "shared"), F.min("hub"))).alias("hubs"))
+    pairs = written(best.select(F.explode("hubs").alias("a"), F.col("set").alias("b")), "pairs")
+    rep_of = lambda side: reps.select(F.col("set").alias(side), F.col("rep").alias(f"rep_{side}"))
+    by_rep = lambda links: links.join(rep_of("a"), "a").join(rep_of("b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+    links = written(by_rep(verify(pairs, texts)), "verified")
     found = components(links)
     # what the hubs did not tie: in a bucket of several components, those outside its largest against all
-    labelled = members.join(found, "id", "left").select("band", "key", "id", "n", F.coalesce("component", "id").alias("comp"))
+    comp_of = reps.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("set", F.coalesce("component", "rep").alias("comp"))
+    labelled = members.join(comp_of, "set").select("band", "key", "set", "n", "comp")
     sizes = labelled.groupBy("band", "key", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("w")).groupBy("band", "key")
     mixed = sizes.agg(F.count("*").alias("k"), F.sum("c").alias("m"), F.sum("w").alias("w"), F.max(F.struct("c", "w", "comp")).alias("top")).where("k > 1")
     blocks_of = lambda rows, elements: F.ceil(F.greatest(rows / BLOCK, elements / BLOCK_WORDS)).cast("int")
     mixed = mixed.select("band", "key", F.col("top.comp").alias("main"), blocks_of(F.col("top.c"), F.col("top.w")).alias("mp"), blocks_of(F.col("m") - F.col("top.c"), F.col("w") - F.col("top.w")).alias("op"))
     rows = labelled.join(mixed, ["band", "key"]).withColumn("is_main", F.col("comp") == F.col("main"))
-    dealt = F.xxhash64("id", "comp")
+    dealt = F.xxhash64("set")
     rows = rows.withColumn("part", F.when(F.col("is_main"), F.pmod(dealt, "mp")).otherwise(F.col("mp") + F.pmod(dealt, "op")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.when(F.col("is_main"), F.col("mp")).otherwise(F.lit(0)), F.col("mp") + F.col("op") - 1)))
-    rows = rows.select("band", "key", "id", "comp", "part", F.greatest("part", "other").alias("i"), F.least("part", "other").alias("j"))
-    rows = rows.join(unique.select("id", "sketch", F.col("packed").alias("keys")).dropDuplicates(["id"]), "id").select(*_BLOCK_KEY, "id", "comp", "part", "sketch", "keys")
-    blocks = lambda df: df.repartition(*_BLOCK_KEY).sortWithinPartitions(*_BLOCK_KEY, "id")
+    rows = rows.select("band", "key", "set", "comp", "part", F.greatest("part", "other").alias("i"), F.least("part", "other").alias("j"))
+    rows = rows.join(unique.select("set", "sketch", F.col("packed").alias("keys")), "set").select(*_BLOCK_KEY, "set", "comp", "part", "sketch", "keys")
+    blocks = lambda df: df.repartition(*_BLOCK_KEY).sortWithinPartitions(*_BLOCK_KEY, "set")
     crossed = blocks(rows).mapInArrow(_cross_rows, rows.schema)
-    more = blocks(crossed.join(texts, "id")).mapInArrow(_settle_rows, "a long, b long")
-    whole = components(found.select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(more).unionByName(same_id))
+    more = blocks(crossed.join(texts, "set")).mapInArrow(_settle_rows, "a binary, b binary")
+    whole = components(found.select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(by_rep(more)).unionByName(same_id))
     return table.select("id", F.col("n").alias("n_shingles")).join(whole, "id", "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
 
 
