@@ -86,12 +86,40 @@ def _classes(sets: np.ndarray, off: np.ndarray) -> list[bytes]:
     return [hashlib.sha256(raw[lo:hi]).digest()[:16] for lo, hi in zip(at[:-1], at[1:], strict=True)]
 
 
+def _own_texts(batches):
+    """Of texts that came with a class by their id, the first in a task that is of it."""
+    seen: set[int] = set()
+    for b in slices(batches, "text"):
+        same = []
+        for own, wanted, c in zip(_classes(*shingle_sets(b.column("text"))), b.column("set").to_pylist(), b.column("c").to_pylist(), strict=True):
+            same.append(own == wanted and c not in seen)
+            if same[-1]:
+                seen.add(c)
+        yield pa.RecordBatch.from_arrays([b.column("c"), b.column("text")], ["c", "text"]).filter(pa.array(same, pa.bool_()))
+
+
 def _text_rows(batches):
     """Texts by the classes of their sets."""
     for b in slices(batches, "text"):
         yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(_classes(*shingle_sets(b.column("text"))), pa.binary()), b.column("text")], ["id", "set", "text"])
 
 
+def _class_texts(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """c, text: one text of each class; needed: c, set, rep.
+
+    A row's text is its class's only if its set is, since rows of one id may have other texts.  Where an id is the least one of one class
+    alone, texts go by id; where it is of several, by their sets.
+    """
+    owners = written(needed.join(needed.groupBy("rep").agg(F.count("*").alias("of")), "rep"), "owners")
+    alone = docs.join(owners.where("of = 1").select(F.col("rep").alias("id"), "set", "c"), "id").withColumn("h", F.xxhash64("text")).dropDuplicates(["id", "h"])
+    out = alone.select("c", "set", "text").mapInArrow(_own_texts, "c long, text string")
+    several = owners.where("of > 1")
+    if several.isEmpty():
+        return out
+    own = docs.join(several.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").mapInArrow(_text_rows, "id long, set binary, text string")
+    return out.unionByName(own.join(several, "set").where("id <= rep").select("c", "text").dropDuplicates(["c"]))
+
+
 def _sketch_rows(batches):
     for b in slices(batches, "text"):
         sets, off = shingle_sets(b.column("text"))
@@ -132,10 +160,10 @@ def _verify_rows(batches):
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes whose full sets are alike; texts: set, text.  The side with hot keys, a, is joined last and can be split."""
-    tb = pairs.join(texts.select(F.col("set").alias("b"), F.col("text").alias("tb")), "b")
-    both = tb.join(texts.select(F.col("set").alias("a"), F.col("text").alias("ta")), "a")
-    return both.select("a", "b", "ta", "tb").mapInArrow(_verify_rows, "a binary, b binary")
+    """Pairs (a, b) of classes whose full sets are alike; texts: c, text.  The side with hot keys, a, is joined last and can be split."""
+    tb = pairs.join(texts.select(F.col("c").alias("b"), F.col("text").alias("tb")), "b")
+    both = tb.join(texts.select(F.col("c").alias("a"), F.col("text").alias("ta")), "a")
+    return both.select("a", "b", "ta", "tb").mapInArrow(_verify_rows, "a long, b long")
 
 
 def _groups(batches, key: list[str]):
@@ -198,7 +226,7 @@ def _sets(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 def _settle_rows(batches):
     """Links of each block of sorted rows with texts, checked on full sets; rows that are tied already are passed over."""
     for t in _groups(batches, _BLOCK_KEY):
-        names = t.column("set").to_pylist()
+        names = t.column("c").to_numpy()
         sets, off = _sets(t)
         _, sets = np.unique(sets, return_inverse=True)
         mark, n = np.zeros(int(sets.max(initial=0)) + 1, bool), np.diff(off)
@@ -217,7 +245,7 @@ def _settle_rows(batches):
                     comp[comp == comp[o]] = comp[x]
                     a_out.append(names[x])
                     b_out.append(names[o])
-        yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.binary()), pa.array(b_out, pa.binary())], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
 
 
 def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -225,41 +253,38 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     table = written(sketches(docs, "id"), "sketches")
     full = table.where("n > 0 and id is not null")
-    # equal sets: one class, whose place in the graph is its least id
-    reps = written(full.groupBy("set").agg(F.min("id").alias("rep")), "classes")
+    # equal sets: one class, with a number; its place in the graph is its least id
+    reps = written(full.groupBy("set").agg(F.min("id").alias("rep")).withColumn("c", F.monotonically_increasing_id()), "classes")
     same_id = full.select("id", "set").join(reps, "set").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     # rep is the least id, so id <= rep finds it, and both sides stay dealt by the class
     unique = full.join(reps, "set").where("id <= rep").dropDuplicates(["set"])
-    banded = unique.select("set", "n", F.posexplode("bands").alias("band", "key"))
-    buckets = banded.groupBy("band", "key").agg(F.count("*").alias("m"), F.min("set").alias("hub")).where("m > 1")
+    banded = unique.select("c", "n", F.posexplode("bands").alias("band", "key"))
+    buckets = banded.groupBy("band", "key").agg(F.count("*").alias("m"), F.min("c").alias("hub")).where("m > 1")
     members = written(banded.join(buckets, ["band", "key"]), "buckets")
-    # a row's text is its class's only if its set is: rows of one id may have other texts
-    needed = members.select("set").distinct().join(reps, "set")
-    own = docs.join(needed.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").mapInArrow(_text_rows, "id long, set binary, text string")
-    texts = written(own.join(needed, "set").where("id <= rep").select("set", "text").dropDuplicates(["set"]), "texts")
-    hubs = members.where("set <> hub").groupBy("set", "hub").agg(F.count("*").alias("shared"))
-    best = hubs.groupBy("set").agg(F.array_distinct(F.array(F.max_by("hub", "shared"), F.min("hub"))).alias("hubs"))
-    pairs = written(best.select(F.explode("hubs").alias("a"), F.col("set").alias("b")), "pairs")
-    rep_of = lambda side: reps.select(F.col("set").alias(side), F.col("rep").alias(f"rep_{side}"))
+    texts = written(_class_texts(docs, members.select("c").distinct().join(reps, "c")), "texts")
+    hubs = members.where("c <> hub").groupBy("c", "hub").agg(F.count("*").alias("shared"))
+    best = hubs.groupBy("c").agg(F.array_distinct(F.array(F.max_by("hub", "shared"), F.min("hub"))).alias("hubs"))
+    pairs = written(best.select(F.explode("hubs").alias("a"), F.col("c").alias("b")), "pairs")
+    rep_of = lambda side: reps.select(F.col("c").alias(side), F.col("rep").alias(f"rep_{side}"))
     by_rep = lambda links: links.join(rep_of("a"), "a").join(rep_of("b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
     links = written(by_rep(verify(pairs, texts)), "verified")
     found = components(links)
     # what the hubs did not tie: in a bucket of several components, those outside its largest against all
-    comp_of = reps.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("set", F.coalesce("component", "rep").alias("comp"))
-    labelled = members.join(comp_of, "set").select("band", "key", "set", "n", "comp")
+    comp_of = reps.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("c", F.coalesce("component", "rep").alias("comp"))
+    labelled = members.join(comp_of, "c").select("band", "key", "c", "n", "comp")
     sizes = labelled.groupBy("band", "key", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("w")).groupBy("band", "key")
     mixed = sizes.agg(F.count("*").alias("k"), F.sum("c").alias("m"), F.sum("w").alias("w"), F.max(F.struct("c", "w", "comp")).alias("top")).where("k > 1")
     blocks_of = lambda rows, elements: F.ceil(F.greatest(rows / BLOCK, elements / BLOCK_WORDS)).cast("int")
     mixed = mixed.select("band", "key", F.col("top.comp").alias("main"), blocks_of(F.col("top.c"), F.col("top.w")).alias("mp"), blocks_of(F.col("m") - F.col("top.c"), F.col("w") - F.col("top.w")).alias("op"))
     rows = labelled.join(mixed, ["band", "key"]).withColumn("is_main", F.col("comp") == F.col("main"))
-    dealt = F.xxhash64("set")
+    dealt = F.xxhash64("c")
     rows = rows.withColumn("part", F.when(F.col("is_main"), F.pmod(dealt, "mp")).otherwise(F.col("mp") + F.pmod(dealt, "op")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.when(F.col("is_main"), F.col("mp")).otherwise(F.lit(0)), F.col("mp") + F.col("op") - 1)))
-    rows = rows.select("band", "key", "set", "comp", "part", F.greatest("part", "other").alias("i"), F.least("part", "other").alias("j"))
-    rows = rows.join(unique.select("set", "sketch", F.col("packed").alias("keys")), "set").select(*_BLOCK_KEY, "set", "comp", "part", "sketch", "keys")
-    blocks = lambda df: df.repartition(*_BLOCK_KEY).sortWithinPartitions(*_BLOCK_KEY, "set")
+    rows = rows.select("band", "key", "c", "comp", "part", F.greatest("part", "other").alias("i"), F.least("part", "other").alias("j"))
+    rows = rows.join(unique.select("c", "sketch", F.col("packed").alias("keys")), "c").select(*_BLOCK_KEY, "c", "comp", "part", "sketch", "keys")
+    blocks = lambda df: df.repartition(*_BLOCK_KEY).sortWithinPartitions(*_BLOCK_KEY, "c")
     crossed = blocks(rows).mapInArrow(_cross_rows, rows.schema)
-    more = blocks(crossed.join(texts, "set")).mapInArrow(_settle_rows, "a binary, b binary")
+    more = blocks(crossed.join(texts, "c")).mapInArrow(_settle_rows, "a long, b long")
     whole = components(found.select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(by_rep(more)).unionByName(same_id))
     return table.select("id", F.col("n").alias("n_shingles")).join(whole, "id", "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
 
