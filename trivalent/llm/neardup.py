@@ -251,13 +251,13 @@ def _settle_rows(batches):
 def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id: one row for each row of docs."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    table = written(sketches(docs, "id"), "sketches")
+    table = written(sketches(docs, "id").withColumn("r", F.monotonically_increasing_id()), "sketches")
     full = table.where("n > 0 and id is not null")
-    # equal sets: one class, with a number; its place in the graph is its least id
-    reps = written(full.groupBy("set").agg(F.min("id").alias("rep")).withColumn("c", F.monotonically_increasing_id()), "classes")
+    # equal sets: one class; its place in the graph is its least id, its number that of a row of this id
+    least = full.groupBy("set").agg(F.min(F.struct("id", "r")).alias("at"))
+    reps = written(least.select("set", F.col("at.id").alias("rep"), F.col("at.r").alias("c")), "classes")
     same_id = full.select("id", "set").join(reps, "set").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    # rep is the least id, so id <= rep finds it, and both sides stay dealt by the class
-    unique = full.join(reps, "set").where("id <= rep").dropDuplicates(["set"])
+    unique = full.join(reps.select(F.col("c").alias("r")), "r", "left_semi").withColumnRenamed("r", "c")
     banded = unique.select("c", "n", F.posexplode("bands").alias("band", "key"))
     buckets = banded.groupBy("band", "key").agg(F.count("*").alias("m"), F.min("c").alias("hub")).where("m > 1")
     members = written(banded.join(buckets, ["band", "key"]), "buckets")
