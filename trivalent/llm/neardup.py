@@ -111,7 +111,9 @@ def _class_texts(docs: DataFrame, needed: DataFrame) -> DataFrame:
     alone, texts go by id; where it is of several, by their sets.
     """
     owners = written(needed.join(needed.groupBy("rep").agg(F.count("*").alias("of")), "rep"), "owners")
-    alone = docs.join(owners.where("of = 1").select(F.col("rep").alias("id"), "set", "c"), "id").withColumn("h", F.xxhash64("text")).dropDuplicates(["id", "h"])
+    one = owners.where("of = 1").select(F.col("rep").alias("id"), "set", "c")
+    # texts of other ids go before the exchange; the merge keeps rows of one id together for what follows
+    alone = docs.join(one.select("id"), "id", "left_semi").join(one.hint("merge"), "id").withColumn("h", F.xxhash64("text")).dropDuplicates(["id", "h"])
     out = alone.select("c", "set", "text").mapInArrow(_own_texts, "c long, text string")
     several = owners.where("of > 1")
     if several.isEmpty():
