@@ -211,13 +211,44 @@ def test_backup(spark, tmp_path):
     assert backup.imported({"a": 1, "videosPerPage": 24}, {"videosPerPage": 72}) == {"a": 1, "videosPerPage": 72}
     deep = "[" * 33 + "]" * 33
     lines = spark.createDataFrame([('{"a":1}',), ("{",), (f'{{"a":{deep}}}',), ('{"x":{"constructor":1}}',), ('{"t":"[[[{ \\" NaN"}',), ('{"a":' + "[" * 31 + "]" * 31 + "}",)], "c string")
-    assert [r[0] for r in lines.select(backup.line_problems(F.col("c"))).collect()] == [[], ["no-json", "depth"], ["depth"], ["key"], [], []]
+    assert [r[0] for r in lines.select(backup.line_problems(F.col("c"))).collect()] == [[], ["no-json"], ["depth"], ["key"], [], []]
     state = backup.imported_state({"scan_status": "running", "current_page": 4, "details_state": {"status": "running"}})
     assert (state["scan_status"], state["current_page"], state["details_state"]["status"], state["last_error"]["code"]) == ("paused", None, "paused", "interrupted")
     with pytest.raises(ValueError):
         backup.imported_state({"scan_status": "flying"})
 
 
+def test_import_scans_each_table_once(spark, tmp_path):
+    s = Store(spark, f"file://{tmp_path}/s")
+    state = empty(spark)
+    full = lambda df, like: df.select(*((F.col(c) if c in df.columns else F.lit(None)).cast(like.schema[c].dataType).alias(c) for c in like.columns))
+    state["videos"] = full(spark.sql("select cast(id as string) as video_id, 'a' as title, 1L as listing_updated_at from range(50)"), state["videos"])
+    s.commit(state)
+    backup.export(state, f"{tmp_path}/b", {})
+    rows, seen = backup.checked_records(spark, f"{tmp_path}/b", "videos")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan text") == 1 and "CollectMetrics" in plan and "Exchange" not in plan
+    assert rows.count() == 50 and set(seen.get.values()) == {0}
+    backup.import_backup(s, f"{tmp_path}/b", "merge", current_ready=True)
+    assert s.read("videos").count() == 50
+    drafts = tmp_path / "s" / "drafts"
+    assert not drafts.exists() or not list(drafts.iterdir())
+
+
+def test_import_counts_broken_lines_and_wrong_records_apart(spark, tmp_path):
+    s = Store(spark, f"file://{tmp_path}/s")
+    s.commit(empty(spark))
+    before = s.version()
+    good = '{"video_id":"1","title":"a"}'
+    for lines, said in (([good, "{"], "videos.no-json': 1"), ([good, ""], "videos.no-json': 1"), ([good, '{"video_id":"x"}', '{"video_id":null}'], "videos.id': 2"), ([good, '{"video_id":"2","constructor":1}'], "videos.key': 1")):
+        at = str(tmp_path / f"b{abs(hash(said + str(lines)))}")
+        spark.createDataFrame([(backup.FORMAT, backup.VERSION, "tables", "videos")], "format string, version int, key string, value string").coalesce(1).write.json(f"{at}/envelope")
+        spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(f"{at}/videos")
+        with pytest.raises(ValueError, match=said):
+            backup.import_backup(s, at, "replace")
+        assert s.version() == before and not list((tmp_path / "s" / "drafts").iterdir())
+
+
 def test_id_sets(spark):
     ids = lambda *x: spark.createDataFrame([(i,) for i in x], "video_id string")
     changes = spark.createDataFrame([("1", "toggle", 1), ("2", "add", 1), ("2", "toggle", 2), ("3", "remove", 1), ("4", "toggle", 9)], "video_id string, action string, seq int")

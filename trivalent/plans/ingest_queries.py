@@ -342,10 +342,64 @@ def import_lines(spark, sf_dir):
     k = F.col("p_partkey")
     depth = (k % 60).cast("int")
     line = _s('{"a":', F.repeat(F.lit("["), depth), F.repeat(F.lit("]"), depth), F.when(depth == 0, "0").otherwise(""), ',"', F.when(k % 7 == 0, "constructor").otherwise("b[[{"), '":"]] constructor"', F.when(k % 13 == 0, "").otherwise("}"))
-    # a line that is not closed is one bracket deeper for its end
-    shut = table(spark, sf_dir, "part").select(k, line.alias("line"))
-    found = shut.select("p_partkey", F.explode(backup.line_problems(F.col("line"))).alias("problem"))
-    return found.where("not (problem = 'depth' and p_partkey % 60 <= 31)").groupBy("problem").agg(F.count("*").alias("n"))
+    found = table(spark, sf_dir, "part").select(F.explode(backup.line_problems(line)).alias("problem"))
+    return found.groupBy("problem").agg(F.count("*").alias("n"))
+
+
+def _violations(name: str, rows: DataFrame, like: str) -> DataFrame:
+    found = backup.violations({name: _like(rows, like)})
+    return rows.sparkSession.createDataFrame(list(found.items()), "problem string, n long")
+
+
+@query("""SELECT * FROM (SELECT 'details.id' AS problem, count(*) FILTER (WHERE p_partkey % 11 = 3) AS n FROM part UNION ALL SELECT 'details.status', count(*) FILTER (WHERE p_partkey % 7 < 2) FROM part UNION ALL SELECT 'details.lists', count(*) FILTER (WHERE p_partkey % 97 = 5) FROM part
+UNION ALL SELECT 'details.formats', count(*) FILTER (WHERE p_partkey % 89 = 1) FROM part UNION ALL SELECT 'details.date', count(*) FILTER (WHERE p_partkey % 5 = 2) FROM part UNION ALL SELECT 'details.failures', count(*) FILTER (WHERE p_partkey % 13 = 4) FROM part) WHERE n > 0""")
+def import_violations_details(spark, sf_dir):
+    """Details that an import refuses: ids, statuses that are none or null, lists and formats too long, days that don't exist, negative counts."""
+    k = F.col("p_partkey")
+    many = lambda n, hot: F.when(hot, n + 1).otherwise(n).cast("int")
+    tags = F.array_repeat(F.lit("t"), many(F.when((k % 97).isin(5, 6), backup.MOST_LIST).otherwise(1), k % 97 == 5))
+    format_ = F.struct(*(F.lit("mp4").alias(c) for c in ("name", "format", "quality", "resolution")))
+    rows = table(spark, sf_dir, "part").select(
+        F.when(k % 11 == 3, _s("x", k)).otherwise(k.cast("string")).alias("video_id"), F.when(k % 7 == 0, "gone").when(k % 7 == 1, None).otherwise("stale").alias("status"), tags.alias("tags"),
+        F.array_repeat(format_, many(F.lit(backup.MOST_FORMATS), k % 89 == 1)).alias("formats"), F.when(k % 5 == 2, "2023-02-30").when(k % 5 == 3, None).otherwise("2024-02-29").alias("exact_upload_date"), F.when(k % 13 == 4, -1).otherwise(0).alias("failure_count"),
+    )
+    return _violations("details", rows, schema.DETAILS)
+
+
+@query("""SELECT * FROM (SELECT 'history.id' AS problem, count(*) FILTER (WHERE o_orderkey % 11 < 2) AS n FROM orders UNION ALL SELECT 'history.times', count(*) FILTER (WHERE o_orderkey % 7 = 3 OR o_orderkey % 5 = 4) FROM orders) WHERE n > 0""")
+def import_violations_history(spark, sf_dir):
+    """Operations that an import refuses: no id, times before the epoch; missing times are taken."""
+    k = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(F.when(k % 11 == 0, "").when(k % 11 == 1, None).otherwise(_s("h", k)).alias("id"), F.when(k % 7 == 3, -k).when(k % 7 == 4, None).otherwise(k).alias("started_at"), F.when(k % 5 == 4, -1).otherwise(k).alias("finished_at"))
+    return _violations("history", rows, schema.HISTORY)
+
+
+@query("SELECT * FROM (SELECT 'pages.page' AS problem, count(*) FILTER (WHERE c_custkey % 9 < 3) AS n FROM customer) WHERE n > 0")
+def import_violations_pages(spark, sf_dir):
+    """Pages that an import refuses: numbers under 1 or none."""
+    k = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").select(F.when(k % 9 == 0, None).when(k % 9 == 1, 0).when(k % 9 == 2, -k).otherwise(k).alias("page_number"))
+    return _violations("pages", rows, schema.PAGES)
+
+
+@query("""SELECT p_partkey::VARCHAR AS video_id, 'own' AS title, (SELECT 'videos.rating: ' || count(*) FROM part WHERE p_partkey % 7 = 0) AS refused FROM part WHERE p_partkey % 2 = 0""")
+def import_refused(spark, sf_dir):
+    """A store after an import with wrong records was refused, with what was said: its rows are what they were."""
+    store, k = _store(spark, "refused"), F.col("p_partkey")
+    part = table(spark, sf_dir, "part")
+    own = part.where(k % 2 == 0).select(k.cast("string").alias("video_id"), F.lit("own").alias("title"))
+    before = store.commit({"videos": _like(own, schema.VIDEOS)})
+    wrong = part.select(k.cast("string").alias("video_id"), F.col("p_name").alias("title"), F.when(k % 7 == 0, 120.0).otherwise(50.0).alias("rating_percent"))
+    at = f"{folder(spark)}/refused-{uuid.uuid4().hex}"
+    backup.export({"videos": _like(wrong, schema.VIDEOS)}, at, {"made": NOW})
+    with store.draft() as draft:
+        failed = backup.stage_records(spark, at, draft)[2]
+    try:
+        backup.import_backup(store, at, "replace")
+    except ValueError:
+        assert store.version() == before
+    said = ", ".join(f"{what}: {n}" for what, n in failed.items())
+    return store.read("videos").select("video_id", "title", F.lit(said).alias("refused"))
 
 
 # details ------------------------------------------------------------------------------------------------------

@@ -1,12 +1,15 @@
 """Backups: one JSON document of a state, and its validated import.
 
 Records are JSON lines by table, so that a backup of any size is written and read in parallel; the envelope is a small
-document beside them.  Import checks every record; a backup with a wrong record is refused whole.
+document beside them.  Import checks every line and record while it stages them, in one scan a table; a backup with a wrong
+one is refused whole.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema
@@ -43,13 +46,22 @@ def document(state: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def load(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame], dict[str, str]]:
-    """(tables, envelope), with fixed schemas; a document of another format or version raises."""
+def envelope_of(spark: SparkSession, path: str) -> dict[str, str]:
+    """What a backup says of itself; a document of another format or version raises."""
     rows = spark.read.schema("format string, version int, key string, value string").json(f"{path}/envelope").collect()
     if not rows or any(r["format"] != FORMAT or r["version"] != VERSION for r in rows):
         raise ValueError("this is no backup that can be read")
-    envelope = {r["key"]: r["value"] for r in rows}
-    return {n: spark.read.schema(s).json(f"{path}/{n}") for n, s in SCHEMAS.items() if n in envelope["tables"].split(",")}, envelope
+    return {r["key"]: r["value"] for r in rows}
+
+
+def _named(envelope: dict[str, str]) -> list[str]:
+    return [n for n in SCHEMAS if n in envelope["tables"].split(",")]
+
+
+def load(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame], dict[str, str]]:
+    """(tables, envelope), with fixed schemas; a document of another format or version raises."""
+    envelope = envelope_of(spark, path)
+    return {n: spark.read.schema(SCHEMAS[n]).json(f"{path}/{n}") for n in _named(envelope)}, envelope
 
 
 def _bounded(c: str) -> Column:
@@ -115,18 +127,49 @@ def summary(tables: dict[str, DataFrame]) -> DataFrame:
     return n.join(done, "one").join(size, "one").select("videos", "complete", F.when(F.col("videos") > 0, F.col("complete") / F.col("videos")).alias("coverage"), "bytes")
 
 
+def checked_records(spark: SparkSession, path: str, name: str) -> tuple[DataFrame, Observation]:
+    """The records of one table, and counts of broken lines and failed checks that are known once they were written.
+
+    A line is read, judged and parsed in one scan.  The counts are those of a job of one stage, so tasks that ran twice count once.
+    """
+    lines = spark.read.text(f"{path}/{name}").select(line_problems(F.col("value")).alias("_problems"), F.from_json("value", SCHEMAS[name]).alias("_record"))
+    broken = [F.count_if(F.array_contains("_problems", k)).alias(f"line_{k}") for k in PROBLEMS]
+    failed = [F.count_if((F.size("_problems") == 0) & ~test).alias(f"record_{k}") for k, test in checks(name).items()]
+    seen = Observation(f"import-{name}")
+    return lines.select("_problems", "_record.*").observe(seen, *broken, *failed).drop("_problems"), seen
+
+
+def stage_records(spark: SparkSession, path: str, at: str) -> tuple[dict[str, DataFrame], dict[str, int], dict[str, int]]:
+    """(tables, broken lines, failed checks) of a backup: each table is scanned once, and written under ``at`` while it is checked."""
+    tables, broken, failed = {}, {}, {}
+    for name in _named(envelope_of(spark, path)):
+        rows, seen = checked_records(spark, path, name)
+        rows.write.parquet(f"{at}/{name}")
+        for key, n in seen.get.items():
+            kind, what = key.split("_", 1)
+            if n:
+                (broken if kind == "line" else failed)[f"{name}.{what}"] = n
+        tables[name] = spark.read.schema(SCHEMAS[name]).parquet(f"{at}/{name}")
+    return tables, broken, failed
+
+
 def import_backup(store, path: str, mode: str = "merge", current_ready: bool = False, incoming_complete: bool = False) -> int:
-    """The store's version after an import; a refused or failed one leaves the store as it was."""
+    """The store's version after an import; a refused or failed one leaves the store as it was.
+
+    Records are staged among the store's drafts, which go when the import ends; those of a driver that was lost go when the store is cleaned.
+    """
     from ..operators.merging import plan_merge, replacement
 
-    tables, _ = load(store.spark, path)
-    if broken := broken_lines(store.spark, path, list(tables)).collect():
-        raise ValueError(f"the backup has lines that can't be taken: {[tuple(r) for r in broken]}")
-    if wrong := violations(tables):
-        raise ValueError(f"the backup has records that can't be taken: {wrong}")
-    before, clean = store.version(), normalize(tables)
-    next_ = replacement(clean) if mode == "replace" else plan_merge(store.read_all(before), clean, current_ready, incoming_complete)
-    return store.commit(next_, {"imported": path}, expected=before)
+    before = store.version()
+    with store.draft() as at:
+        tables, broken, failed = stage_records(store.spark, path, at)
+        if broken:
+            raise ValueError(f"the backup has lines that can't be taken: {broken}")
+        if failed:
+            raise ValueError(f"the backup has records that can't be taken: {failed}")
+        clean = normalize(tables)
+        next_ = replacement(clean) if mode == "replace" else plan_merge(store.read_all(before), clean, current_ready, incoming_complete)
+        return store.commit(next_, {"imported": path}, expected=before)
 
 
 def portable(settings: dict) -> dict:
@@ -155,15 +198,25 @@ def imported_state(state: dict) -> dict:
 MOST_DEPTH, BARRED_KEYS = 32, ("__proto__", "prototype", "constructor")
 
 
+PROBLEMS = ("no-json", "depth", "key", "number", "text")
+
+
+def _depth(bare: Column) -> Column:
+    """The deepest nesting of a line without its strings, whether it is closed or not."""
+    turns = F.split(F.regexp_replace(bare, r"[^\[\]{}]", ""), "")
+    step = lambda x: F.when(x.isin("[", "{"), 1).when(x.isin("]", "}"), -1).otherwise(0)
+    at = lambda now, most: F.struct(now.alias("now"), most.alias("most"))
+    return F.aggregate(turns, at(F.lit(0), F.lit(0)), lambda a, x: at(a["now"] + step(x), F.greatest(a["most"], a["now"] + step(x))), lambda a: a["most"])
+
+
 def line_problems(c: Column) -> Column:
     """array<string> of what is wrong with a line of JSON: no JSON, too deep, a barred key, a number that is none, a text too long."""
     bare = F.regexp_replace(c, r'"(?:\\.|[^"\\])*+"', '""')
-    flat = F.aggregate(F.sequence(F.lit(1), F.lit(MOST_DEPTH)), bare, lambda t, _: F.regexp_replace(t, r"[\[{][^\[\]{}]*[\]}]", "0"))
     tests = {
-        "no-json": F.try_parse_json(c).isNull(), "depth": flat.rlike(r"[\[{]"), "key": c.rlike(rf'"(?:{"|".join(BARRED_KEYS)})"\s*:'), "number": bare.rlike(r"\b(?:NaN|Infinity)\b"),
+        "no-json": F.try_parse_json(c).isNull(), "depth": _depth(bare) > MOST_DEPTH, "key": c.rlike(rf'"(?:{"|".join(BARRED_KEYS)})"\s*:'), "number": bare.rlike(r"\b(?:NaN|Infinity)\b"),
         "text": F.exists(F.regexp_extract_all(c, F.lit(r'"((?:\\.|[^"\\])*+)"'), F.lit(1)), lambda t: F.length(t) > MOST_TEXT),
     }
-    return F.filter(F.array(*(F.when(test, F.lit(name)) for name, test in tests.items())), lambda x: x.isNotNull())
+    return F.filter(F.array(*(F.when(tests[name], F.lit(name)) for name in PROBLEMS)), lambda x: x.isNotNull())
 
 
 def broken_lines(spark: SparkSession, path: str, tables: list[str]) -> DataFrame:

@@ -18,7 +18,8 @@ import json
 import os
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -98,6 +99,15 @@ class Store:
         finally:
             self._fs.delete(draft, False)
 
+    @contextmanager
+    def draft(self) -> Iterator[str]:
+        """A folder for rows that no version names; it goes at the end, or when the store is cleaned."""
+        path = f"{self.path}/drafts/{uuid.uuid4().hex}"
+        try:
+            yield path
+        finally:
+            self._fs.delete(self._path(path), True)
+
     # reading
 
     def state(self, version: int | None = None) -> dict:
