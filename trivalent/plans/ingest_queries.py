@@ -213,14 +213,14 @@ def ingest_details(spark, sf_dir):
     return store.read("details").select("video_id", "status", F.col("failure_count").alias("failures"), "tags")
 
 
-@query("SELECT 3::BIGINT AS version, count(*) AS videos, count(*) FILTER (WHERE p_partkey % 2 = 0) AS before FROM part")
+@query("SELECT p_partkey::VARCHAR AS video_id, p_name AS title, p_partkey % 2 = 0 AS before, 3::BIGINT AS version FROM part")
 def store_versions(spark, sf_dir):
     """Each commit is a version, and old ones can be read."""
     store = _store(spark, "versions")
     store.commit({"videos": _like(_feed(spark, sf_dir, "p_partkey % 2 = 0", "p_partkey"), schema.VIDEOS)})
     store.commit({"videos": _like(_feed(spark, sf_dir, "true", "p_partkey"), schema.VIDEOS)})
-    now, old = (store.read("videos", v).agg(F.count("*").alias(c)) for v, c in ((None, "videos"), (2, "before")))
-    return now.join(old, F.lit(True)).select(F.lit(store.version()).cast("long").alias("version"), "videos", "before")
+    old = store.read("videos", 2).select("video_id", "title", F.lit(True).alias("before"))
+    return store.read("videos").join(old, ["video_id", "title"], "full").select("video_id", "title", F.coalesce("before", F.lit(False)).alias("before"), F.lit(store.version()).cast("long").alias("version"))
 
 
 _EVERY = 7
@@ -578,14 +578,14 @@ def counts_of_feeds(spark, sf_dir):
     return table(spark, sf_dir, "part").select(k.alias("k"), numbers.native_total(_s("All  Items ( ", k % 5000, "K )")).alias("total"), numbers.page_count(k, k % 50).alias("pages"), numbers.format_bytes(k).alias("bytes"))
 
 
-@query("""WITH a AS (SELECT o_orderkey AS k, 1007164800000 - epoch_ms(o_orderdate) AS ms FROM orders), d AS (SELECT k, greatest(0, ms) AS ms FROM a),
-u AS (SELECT k, CASE WHEN ms < 3600000 THEN NULL WHEN ms < 86400000 THEN ms // 3600000 WHEN ms < 7 * 86400000 THEN ms // 86400000 WHEN ms < 2419200000 THEN ms // 604800000 END AS n, ms,
-CASE WHEN ms < 86400000 THEN 'hour' WHEN ms < 7 * 86400000 THEN 'day' ELSE 'week' END AS unit FROM d)
-SELECT k, CASE WHEN ms < 3600000 THEN 'less than 1 hour ago' WHEN n IS NOT NULL THEN greatest(1, n) || ' ' || unit || CASE WHEN greatest(1, n) = 1 THEN '' ELSE 's' END || ' ago' END AS age FROM u""")
+@query("""WITH a AS (SELECT o_orderkey AS k, greatest(0, 1007164800000 - epoch_ms(o_orderdate)) AS ms FROM orders),
+u AS (SELECT k, ms, CASE WHEN ms < 86400000 THEN 3600000 WHEN ms < 604800000 THEN 86400000 WHEN ms < 2419200000 THEN 604800000 WHEN ms < 31557600000 THEN 2629800000 ELSE 31557600000 END AS size FROM a),
+n AS (SELECT k, ms, greatest(1, ms // size) AS n, CASE size WHEN 3600000 THEN 'hour' WHEN 86400000 THEN 'day' WHEN 604800000 THEN 'week' WHEN 2629800000 THEN 'month' ELSE 'year' END AS unit FROM u)
+SELECT k, CASE WHEN ms < 3600000 THEN 'less than 1 hour ago' ELSE n || ' ' || unit || CASE WHEN n = 1 THEN '' ELSE 's' END || ' ago' END AS age FROM n""")
 def ages(spark, sf_dir):
-    """Ages of orders in hours, days and weeks; older ones are left out here."""
+    """Ages of orders in hours, days, weeks, months and years."""
     ms = F.lit(NOW) - F.unix_millis(F.col("o_orderdate").cast("timestamp"))
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.when(ms < 28 * 86_400_000, dates.format_age(ms)).alias("age"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), dates.format_age(ms).alias("age"))
 
 
 @query(f"{ORACLE} SELECT video_id, list_sort(artists) AS artists FROM c WHERE ta ORDER BY ord LIMIT 24")
