@@ -7,7 +7,6 @@ import re
 import numpy as np
 import pyarrow as pa
 from fixtures import SCHEMA, documents, texts
-from pyspark.sql import functions as F
 
 from trivalent.llm import pii
 
@@ -111,17 +110,49 @@ def test_marginals_of_small_graphs():
     assert len(nodes.echoes) == 2 and abs(field.marginals(nodes) - exhaustive(field, nodes)).max() < 0.15
 
 
-def test_table_of_shapes_is_bounded(spark, monkeypatch):
-    """With room for few rows shapes are told apart by fewer features, and nothing is refused."""
-    full = pii.fit(documents(spark))
-    assert full.level == 0
-    monkeypatch.setattr(pii, "MOST_ROWS", 8)
-    small = pii.fit(documents(spark))
-    assert small.level == len(pii.COARSE) - 1
-    got = {r["doc_id"]: r["spans"] for r in pii.find(documents(spark), field=small).collect()}
-    assert got[80].startswith("email:5:26") and "phone" in got[80]
-    codes = np.array([pii.code(pii.shape(w)) for w in ("a@b.c", "+12-34", "4111111111111111", "1.2.3.4")])
-    for level in range(len(pii.COARSE)):
-        parts = pii.decode(pii.coarse(codes, level))
-        assert all((p == f * keep).all() for p, f, keep in zip(parts, pii.decode(codes), pii.COARSE[level], strict=True))
-        assert [r[0] for r in spark.createDataFrame([(int(c),) for c in codes], "c long").select(pii.coarse(F.col("c"), level).cast("long")).collect()] == pii.coarse(codes, level).tolist()
+def test_weights_are_the_same_at_every_size(spark, monkeypatch):
+    """Summed over executors, the gradient gives the weights that the driver alone gives, and the same spans; nothing is left out."""
+    docs = documents(spark)
+    own = pii.fit(docs, steps=12)
+    monkeypatch.setattr(pii, "LOCAL_ROWS", 0)
+    spread = pii.fit(docs.repartition(5), steps=12)
+    for a, b in zip(own.weights(), spread.weights(), strict=True):
+        np.testing.assert_allclose(a, b, atol=1e-9)
+    assert (own.unseen == spread.unseen).all() and not own.unseen.all() and abs(own.shapes).max() > 0
+    assert sorted(map(str, pii.find(docs, field=own).collect())) == sorted(map(str, pii.find(docs, field=spread).collect()))
+    assert not pii.fit(spark.createDataFrame([], SCHEMA)).shapes.any()
+
+
+def test_gradient_is_that_of_the_likelihood():
+    """Against differences of the pseudo-likelihood, weight by weight."""
+    rng = np.random.default_rng(5)
+    k = len(pii.LABELS)
+    rows = np.array([(rng.integers(pii.SHAPES), rng.integers(k + 1), rng.integers(k + 1), rng.integers(6), rng.integers(6), rng.integers(k), rng.integers(1, 50)) for _ in range(40)], np.int64)
+    total = float((1 + np.log(rows[:, -1])).sum())
+    field = pii.Field()
+    for w in field.weights():
+        w += rng.normal(0, 0.5, w.shape)
+
+    def likelihood():
+        out = 0.0
+        for shape, before, after, skip, echo, label, n in rows.tolist():
+            s = field.bias + field.shapes[shape] + sum(f[int(x[0])] for f, x in zip(field.features, pii.decode(np.array([shape])), strict=True)) + (field.chain + pii.BARRED)[before]
+            s = s + (0 if after == pii.ABSENT else (field.chain + pii.BARRED)[:k, after])
+            s = s + sum(0 if x == pii.APART else w[x][pii.KIND] for w, x in ((field.skip, skip), (field.echo, echo)))
+            out += (1 + np.log(n)) / total * (s[label] - np.log(np.exp(s).sum()))
+        return out
+
+    gradient, at = pii.Counted(rows, total).gradient(field), 0
+    for w in field.weights():
+        flat, got = w.reshape(-1), gradient[at : at + w.size]
+        at += w.size
+        places = np.flatnonzero(got) if w is field.shapes else np.arange(w.size)
+        for i in rng.permutation(places)[:30]:
+            old = flat[i]
+            flat[i] = old + 1e-5
+            up = likelihood()
+            flat[i] = old - 1e-5
+            down = likelihood()
+            flat[i] = old
+            assert abs((up - down) / 2e-5 - got[i]) < 1e-6
+    assert at == len(gradient)

@@ -15,9 +15,9 @@ the same way, which has no prior leaning.  Loopy messages run for
 ``SURE`` become spans.  Base spans always stay.
 
 Weights are fitted by pseudo-likelihood to the whole table: its nodes are counted by (shape, labels of
-neighbours, kinds of the nodes like it, label), with one small shuffle of counts.  The driver fits to that table of at most
-``MOST_ROWS`` rows: where whole shapes make more, shapes are told apart by fewer of their features (``COARSE``), and the last of
-these steps can't make more whatever the input is.  Skip weights lean to ``AGREE`` where
+neighbours, kinds of the nodes like it, label), with one small shuffle of counts.  The weights are as many whatever the input
+is; a step along the gradient sums it over that table, which the driver holds up to ``LOCAL_ROWS`` rows, and beyond
+which executors sum a row a weight.  Both give the same weights but for the rounding of sums.  Skip weights lean to ``AGREE`` where
 the corpus has few repeats.  A label that no observed word of a shape has is ``UNSEEN`` below none: such a
 word becomes an entity by what its like elsewhere in the text is, not by itself.
 
@@ -34,7 +34,7 @@ from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import written
@@ -48,7 +48,9 @@ KIND = np.array([0, *range(1, INSIDE), *range(1, INSIDE)])
 #: The kind of no node.
 APART = INSIDE
 #: Set by hand: how sure an added span must be, what the weights of the nodes like it lean to, and what a label not seen of a shape costs.
-ROUNDS, SURE, AGREE, UNSEEN, MOST_ROWS = 6, 0.6, 6.0, 3.0, 300_000
+ROUNDS, SURE, AGREE, UNSEEN = 6, 0.6, 6.0, 3.0
+#: Counted rows whose gradient the driver sums by itself; steps along the gradient, their length, and how weights are held to what they lean to.
+LOCAL_ROWS, STEPS, RATE, RIDGE = 300_000, 400, 5.0, 1e-4
 #: Messages that are worked out at once.
 CHUNK = 1 << 14
 #: What may follow what; the last row is the start of a run of nodes.
@@ -115,6 +117,7 @@ def shape(word: str) -> tuple[int, ...]:
 
 
 SIZES = (3, 4, 2, 2, 2, 2, 4, 8)
+SHAPES = int(np.prod(SIZES))
 
 
 def code(features: tuple[int, ...]) -> int:
@@ -124,21 +127,6 @@ def code(features: tuple[int, ...]) -> int:
     return out
 
 
-#: Features that a code keeps, step by step: all; address, dots, sign, checks and digits; address and digits; digits.
-COARSE = ((1,) * len(SIZES), (1, 1, 0, 1, 0, 0, 1, 1), (1, 0, 0, 0, 0, 0, 0, 1), (0,) * (len(SIZES) - 1) + (1,))
-
-
-def coarse(codes, level: int):
-    """Codes without the features that a level leaves out; of arrays or of a Column."""
-    out, stride = codes, 1
-    for keep, n in zip(reversed(COARSE[level]), reversed(SIZES), strict=True):
-        if not keep:
-            place = (F.floor(codes / stride) if isinstance(codes, Column) else codes // stride) % n
-            out = out - place * stride
-        stride *= n
-    return out
-
-
 def decode(codes: np.ndarray) -> list[np.ndarray]:
     out = []
     for n in reversed(SIZES):
@@ -297,62 +285,34 @@ _COUNTED = ("shape", "before", "after", "skip", "echo", "label")
 class Field:
     """Weights: unary by feature and by whole shape, chain, and skip and echo by kind."""
 
-    def __init__(self, level: int = 0):
+    def __init__(self):
         k = len(LABELS)
-        self.level = level
         self.bias = np.zeros(k)
+        self.shapes = np.zeros((SHAPES, k))
         self.features = [np.zeros((n, k)) for n in SIZES]
-        self.shapes: dict[int, np.ndarray] = {}
-        self.unseen: dict[int, np.ndarray] = {}
         self.chain = np.zeros((k + 1, k))
         self.skip = np.diag([0.0] + [AGREE] * len(KINDS))
         self.echo = np.zeros((1 + len(KINDS), 1 + len(KINDS)))
+        #: Labels that no observed word of a shape has.
+        self.unseen = np.tile(np.arange(k) != NONE, (SHAPES, 1))
 
     def unary(self, codes: np.ndarray) -> np.ndarray:
-        codes = coarse(codes, self.level)
-        blank, new = np.zeros(len(LABELS)), np.arange(len(LABELS)) != NONE
-        get = lambda d, other: np.array([d.get(c, other) for c in codes.tolist()]).reshape(len(codes), len(LABELS))
-        out = self.bias + sum(f[x] for f, x in zip(self.features, decode(codes), strict=True)) + get(self.shapes, blank)
-        none = out[:, NONE : NONE + 1]
-        return np.where(get(self.unseen, new).astype(bool), none - UNSEEN, out)
-
-    def fit(self, counts: np.ndarray, rounds: int = 400, rate: float = 5.0, ridge: float = 1e-4) -> Field:
-        """Pseudo-likelihood by gradient ascent; counts: rows of _COUNTED and n, weighted by 1 + log n."""
-        if not len(counts):
-            return self
-        shapes, before, after, skip, echo, label, n = counts.T
-        codes, which = np.unique(shapes, return_inverse=True)
-        weight = 1 + np.log(n)
-        weight = weight / weight.sum()
-        own, parts, k, kinds = np.zeros((len(codes), len(LABELS))), decode(shapes), len(LABELS), len(KINDS) + 1
-        of_kind, after_of = np.eye(kinds)[KIND], np.where(after == ABSENT, 0, after)
-        has_after = (after != ABSENT)[:, None]
-        far = [(w, w.copy(), (x != APART)[:, None], np.where(x == APART, 0, x)) for w, x in ((self.skip, skip), (self.echo, echo))]
-        truth = np.eye(k)[label]
-        for _ in range(rounds):
-            chain = self.chain + BARRED
-            s = self.bias + own[which] + sum(f[x] for f, x in zip(self.features, parts, strict=True)) + chain[before] + has_after * chain[:k].T[after_of] + sum(has * w[kind][:, KIND] for w, _, has, kind in far)
-            p = np.exp(s - s.max(axis=1, keepdims=True))
-            d = (truth - p / p.sum(axis=1, keepdims=True)) * weight[:, None]
-
-            def at(index: np.ndarray, size: int, d: np.ndarray = d) -> np.ndarray:
-                return np.stack([np.bincount(index, d[:, j], size) for j in range(d.shape[1])], axis=1)
-
-            self.bias += rate * d.sum(axis=0)
-            own += rate * at(which, len(codes)) - rate * ridge * own
-            for f, x, size in zip(self.features, parts, SIZES, strict=True):
-                f += rate * at(x, size) - rate * ridge * f
-            self.chain += rate * at(before, k + 1) - rate * ridge * self.chain
-            self.chain[:k] += rate * at(after_of, k, d * has_after).T
-            for w, prior, has, kind in far:
-                step = at(kind, kinds, d * has @ of_kind)
-                w += rate * (step + step.T) / 2 - rate * ridge * (w - prior)
-        self.shapes = dict(zip(codes.tolist(), own, strict=True))
-        unseen = np.ones((len(codes), k), bool)
-        unseen[which, label] = False
-        unseen[:, NONE] = False
-        self.unseen = dict(zip(codes.tolist(), unseen, strict=True))
-        return self
+        out = self.bias + sum(f[x] for f, x in zip(self.features, decode(codes), strict=True)) + self.shapes[codes]
+        return np.where(self.unseen[codes], out[:, NONE : NONE + 1] - UNSEEN, out)
+
+    def weights(self) -> list[np.ndarray]:
+        return [self.bias, self.shapes, *self.features, self.chain, self.skip, self.echo]
+
+    def step(self, gradient: np.ndarray) -> None:
+        """Changes all weights along their gradient, one vector in the order of ``weights``."""
+        ends = np.cumsum([w.size for w in self.weights()])
+        leans = {id(self.skip): np.diag([0.0] + [AGREE] * len(KINDS)), id(self.echo): 0.0}
+        for w, g in zip(self.weights(), np.split(gradient, ends[:-1]), strict=True):
+            g = g.reshape(w.shape)
+            if id(w) in leans:  # of pairs without an order
+                w += RATE * (g + g.T) / 2 - RATE * RIDGE * (w - leans[id(w)])
+            else:
+                w += RATE * g - (0.0 if w is self.bias else RATE * RIDGE * w)
 
     def marginals(self, nodes: Nodes) -> np.ndarray:
         """Loopy belief propagation; observed nodes have their labels."""
@@ -408,15 +368,67 @@ class Field:
         return {i: sorted(s) for i, s in out.items()}
 
 
-def fit(docs: DataFrame, text_col: str = "text") -> Field:
+class Counted:
+    """Counted nodes (rows of _COUNTED and n, which weigh 1 + log n of total), and the gradient of their pseudo-likelihood."""
+
+    def __init__(self, counts: np.ndarray, total: float):
+        self.shape, self.before, after, skip, echo, label, n = counts.T
+        self.weight, self.truth = ((1 + np.log(n)) / total)[:, None], np.eye(len(LABELS))[label]
+        self.parts = decode(self.shape)
+        self.after, self.has_after = np.where(after == ABSENT, 0, after), (after != ABSENT)[:, None]
+        self.far = [((x != APART)[:, None], np.where(x == APART, 0, x)) for x in (skip, echo)]
+
+    def gradient(self, field: Field) -> np.ndarray:
+        k, kinds = len(LABELS), len(KINDS) + 1
+        chain, of_kind = field.chain + BARRED, np.eye(kinds)[KIND]
+        s = field.bias + field.shapes[self.shape] + sum(f[x] for f, x in zip(field.features, self.parts, strict=True)) + chain[self.before] + self.has_after * chain[:k].T[self.after]
+        s += sum(has * w[kind][:, KIND] for w, (has, kind) in zip((field.skip, field.echo), self.far, strict=True))
+        p = np.exp(s - s.max(axis=1, keepdims=True))
+        d = (self.truth - p / p.sum(axis=1, keepdims=True)) * self.weight
+
+        def at(index: np.ndarray, size: int, d: np.ndarray = d) -> np.ndarray:
+            return np.stack([np.bincount(index, d[:, j], size) for j in range(d.shape[1])], axis=1)
+
+        pairs = at(self.before, k + 1)
+        pairs[:k] += at(self.after, k, d * self.has_after).T
+        out = [d.sum(axis=0), at(self.shape, SHAPES), *(at(x, n) for x, n in zip(self.parts, SIZES, strict=True)), pairs]
+        return np.concatenate([x.ravel() for x in (*out, *(at(kind, kinds, d * has @ of_kind) for has, kind in self.far))])
+
+
+def _summed(table: DataFrame, field: Field, total: float) -> np.ndarray:
+    """The gradient over a table of counted rows: each partition's, added up by weight."""
+    size = sum(w.size for w in field.weights())
+
+    def run(batches):
+        out = np.zeros(size)
+        for b in batches:
+            out += Counted(np.stack([c.to_numpy() for c in b.columns], axis=1), total).gradient(field)
+        at = np.flatnonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(out[at])], ["at", "value"])
+
+    sums = table.mapInArrow(run, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).toArrow()
+    out = np.zeros(size)
+    out[sums.column("at").to_numpy()] = sums.column("value").to_numpy()
+    return out
+
+
+def fit(docs: DataFrame, text_col: str = "text", steps: int = STEPS) -> Field:
+    """By gradient ascent of the pseudo-likelihood of the whole table."""
     counted = docs.select(F.col(text_col).alias("text")).mapInArrow(_count_rows, ", ".join(f"{c} long" for c in (*_COUNTED, "n")))
     table = written(counted.groupBy(*_COUNTED).agg(F.sum("n").alias("n")), "shapes")
-    for level in range(len(COARSE)):
-        rows = table.withColumn("shape", coarse(F.col("shape"), level).cast("long")).groupBy(*_COUNTED).agg(F.sum("n").alias("n"))
-        got = rows.limit(MOST_ROWS + 1).collect()
-        if len(got) <= MOST_ROWS or level == len(COARSE) - 1:
-            return Field(level).fit(np.array(sorted(tuple(r) for r in got), np.int64).reshape(-1, 1 + len(_COUNTED)))
-    raise AssertionError
+    size = table.agg(F.count("*").alias("rows"), F.sum(1 + F.log("n")).alias("weight")).first()
+    field = Field()
+    if not size["rows"]:
+        return field
+    own = None
+    if size["rows"] <= LOCAL_ROWS:
+        own = Counted(np.array(sorted(tuple(r) for r in table.collect()), np.int64), size["weight"])
+    # as many pairs as weights at most
+    seen = np.array([tuple(r) for r in table.select("shape", "label").distinct().collect()], np.int64)
+    for _ in range(steps):
+        field.step(own.gradient(field) if own else _summed(table, field, size["weight"]))
+    field.unseen[seen[:, 0], seen[:, 1]] = False
+    return field
 
 
 def _written(spans: list[tuple[int, int, int]]) -> str:
