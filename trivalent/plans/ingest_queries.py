@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..functions import dates, details as detail_functions, numbers, text, urls
 from ..operators import merging, ordering
-from ..sources import backup, changes, html
+from ..sources import backup, changes, html, layout
 from ..sources.scratch import folder
 from ..sources.tables import Store
 from ..streaming import ingest
-from .fixture import NOW, ORACLE, catalogue, flat, table
-from .queries import query
+from .compile import Context, evaluate
+from .fixture import NOW, ORACLE, catalogue, details, flat, table, videos
+from .queries import FLAGSHIP, _FLAGSHIP, query
+from .query import verdict_counts
 
 LAYOUT = html.Layout()
 SIZE = 24
@@ -223,6 +225,26 @@ def store_versions(spark, sf_dir):
     return store.read("videos").join(old, ["video_id", "title"], "full").select("video_id", "title", F.coalesce("before", F.lit(False)).alias("before"), F.lit(store.version()).cast("long").alias("version"))
 
 
+def _laid_out(spark, sf_dir) -> DataFrame:
+    """The catalogue of a store's version whose tables lie in the same buckets; many of them, so that small tables have some as well."""
+    store = _store(spark, "layout")
+    store.commit({"videos": videos(spark, sf_dir), "details": details(spark, sf_dir)})
+    layout.lay_out(store, bucket_rows=500)
+    return layout.stored(store)
+
+
+@query(f"{ORACLE} SELECT video_id, title, views, CASE WHEN ord % 10 <> 0 THEN status END AS status, CASE WHEN ord % 10 <> 0 THEN description END AS description FROM c")
+def colocated_rows(spark, sf_dir):
+    """Listing rows with their details, joined in their buckets without an exchange."""
+    return _laid_out(spark, sf_dir).select("video_id", "title", "views", "detail.status", "detail.description")
+
+
+@query(f"{ORACLE}, v AS (SELECT ({_FLAGSHIP}) AS verdict FROM c) SELECT count(*) FILTER (WHERE verdict) AS matches, count(*) FILTER (WHERE verdict IS NULL) AS unknown, count(*) AS total FROM v")
+def colocated_counts(spark, sf_dir):
+    """A document's counts over both tables; only partial counts are exchanged."""
+    return verdict_counts(evaluate(_laid_out(spark, sf_dir), FLAGSHIP, Context(now=NOW)))
+
+
 _EVERY = 7
 
 

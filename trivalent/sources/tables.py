@@ -261,7 +261,7 @@ class Store:
         return {n: self._read(f"pins/{n}")["version"] for n in names if not n.startswith(".")}
 
     def clean(self, keep: int = 10, grace_ms: int = 86_400_000, now_ms: int | None = None) -> tuple[list[int], int]:
-        """(versions removed, directories removed): all but the newest versions and pinned ones go, then data that none of these names.
+        """(versions removed, directories removed): all but the newest versions and pinned ones go with their layouts, then data that none of these names.
 
         What is younger than ``grace_ms`` stays, since a commit may be writing it.
         """
@@ -271,9 +271,14 @@ class Store:
         gone = [v for v in versions if v not in kept]
         for v in gone:
             self._fs.delete(self._path(f"{self.path}/versions/{v}"), False)
+        laid_out = self._numbers("layouts")
+        for v in set(laid_out) - kept:
+            self._fs.delete(self._path(f"{self.path}/layouts/{v}"), False)
         prefix = f"{self.path}/data/"
         named: set[str] = set()  # data that is named, and all directories above it
-        for path in {p for v in kept for t in self.state(v)["tables"].values() for p in t["at"].values()}:
+        paths = {p for v in kept for t in self.state(v)["tables"].values() for p in t["at"].values()}
+        paths |= {p for v in kept & set(laid_out) for p in self._read(f"layouts/{v}")["at"].values()}
+        for path in paths:
             parts = path.removeprefix(prefix).split("/")
             named |= {"/".join(parts[:k]) for k in range(1, len(parts) + 1)}
         leaves = named - {n.rsplit("/", 1)[0] for n in named if "/" in n}
