@@ -73,6 +73,26 @@ def test_shared_ids_are_cut_as_well(spark, monkeypatch):
     assert found(fp.judge(df)) == expected(rows)
 
 
+def test_clustered_ids_are_cut_as_well(spark, monkeypatch):
+    """Runs of ids that lie far apart, as with a shard's number in the upper bits: buckets are as small as those of ids in one run."""
+    monkeypatch.setattr(fp, "BUCKET_BYTES", 32)
+    monkeypatch.setattr(fp, "QUANTILES", 4)
+    rows = [(shard * 10**12 + k, f"text {shard} {k}. And so on") for shard in range(-20, 20) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    most = lambda: fp.with_next(df, "doc_id", "text").where("not copy").groupBy("bucket").count().agg(F.max("count")).first()[0]
+    assert found(fp.judge(df)) == expected(rows) and most() <= 6
+    # fewer quantiles than buckets: the rest is cut evenly
+    monkeypatch.setattr(fp, "FINE", 32)
+    assert found(fp.judge(df)) == expected(rows)
+
+
+def test_ranks(spark):
+    values = [-5, 0, 0, 3, 3, 3, 10]
+    for n in range(len(values) + 1):
+        row = spark.range(1).select(*(fp.rank(F.array(*map(F.lit, values[:n])).cast("array<int>"), 7, F.lit(v)) for v in range(-7, 13))).first()
+        assert list(row) == [sum(x <= v for x in values[:n]) for v in range(-7, 13)]
+
+
 def test_algebra(spark):
     v = lambda t: fp.vector(F.lit(t))
     row = spark.range(1).select(

@@ -14,7 +14,8 @@ added or taken away by adding or subtracting its vector (``plus``, ``minus``).
 
 Everything is DataFrame expressions.  The order is by id, descending, null ids last; rows of one id in order of a hash of
 their texts, then of the texts.  The next document is found with one exchange of the texts: ids are cut into buckets by bounded
-quantiles, ids that many rows share by the hash; a window runs in each bucket, and each bucket gets a copy of the
+quantiles, each quantile by up to ``FINE`` quantiles of its own, so that it doesn't matter where the ids cluster, and what is more than
+those evenly; ids that many rows share by the hash; a window runs in each bucket, and each bucket gets a copy of the
 document that comes next after its last.  Which these are comes from the buckets' first ids and hashes, an
 aggregate without texts, in which a window runs over the buckets of each quantile and one over the quantiles.  The copies
 (a row a bucket of 8 MB of text) are found by a broadcast up to ``MOST_COPIES`` of them, and beyond by a join of both sides.
@@ -28,11 +29,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import written
+
 LEVELS, LANES = 24, 16
 CROWDED = 12
 DENSE = 4
-#: Quantiles of the ids, and bytes of text in a bucket.
-QUANTILES, BUCKET_BYTES = 256, 8 << 20
+#: Quantiles of the ids, quantiles in each of them at most, and bytes of text in a bucket.
+QUANTILES, FINE, BUCKET_BYTES = 256, 1024, 8 << 20
 #: Copies that are broadcast (32 bytes each), bytes of text in a partition, and ids that are cut by their texts' hashes.
 MOST_COPIES, PART_BYTES, HOT_IDS = 1 << 20, 64 << 20, 1024
 
@@ -102,6 +105,12 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).otherwise(F.coalesce(let(zipped, of), F.lit(0.0)))
 
 
+def rank(sorted_values: Column, most: int, value: Column) -> Column:
+    """How many of an ascending array of at most ``most`` values aren't above value, by halving steps."""
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(most.bit_length()))))
+    return F.aggregate(steps, F.lit(0), lambda done, step: done + F.when(F.get(sorted_values, done + step - 1) <= value, step).otherwise(F.lit(0)))
+
+
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, text and next_text (of the next smaller id; after the smallest, of the largest); rows that are only copies have ``copy`` set."""
     spark = docs.sparkSession
@@ -112,6 +121,9 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     # ids of a thousandth of all rows: HOT_IDS of them at most
     hot = [r["id"] for r in slim.groupBy("id").count().where(F.col("count") > max(1, stats["rows"] // HOT_IDS)).select("id").collect()]
     inner = -(-max(4 * wide, size // BUCKET_BYTES) // QUANTILES)
+    fine = min(FINE, inner)
+    pieces = -(-inner // fine)
+    inner = fine * pieces
     own = [i for i in hot if i is not None]
     bounds = [0, 1] if stats["lo"] is None else sorted({stats["lo"], *(stats["q"] or []), *own, *(i + 1 for i in own), stats["hi"] + 1})
     known = F.array(*(F.lit(b).cast("bigint") for b in bounds))
@@ -119,11 +131,21 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     tie = F.when(F.col("id").isNull() | F.col("id").isin(own), hashed).otherwise(F.lit(0)) if hot else F.lit(0).cast("long")
     # places from the end of the order: quantile 0 has the null ids; in an id's own quantile hashes count from the end as well
     share_of_hash = F.shiftrightunsigned(F.col("tie"), 11) / F.lit(float(1 << 53))
-    low, high = F.get(known, F.col("quantile") - 1), F.get(known, F.col("quantile"))
-    share = F.when(F.col("id").isNull() | F.col("id").isin(own), 1 - share_of_hash).otherwise((F.col("id") - low) / (high - low)) if hot else F.when(F.col("id").isNull(), 0.0).otherwise((F.col("id") - low) / (high - low))
-    cut = F.least(F.greatest(F.floor(share * inner), F.lit(0)), F.lit(inner - 1))
     at = F.when(F.col("id").isNull(), F.lit(0)).otherwise(F.size(F.filter(known, lambda q: q <= F.col("id"))))
-    place = lambda df: df.withColumn("quantile", at).withColumn("cut", cut).withColumn("bucket", F.col("quantile").cast("bigint") * inner + F.col("cut")).drop("cut")
+    # as many rows as quantiles, whatever the input is; written, since quantiles may differ when they are computed again
+    cuts = written(slim.where(F.col("id").isNotNull() & ~F.col("id").isin(own)).withColumn("quantile", at).groupBy("quantile").agg(F.percentile_approx("id", [(i + 1) / fine for i in range(fine - 1)], 10_000).alias("cuts")), "cuts") if fine > 1 else None
+    cell = F.coalesce(rank(F.col("cuts"), fine, F.col("id")), F.lit(0)) if fine > 1 else F.lit(0)
+    low = F.coalesce(F.get("cuts", F.col("cell") - 1), F.get(known, F.col("quantile") - 1)) if fine > 1 else F.get(known, F.col("quantile") - 1)
+    high = F.coalesce(F.get("cuts", F.col("cell")), F.get(known, F.col("quantile"))) if fine > 1 else F.get(known, F.col("quantile"))
+    within = lambda share, parts: F.least(F.greatest(F.floor(share * parts), F.lit(0)), F.lit(parts - 1))
+    evenly = F.col("cell") * pieces + within((F.col("id") - low) / (high - low), pieces)
+    cut = F.when(F.col("id").isNull() | F.col("id").isin(own), within(1 - share_of_hash, inner)).otherwise(evenly) if hot else F.when(F.col("id").isNull(), F.lit(0)).otherwise(evenly)
+
+    def place(df: DataFrame) -> DataFrame:
+        df = df.withColumn("quantile", at)
+        df = df.join(F.broadcast(cuts), "quantile", "left") if fine > 1 else df
+        return df.withColumn("cell", cell).withColumn("bucket", F.col("quantile").cast("bigint") * inner + cut).drop("cell", "cuts")
+
     # the unsigned order of hashes is that of their halves
     halves = lambda c: (F.shiftrightunsigned(c, 32).alias("high"), F.shiftrightunsigned(F.shiftleft(c, 32), 32).alias("low"))
     first = F.struct(F.col("id").isNull().alias("none"), (-F.col("id")).alias("back"), *halves(F.col("tie")), F.col("tie").alias("tie"))
