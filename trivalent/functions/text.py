@@ -141,11 +141,15 @@ def text_match(c: Column, operator: str, value: object, options: dict | None = N
     return F.coalesce(reduce(lambda a, b: a | b, map(part, parts), F.lit(False)), F.lit(False))
 
 
+#: What is a word of a title.
+TITLE_WORD = r"[\p{L}\p{N}]+(?:['’_-][\p{L}\p{N}]+)*"
+
+
 def title_words(title: Column) -> Column:
     """Distinct lower-case words of a title, without what is in brackets."""
     for a, b in BRACKETS:
         title = F.regexp_replace(title, rf"{quoted(a)}[^{quoted(b)}]*{quoted(b)}", " ")
-    words = F.regexp_extract_all(F.lower(F.coalesce(title, F.lit(""))), F.lit(r"[\p{L}\p{N}]+(?:['’_-][\p{L}\p{N}]+)*"), F.lit(0))
+    words = F.regexp_extract_all(F.lower(F.coalesce(title, F.lit(""))), F.lit(TITLE_WORD), F.lit(0))
     return F.array_distinct(words)
 
 

@@ -80,6 +80,30 @@ def gone_only(failures: DataFrame, targets: int) -> DataFrame:
     return failures.agg(F.count("*").alias("n"), F.coalesce(F.bool_and(F.col("http_status").isin(404, 410)), F.lit(False)).alias("gone")).select("n", ((F.col("n") > 0) & (F.col("n") < 3) & (F.col("n") == targets) & F.col("gone")).alias("isolated"))
 
 
+def canary(outcomes: DataFrame, most: int = 10) -> DataFrame:
+    """One row: whether the first targets show that the rest can be read; outcomes: pos, ok.
+
+    Of ``most`` targets at most, three fifths must be read and three are enough; targets after these aren't tried.
+    """
+    first = outcomes.orderBy("pos").limit(most).agg(F.sort_array(F.collect_list(F.struct("pos", "ok"))).alias("x"))
+    need = F.least(F.lit(3), F.greatest(F.lit(1), F.ceil(F.size("x") * 0.6).cast("int")))
+    tried = F.filter("x", lambda _, i: F.size(F.filter(F.slice("x", F.lit(1), i), lambda y: y["ok"])) < F.col("required"))
+    out = first.withColumn("required", need).withColumn("tried", tried)
+    read = F.size(F.filter("tried", lambda y: y["ok"]))
+    return out.select(F.size("tried").alias("attempted"), read.alias("verified"), "required", (read >= F.col("required")).alias("passed"))
+
+
+def tripped(outcomes: DataFrame, run: int = 3) -> DataFrame:
+    """One row: where ``run`` outcomes in a row were failures of one systemic kind for the first time, and the kind; nulls if nowhere.
+
+    outcomes: pos, numbers without gaps, and kind, null for what was read or failed by itself.  Each failure is counted at its place and
+    the ones after it, so there is no window over all of them.
+    """
+    reach = F.explode(F.sequence(F.col("pos"), F.col("pos") + run - 1)).alias("at")
+    full = outcomes.where("kind is not null").select("kind", reach).groupBy("at", "kind").agg(F.count("*").alias("n")).where(F.col("n") == run)
+    return full.agg(F.min(F.struct("at", "kind")).alias("x")).select(F.col("x.at").alias("stopped_at"), F.col("x.kind").alias("kind"))
+
+
 def repeated_ids(rows: DataFrame) -> DataFrame:
     return rows.groupBy("video_id").agg(F.count("*").alias("n")).where("n > 1")
 

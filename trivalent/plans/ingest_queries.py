@@ -517,6 +517,19 @@ def membership_snapshot(spark, sf_dir):
     return members
 
 
+@query(f"SELECT {_SLUG} AS key, s_name AS name, 'https://example.com/models/' || {_SLUG} || '/' AS url FROM supplier")
+def membership_without_total(spark, sf_dir):
+    """Pages that show no total: all are there and none is empty, so the snapshot is taken; with an empty one more it isn't."""
+    pages = _member_pages(spark, sf_dir).withColumn("html", F.regexp_replace("html", '<b class="total_results">[^<]*</b>', ""))
+    more = pages.unionByName(spark.createDataFrame([(0, '<div class="members"></div>')], "page_number int, html string"))
+    n = pages.count()
+    refused, why = html.member_snapshot(html.membership(more, LAYOUT), n + 1)
+    members, reason = html.member_snapshot(html.membership(pages, LAYOUT), n)
+    if refused is not None or why != "empty-page" or members is None:
+        raise RuntimeError(f"{why}, {reason}")
+    return members
+
+
 @query("SELECT count(*) AS n, true AS same FROM supplier")
 def membership_signature(spark, sf_dir):
     """A digest that the order of pages and repeats don't change."""

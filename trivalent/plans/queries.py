@@ -556,6 +556,21 @@ def gone_only(spark, sf_dir):
     return worksets.gone_only(d, d.count()).select(F.col("n").cast("int").alias("n"), "isolated")
 
 
+_KIND = "CASE WHEN p_size % 4 = 0 THEN 'structure' WHEN p_size % 4 = 1 THEN 'authentication' END"
+
+
+@query(f"WITH k AS (SELECT p_partkey AS pos, {_KIND} AS kind FROM part), r AS (SELECT pos, kind, lag(kind) OVER o AS a, lag(kind, 2) OVER o AS b FROM k WINDOW o AS (ORDER BY pos)) SELECT min(pos) AS stopped_at, arg_min(kind, pos) AS kind FROM r WHERE kind = a AND kind = b")
+def breaker(spark, sf_dir):
+    """Where a run over all rows stops: three systemic failures of one kind in a row."""
+    return worksets.tripped(table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("pos"), F.expr(_KIND).alias("kind")))
+
+
+@query("WITH f AS (SELECT p_size % 3 = 0 AS ok, row_number() OVER (ORDER BY p_partkey) AS i FROM part), g AS (SELECT *, coalesce(sum(ok::INT) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM f WHERE i <= 10), n AS (SELECT least(3, greatest(1, ceil(count(*) * 0.6)))::INTEGER AS required FROM g) SELECT count(*)::INTEGER AS attempted, count(*) FILTER (WHERE ok)::INTEGER AS verified, any_value(required) AS required, count(*) FILTER (WHERE ok) >= any_value(required) AS passed FROM g, n WHERE before < required")
+def canary(spark, sf_dir):
+    """The first targets' outcomes (ten are the feature), and whether the rest follows."""
+    return worksets.canary(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pos"), (F.col("p_size") % 3 == 0).alias("ok")))
+
+
 @query("SELECT CAST(user_id AS VARCHAR) AS video_id, count(*) AS n FROM events GROUP BY 1 HAVING count(*) > 1")
 def repeated_ids(spark, sf_dir):
     return worksets.repeated_ids(table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("video_id")))
