@@ -628,6 +628,15 @@ def merge_by_key(spark, sf_dir):
     return merging.merge_by_key(*_two_details(spark, sf_dir), "video_id", ("fetched_at",)).select("video_id", "description")
 
 
+@query("SELECT true AS repeated, (SELECT count(DISTINCT user_id) FROM events WHERE event_type = 'view') = (SELECT count(DISTINCT user_id) FROM events) AS parts, (SELECT min(user_id) FROM events) IS NULL AS less")
+def idset_same(spark, sf_dir):
+    """Whether two id sets have the same members: repeats and order don't count, one member less does."""
+    ids = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("video_id"), "event_type", "user_id")
+    least = ids.agg(F.min("user_id")).first()[0]
+    row = (merging.same_ids(ids, ids.unionByName(ids)), merging.same_ids(ids, ids.where("event_type = 'view'")), merging.same_ids(ids, ids.where(F.col("user_id") != least)))
+    return spark.createDataFrame([row], "repeated boolean, parts boolean, less boolean")
+
+
 @query("SELECT DISTINCT CAST(user_id AS VARCHAR) AS video_id FROM events WHERE event_type IN ('view', 'purchase')")
 def idset_union(spark, sf_dir):
     return merging.union_ids(event_ids(spark, sf_dir, "view"), event_ids(spark, sf_dir, "purchase"))
