@@ -32,3 +32,8 @@ def test_details_of_unknown_ids(spark, moved):
     """The key 99000 is a row's own; details of ids that no row has must not meet it."""
     sf = moved(99_000)
     agree(QUERIES["import_replace"](spark, sf), SQL["import_replace"], sf)
+
+
+def test_facet_keeps_its_own_fields_rules():
+    """Values of another field are counted under all filters, those of the sidebar too."""
+    assert "brand#1" in SQL["facet_of_other_field"]
