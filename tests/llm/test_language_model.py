@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from fixtures import SCHEMA, documents, texts, words
 
 from trivalent.llm import lm
@@ -124,3 +125,21 @@ def test_better_than_bigrams_on_prose(spark):
     other = bigram([t for t, h in zip(tokens, held, strict=True) if not h], [t for t, h in zip(tokens, held, strict=True) if h])
     got = lm.score(docs).where("held_out").agg({"score": "sum", "n_tokens": "sum"}).first()
     assert got["sum(score)"] / got["sum(n_tokens)"] > other + 0.3
+
+
+def test_topics_are_of_all_texts(spark):
+    """A rare kind of text, of which a sample that hashes choose has few or none, moves the centres as much as its words weigh."""
+    rows = [(k, " ".join(f"a{(k + i) % 50}" for i in range(40))) for k in range(400)]
+    more = [(1000 + k, " ".join(f"b{(k + i) % 50}" for i in range(8))) for k in range(3)]
+    held = lm.held_out([d for d, _ in rows + more])
+    found = lm.topics(spark.createDataFrame(rows + more, "id long, text string"))
+    assert not np.array_equal(found, lm.topics(spark.createDataFrame(rows, "id long, text string")))  # short texts count
+    from trivalent.llm.words import Words
+
+    w = Words(pa.array([t for (_, t), h in zip(rows + more, held, strict=True) if not h]), lower=True)
+    signs = 2 * lm.ones(w.hashes(), w.off) - w.counts()[:, None]
+    cells, n = {}, w.counts()
+    for k, cell in enumerate((signs > 0) @ (1 << np.arange(lm.SIGNS))):
+        cells.setdefault(int(cell), []).append(k)
+    points = np.array([signs[at].sum(axis=0) / n[at].sum() for _, at in sorted(cells.items())], np.float32)
+    np.testing.assert_array_equal(found, lm.centres_of(points, np.array([n[at].sum() for _, at in sorted(cells.items())])))

@@ -11,7 +11,7 @@ normalised exactly, with batched matrix products, and both are trained with nois
 
 * Classes: every word that was seen has one, by its count (halves of powers of two) and by its *topic*; where more than
   ``SPLIT`` of a class have vectors, hashes cut it.  Texts are dealt to ``TOPICS`` centres by a signature of their words, and a word's topic is the one that it is seen in most.
-  The centres are fitted to ``SAMPLE`` texts at most.
+  The centres are fitted to all training texts, summed up in ``2 ** SIGNS`` cells.
 * Words with vectors of their own, as context and as prediction: all with ``LEAST`` training tokens or more and at
   least one in ``MOST_WORDS`` of all training tokens.  So there are at most ``MOST_WORDS`` of them whatever the corpus
   (counts sum up to all tokens), which bounds what is broadcast: 43 MB.  The others of a class are one member
@@ -46,7 +46,7 @@ from .words import U64, Words, slices
 
 FOLDS, HELD_OUT = 7, 2
 ORDER, DIM = 3, 16
-TOPICS, SIGNS, SAMPLE = 8, 16, 4096
+TOPICS, SIGNS = 8, 16
 #: Levels of counts: two for each power of two.
 LEVELS = 124
 LEAST, MOST_WORDS = 16, 1 << 18
@@ -56,7 +56,7 @@ SPLIT = 256
 UNSEEN_SHARE = 0.5
 END_KEY = U64(0x5DEECE66D1CE4E5B)
 #: Bytes of text in a batch, and tokens whose class scores and in-class scores are worked out at once.
-SLICE, CHUNK, WIDE = 4 << 20, 1 << 12, 1 << 16
+SLICE, CHUNK, WIDE = 4 << 20, 1 << 9, 1 << 16
 
 
 def held_out(ids: list) -> np.ndarray:
@@ -66,13 +66,18 @@ def held_out(ids: list) -> np.ndarray:
 # topics -----------------------------------------------------------------------------------------------------
 
 
-def signatures(hashes: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Of each text, the mean of its words' signs; a text without words has zeros."""
-    out = np.zeros((len(off) - 1, SIGNS), np.float32)
+def ones(hashes: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Of each text, how many of its words have each sign."""
+    out = np.zeros((len(off) - 1, SIGNS), np.int64)
     for j in range(SIGNS):
-        total = np.concatenate([[0], np.cumsum(((hashes >> U64(7 + 3 * j)) & U64(1)).astype(np.int64))])
+        total = np.concatenate([[0], np.cumsum((hashes >> U64(7 + 3 * j)) & U64(1), dtype=np.int64)])
         out[:, j] = total[off[1:]] - total[off[:-1]]
-    n = np.diff(off)[:, None]
+    return out
+
+
+def signatures(hashes: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Of each text, the mean of its words' signs; a text without words has zeros."""
+    out, n = ones(hashes, off), np.diff(off)[:, None]
     return np.where(n > 0, 2 * out / np.maximum(n, 1) - 1, 0).astype(np.float32)
 
 
@@ -80,36 +85,46 @@ def nearest(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return ((centres * centres).sum(axis=1) - 2 * points @ centres.T).argmin(axis=1) if len(centres) else np.zeros(len(points), np.int64)
 
 
-def centres_of(points: np.ndarray) -> np.ndarray:
-    """Centres of the points: each new one is the point farthest from those before, then they move to their means."""
+def centres_of(points: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
+    """Centres of weighted points: each new one is the point that adds most to the squared distances, then they move to their means."""
     if not len(points):
         return np.zeros((0, SIGNS), np.float32)
-    out = points.mean(axis=0, keepdims=True)
+    weights = np.ones(len(points)) if weights is None else weights.astype(float)
+    mean = lambda own: (points[own] * weights[own, None]).sum(axis=0) / weights[own].sum()
+    out = mean(np.ones(len(points), bool))[None]
     while len(out) < TOPICS:
-        far = ((points - out[nearest(points, out)]) ** 2).sum(axis=1)
+        far = weights * ((points - out[nearest(points, out)]) ** 2).sum(axis=1)
         if far.max() <= 0:
             break
         out = np.concatenate([out, points[far.argmax()][None]])
         for _ in range(8):
             own = nearest(points, out)
-            out = np.stack([points[own == k].mean(axis=0) if (own == k).any() else out[k] for k in range(len(out))])
+            out = np.stack([mean(own == k) if (own == k).any() else out[k] for k in range(len(out))])
     return out.astype(np.float32)
 
 
 def topics(docs: DataFrame) -> np.ndarray:
-    """Centres from a sample of the training texts that their hashes choose; docs: id, text."""
-    n, place = docs.count(), F.xxhash64("id", "text")
-    some = docs.where(F.pmod(place, F.lit(1 << 30)) <= int(min(1.0, 4 * SAMPLE / max(n, 1)) * (1 << 30))).select("id", "text", place.alias("at"))
+    """Centres of all training texts that have words; docs: id, text.
+
+    Texts are summed up in cells, by which of a text's signs are positive; sums are whole numbers, so their order changes nothing.
+    """
 
     def run(batches):
+        sums = np.zeros((1 << SIGNS, SIGNS + 1), np.int64)
         for b in slices(batches, "text"):
             w = Words(b.column("text"), lower=True)
-            keep = np.flatnonzero(~held_out(b.column("id").to_pylist()) & (w.counts() >= 32))
-            signs = signatures(w.hashes(), w.off)[keep]
-            yield pa.RecordBatch.from_arrays([b.column("at").take(pa.array(keep)), pa.array([x.tobytes() for x in signs], pa.binary())], ["at", "signs"])
+            keep = np.flatnonzero(~held_out(b.column("id").to_pylist()) & (w.counts() > 0))
+            n = w.counts()[keep]
+            signs = 2 * ones(w.hashes(), w.off)[keep] - n[:, None]
+            np.add.at(sums, (signs > 0) @ (1 << np.arange(SIGNS)), np.concatenate([signs, n[:, None]], axis=1))
+        at = np.flatnonzero(sums[:, SIGNS])
+        yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(sums[at, j]) for j in range(SIGNS + 1))], ["cell", *names])
 
-    rows = some.mapInArrow(run, "at long, signs binary").orderBy("at", "signs").limit(SAMPLE).collect()
-    return centres_of(np.frombuffer(b"".join(r["signs"] for r in rows), np.float32).reshape(-1, SIGNS))
+    names = [f"s{j}" for j in range(SIGNS + 1)]
+    cells = docs.mapInArrow(run, ", ".join(f"{c} long" for c in ("cell", *names))).groupBy("cell").agg(*(F.sum(c).alias(c) for c in names))
+    # at most a row a cell, whatever the corpus
+    found = np.array(sorted(tuple(r) for r in cells.collect()), np.int64).reshape(-1, SIGNS + 2)
+    return centres_of((found[:, 1:-1] / np.maximum(found[:, -1:], 1)).astype(np.float32), found[:, -1])
 
 
 # counts -----------------------------------------------------------------------------------------------------
@@ -268,29 +283,37 @@ class Model:
     def log10_probabilities(self, contexts: np.ndarray, context_slots: np.ndarray, classes: np.ndarray, slots: np.ndarray) -> np.ndarray:
         """Of each token's class (-1: unseen) and of its slot in it."""
         w, b = self.dense[2:]
-        columns, ones, longest = np.ascontiguousarray(w.T), np.ones(len(b), np.float32), np.sqrt((w * w).sum(axis=1).max())
-        low = self.lexicon.lowest()
+        columns, one, longest = np.concatenate([w.T, b[None]]), np.ones(len(b), np.float32), np.sqrt((w * w).sum(axis=1).max())
+        low, n, m = self.lexicon.lowest(), self.lexicon.classes, self.lexicon.slots
         out = np.empty(len(classes))
+        # the parts of a prediction by distance and slot, then of unseen words and of what is before a text
+        e, scale = self.dense[:2]
+        both = np.concatenate([e[self.lexicon.slot_class] + self.sparse[0][:m], e[[n + 1, n]] + self.sparse[0][m]])
+        parts = [both * scale[i] for i in range(ORDER)]
         for wide in range(0, len(classes), WIDE):
             end = min(len(classes), wide + WIDE)
-            q = np.empty((end - wide, DIM), np.float32)
+            q = np.ones((end - wide, DIM + 1), np.float32)  # with one for the bias
             for lo in range(wide, end, CHUNK):
                 s = slice(lo, min(lo + CHUNK, end))
-                own = q[lo - wide : s.stop - wide] = self.predict(contexts[:, s], context_slots[:, s])
+                row = q[lo - wide : s.stop - wide]
+                own = sum(parts[i].take(np.where(contexts[i, s] == n, m + 1, context_slots[i, s]), 0) for i in range(ORDER))
+                row[:, :DIM] = own
                 # no score is above this, so exponentials stay finite
                 most = np.sqrt((own * own).sum(axis=1).max()) * longest + b.max()
-                scores = own @ columns
-                scores += b - np.float32(max(0.0, most - 80))
+                scores = row @ columns
+                if most > 80:
+                    scores -= np.float32(most - 80)
                 np.exp(scores, out=scores)
                 known = classes[s] >= 0
                 part = np.where(known, scores[np.arange(len(scores)), np.maximum(classes[s], 0)], UNSEEN_SHARE * scores[:, low].sum(axis=1) if not known.all() else 1)
-                out[s] = np.log(np.maximum(part, 1e-37)) - np.log(scores @ ones)
+                out[s] = np.log(np.maximum(part, 1e-37)) - np.log(scores @ one)
             out[wide:end] += self._in_class(q, classes[wide:end], slots[wide:end])
         return out / np.log(10)
 
     def _in_class(self, q: np.ndarray, classes: np.ndarray, slots: np.ndarray) -> np.ndarray:
-        """Natural logarithms of the slots' probabilities in their classes, class by class."""
+        """Natural logarithms of the slots' probabilities in their classes, class by class; q: with a column of ones."""
         u, b = self.sparse[1:]
+        longest = np.sqrt(np.einsum("ij,ij->i", q, q).max()) if len(q) else 0
         out, first = np.zeros(len(classes)), self.lexicon.first
         order = np.argsort(classes, kind="stable")
         cut = np.flatnonzero(np.diff(classes[order])) + 1
@@ -299,13 +322,19 @@ class Model:
             if c < 0 or first[c + 1] - first[c] < 2:
                 continue
             lo, hi = first[c], first[c + 1]
-            block = max(1, (CHUNK << 8) // (hi - lo))
+            columns, one = np.concatenate([u[lo:hi].T, b[None, lo:hi]]), np.ones(hi - lo, np.float32)
+            small = longest * np.sqrt((columns * columns).sum(axis=0).max()) < 80  # then no exponential is too large or all too small
+            block = max(1, (CHUNK << 7) // (hi - lo))
             for k in range(0, len(g), block):
                 part = g[k : k + block]
-                s = q[part] @ u[lo:hi].T + b[lo:hi]
-                top = s.max(axis=1)
+                s = q.take(part, 0) @ columns
                 own = s[np.arange(len(part)), slots[part] - lo]
-                out[part] = own - top - np.log(np.exp(s - top[:, None]).sum(axis=1))
+                if not small:
+                    top = s.max(axis=1)
+                    s -= top[:, None]
+                    own = own - top
+                np.exp(s, out=s)
+                out[part] = own - np.log(s @ one)
         return out
 
     def train(self, contexts: np.ndarray, context_slots: np.ndarray, classes: np.ndarray, slots: np.ndarray, seed: int) -> None:
@@ -321,11 +350,12 @@ class Model:
             s = slice(lo, lo + BATCH)
             ctx, ctx_slot, own, slot = contexts[:, s], context_slots[:, s], classes[s], slots[s]
             noise = np.minimum(np.searchsorted(cumulated, rng.random(NOISE)), n - 1)
-            vectors = [e[ctx[i]] + ew[ctx_slot[i]] for i in range(ORDER)]
+            vectors = [e.take(ctx[i], 0) + ew.take(ctx_slot[i], 0) for i in range(ORDER)]  # several times as fast as an index
             q = sum(v * c[i] for i, v in enumerate(vectors))
-            g_true = _residual((q * w[own]).sum(axis=1) + b[own] - chance[own], True)
+            w_own = w.take(own, 0)
+            g_true = _residual(np.einsum("ij,ij->i", q, w_own) + b[own] - chance[own], True)
             g_other = _residual(q @ w[noise].T + (b[noise] - chance[noise]), False)
-            g_q = g_true[:, None] * w[own] + g_other @ w[noise]
+            g_q = g_true[:, None] * w_own + g_other @ w[noise]
             g_w = _sum_rows(own, g_true[:, None] * q, n)
             np.add.at(g_w, noise, g_other.T @ q)
             g_b = np.bincount(own, g_true, n) + np.bincount(noise, g_other.sum(axis=0), n)
@@ -336,33 +366,35 @@ class Model:
                 drawn = np.searchsorted(self.cumulated, a + rng.random((IN_CLASS, len(inner))) * (z - a), "right") - 1
                 drawn = np.clip(drawn, first[own[inner]], first[own[inner] + 1] - 1)
                 rows = np.concatenate([slot[inner][None], drawn])
-                qi, ui = q[inner], u[rows]
-                score = (ui * qi).sum(axis=2) + bu[rows] - share[rows]
+                qi, ui = q.take(inner, 0), u.take(rows, 0)
+                score = np.einsum("kij,ij->ki", ui, qi) + bu[rows] - share[rows]
                 g = np.concatenate([_residual(score[:1], True), _residual(score[1:], False)])
-                g_q[inner] += (ui * g[:, :, None]).sum(axis=0)
-                self._step_rows(1, rows.ravel(), (g[:, :, None] * qi).reshape(-1, DIM))
-                self._step_rows(2, rows.ravel(), g.reshape(-1, 1))
-            scaled = [g_q * c[i] for i in range(ORDER)]
-            g_e = _sum_rows(ctx.ravel(), np.concatenate(scaled), n + 2)
-            g_e[n + 1] = 0
-            g_c = np.stack([(g_q * v).sum(axis=0) for v in vectors])
-            self._step_rows(0, ctx_slot.ravel(), np.concatenate(scaled))
+                g_q[inner] += sum(ui[j] * g[j][:, None] for j in range(len(ui)))
+                both = np.empty((*g.shape, DIM + 1), np.float32)
+                np.multiply(g[:, :, None], qi, out=both[:, :, :DIM])
+                both[:, :, DIM] = g
+                met, sums, count = _by_row(rows.ravel(), both.reshape(-1, DIM + 1))
+                self._step_rows(1, met, sums[:, :DIM], count)
+                self._step_rows(2, met, sums[:, DIM:], count)
+            g_c = np.stack([np.einsum("ij,ij->j", g_q, v) for v in vectors])
+            scaled = np.concatenate([g_q * c[i] for i in range(ORDER)])
+            # a context's class is its slot's; the last slot is of what has none
+            met, sums, count = _by_row(ctx_slot.ravel(), scaled)
+            if met[-1] == len(ew) - 1:
+                met, sums, count = met[:-1], sums[:-1], count[:-1]
+            g_e = _sum_rows(self.lexicon.slot_class[met], sums, n + 2)
+            g_e[n] = scaled[ctx.ravel() == n].sum(axis=0)
+            self._step_rows(0, met, sums, count)
             for x, h, g in zip(self.dense, self.grown, (g_e, g_c, g_w, g_b), strict=True):
                 g = (g / len(own)).astype(np.float32)
                 h += g * g
                 x += np.float32(RATE) * g / np.sqrt(h)
 
-    def _step_rows(self, k: int, rows: np.ndarray, values: np.ndarray) -> None:
-        """A step of the vectors that a batch has met; the zero vector of unseen words and of classes stays."""
+    def _step_rows(self, k: int, met: np.ndarray, g: np.ndarray, count: np.ndarray) -> None:
+        """A step of the vectors that a batch has met, by the sums of their gradients."""
         x = self.sparse[k]
-        order = np.argsort(rows)
-        begin = np.flatnonzero(np.concatenate([[True], np.diff(rows[order]) > 0]))
-        met, g = rows[order[begin]], np.add.reduceat(values[order], begin)
-        count = np.diff(np.append(begin, len(rows)))
-        if k == 0 and met[-1] == len(x) - 1:
-            met, g, count = met[:-1], g[:-1], count[:-1]
         self.met[k][met] += count
-        grown = self.grown_rows[k][met] + (g * g).mean(axis=1)
+        grown = self.grown_rows[k][met] + np.einsum("ij,ij->i", g, g) / g.shape[1]
         self.grown_rows[k][met] = grown
         step = (np.float32(RATE) / np.sqrt(grown))[:, None] * g
         x[met] += step if x.ndim > 1 else step[:, 0]
@@ -419,6 +451,15 @@ def _residual(score: np.ndarray, true: bool) -> np.ndarray:
     return (1 / (1 + np.exp(np.clip(score, -30, 30)))) if true else (-1 / (1 + np.exp(np.clip(-score, -30, 30))))
 
 
+def _by_row(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct rows in ascending order, the sums of their values, and how many each has."""
+    bits = max(1, len(rows) - 1).bit_length()
+    keys = np.sort(rows.astype(np.int64) << bits | np.arange(len(rows)))
+    order, sorted_ = keys & ((1 << bits) - 1), keys >> bits
+    begin = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
+    return sorted_[begin], np.add.reduceat(values.take(order, 0), begin), np.diff(np.append(begin, len(rows)))
+
+
 def _sum_rows(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     d = values.shape[1]
     flat = (index[:, None] * d + np.arange(d)).ravel()
