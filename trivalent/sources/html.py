@@ -10,20 +10,26 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
+from html import parser, unescape
 from html.parser import HTMLParser
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, numbers, urls
 from ..functions.text import clean_text, plain_text, readable_text, unique_ci
+from .scratch import written
 
 _EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Lazy-loading attributes of an image, best first, and those that its second picture is taken from first.
 IMAGE_ATTRIBUTES = ("data-webp", "data-src", "data-original", "data-lazy-src", "data-source", "data-thumb", "data-srcset", "srcset")
 SECOND_ATTRIBUTES = ("data-original", "src")
 MOST_FORMATS = 20
+#: Characters and rows of pages whose rows are made at once.
+PIECE_BYTES, PIECE_ROWS = 2 << 20, 256
 
 
 @dataclass(frozen=True)
@@ -51,26 +57,23 @@ class Layout:
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "parent")
+    __slots__ = ("tag", "attrs", "children", "parent", "classes", "label", "order", "at", "size")
 
-    def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None):
-        self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
+    def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None, classes: tuple[str, ...] = ()):
+        self.tag, self.attrs, self.parent, self.children, self.classes, self.label = tag, attrs, parent, [], classes, None
 
-    def walk(self) -> Iterator[Node]:
-        stack = [self]
-        while stack:
-            n = stack.pop()
-            yield n
-            stack.extend(c for c in reversed(n.children) if isinstance(c, Node))
+    def walk(self) -> list[Node]:
+        """The node and all in it, in the order of the page."""
+        return self.order[self.at : self.at + self.size]
 
     def all(self, test) -> list[Node]:
-        return [n for n in self.walk() if n is not self and test(n)]
+        return [n for n in self.walk()[1:] if test(n)]
 
     def first(self, test) -> Node | None:
-        return next((n for n in self.walk() if n is not self and test(n)), None)
+        return next((n for n in self.walk()[1:] if test(n)), None)
 
     def has(self, name: str) -> bool:
-        return name in self.attrs.get("class", "").split()
+        return name in self.classes
 
     @property
     def text(self) -> str:
@@ -84,14 +87,26 @@ class Node:
         return " ".join("".join(out).split())
 
 
+def _ordered(order: list[Node]) -> Node:
+    """The first of a page's nodes in order, each with its place in it and with how many are in it."""
+    for k, n in enumerate(order):
+        n.order, n.at, n.size = order, k, 1
+    for n in order[:0:-1]:
+        n.parent.size += n.size
+    return order[0]
+
+
 class _Reader(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("#", {}, None)
+        self.at = Node("#", {}, None)
+        self.order = [self.at]
 
     def handle_starttag(self, tag, attrs):
-        n = Node(tag, {k: v or "" for k, v in attrs}, self.at)
+        own = {k: v or "" for k, v in attrs}
+        n = Node(tag, own, self.at, tuple(own.get("class", "").split()))
         self.at.children.append(n)
+        self.order.append(n)
         if tag not in _EMPTY:
             self.at = n
 
@@ -106,11 +121,104 @@ class _Reader(HTMLParser):
         self.at.children.append(data)
 
 
+_ATTRIBUTE = r'[ \t\n\r\f]+([a-zA-Z][a-zA-Z0-9_-]*)(?:="([^"]*)")?'
+_START = re.compile(rf'([a-zA-Z][a-zA-Z0-9]*)((?:{_ATTRIBUTE.replace("(", "(?:").replace("(?:?:", "(?:")})*)[ \t\n\r\f]*(/?)')
+_END = re.compile(r"/([a-zA-Z][a-zA-Z0-9]*)[ \t\n\r\f]*")
+_EACH = re.compile(_ATTRIBUTE)
+#: Elements whose content is text: as it is, or with references.
+_RAW, _ESCAPABLE = ("script", "style"), ("title", "textarea")
+_OTHER = frozenset("iframe noembed noframes xmp plaintext noscript".split())
+_attribute_value = getattr(parser, "_unescape_attrvalue", unescape)
+
+
+@lru_cache(maxsize=4096)
+def _start(part: str) -> tuple[str, dict[str, str], tuple[str, ...], bool] | None:
+    """tag, attributes, classes, whether it closes itself, of what lies between < and >; none where that isn't plain."""
+    m = _START.fullmatch(part)
+    if m is None or (tag := m[1].lower()) in _OTHER:
+        return None
+    attrs = {k.lower(): _attribute_value(v) if "&" in v else v for k, v in _EACH.findall(m[2])} if m[2] else {}
+    return tag, attrs, tuple(attrs["class"].split()) if "class" in attrs else (), m[3] == "/"
+
+
+def _plain(html: str) -> Node | None:
+    """The tree of a page of plain tags, quoted attributes and text, as the parser would make it; none for any other page."""
+    root = at = Node("#", {}, None)
+    order = [root]
+    text, *parts = html.split("<")
+    if text:
+        root.children.append(unescape(text) if "&" in text else text)
+    inside = None  # of an element whose content is text
+    for piece in parts:
+        part, closed, text = piece.partition(">")
+        if not closed:
+            return None
+        if part[:1] == "/":
+            m = _END.fullmatch(part)
+            if m is None:
+                return None
+            tag = m[1].lower()
+            if inside is not None and tag != inside:
+                return None
+            inside, n = None, at
+            while n.parent is not None and n.tag != tag:
+                n = n.parent
+            if n.parent is not None:
+                at = n.parent
+        else:
+            got = _start(part)
+            if got is None or inside is not None:
+                return None
+            tag, attrs, classes, empty = got
+            n = Node(tag, attrs, at, classes)
+            at.children.append(n)
+            order.append(n)
+            if tag in _RAW or tag in _ESCAPABLE:
+                if empty:
+                    return None
+                inside = tag
+            if tag in _EMPTY:
+                if empty and any(x.tag == tag for x in _above(at)):
+                    return None
+            elif not empty:
+                at = n
+        if text:
+            at.children.append(unescape(text) if "&" in text and inside not in _RAW else text)
+    return _ordered(order) if inside is None else None
+
+
+def _above(n: Node | None) -> Iterator[Node]:
+    while n is not None:
+        yield n
+        n = n.parent
+
+
 def read(html: str | None) -> Node:
+    """The tree of a page.  Plain pages, which most are, are cut at their tags; the others go through the parser."""
+    root = _plain(html or "")
+    return _parsed(html) if root is None else root
+
+
+def _parsed(html: str | None) -> Node:
     r = _Reader()
     r.feed(html or "")
     r.close()
-    return r.root
+    return _ordered(r.order)
+
+
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "html") -> Iterator[pa.RecordBatch]:
+    """Batches with a column of pages in parts of bounded size, so that a worker holds the trees and rows of few pages."""
+    for b in batches:
+        if b.num_rows:
+            each = max(1, (pc.sum(pc.binary_length(b.column(column))).as_py() or 0) // b.num_rows)
+            step = max(1, min(PIECE_ROWS, PIECE_BYTES // each))
+            for k in range(0, b.num_rows, step):
+                yield b.slice(k, step)
+
+
+def _record(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    cols = zip(*rows, strict=True) if rows else [[]] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
 
 def by_class(name: str):
@@ -144,33 +252,37 @@ def _page_numbers(root: Node, layout: Layout) -> list[int]:
 
 
 _CARDS = "page_number int, position int, reason string, raw_id string, href string, title string, duration string, added string, rating string, views string, hd boolean, preview string, images array<string>"
+_CARD_TYPES = pa.schema([(x.split()[0], {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}[x.split()[1]]) for x in _CARDS.split(", ")])
 
 
 def raw_cards(pages: DataFrame, layout: Layout) -> DataFrame:
     """The texts of every card; a page without a grid, or that asks to sign in, is one row with a reason."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    is_link = _is_link(layout)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
             rows = []
-            for number, html in zip(pdf["page_number"], pdf["html"], strict=True):
+            for number, html in zip(b.column("page_number").to_pylist(), b.column("html").to_pylist(), strict=True):
                 root = read(html)
                 grid = root.first(by_class(layout.grid))
                 if grid is None:
                     rows.append((number, -1, "sign-in" if challenged(root, layout) else "no-grid", *[None] * 7, False, None, []))
                     continue
                 for k, c in enumerate(cards(grid, layout)):
-                    link = c.first(_is_link(layout))
-                    image = c.first(lambda n: n.tag == "img")
-                    get = lambda name, c=c: _text(c.first(by_class(name)))
+                    inner = c.walk()[1:]
+                    one = lambda test, inner=inner: next((n for n in inner if test(n)), None)
+                    named = lambda name, inner=inner: next((n for n in inner if name in n.classes), None)
+                    link, image, title = one(is_link), one(lambda n: n.tag == "img"), named(layout.title)
                     own = next((n.attrs[a] for n in (c, link) for a in ("data-video-id", "data-id") if n.attrs.get(a)), None)
-                    title = c.first(by_class(layout.title))
-                    named = (title.attrs.get("title") if title is not None else None) or _text(title) or link.attrs.get("title") or _text(link)
-                    preview = c.first(lambda n: bool(n.attrs.get("data-preview")))
+                    shown = (title.attrs.get("title") if title is not None else None) or _text(title) or link.attrs.get("title") or _text(link)
+                    preview = one(lambda n: bool(n.attrs.get("data-preview")))
                     sources = [image.attrs.get(a) for a in (*IMAGE_ATTRIBUTES, "src")] if image is not None else []
-                    rows.append((number, k, None, own, link.attrs.get("href"), named, get(layout.duration), get(layout.added), get(layout.rating), get(layout.views), c.first(by_class(layout.hd)) is not None, preview.attrs["data-preview"] if preview is not None else None, sources))
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in _CARDS.split(", ")])
+                    texts = (_text(named(name)) for name in (layout.duration, layout.added, layout.rating, layout.views))
+                    rows.append((number, k, None, own, link.attrs.get("href"), shown, *texts, named(layout.hd) is not None, preview.attrs["data-preview"] if preview is not None else None, sources))
+            yield _record(rows, _CARD_TYPES)
 
-    return pages.select(F.col("page_number").cast("int"), "html").mapInPandas(run, _CARDS)
+    return pages.select(F.col("page_number").cast("int"), "html").mapInArrow(run, _CARDS)
 
 
 def listing(pages: DataFrame, layout: Layout, observed_at: int) -> DataFrame:
@@ -208,13 +320,16 @@ def page_report(rows: DataFrame) -> DataFrame:
     return g.select("native_page", "cards", "failed", "repeated", F.when(F.col("unread") > 0, "missing-grid").when(F.col("failed") > 0, "partial-identity").otherwise("ok").alias("class"))
 
 
+_FEED_TYPES = pa.schema([("page_number", pa.int32()), ("grid", pa.bool_()), ("cards", pa.int32()), ("headings", pa.string()), ("declared", pa.int64()), ("last", pa.int64())])
+
+
 def feed(pages: DataFrame, layout: Layout, title: str = r"items?") -> DataFrame:
     """page_number, grid, cards, total, capacity, page_count: what a listing page says of the whole feed."""
 
     def run(batches):
-        for pdf in batches:
+        for b in pieces(batches):
             rows = []
-            for number, html in zip(pdf["page_number"], pdf["html"], strict=True):
+            for number, html in zip(b.column("page_number").to_pylist(), b.column("html").to_pylist(), strict=True):
                 root = read(html)
                 grid = root.first(by_class(layout.grid))
                 n = len(cards(grid, layout)) if grid is not None else 0
@@ -222,9 +337,9 @@ def feed(pages: DataFrame, layout: Layout, title: str = r"items?") -> DataFrame:
                 headings = " | ".join(h.text for h in root.all(lambda x: re.fullmatch("h[1-6]", x.tag) is not None))
                 seen = _page_numbers(root, layout)
                 rows.append((number, grid is not None, n, headings, declared, max(seen, default=None)))
-            yield pd.DataFrame(rows, columns=["page_number", "grid", "cards", "headings", "declared", "last"]).astype({"declared": "Int64", "last": "Int64"})
+            yield _record(rows, _FEED_TYPES)
 
-    raw = pages.select(F.col("page_number").cast("int"), "html").mapInPandas(run, "page_number int, grid boolean, cards int, headings string, declared long, last long")
+    raw = pages.select(F.col("page_number").cast("int"), "html").mapInArrow(run, "page_number int, grid boolean, cards int, headings string, declared long, last long")
     total = numbers.native_total(F.col("headings"), title)
     capacity = F.coalesce("declared", F.when((F.col("page_number") < F.col("last")) & (F.col("cards") > 0), F.col("cards").cast("long")))
     out = raw.select("page_number", "grid", "cards", total.alias("total"), capacity.alias("capacity"), "last")
@@ -238,15 +353,17 @@ def terminal_empty(feed_row: DataFrame, known_pages: int) -> DataFrame:
 
 
 def _label(n: Node) -> str:
-    own = next((c for c in n.children if isinstance(c, Node) and (c.has("label") or c.tag in ("strong", "dt"))), None)
-    return own.text.rstrip(":").strip().lower() if own is not None else ""
+    if n.label is None:
+        own = next((c for c in n.children if isinstance(c, Node) and (c.has("label") or c.tag in ("strong", "dt"))), None)
+        n.label = own.text.rstrip(":").strip().lower() if own is not None else ""
+    return n.label
 
 
 def _entities(root: Node, layout: Layout, item: str, name: str) -> tuple[bool, list[tuple[str, str]]]:
     """(whether the structure can be trusted, (url, text) of its links): only containers of this item with the right label count."""
     segment = layout.segments[name]
     ours = lambda n: n.attrs.get("data-video-id", item) == item
-    boxes = [n for n in root.walk() if n.attrs.get("data-video-id") == item and _label(n) in layout.labels[name]]
+    boxes = [n for n in root.walk() if "data-video-id" in n.attrs and n.attrs["data-video-id"] == item and _label(n) in layout.labels[name]]
     links, bad = [], 0
     for box in boxes:
         for chip in box.all(lambda n: "data-item-type" in n.attrs and n.attrs.get("data-status") != "pending"):
@@ -267,7 +384,7 @@ def region(root: Node, layout: Layout, item: str) -> Node:
     """The smallest part of a page that has all entity boxes of the item and a column of uploaders or downloads; else the
     smallest that has the boxes; the whole page without boxes."""
     words = {w for labels in layout.labels.values() for w in labels}
-    boxes = [n for n in root.walk() if n.attrs.get("data-video-id") == item and _label(n) in words]
+    boxes = [n for n in root.walk() if "data-video-id" in n.attrs and n.attrs["data-video-id"] == item and _label(n) in words]
     found = None
     at = boxes[0].parent if boxes else None
     while at is not None and at.tag not in ("body", "html", "#"):
@@ -309,6 +426,11 @@ def _favorite(root: Node) -> bool | None:
 
 
 _DETAIL = "video_id string, reason string, json_ld array<string>, description string, uploaders array<string>, formats array<string>, labels map<string,array<string>>, favorite boolean, comments string, trust array<boolean>, links array<array<struct<url:string,name:string>>>"
+_TEXTS = pa.list_(pa.string())
+_DETAIL_TYPES = pa.schema([
+    ("video_id", pa.string()), ("reason", pa.string()), ("json_ld", _TEXTS), ("description", pa.string()), ("uploaders", _TEXTS), ("formats", _TEXTS), ("labels", pa.map_(pa.string(), _TEXTS)),
+    ("favorite", pa.bool_()), ("comments", pa.string()), ("trust", pa.list_(pa.bool_())), ("links", pa.list_(pa.list_(pa.struct([("url", pa.string()), ("name", pa.string())])))),
+])
 
 
 def raw_details(pages: DataFrame, layout: Layout) -> DataFrame:
@@ -316,12 +438,12 @@ def raw_details(pages: DataFrame, layout: Layout) -> DataFrame:
     names = ("artist", "tags", "categories")
 
     def run(batches):
-        for pdf in batches:
+        for b in pieces(batches):
             rows = []
-            for item, html in zip(pdf["video_id"], pdf["html"], strict=True):
+            for item, html in zip(b.column("video_id").to_pylist(), b.column("html").to_pylist(), strict=True):
                 root = read(html)
                 if challenged(root, layout):
-                    rows.append((item, "sign-in", [], None, [], [], {}, None, None, [], []))
+                    rows.append((item, "sign-in", [], None, [], [], [], None, None, [], []))
                     continue
                 scripts = ["".join(c for c in n.children if isinstance(c, str)) for n in root.all(lambda n: n.tag == "script" and n.attrs.get("type") == "application/ld+json")]
                 found = [_entities(root, layout, item, n) for n in names]
@@ -334,18 +456,18 @@ def raw_details(pages: DataFrame, layout: Layout) -> DataFrame:
                 formats = [a.text for a in part.all(by_class("tag_item_download"))]
                 body = root.first(by_class("description"))
                 tab = root.first(lambda n: n.tag == "a" and n.attrs.get("href", "").endswith("#tab_comments"))
-                rows.append((item, None, scripts, _text(body), uploaders, formats, labels, _favorite(root), _text(tab), [t for t, _ in found], [[{"url": u, "name": n} for u, n in links] for _, links in found]))
-            yield pd.DataFrame(rows, columns=["video_id", "reason", "json_ld", "description", "uploaders", "formats", "labels", "favorite", "comments", "trust", "links"])
+                rows.append((item, None, scripts, _text(body), uploaders, formats, list(labels.items()), _favorite(root), _text(tab), [t for t, _ in found], [[{"url": u, "name": n} for u, n in links] for _, links in found]))
+            yield _record(rows, _DETAIL_TYPES)
 
-    return pages.select("video_id", "html").mapInPandas(run, _DETAIL)
+    return pages.select("video_id", "html").mapInArrow(run, _DETAIL)
 
 
 def json_ld(rows: DataFrame) -> DataFrame:
     """video_id, object: all objects of a page's JSON-LD scripts and of their @graph; what is no JSON is passed over."""
     one = rows.select("video_id", F.explode("json_ld").alias("text")).select("video_id", F.try_parse_json("text").alias("v")).where("v is not null")
-    top = one.select("video_id", F.explode(F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.array("v"))).alias("object"))
-    inner = top.select("video_id", F.explode(F.try_variant_get("object", "$['@graph']", "array<variant>")).alias("object"))
-    return top.unionByName(inner)
+    top = one.select("video_id", F.explode(F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.array("v"))).alias("o"))
+    inner = F.coalesce(F.try_variant_get("o", "$['@graph']", "array<variant>"), F.array().cast("array<variant>"))
+    return top.select("video_id", F.explode(F.concat(F.array("o"), inner)).alias("object"))
 
 
 def json_text(v: Column) -> Column:
@@ -375,8 +497,11 @@ def comments_of_tab(c: Column) -> Column:
 
 
 def details(pages: DataFrame, layout: Layout, now: int) -> DataFrame:
-    """Detail rows; ``reason`` says why a page gives none: no entity structure that can be trusted is a failure."""
-    raw = raw_details(pages, layout)
+    """Detail rows; ``reason`` says why a page gives none: no entity structure that can be trusted is a failure.
+
+    What the pages say is written first: it is read for the rows and for their JSON-LD, and pages are parsed once.
+    """
+    raw = written(raw_details(pages, layout), "details")
     got = lambda path: F.try_variant_get("object", path, "string")
     item = json_ld(raw).where(got("$['@type']") == "VideoObject").groupBy("video_id").agg(
         F.min(dates.normalize_exact_date(got("$.uploadDate"))).alias("exact_upload_date"), F.max(got("$.description")).alias("ld_description"),
@@ -404,22 +529,25 @@ def favorite_changes(details_: DataFrame, seq: int) -> DataFrame:
     return details_.where("favorite is not null").select("video_id", F.when(F.col("favorite"), "add").otherwise("remove").alias("action"), F.lit(seq).cast("long").alias("seq"))
 
 
+_MEMBER_TYPES = pa.schema([("page_number", pa.int32()), ("total", pa.int64()), ("href", pa.string()), ("text", pa.string())])
+
+
 def membership(pages: DataFrame, layout: Layout) -> DataFrame:
     """page_number, total, key, name, url: a member a row; a page without the block is one row with a null key."""
 
     def run(batches):
-        for pdf in batches:
+        for b in pieces(batches):
             rows = []
-            for number, html in zip(pdf["page_number"], pdf["html"], strict=True):
+            for number, html in zip(b.column("page_number").to_pylist(), b.column("html").to_pylist(), strict=True):
                 root = read(html)
                 block = root.first(by_class(layout.member_items))
                 total = re.sub(r"\D", "", _text(root.first(by_class(layout.total))) or "")
                 links = block.all(lambda n: n.tag == "a" and f"/{layout.segments['artist']}/" in n.attrs.get("href", "")) if block is not None else []
                 found = [(number, int(total) if total else None, a.attrs["href"], _text(a.first(by_class("name"))) or a.text) for a in links]
                 rows += found or [(number, int(total) if total else None, None, None)]
-            yield pd.DataFrame(rows, columns=["page_number", "total", "href", "text"]).astype({"total": "Int64"})
+            yield _record(rows, _MEMBER_TYPES)
 
-    raw = pages.select(F.col("page_number").cast("int"), "html").mapInPandas(run, "page_number int, total long, href string, text string")
+    raw = pages.select(F.col("page_number").cast("int"), "html").mapInArrow(run, "page_number int, total long, href string, text string")
     ref = urls.entity_ref(F.col("href"), F.col("text"), layout.origin, layout.hosts, layout.segments["artist"])
     return raw.withColumn("ref", ref).select("page_number", "total", "ref.key", "ref.name", "ref.url")
 
@@ -442,13 +570,20 @@ def signature(members: DataFrame) -> DataFrame:
     return members.agg(F.count_distinct("key").alias("n"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("digest"))
 
 
+_LINK_TYPES = pa.schema([("page_title", pa.string()), ("n_links", pa.int32()), ("paragraphs", pa.int32())])
+
+
 def links(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """Rows of any HTML table with ``page_title``, ``n_links`` and ``paragraphs``: the base of a listing of plain pages."""
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema)
 
     def run(batches):
-        for pdf in batches:
-            roots = [read(h) for h in pdf[html_col]]
-            yield pdf.assign(page_title=[_text(r.first(lambda n: n.tag == "title")) for r in roots], n_links=[len(r.all(lambda n: n.tag == "a" and "href" in n.attrs)) for r in roots], paragraphs=[len(r.all(lambda n: n.tag == "p")) for r in roots])
+        for b in pieces(batches, html_col):
+            rows = []
+            for h in b.column(html_col).to_pylist():
+                nodes = read(h).walk()
+                rows.append((_text(next((n for n in nodes if n.tag == "title"), None)), sum(n.tag == "a" and "href" in n.attrs for n in nodes), sum(n.tag == "p" for n in nodes)))
+            told = _record(rows, _LINK_TYPES)
+            yield pa.RecordBatch.from_arrays([*b.columns, *told.columns], [*b.schema.names, *told.schema.names])
 
-    return pages.mapInPandas(run, f"{kind}, page_title string, n_links int, paragraphs int")
+    return pages.mapInArrow(run, f"{kind}, page_title string, n_links int, paragraphs int")
