@@ -212,9 +212,11 @@ def _depth(bare: Column) -> Column:
 def line_problems(c: Column) -> Column:
     """array<string> of what is wrong with a line of JSON: no JSON, too deep, a barred key, a number that is none, a text too long."""
     bare = F.regexp_replace(c, r'"(?:\\.|[^"\\])*+"', '""')
+    # nesting is at most as deep as brackets are many, and a text at most as long as its line; few lines need a closer look
+    many, long = F.length(F.regexp_replace(bare, r"[^\[{]", "")) > MOST_DEPTH, F.length(c) > MOST_TEXT
     tests = {
-        "no-json": F.try_parse_json(c).isNull(), "depth": _depth(bare) > MOST_DEPTH, "key": c.rlike(rf'"(?:{"|".join(BARRED_KEYS)})"\s*:'), "number": bare.rlike(r"\b(?:NaN|Infinity)\b"),
-        "text": F.exists(F.regexp_extract_all(c, F.lit(r'"((?:\\.|[^"\\])*+)"'), F.lit(1)), lambda t: F.length(t) > MOST_TEXT),
+        "no-json": F.try_parse_json(c).isNull(), "depth": many & (_depth(bare) > MOST_DEPTH), "key": c.rlike(rf'"(?:{"|".join(BARRED_KEYS)})"\s*:'), "number": bare.rlike(r"\b(?:NaN|Infinity)\b"),
+        "text": long & F.exists(F.regexp_extract_all(c, F.lit(r'"((?:\\.|[^"\\])*+)"'), F.lit(1)), lambda t: F.length(t) > MOST_TEXT),
     }
     return F.filter(F.array(*(F.when(tests[name], F.lit(name)) for name in PROBLEMS)), lambda x: x.isNotNull())
 
