@@ -30,8 +30,8 @@ def test_counts_beyond_a_megabyte(spark, moved):
 
 
 def test_details_of_unknown_ids(spark, moved):
-    """The key 99000 is a row's own; details of ids that no row has must not meet it."""
-    sf = moved(99_000)
+    """The key 919000 is a row's own, without complete details; complete details of an id that no row has must not meet it."""
+    sf = moved(919_000)
     agree(QUERIES["import_replace"](spark, sf), SQL["import_replace"], sf)
 
 
