@@ -150,3 +150,41 @@ def test_cleaning_keeps_pinned_baselines(spark, store, tmp_path):
     store.unpin("baseline")
     assert store.pins() == {} and store.clean(keep=1, grace_ms=0)[0] == [1, 6, 7]
     assert store.read("videos").count() == 1500
+
+
+def test_buckets_of_large_tables_grow(monkeypatch):
+    """More rows are larger buckets and more of them, not ever more directories of few rows."""
+    assert [tables.buckets_for(n) for n in (0, 2000, 2001, 100_000, 128_000)] == [1, 1, 2, 64, 64]
+    assert tables.buckets_for(1_200_000) == 256 and tables.buckets_for(7_200_000) == 512
+    assert all(tables.buckets_for(4 * n) <= 2 * tables.buckets_for(n) for n in (10**6, 10**7, 10**8))
+
+
+def test_an_outgrown_table_is_dealt_to_new_buckets_at_once(spark, store, tmp_path):
+    """The rows of a change that outgrows a table are never dealt to its old buckets, of which an empty table has one."""
+    data = tmp_path / "s" / "data"
+    store.commit({"videos": listed(spark, 10)})
+    before = {p.name for p in data.iterdir()}
+    made = []
+    change = lambda old: (made.append(old.count()), old.where("false").unionByName(listed(spark, 300)))[1]
+    v = store.commit(changes={"videos": (listed(spark, 300).select("video_id"), change)})
+    (new,) = {p.name for p in data.iterdir()} - before
+    assert {p.name: len([*p.glob("_bucket=*")]) for p in (data / new).iterdir()} == {"videos-rows": 0, "videos-grown": 16}
+    t = store.state()["tables"]["videos"]
+    assert made == [10] and t["count"] == 16 and t["rows"] == store.read("videos").count() == 300 and store.state(v)["touched"]["videos"] is None
+    assert store.lookup("videos", "299").count() == 1
+
+
+def test_an_outgrown_table_keeps_the_buckets_that_were_not_touched(spark, store):
+    store.commit({"videos": listed(spark, 40)})
+    t = store.state()["tables"]["videos"]
+    assert t["count"] == 2
+    more = spark.range(1000, 1400).select(F.col("id").cast("string").alias("video_id")).where(tables.bucket("video_id", 2) == 1)
+    n = more.count()
+    store.commit(changes={"videos": (more, lambda old: old.unionByName(videos(spark, more)))})
+    t = store.state()["tables"]["videos"]
+    assert n > 160 and t["rows"] == store.read("videos").count() == 40 + n and t["count"] == tables.buckets_for(40 + n)
+    assert store.read("videos").where("title is not null").count() == 40
+    other = spark.range(2000, 6000).select(F.col("id").cast("string").alias("video_id"))
+    with pytest.raises(ValueError, match="didn't name"):
+        key = other.where(tables.bucket("video_id", t["count"]) == 1)
+        store.commit(changes={"videos": (key.unionByName(key).unionByName(key).unionByName(key).unionByName(key), lambda old: videos(spark, other))})

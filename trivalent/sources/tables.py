@@ -5,8 +5,10 @@ under another name first and then given its own in one step that never replaces
 of a version one is told.  Paths are Hadoop paths, so the store can be anything that Spark writes to.
 
 Tables with a key (``KEYS``) lie in hash buckets of it, a directory each.  A *change* reads and rewrites the buckets of the keys that it
-is given; an *append* adds a directory to a table.  So a commit costs what it touches.  A table has a bucket for every ``BUCKET_ROWS``
-rows, a power of two up to ``MOST_BUCKETS``, and is laid out anew when it has outgrown them four times.
+is given; an *append* adds a directory to a table.  So a commit costs what it touches.  A table has a power of two of buckets, up to
+``MOST_BUCKETS``, of ``BUCKET_ROWS`` rows each; beyond ``EVEN`` buckets their rows grow as their number does, so that neither a table
+is ever more directories of few rows nor a change of few keys rewrites most of it.  It is laid out anew when it has outgrown them
+four times; a change that may do that is written as its rows come and then dealt to the new buckets, not to the old few ones first.
 
 A commit names the version that it was made from.  If others came between, it is refused, unless it may be rebased and none of them
 touched a bucket of what it wrote: then it lands on the newest.
@@ -18,7 +20,7 @@ import json
 import os
 import time
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Collection, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,7 +29,7 @@ from pyspark.sql.types import StructType
 
 #: Columns by which tables of these names are laid out.
 KEYS = {"videos": "video_id", "details": "video_id", "pages": "page_number"}
-BUCKET_ROWS, GROWTH, MOST_BUCKETS = 2000, 4, 1 << 14
+BUCKET_ROWS, EVEN, GROWTH, MOST_BUCKETS = 2000, 64, 4, 1 << 14
 _BUCKET = "_bucket"
 
 #: A change of a table: its keys (a column of the key's name), and the next rows of the touched buckets made from the old ones.
@@ -42,9 +44,14 @@ def bucket(key: str, count: int) -> Column:
     return F.pmod(F.xxhash64(F.col(key)), F.lit(count)).cast("int")
 
 
+def capacity(count: int) -> int:
+    """Rows that so many buckets are made for."""
+    return BUCKET_ROWS * count * max(1, count // EVEN)
+
+
 def buckets_for(rows: int) -> int:
     count = 1
-    while count * BUCKET_ROWS < rows and count < MOST_BUCKETS:
+    while capacity(count) < rows and count < MOST_BUCKETS:
         count *= 2
     return count
 
@@ -115,7 +122,7 @@ class Store:
         v = self.version() if version is None else version
         return self._read(f"versions/{v}") if v else {"tables": {}, "meta": {}, "touched": {}}
 
-    def _frame(self, table: dict, only: list[str] | None = None) -> DataFrame:
+    def _frame(self, table: dict, only: Collection[str] | None = None) -> DataFrame:
         schema = StructType.fromJson(table["schema"])
         paths = [p for b, p in table["at"].items() if only is None or b in only]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
@@ -133,12 +140,17 @@ class Store:
         key = self.spark.range(1).select(F.lit(value).cast(kind).alias(table["key"]))
         return self._frame(table, self._touched(table, key)).where(F.col(table["key"]) == F.lit(value).cast(kind))
 
-    @staticmethod
-    def _touched(table: dict, keys: DataFrame) -> list[str]:
+    @classmethod
+    def _touched(cls, table: dict, keys: DataFrame) -> list[str]:
         """The buckets of keys; at most as many as there are."""
+        return list(cls._sizes(table, keys))
+
+    @staticmethod
+    def _sizes(table: dict, keys: DataFrame) -> dict[str, int]:
+        """How many of some rows each bucket gets."""
         kind = StructType.fromJson(table["schema"])[table["key"]].dataType
         own = keys.select(F.col(table["key"]).cast(kind).alias(table["key"])).select(bucket(table["key"], table["count"]).alias("b"))
-        return [str(r[0]) for r in own.distinct().collect()]
+        return {str(r["b"]): r["n"] for r in own.groupBy("b").agg(F.count("*").alias("n")).collect()}
 
     # writing
 
@@ -166,20 +178,35 @@ class Store:
             out |= {"count": count, "at": self._leaves(f"{path}-buckets")}
         return out
 
-    def _changed(self, table: dict, change: Change, path: str) -> tuple[dict, list[str]]:
-        """The entry of a table with some buckets rewritten, and these buckets."""
+    def _changed(self, table: dict, change: Change, path: str) -> tuple[dict, list[str] | None]:
+        """The entry of a table with some buckets rewritten, and these buckets; none where all were, for it has outgrown them."""
         keys, make = change
-        touched = self._touched(table, keys)
+        key, most = table["key"], GROWTH * capacity(table["count"])
+        touched = self._sizes(table, keys)
         old = self._frame(table, touched)
         schema = StructType.fromJson(table["schema"])
         rows = make(old).select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema))
-        self._laid_out(rows, table["key"], table["count"], path)
+        stays = table.get("rows", 0) - old.count()
+        if table.get("rows", 0) + sum(touched.values()) > most and table["count"] < MOST_BUCKETS:
+            rows.write.parquet(f"{path}-rows")
+            rows = self.spark.read.schema(schema).parquet(f"{path}-rows")
+            made = self._sizes(table, rows)
+            self._named(made, touched)
+            if (n := stays + sum(made.values())) > most:
+                rest = self._frame(table, table["at"].keys() - touched.keys())
+                self._laid_out(rest.unionByName(rows), key, buckets_for(n), f"{path}-grown")
+                return {**table, "count": buckets_for(n), "at": self._leaves(f"{path}-grown"), "rows": n}, None
+        self._laid_out(rows, key, table["count"], path)
         leaves = self._leaves(path)
-        if set(leaves) - set(touched):
-            raise ValueError("a change made rows of keys that it didn't name")
+        self._named(leaves, touched)
         new = self.spark.read.schema(schema).parquet(*leaves.values()).count() if leaves else 0
         at = {b: p for b, p in table["at"].items() if b not in touched} | leaves
-        return {**table, "at": at, "rows": table.get("rows", 0) - old.count() + new}, touched
+        return {**table, "at": at, "rows": stays + new}, list(touched)
+
+    @staticmethod
+    def _named(made: Collection[str], touched: Collection[str]) -> None:
+        if set(made) - set(touched):
+            raise ValueError("a change made rows of keys that it didn't name")
 
     def commit(self, tables: dict[str, DataFrame] | None = None, meta: dict | None = None, expected: int | None = None, changes: dict[str, Change] | None = None, appends: dict[str, DataFrame] | None = None, rebase: bool = False) -> int:
         """The new version.  tables are replaced, those of ``changes`` in the buckets of their keys only; what is not named stays.
@@ -200,7 +227,7 @@ class Store:
             if old[name]["key"] is None:
                 raise ValueError(f"{name} has no key")
             entries[name], touched[name] = self._changed(old[name], change, f"{data}/{name}")
-            if entries[name]["rows"] > GROWTH * BUCKET_ROWS * old[name]["count"] and old[name]["count"] < MOST_BUCKETS:
+            if touched[name] is not None and entries[name]["rows"] > GROWTH * capacity(old[name]["count"]) and old[name]["count"] < MOST_BUCKETS:
                 entries[name], touched[name] = self._whole(name, self._frame(entries[name]), f"{data}/{name}-grown"), None
         for name, df in (appends or {}).items():
             df.write.parquet(f"{data}/{name}")

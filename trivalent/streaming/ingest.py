@@ -19,7 +19,7 @@ from ..sources.tables import Store
 def commit_pages(store: Store, rows: DataFrame, session_id: str, now: int, meta: dict | None = None) -> int:
     """Upserts the video rows of complete pages and their manifests; pages with a card that has no identity are marked failed.
 
-    The rows are written first: they are read for four tables, and parsing is done once.
+    The rows are written first: they are read for four tables, and parsing is done once.  So are the manifests, which are read thrice.
     """
     version = store.version()
     state, rows = store.read_all(version), written(rows, "rows")
@@ -30,7 +30,7 @@ def commit_pages(store: Store, rows: DataFrame, session_id: str, now: int, meta:
     manifest = good.groupBy(F.col("native_page").alias("page_number")).agg(F.transform(F.sort_array(F.collect_list(F.struct("native_order", "video_id"))), lambda x: x["video_id"]).alias("video_ids")).withColumn("status", F.lit("complete"))
     failed = bad.select(F.col("native_page").alias("page_number"), F.array().cast("array<string>").alias("video_ids"), F.lit("failed").alias("status"))
     fresh = manifest.unionByName(failed).withColumn("scanned_at", F.lit(now).cast("long")).withColumn("session_id", F.lit(session_id))
-    fresh = fresh.select(*((F.col(f.name) if f.name in fresh.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in state["pages"].schema))
+    fresh = written(fresh.select(*((F.col(f.name) if f.name in fresh.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in state["pages"].schema)), "manifests")
     changes = {
         "videos": (listed.where("video_id is not null"), lambda old: merging.upsert_listing(old, listed, now, "native_page", "native_order")),
         "pages": (fresh, lambda old: old.join(fresh.select("page_number"), "page_number", "left_anti").select(old.columns).unionByName(fresh)),
@@ -87,7 +87,8 @@ def _reordered(store: Store, version: int, state: dict[str, DataFrame], rows: Da
     if out["missing"].limit(1).count():
         raise RuntimeError("the order has ids of which there is no row")
     pages = out["pages"].select(*((F.col(c) if c in out["pages"].columns else F.lit(None)).cast(state["pages"].schema[c].dataType).alias(c) for c in state["pages"].columns))
-    return store.commit({"videos": out["videos"], "pages": pages, "details": merging.prune(state["details"], out["videos"])}, expected=version)
+    kept = order.select(F.col("id").alias("video_id"))  # each has a row now, and no others have
+    return store.commit({"videos": out["videos"], "pages": pages, "details": merging.prune(state["details"], kept)}, expected=version)
 
 
 def smart_update(store: Store, rows: DataFrame, native_total: int | None, page_size: int, now: int, threshold: int = 3, reached_end: bool = False) -> tuple[int | None, str]:
