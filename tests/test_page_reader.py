@@ -42,3 +42,15 @@ def test_details_parse_once(spark, monkeypatch):
     p = spark.createDataFrame([("7", '<p class="description">x</p>')], "video_id string, html string")
     plan = html.details(p, html.Layout(), 0)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" not in plan and "MapInPandas" not in plan
+
+
+def test_addresses_of_a_card_are_resolved_once(spark):
+    """The pictures' addresses are one column of the plan, which the others pick from."""
+    pages = spark.createDataFrame([(1, PAGE)], "page_number int, html string")
+    plan = html.listing(pages, html.Layout(), 0)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("transform(images") == 1
+    got = html.listing(pages, html.Layout(), 0).select("thumbnail_url", "thumbnail_preferred_url", "thumbnail_fallback_url").first()
+    assert tuple(got) == ("https://example.com/w.webp",) * 2 + ("https://example.com/o.jpg",)
+
+
+PAGE = '<div class="items"><div class="item"><a href="/video/1/x/"><img data-srcset="/s.jpg 1x" data-webp="/w.webp" data-original="/o.jpg" src="/s.gif"></a></div></div>'

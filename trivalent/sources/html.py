@@ -286,12 +286,15 @@ def raw_cards(pages: DataFrame, layout: Layout) -> DataFrame:
 
 
 def listing(pages: DataFrame, layout: Layout, observed_at: int) -> DataFrame:
-    """Video rows of listing pages, with ``reason`` where a card or page could not be read."""
+    """Video rows of listing pages, with ``reason`` where a card or page could not be read.
+
+    A card's addresses are resolved once, as a column of which the others pick.
+    """
     raw = raw_cards(pages, layout)
     url = lambda c: urls.resolve(c, layout.origin)
     lists = [i for i, a in enumerate(IMAGE_ATTRIBUTES) if "srcset" in a]
-    resolved = F.transform("images", lambda u, i: url(F.when(i.isin(lists), urls.first_of_srcset(u)).otherwise(u)))
-    n = len(IMAGE_ATTRIBUTES)
+    raw = raw.withColumn("resolved", F.transform("images", lambda u, i: F.when(u.isNotNull(), url(F.when(i.isin(lists), urls.first_of_srcset(u)).otherwise(u)))))
+    resolved, n = F.col("resolved"), len(IMAGE_ATTRIBUTES)
     preferred = F.get(F.filter(F.slice(resolved, 1, n), lambda u: u.isNotNull()), F.lit(0))
     second = [F.get(resolved, F.lit([*IMAGE_ATTRIBUTES, "src"].index(a))) for a in SECOND_ATTRIBUTES]
     sources = F.filter(F.concat(F.array(*second), F.slice(resolved, 1, n)), lambda u: u.isNotNull())
